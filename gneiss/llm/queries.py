@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import chat, decontam, mixing, quality
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
+    "op2_decontam": decontam.op2_decontam,
     "op7_mixing": mixing.op7_mixing,
+    "op8_chat": chat.op8_chat,
 }
 
 ORACLE = {
+    "op1_quality": quality.OP1_SQL,
+    "op2_decontam": decontam.OP2_SQL,
     "op7_mixing": mixing.OP7_SQL,
+    "op8_chat": chat.OP8_SQL,
 }
