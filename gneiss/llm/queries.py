@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, mixing, neardup, quality, secrets
+from . import chat, decontam, langid, mixing, neardup, quality, secrets
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_decontam": decontam.op2_decontam,
+    "op5_langid": langid.op5_langid,
     "op7_mixing": mixing.op7_mixing,
     "op8_chat": chat.op8_chat,
     "op9_neardup": neardup.op9_neardup,
