@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, langid, mixing, neardup, quality, secrets
+from . import chat, decontam, html, langid, mixing, neardup, quality, secrets, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_decontam": decontam.op2_decontam,
+    "op3_html": html.op3_html,
+    "op4_warc": warc.op4_warc,
     "op5_langid": langid.op5_langid,
     "op7_mixing": mixing.op7_mixing,
     "op8_chat": chat.op8_chat,
@@ -15,6 +17,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op4_warc": warc.OP4_SQL,
     "op1_quality": quality.OP1_SQL,
     "op2_decontam": decontam.OP2_SQL,
     "op7_mixing": mixing.OP7_SQL,
