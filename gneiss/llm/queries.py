@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, html, langid, mixing, neardup, quality, secrets, warc
+from . import chat, decontam, html, langid, lm, mixing, neardup, quality, secrets, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_html": html.op3_html,
     "op4_warc": warc.op4_warc,
     "op5_langid": langid.op5_langid,
+    "op6_lm": lm.op6_lm,
     "op7_mixing": mixing.op7_mixing,
     "op8_chat": chat.op8_chat,
     "op9_neardup": neardup.op9_neardup,
