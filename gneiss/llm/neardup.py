@@ -13,10 +13,11 @@ of the 16 trees with a probability of over 0.999999.
 
 In each node the smallest id is compared with all others (linear in the node's size), and
 confirmed links join their components. What is left are nodes whose documents are in
-different components. Small ones (up to ``SMALL``) are compared exhaustively; larger ones
-branch ``DEEPER`` levels on, again and again, while they shrink; those that do not shrink any
-more are compared exhaustively too, cut into blocks, so that no task holds
-more than two blocks and pairs inside one component are never written. Every candidate is
+different components. Small ones (up to ``SMALL``) are compared exhaustively. Larger ones
+branch ``DEEPER`` levels on, which scatters what only shares a passage; those that stay large hold
+one family of similar texts and are compared by a task with their texts, which writes a
+link only where it joins two components, so never more links than documents. A node of more than
+``BLOCK`` documents is cut into blocks and each task gets two of them. Every candidate is
 confirmed on the full sets. Nothing is capped, dropped or sampled.
 
 Results are components: the smallest id reachable. Exact copies and large groups of
@@ -41,12 +42,8 @@ SKETCH = 64
 TREES = 16
 DEPTH = 4
 DEEPER = 4
-MOST_LEVELS = 6
 SMALL = 64
-BLOCK = 256
-#: A candidate whose sketches agree in fewer places can't plausibly pass the exact check:
-#: at a similarity of 0.8 the share is 0.80 with deviation 0.05; 0.5 is six of them below.
-LEAST_AGREE = 0.5
+BLOCK = 2048
 #: Bits of the filter by which texts are picked for the exact check: two megabytes of bits.
 FILTER_BITS = 1 << 24
 NULL_ID = -(2**63)
@@ -68,6 +65,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(33))
 
 
+def least_agree(threshold: float) -> float:
+    """The share of agreeing sketch values below which a pair isn't checked: 5.5 deviations
+    under the threshold, so that one pair in 50 millions at the threshold is missed."""
+    return threshold - 5.5 * float(np.sqrt(threshold * (1 - threshold) / SKETCH))
+
+
 _powers = np.ones(1, np.uint64)
 
 
@@ -78,23 +81,25 @@ def _power(n: int) -> np.ndarray:
     return _powers[:n]
 
 
-def word_hashes(data: bytes) -> np.ndarray:
-    """64-bit hashes of the words of ASCII-lower-cased UTF-8: sums of byte codes times powers
-    of the place in the word, all words at once through a prefix sum."""
+def words_at(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes and byte offsets of the words of ASCII-lower-cased UTF-8: sums of byte
+    codes times powers of the place in the word, for all words at once."""
     b = np.frombuffer(data, np.uint8)
     blank = (b == 32) | ((b >= 9) & (b <= 13))
-    edge = np.flatnonzero(np.diff(np.concatenate(([True], blank, [True])).view(np.int8)))
+    edge = np.flatnonzero(np.diff(np.concatenate(([True], blank, [True]))))
     start, end = edge[::2], edge[1::2]
     if not len(start):
-        return np.zeros(0, np.uint64)
-    # A prefix sum from each word's end backwards would need one power per word; instead the
-    # powers restart at each word: place = index - start of its word.
+        return np.zeros(0, np.uint64), start
     lengths = end - start
     inside = ~blank
     place = np.flatnonzero(inside) - np.repeat(start, lengths)
     value = _BYTE[b[inside]] * _power(int(lengths.max()))[place]
     first = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    return _mix(np.add.reduceat(value, first) + lengths.astype(np.uint64))
+    return _mix(np.add.reduceat(value, first) + lengths.astype(np.uint64)), start
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    return words_at(data)[0]
 
 
 def shingle_set(text: str | None, k: int) -> np.ndarray:
@@ -180,40 +185,86 @@ def _deeper(threshold: float):
     return run
 
 
-def _compare(threshold: float):
-    """Pairs of a node's (block pair's) documents in different components whose sketches agree."""
+def _small_nodes(threshold: float):
+    """Pairs of documents of a node in different components whose sketches agree; rows come
+    sorted by node, and at most one node's rows wait for the next batch."""
+    least = least_agree(threshold)
 
-    def run(key, pdf):
-        sk = np.frombuffer(b"".join(pdf["sketch"]), np.uint32).reshape(-1, SKETCH)
+    def pairs(ids, comp, sk):
+        agree = (sk[:, None, :] == sk[None, :, :]).mean(axis=2)
+        i, j = np.nonzero(np.triu((agree >= least) & (comp[:, None] != comp[None, :]), 1))
+        return np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+
+    def run(batches):
+        wait = None
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            sk = np.frombuffer(b"".join(pdf["sketch"]), np.uint32).reshape(-1, SKETCH)
+            now = [pdf["node"].to_numpy(), pdf["id"].to_numpy(), pdf["comp"].to_numpy(), sk]
+            if wait is not None:
+                now = [np.concatenate(x) for x in zip(wait, now, strict=True)]
+            cut = np.flatnonzero(np.diff(now[0])) + 1
+            starts = np.concatenate(([0], cut))
+            found = [pairs(*(x[a:b] for x in now[1:])) for a, b in zip(starts[:-1], starts[1:], strict=True)]
+            wait = [x[starts[-1] :] for x in now]
+            if found:
+                yield pd.DataFrame({"a": np.concatenate([f[0] for f in found]), "b": np.concatenate([f[1] for f in found])})
+        if wait is not None:
+            a, b = pairs(*wait[1:])
+            yield pd.DataFrame({"a": a, "b": b})
+
+    return run
+
+
+def _family(threshold: float, k: int, percent: int):
+    """Links that join components within a large node (or two of its blocks). Each document
+    outside the largest component is compared with all that are not yet in its own, the
+    likeliest first; those inside one component need no comparison."""
+    least = least_agree(threshold)
+
+    def run(pdf):
         ids, comp, side = pdf["id"].to_numpy(), pdf["comp"].to_numpy(), pdf["side"].to_numpy()
-        left, right = [], []
-        same_block = side.max() == side.min()
-        rows = np.arange(len(ids)) if same_block else np.flatnonzero(side == 0)
-        cols = np.arange(len(ids)) if same_block else np.flatnonzero(side == 1)
-        for i in rows:
-            other = cols[(comp[cols] != comp[i]) & ((cols > i) if same_block else True)]
-            if len(other):
-                good = other[(sk[other] == sk[i]).mean(axis=1) >= LEAST_AGREE]
-                left += [ids[i]] * len(good)
-                right += list(ids[good])
-        a, b = np.array(left, np.int64), np.array(right, np.int64)
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        sk = np.frombuffer(b"".join(pdf["sketch"]), np.uint32).reshape(-1, SKETCH)
+        names, label, counts = np.unique(comp, return_inverse=True, return_counts=True)
+        texts, sets, links = list(pdf["text"]), {}, []
+        across = side.max() != side.min()
+
+        def of(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = shingle_set(texts[i], k)
+            return sets[i]
+
+        for i in np.flatnonzero(comp != names[counts.argmax()]):
+            agree = (sk == sk[i]).mean(axis=1)
+            order = np.argsort(-agree, kind="stable")
+            for j in order[: int((agree >= least).sum())]:
+                if label[j] == label[i] or (across and side[j] == side[i]):
+                    continue
+                x, y = of(i), of(j)
+                if min(len(x), len(y)) * 100 < percent * max(len(x), len(y)):
+                    continue
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * common >= percent * (len(x) + len(y) - common):
+                    links.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+                    label[label == label[j]] = label[i]
+        return pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
 
     return run
 
 
-def _agree(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+def _agree(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
     """The pairs whose sketches agree well enough to be worth the exact check."""
     near = sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sb"))
     far = sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sa"))
-    both = pairs.join(near, "b").join(far, "a")
+    both, least = pairs.join(near, "b").join(far, "a"), least_agree(threshold)
 
     def run(batches):
         for pdf in batches:
             if len(pdf):
                 x = np.frombuffer(b"".join(pdf["sa"]), np.uint32).reshape(-1, SKETCH)
                 y = np.frombuffer(b"".join(pdf["sb"]), np.uint32).reshape(-1, SKETCH)
-                yield pdf.loc[(x == y).mean(axis=1) >= LEAST_AGREE, ["a", "b"]]
+                yield pdf.loc[(x == y).mean(axis=1) >= least, ["a", "b"]]
 
     return both.select("a", "b", "sa", "sb").mapInPandas(run, "a long, b long")
 
@@ -297,24 +348,19 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", shingle:
     links = _check(stars, sketches, plain, shingle, percent)
     comps = components(links)
 
-    level_nodes, done = shared.select("node", "id"), []
-    for level in range(MOST_LEVELS + 1):
-        labelled = level_nodes.join(comps, "id", "left").select("node", "id", F.coalesce("comp", "id").alias("comp"))
-        mixed = labelled.groupBy("node").agg(F.count("*").alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
-        open_ = materialize(labelled.join(mixed.select("node", "size"), "node"), "neardup-open")
-        final = open_ if level == MOST_LEVELS else open_.where(F.col("size") <= SMALL)
-        done.append(_exhaustive(final, sketches, threshold))
-        rest = open_.where(F.col("size") > SMALL)
-        if level == MOST_LEVELS or rest.isEmpty():
-            break
-        level_nodes = materialize(rest.join(sketches, "id").select("node", "id", "sketch").mapInPandas(_deeper(threshold), "node long, id long").distinct(), "neardup-deeper")
-    more = done[0]
-    for d in done[1:]:
-        more = more.unionByName(d)
-    more = materialize(more.distinct(), "neardup-more")
-    if not more.isEmpty():
-        links = materialize(links.unionByName(materialize(_confirm(more, plain, shingle, percent), "neardup-late")), "neardup-links")
-        comps = components(links)
+    # Nodes with documents of different components: small ones pair by pair.
+    open_ = _mixed(shared.select("node", "id"), comps)
+    small = open_.where(F.col("size") <= SMALL).join(sketches, "id").select("node", "id", "comp", "sketch")
+    pairs = small.repartition("node").sortWithinPartitions("node").mapInPandas(_small_nodes(threshold), "a long, b long")
+    links, comps = _more(links, comps, _check(pairs.distinct(), None, plain, shingle, percent))
+    # Large ones go deeper first; what stays large is one family of texts.
+    large = open_.where(F.col("size") > SMALL).join(sketches, "id").select("node", "id", "sketch")
+    deeper = _mixed(materialize(large.mapInPandas(_deeper(threshold), "node long, id long"), "neardup-deeper"), comps)
+    small = deeper.where(F.col("size") <= SMALL).join(sketches, "id").select("node", "id", "comp", "sketch")
+    pairs = small.repartition("node").sortWithinPartitions("node").mapInPandas(_small_nodes(threshold), "a long, b long")
+    links, comps = _more(links, comps, _check(pairs.distinct(), None, plain, shingle, percent))
+    family = _mixed(deeper.where(F.col("size") > SMALL).select("node", "id"), comps)
+    links, comps = _more(links, comps, materialize(_families(family, sketches, plain, threshold, shingle, percent), "neardup-families"))
 
     placed = all_sets.select("id", "n", "h1", "h2").join(classes, ["h1", "h2", "n"], "left")
     out = placed.join(comps.withColumnRenamed("id", "rep"), "rep", "left")
@@ -323,23 +369,40 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", shingle:
     return out.select(back(F.col("id")).alias(id_col), F.col("n").cast("long").alias("n_shingles"), back(comp).alias("component_id"), (F.col("id") == comp).alias("kept"))
 
 
-def _check(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    good = materialize(_agree(pairs, sketches).distinct(), "neardup-good")
+def _mixed(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """(node, id, comp, size) of the nodes with more than one component."""
+    labelled = members.join(comps, "id", "left").select("node", "id", F.coalesce("comp", "id").alias("comp"))
+    mixed = labelled.groupBy("node").agg(F.count("*").alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
+    return materialize(labelled.join(mixed.select("node", "size"), "node"), "neardup-mixed")
+
+
+def _more(links: DataFrame, comps: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links and components with the links that were found."""
+    if found.isEmpty():
+        return links, comps
+    links = links.unionByName(found)
+    return links, components(links)
+
+
+def _check(pairs: DataFrame, sketches: DataFrame | None, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Confirmed links among candidate pairs; with ``sketches``, of those that agree."""
+    good = pairs if sketches is None else _agree(pairs, sketches, percent / 100)
+    good = materialize(good, "neardup-good")
     return materialize(_confirm(good, texts, k, percent).distinct(), "neardup-links")
 
 
-def _exhaustive(members: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
-    """All pairs in each node, block against block, each block of ``BLOCK`` documents at most on
-    average; a node of up to ``SMALL`` is one block."""
+def _families(members: DataFrame, sketches: DataFrame, texts: DataFrame, threshold: float, k: int, percent: int) -> DataFrame:
+    """Links that join components in large nodes, block against block."""
+    needed = materialize(_picked(texts, members.select(F.col("id").alias("a"), F.col("id").alias("b"))).dropDuplicates(["id"]), "neardup-family-texts")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    one = members.join(sketches, "id").withColumns({"nb": blocks, "block": F.pmod(F.xxhash64("id"), blocks).cast("int")})
-    # Block i meets every block j >= i as side 0 and every block j <= i as side 1.
-    pairs = one.select("node", "id", "comp", "sketch", F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j"))
+    one = members.join(sketches, "id").join(needed, "id").withColumns({"nb": blocks, "block": F.pmod(F.xxhash64("id"), blocks).cast("int")})
+    # Block i meets every block j >= i as side 0 and every block j <= i as side 1; itself, as one side.
+    pairs = one.select("node", "id", "comp", "sketch", "text", F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j"))
     keyed = pairs.select(
         "node", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"),
-        F.when(F.col("i") <= F.col("j"), 0).otherwise(1).alias("side"), "id", "comp", "sketch",
+        F.when(F.col("i") <= F.col("j"), 0).otherwise(1).alias("side"), "id", "comp", "sketch", "text",
     )
-    return keyed.groupBy("node", "p", "q").applyInPandas(_compare(threshold), "a long, b long")
+    return keyed.groupBy("node", "p", "q").applyInPandas(_family(threshold, k, percent), "a long, b long")
 
 
 def op9_neardup(spark, sf_dir: str) -> DataFrame:
