@@ -269,12 +269,11 @@ def _agree(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame
     return both.select("a", "b", "sa", "sb").mapInPandas(run, "a long, b long")
 
 
-def _picked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The texts whose ids may be in the pairs, without moving any other: a bit filter over
+def _picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts whose ids may be among ``ids``, without moving any other: a bit filter over
     hashes of the ids, of fixed size, goes to the scan. The joins that follow are exact; a
     filter too full to help costs only what a join without it would."""
     bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
     bits = ids.select(bit.alias("bit")).groupBy(F.floor(F.col("bit") / 64).alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(bit % 64 AS INT)))").alias("bits"))
     at = docs.withColumn("bit", bit).withColumn("word", F.floor(F.col("bit") / 64))
     return at.join(F.broadcast(bits), "word").where("(shiftright(bits, CAST(bit % 64 AS INT)) & 1L) = 1L").select("id", "text")
@@ -284,7 +283,7 @@ def _confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     """The pairs with 100 * intersection >= percent * union on the full sets. Texts are what
     moves: they are smaller than their sets. A hot side is a plain equi-join of two
     exchanges, which adaptive execution splits."""
-    needed = materialize(_picked(docs, pairs), "neardup-texts")
+    needed = materialize(_picked(docs, pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))), "neardup-texts")
     both = pairs.join(needed.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(needed.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
 
     def run(batches):
@@ -337,7 +336,7 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", shingle:
     plain = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(text_col).alias("text"))
     all_sets = materialize(plain.mapInPandas(_sets("id", "text", shingle), "id long, n int, h1 long, h2 long, sketch binary"), "neardup-sets")
     some = all_sets.where("n > 0")
-    classes = some.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"))
+    classes = some.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     sketches = materialize(some.join(classes.withColumnRenamed("rep", "id"), ["id", "h1", "h2", "n"], "left_semi").select("id", "sketch").distinct(), "neardup-sketches")
 
     members = materialize(sketches.mapInPandas(_paths(threshold), "node long, id long"), "neardup-paths")
@@ -353,18 +352,21 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", shingle:
     small = open_.where(F.col("size") <= SMALL).join(sketches, "id").select("node", "id", "comp", "sketch")
     pairs = small.repartition("node").sortWithinPartitions("node").mapInPandas(_small_nodes(threshold), "a long, b long")
     links, comps = _more(links, comps, _check(pairs.distinct(), None, plain, shingle, percent))
-    # Large ones go deeper first; what stays large is one family of texts.
+    # Large ones go deeper first; what still meets there are families of similar texts.
     large = open_.where(F.col("size") > SMALL).join(sketches, "id").select("node", "id", "sketch")
     deeper = _mixed(materialize(large.mapInPandas(_deeper(threshold), "node long, id long"), "neardup-deeper"), comps)
-    small = deeper.where(F.col("size") <= SMALL).join(sketches, "id").select("node", "id", "comp", "sketch")
-    pairs = small.repartition("node").sortWithinPartitions("node").mapInPandas(_small_nodes(threshold), "a long, b long")
-    links, comps = _more(links, comps, _check(pairs.distinct(), None, plain, shingle, percent))
-    family = _mixed(deeper.where(F.col("size") > SMALL).select("node", "id"), comps)
-    links, comps = _more(links, comps, materialize(_families(family, sketches, plain, threshold, shingle, percent), "neardup-families"))
-
-    placed = all_sets.select("id", "n", "h1", "h2").join(classes, ["h1", "h2", "n"], "left")
-    out = placed.join(comps.withColumnRenamed("id", "rep"), "rep", "left")
-    comp = F.coalesce("comp", "rep", "id")
+    links, comps = _more(links, comps, materialize(_families(deeper, sketches, plain, threshold, shingle, percent), "neardup-families"))
+
+    # Classes with over a thousandth of all rows, a thousand at most, are looked up in a
+    # broadcast; the join of the others has no hot key.
+    rows = all_sets.select("id", "n", "h1", "h2")
+    total = rows.count()
+    named = classes.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", "n", "copies", F.coalesce("comp", "rep").alias("comp"))
+    hot = named.where(F.col("copies") * 1000 > total).select("h1", "h2", "n", F.col("comp").alias("hot"))
+    looked = rows.join(F.broadcast(hot), ["h1", "h2", "n"], "left")
+    others = looked.where("hot IS NULL").drop("hot").join(named.where(F.col("copies") * 1000 <= total).drop("copies"), ["h1", "h2", "n"], "left")
+    out = looked.where("hot IS NOT NULL").withColumnRenamed("hot", "comp").unionByName(others)
+    comp = F.coalesce("comp", "id")
     back = lambda c: F.nullif(c, F.lit(NULL_ID))
     return out.select(back(F.col("id")).alias(id_col), F.col("n").cast("long").alias("n_shingles"), back(comp).alias("component_id"), (F.col("id") == comp).alias("kept"))
 
@@ -393,7 +395,7 @@ def _check(pairs: DataFrame, sketches: DataFrame | None, texts: DataFrame, k: in
 
 def _families(members: DataFrame, sketches: DataFrame, texts: DataFrame, threshold: float, k: int, percent: int) -> DataFrame:
     """Links that join components in large nodes, block against block."""
-    needed = materialize(_picked(texts, members.select(F.col("id").alias("a"), F.col("id").alias("b"))).dropDuplicates(["id"]), "neardup-family-texts")
+    needed = materialize(_picked(texts, members.select("id")).dropDuplicates(["id"]), "neardup-family-texts")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     one = members.join(sketches, "id").join(needed, "id").withColumns({"nb": blocks, "block": F.pmod(F.xxhash64("id"), blocks).cast("int")})
     # Block i meets every block j >= i as side 0 and every block j <= i as side 1; itself, as one side.
