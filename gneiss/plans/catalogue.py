@@ -1,5 +1,620 @@
-"""Registered queries of the engine's own operators."""
+"""Registered queries of the engine's own operators: each over whole driver tables, with the
+same result in DuckDB's SQL where SQL can express it."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions import text as tx
+
+from ..functions.sets import jaccard, sign_bits, tanimoto_words, words_of_bits
+from ..operators import cluster, evidence, group, layers, ledger, pairs, rules, tables
+from ..streaming import events as streams
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-FLAGSHIP = ""
+FLAGSHIP = "nearest_neighbour"
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return register
+
+
+def t(spark, d, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def emb(spark, d) -> DataFrame:
+    return t(spark, d, "embeddings").select("vec_id", "label", sign_bits(F.col("embedding")).alias("bits"))
+
+
+E_SQL = "e AS (SELECT vec_id, label, list_filter(list_transform(embedding, lambda x, i: CASE WHEN x > 0 THEN i - 1 ELSE -1 END), lambda b: b >= 0) AS bits FROM embeddings)"
+P_SQL = E_SQL + """, p AS (
+  SELECT a.label AS block, a.vec_id AS i, b.vec_id AS j, CAST(len(list_intersect(a.bits, b.bits)) AS DOUBLE) / (len(a.bits) + len(b.bits) - len(list_intersect(a.bits, b.bits))) AS s
+  FROM e a JOIN e b ON a.label = b.label AND a.vec_id > b.vec_id)"""
+B_SQL = P_SQL + ", b AS (SELECT block, i AS id, j AS other, s FROM p UNION ALL SELECT block, j, i, s FROM p)"
+
+
+# ---- pairs ----
+
+
+@query(f"WITH {P_SQL} SELECT block, i, j, round(s, 6) AS similarity FROM p WHERE s >= 0.45")
+def tanimoto_pairs(spark, d):
+    return pairs.tanimoto_pairs(emb(spark, d), "vec_id", "label", "bits", 0.45).withColumn("similarity", F.round("similarity", 6))
+
+
+@query(f"WITH {P_SQL} SELECT count(*) AS n, round(avg(s), 6) AS mean FROM p")
+def tanimoto_bit_words(spark, d):
+    e = emb(spark, d).select("vec_id", "label", words_of_bits(F.col("bits"), 64).alias("w"))
+    return pairs.block_pairs(e, "vec_id", "label", ("w",)).agg(F.count("*").alias("n"), F.round(F.avg(tanimoto_words(F.col("w_i"), F.col("w_j"))), 6).alias("mean"))
+
+
+@query(f"WITH {P_SQL} SELECT block, count(*) AS pairs, round_even(min(s), 3) AS min_similarity, round_even(median(s), 3) AS median_similarity, round_even(avg(s), 3) AS mean_similarity FROM p GROUP BY block")
+def pair_stats(spark, d):
+    return pairs.pair_stats(pairs.tanimoto_pairs(emb(spark, d), "vec_id", "label", "bits"))
+
+
+@query(f"WITH {B_SQL} SELECT id, round_even(max(s), 3) AS nearest_similarity FROM b GROUP BY id")
+def nearest_neighbour(spark, d):
+    return pairs.nearest(pairs.tanimoto_pairs(emb(spark, d), "vec_id", "label", "bits"))
+
+
+@query(f"WITH {B_SQL} SELECT id, other, rank, round(s, 6) AS similarity FROM (SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY s DESC, CAST(other AS VARCHAR)) AS INTEGER) AS rank FROM b) WHERE rank <= 3")
+def top3_neighbours(spark, d):
+    return pairs.top_neighbours(pairs.tanimoto_pairs(emb(spark, d), "vec_id", "label", "bits")).select("id", "other", "rank", F.round("similarity", 6).alias("similarity"))
+
+
+@query(f"WITH {E_SQL}, p AS (SELECT a.vec_id AS id, b.vec_id AS other, CAST(len(list_intersect(a.bits, b.bits)) AS DOUBLE) / (len(a.bits) + len(b.bits) - len(list_intersect(a.bits, b.bits))) AS s FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0) SELECT id, other, rank, round(s, 6) AS similarity FROM (SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY s DESC, other) AS INTEGER) AS rank FROM p) WHERE rank <= 10")
+def topk_library(spark, d):
+    e = emb(spark, d)
+    return pairs.top_matches(e.where("vec_id % 50 = 0"), e, "vec_id", "bits", "label").select("id", "other", "rank", F.round("similarity", 6).alias("similarity"))
+
+
+@query(f"WITH {B_SQL}, m AS (SELECT block, id, round_even(avg(s), 9) AS mean FROM (SELECT block, id, s FROM b UNION ALL SELECT label, vec_id, 1.0::DOUBLE FROM e) GROUP BY ALL) SELECT block, id AS medoid, round_even(mean, 6) AS mean_similarity FROM m QUALIFY row_number() OVER (PARTITION BY block ORDER BY mean DESC, id DESC) = 1")
+def medoid(spark, d):
+    e = emb(spark, d)
+    return pairs.medoid(e, pairs.tanimoto_pairs(e, "vec_id", "label", "bits"), "vec_id", "label")
+
+
+@query("""WITH p AS (SELECT vec_id, label, CAST(embedding[1:8] AS DOUBLE[]) AS v, vec_id % 10 AS k FROM embeddings), e AS (SELECT a.k, a.vec_id AS i, b.vec_id AS j, a.label AS li, b.label AS lj, list_distance(a.v, b.v) AS d FROM p a JOIN p b ON a.k = b.k AND a.vec_id <> b.vec_id),
+m AS (SELECT i, li, lj, avg(d) AS m FROM e GROUP BY ALL), s AS (SELECT i AS id, max(m) FILTER (li = lj) AS a, min(m) FILTER (li <> lj) AS b FROM m GROUP BY i)
+SELECT id, round(CASE WHEN a IS NULL OR b IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END, 5) AS silhouette FROM s""")
+def silhouette(spark, d):
+    e = t(spark, d, "embeddings").select("vec_id", "label", F.slice("embedding", 1, 8).alias("v"), (F.col("vec_id") % 10).alias("k"))
+    dist = F.sqrt(F.aggregate(F.zip_with("v_i", "v_j", lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, x: s + x))
+    edges = pairs.block_pairs(e, "vec_id", "k", ("v",)).select("i", "j", dist.alias("distance"))
+    return pairs.silhouette(edges, e.select(F.col("vec_id").alias("id"), "label")).withColumn("silhouette", F.round("silhouette", 5))
+
+
+# ---- keys, groups, text ----
+
+
+@query("SELECT doc_id, lang, source FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1")
+def dedup_keep_first(spark, d):
+    return group.keep_first(t(spark, d, "documents"), "text", "doc_id").select("doc_id", "lang", "source")
+
+
+@query("SELECT p_brand, p_partkey, p_retailprice FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) = 1")
+def argmax_per_group(spark, d):
+    return group.arg_max(t(spark, d, "part").select("p_brand", "p_partkey", "p_retailprice"), "p_brand", "p_retailprice", "p_partkey")
+
+
+@query(r"""SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(n, '\brelated\s+component\b', '', 'gi'), '\brelated\s+compou?nd\s*\d*\b', '', 'gi'), '\s*\(n=\d+\)', '', 'gi'), ',\s*loss\s+of\s+.*$', '', 'gi'), ',\s*(hydroxy|methyl|oxy)$', '', 'gi'), '\s+dimer$', '', 'gi'), ',\s*$', '', 'g'), '\s+', ' ', 'g')) AS cleaned,
+coalesce(TRY_CAST(nullif(regexp_extract(replace(a, ',', ''), '[0-9.]+', 0), '') AS DOUBLE), -1) AS amount
+FROM (SELECT p_partkey, p_name || CASE p_partkey % 7 WHEN 0 THEN ' related compound 3' WHEN 1 THEN ' (n=04)' WHEN 2 THEN ', loss of water' WHEN 3 THEN ', Methyl' WHEN 4 THEN '  dimer' WHEN 5 THEN ', ' ELSE '' END AS n,
+CASE p_partkey % 5 WHEN 0 THEN '<0.5' WHEN 1 THEN '1.2.3' WHEN 2 THEN '1,250.5 ug' WHEN 3 THEN 'n/a' ELSE CAST(p_size AS VARCHAR) END AS a FROM part)""")
+def clean_names_and_amounts(spark, d):
+    k = F.col("p_partkey")
+    tail = F.element_at(F.array(*[F.lit(x) for x in (" related compound 3", " (n=04)", ", loss of water", ", Methyl", "  dimer", ", ", "")]), (k % 7 + 1).cast("int"))
+    amount = F.when(k % 5 == 0, F.lit("<0.5")).when(k % 5 == 1, F.lit("1.2.3")).when(k % 5 == 2, F.lit("1,250.5 ug")).when(k % 5 == 3, F.lit("n/a")).otherwise(F.col("p_size").cast("string"))
+    return t(spark, d, "part").select("p_partkey", tx.clean_name(F.concat("p_name", tail)).alias("cleaned"), tx.parse_amount(amount).alias("amount"))
+
+
+@query("SELECT o_orderkey, CASE WHEN lower(trim(o_orderpriority)) IN ('', '4-not specified', '5-low') THEN NULL ELSE trim(o_orderpriority) END AS priority, coalesce(CASE WHEN lower(trim(o_orderpriority)) IN ('', '4-not specified', '5-low') THEN NULL ELSE trim(o_orderpriority) END, o_orderstatus) AS shown FROM orders")
+def missing_vocab(spark, d):
+    words = ("", "4-not specified", "5-low")
+    return t(spark, d, "orders").select("o_orderkey", tx.present(F.col("o_orderpriority"), words).alias("priority"), tx.first_present(F.col("o_orderpriority"), F.col("o_orderstatus"), words=words).alias("shown"))
+
+
+@query("WITH c AS (SELECT c_nationkey, c_mktsegment AS v, count(*) AS n FROM customer GROUP BY ALL), m AS (SELECT *, max(n) OVER (PARTITION BY c_nationkey) AS top FROM c) SELECT c_nationkey, CASE WHEN count(*) = 1 THEN max(v) END AS mode FROM m WHERE n = top GROUP BY c_nationkey")
+def unique_mode(spark, d):
+    return group.unique_mode(t(spark, d, "customer"), "c_nationkey", "c_mktsegment")
+
+
+@query("WITH c AS (SELECT c_nationkey, c_mktsegment AS v, count(*) AS n, min(c_custkey) AS seen FROM customer GROUP BY ALL) SELECT c_nationkey, v AS majority, round_even(CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY c_nationkey), 3) AS ratio FROM c QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY n DESC, seen) = 1")
+def majority_first_seen(spark, d):
+    return group.majority(t(spark, d, "customer"), "c_nationkey", "c_mktsegment", "c_custkey")
+
+
+@query("WITH c AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL) SELECT source, lang AS representative, round_even(CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY source), 3) AS coverage FROM c QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, lang) = 1")
+def representative_coverage(spark, d):
+    return group.representative(t(spark, d, "documents"), "source", "lang")
+
+
+@query("WITH v AS (SELECT l_orderkey, l_linenumber, l_returnflag, l_extendedprice * l_quantity AS v FROM lineitem), q AS (SELECT l_returnflag, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3 FROM v GROUP BY l_returnflag HAVING count(v) >= 4) SELECT l_orderkey, l_linenumber, l_returnflag, round(v, 2) AS v FROM v JOIN q USING (l_returnflag) WHERE q3 > q1 AND (v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1))")
+def iqr_outliers(spark, d):
+    li = t(spark, d, "lineitem").select(F.struct("l_orderkey", "l_linenumber").alias("k"), "l_returnflag", (F.col("l_extendedprice") * F.col("l_quantity")).alias("v"))
+    return group.outliers(li, "k", "l_returnflag", "v").select("k.*", "l_returnflag", F.round("v", 2).alias("v"))
+
+
+@query("""WITH l AS (SELECT c_custkey, c_nationkey, unnest([{'p': 0, 'v': c_acctbal}, {'p': 1, 'v': CASE WHEN c_custkey % 9 = 0 THEN c_acctbal * 100 ELSE c_acctbal END}, {'p': 2, 'v': CASE WHEN c_custkey % 400 = 1 THEN c_acctbal END}], recursive := true) FROM customer),
+q AS (SELECT c_nationkey, p, count(v) AS n, quantile_cont(v, 0.25) AS a, quantile_cont(v, 0.75) AS b FROM l GROUP BY ALL), m AS (SELECT l.*, n, n >= 4 AND b > a AND (v < a - 1.5 * (b - a) OR v > b + 1.5 * (b - a)) AS o, ['balance', 'scaled', 'sparse'][p + 1] AS c FROM l JOIN q USING (c_nationkey, p))
+SELECT c_custkey, coalesce(string_agg(c, '; ' ORDER BY p) FILTER (o), '') AS outlier_columns, coalesce(string_agg(c, '; ' ORDER BY p) FILTER (n < 4), '') AS not_assessed FROM m GROUP BY c_custkey""")
+def outlier_and_unassessed_columns(spark, d):
+    k, v = F.col("c_custkey"), F.col("c_acctbal")
+    c = t(spark, d, "customer").select("c_custkey", "c_nationkey", v.alias("balance"), F.when(k % 9 == 0, v * 100).otherwise(v).alias("scaled"), F.when(k % 400 == 1, v).alias("sparse"))
+    o = group.outlier_lists(c, "c_custkey", "c_nationkey", ["balance", "scaled", "sparse"])
+    return o.select("c_custkey", F.array_join("outlier_columns", "; ").alias("outlier_columns"), F.array_join("not_assessed", "; ").alias("not_assessed"))
+
+
+@query("SELECT c_nationkey, string_agg(DISTINCT c_mktsegment, '; ' ORDER BY c_mktsegment) AS segments, printf('%.2f', min(c_acctbal)) || '-' || printf('%.2f', max(c_acctbal)) AS balance FROM customer GROUP BY c_nationkey")
+def distinct_values_and_range(spark, d):
+    b = F.col("c_acctbal")
+    return t(spark, d, "customer").groupBy("c_nationkey").agg(group.joined_values(F.col("c_mktsegment")).alias("segments"), F.concat(F.format_string("%.2f", F.min(b)), F.lit("-"), F.format_string("%.2f", F.max(b))).alias("balance"))
+
+
+@query("WITH s AS (SELECT source, lang AS v, min(doc_id) AS o FROM documents GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY o) AS k, count(*) OVER (PARTITION BY source) AS n FROM s) SELECT source, string_agg(v, '; ' ORDER BY k) FILTER (k <= 2) || CASE WHEN max(n) > 2 THEN '; additional values present' ELSE '' END AS \"values\" FROM r GROUP BY source")
+def first_seen_values(spark, d):
+    return group.first_values(t(spark, d, "documents"), "source", F.col("lang"), "doc_id", 2)
+
+
+@query("SELECT p_partkey, round(CASE WHEN max(p_size) OVER w > min(p_size) OVER w THEN CAST(p_size - min(p_size) OVER w AS DOUBLE) / (max(p_size) OVER w - min(p_size) OVER w) ELSE 0 END, 6) AS size_scaled, round((p_retailprice - avg(p_retailprice) OVER ()) / stddev_pop(p_retailprice) OVER (), 6) AS price_z FROM part WINDOW w AS (PARTITION BY p_brand)")
+def scaled_columns(spark, d):
+    p = group.z_scaled(t(spark, d, "part").withColumn("z", F.col("p_retailprice")), ["z"])
+    return p.select("p_partkey", F.round(group.min_max_scaled(F.col("p_size"), Window.partitionBy("p_brand")), 6).alias("size_scaled"), F.round("z", 6).alias("price_z"))
+
+
+@query("WITH l AS (SELECT vec_id, label, unnest(embedding[1:8]) AS v, generate_subscripts(embedding[1:8], 1) AS p FROM embeddings), m AS (SELECT label, p, avg(v) AS m FROM l GROUP BY ALL), d AS (SELECT vec_id, label, sqrt(sum((v - m) * (v - m))) AS distance FROM l JOIN m USING (label, p) GROUP BY ALL) SELECT vec_id, label, round(distance, 5) AS distance, distance > 2 * sqrt(8) AS outside FROM d")
+def centroid_domain(spark, d):
+    e = t(spark, d, "embeddings").select("vec_id", "label", F.slice("embedding", 1, 8).cast("array<double>").alias("v"))
+    return group.centroid_outside(e, "vec_id", "label", "v", 8).withColumn("distance", F.round("distance", 5))
+
+
+@query("SELECT coalesce(nullif(trim(source), ''), 'Not available') AS label, count(*) AS n FROM documents GROUP BY 1 ORDER BY n DESC, label LIMIT 12")
+def top12_frequency(spark, d):
+    return group.frequency(t(spark, d, "documents"), "source")
+
+
+@query("SELECT count(*) AS row_count, count(DISTINCT text) AS texts, count(DISTINCT source) AS sources, count(*) FILTER (quality = 1) AS good, count(*) FILTER (toxic = 1) AS toxic, count(*) FILTER (quality IS NULL) AS unlabelled FROM documents LEFT JOIN labels USING (doc_id)")
+def dashboard_metrics(spark, d):
+    j = t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id", "left")
+    return j.agg(F.count("*").alias("row_count"), F.countDistinct("text").alias("texts"), F.countDistinct("source").alias("sources"), F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("toxic") == 1).alias("toxic"), F.count_if(F.col("quality").isNull()).alias("unlabelled"))
+
+
+@query(r"""SELECT c_custkey, CAST(round_even(abs(c_acctbal) / 100, 1) AS DOUBLE) AS rounded, 'E-' || upper(left(sha256('c|' || c_name), 12)) AS evidence_id, TRY_CAST(regexp_extract(c_name, '([0-9]+)$', 1) AS INTEGER) AS tail FROM customer""")
+def scalar_functions(spark, d):
+    c = t(spark, d, "customer")
+    return c.select("c_custkey", F.bround(F.abs("c_acctbal") / 100, 1).alias("rounded"), tx.digest_id("E", F.lit("c"), F.col("c_name")).alias("evidence_id"), F.regexp_extract("c_name", "([0-9]+)$", 1).try_cast("int").alias("tail"))
+
+
+# ---- classification ----
+
+P_RULES = (("R-1", "PROMO"), ("R-2", "GEAR"), ("R-3", "Brand#11"), ("R-4", "SMALL"), ("R-5", "LARGE"))
+
+
+def part_features(spark, d) -> DataFrame:
+    p = t(spark, d, "part")
+    return p.withColumn("features", F.array_compact(F.array(*[F.when(F.upper(F.concat_ws(" ", "p_type", "p_name", "p_brand")).contains(x.upper()), F.lit(x)) for _, x in P_RULES])))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 11 = 0 THEN 'STC-UNK-000' WHEN s LIKE '%PROMO%' THEN 'R-1' WHEN s LIKE '%GEAR%' THEN 'R-2' WHEN s LIKE '%BRAND#11%' THEN 'R-3' WHEN s LIKE '%SMALL%' THEN 'R-4' WHEN s LIKE '%LARGE%' THEN 'R-5' ELSE 'STC-UNK-001' END AS rule_id,
+CASE WHEN p_size % 11 = 0 THEN 'Structure unavailable' WHEN s LIKE '%PROMO%' OR s LIKE '%GEAR%' OR s LIKE '%BRAND#11%' OR s LIKE '%SMALL%' OR s LIKE '%LARGE%' THEN 'Specific rule' ELSE 'Unclassified' END AS scope
+FROM (SELECT *, upper(p_type || ' ' || p_name || ' ' || p_brand) AS s FROM part)""")
+def first_match_rules(spark, d):
+    p = part_features(spark, d).withColumn("c", rules.classify(F.col("features"), F.col("p_size") % 11 != 0, P_RULES))
+    return p.select("p_partkey", "c.rule_id", rules.scope(F.col("c.rule_id"))["scope"].alias("scope"))
+
+
+@query("SELECT n_nationkey, r_name || ' → ' || n_name AS path, r_name AS direct_parent, 'Parent Class: ' || r_name || ' | Functional Group: ' || n_name AS hierarchy, r_name AS parsed FROM nation JOIN region ON n_regionkey = r_regionkey")
+def taxonomy_path(spark, d):
+    n = t(spark, d, "nation").join(F.broadcast(t(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    path = F.array("r_name", "n_name")
+    h = F.concat(F.lit("Parent Class: "), F.col("r_name"), F.lit(" | Functional Group: "), F.col("n_name"))
+    return n.select("n_nationkey", F.array_join(path, " → ").alias("path"), F.try_element_at(path, F.lit(-2)).alias("direct_parent"), h.alias("hierarchy"), F.try_element_at(tx.parse_map(h), F.lit("Parent Class")).alias("parsed"))
+
+
+@query("SELECT p_partkey, coalesce(CASE WHEN p_size % 3 <> 0 THEN 'b' END, '') || coalesce(CASE WHEN p_size % 2 = 0 AND p_size % 5 <> 0 THEN 'c' END, '') AS secondary FROM part")
+def secondary_features(spark, d):
+    s = F.col("p_size")
+    atoms = F.map_from_arrays(F.array(F.lit("a"), F.lit("b"), F.lit("c")), F.array(F.array(F.lit(1), F.lit(2)), F.when(s % 3 == 0, F.array(F.lit(2), F.lit(3))).otherwise(F.array(F.lit(3))), F.when(s % 5 == 0, F.array(F.lit(1))).when(s % 2 == 0, F.array(F.lit(4))).otherwise(F.array().cast("array<int>"))))
+    return t(spark, d, "part").select("p_partkey", F.array_join(rules.secondary_features(F.array(F.lit("a"), F.lit("b"), F.lit("c")), atoms, F.array(F.lit("a"))), "").alias("secondary"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_type LIKE '%PROMO%' THEN 'Reactive peroxide' WHEN p_size % 10 = 0 THEN 'Charged compound' WHEN p_brand LIKE '%1' AND p_size % 4 > 0 THEN CASE WHEN p_size % 7 >= 4 THEN 'Macrocyclic siloxane n=' || CAST(p_size % 7 AS VARCHAR) ELSE 'Cyclic organosilicon' END WHEN p_brand LIKE '%1' THEN 'Linear or oligomeric siloxane' WHEN p_size > 25 THEN 'Organic ' || p_brand ELSE 'Organic structure pending functional-group review' END AS family FROM part""")
+def compat_gate(spark, d):
+    s = F.col("p_size")
+    silicon = F.col("p_brand").endswith("1")
+    g = rules.compatibility_gate(
+        F.when(F.col("p_type").contains("PROMO"), F.lit("peroxide")), F.when(s > 25, F.col("p_brand")), F.lit(None).cast("string"),
+        F.when(s % 10 == 0, 1).otherwise(0), F.when(silicon, F.lit("C[Si]OC")).otherwise(F.lit("CC")), s % 4, s % 7, s % 7,
+    )
+    return t(spark, d, "part").select("p_partkey", g["family"].alias("family"))
+
+
+@query("""WITH p AS (SELECT p_partkey, p_brand, p_size, p_retailprice AS mw, p_size / 10.0 AS logp, p_retailprice / 7 AS tpsa, p_partkey % 3 AS am FROM part)
+SELECT a.p_brand AS block, a.p_partkey AS i, b.p_partkey AS j, CASE WHEN a.am <> 0 AND b.am <> 0 AND a.am <> b.am THEN 'repeat-unit count differs' WHEN a.p_size % 2 <> b.p_size % 2 THEN 'secondary profile differs' WHEN greatest(a.mw, b.mw) / least(a.mw, b.mw) > 1.5 THEN 'molecular-weight ratio' WHEN abs(a.logp - b.logp) > 1.75 THEN 'LogP difference' WHEN greatest(a.tpsa, b.tpsa) / least(a.tpsa, b.tpsa) > 1.75 THEN 'TPSA ratio' END AS reason
+FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.p_partkey > b.p_partkey""")
+def pair_gates(spark, d):
+    p = t(spark, d, "part").select("p_partkey", "p_brand", F.array((F.col("p_size") % 2).cast("string")).alias("f"), F.col("p_retailprice").alias("mw"), (F.col("p_size") / 10.0).alias("logp"), (F.col("p_retailprice") / 7).alias("tpsa"), (F.col("p_partkey") % 3).alias("am"))
+    q, x = pairs.block_pairs(p, "p_partkey", "p_brand", ("f", "mw", "logp", "tpsa", "am")), layers.sides()
+    return q.select("block", "i", "j", rules.pair_gate(x("am"), x("f"), x("mw"), x("logp"), x("tpsa")).alias("reason"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 'Class III' WHEN p_retailprice - 900 < 200 AND p_size % 2 = 0 THEN 'Class I' WHEN p_retailprice - 900 < 400 AND p_size % 2 = 1 THEN 'Class II' ELSE 'Class III' END AS class FROM part")
+def threshold_class(spark, d):
+    s = F.col("p_size")
+    c = rules.threshold_of_concern(F.when(s % 5 == 0, F.lit("x")).otherwise(F.lit("None")), F.col("p_retailprice") - 900, F.when(s % 2 == 1, F.lit("c1")).otherwise(F.lit("No_Scaffold")))
+    return t(spark, d, "part").select("p_partkey", c["class"].alias("class"))
+
+
+# ---- layers over pairs of parts within a brand ----
+
+L_SQL = """p AS (SELECT p_partkey AS id, p_brand AS block, p_type AS w1, string_split(p_name, ' ')[1] AS w2, string_split(p_name, ' ')[2] AS w3, p_type || ' ' || p_name AS p_type, p_size, p_retailprice,
+  CASE p_size % 5 WHEN 0 THEN 'Neutral' WHEN 1 THEN 'Likely acidic' WHEN 2 THEN 'Likely basic' WHEN 3 THEN 'Amphoteric' ELSE 'Unknown' END AS ion,
+  CASE WHEN p_size % 4 = 0 THEN NULL ELSE p_size % 4 - 1 END AS charge FROM part),
+q AS (SELECT a.block, a.id AS i, b.id AS j, a AS a, b AS b FROM p a JOIN p b ON a.block = b.block AND a.id > b.id)"""
+CLASS_SQL = "CASE WHEN a.p_type = b.p_type THEN 0.0 WHEN a.w3 = b.w3 AND a.w2 = b.w2 THEN 0.10 WHEN a.w3 = b.w3 THEN 0.25 WHEN a.w1 = b.w1 THEN 0.45 ELSE 1.0 END::DOUBLE"
+ION_LABEL = """CASE WHEN a.ion = b.ion AND a.ion <> 'Unknown' THEN 0.0 WHEN a.ion = b.ion THEN 0.20 WHEN 'Unknown' IN (a.ion, b.ion) THEN 0.45
+  WHEN (a.ion = 'Likely acidic' AND b.ion = 'Likely basic') OR (b.ion = 'Likely acidic' AND a.ion = 'Likely basic') THEN 1.0
+  WHEN 'Amphoteric' IN (a.ion, b.ion) AND 'Neutral' NOT IN (a.ion, b.ion) THEN 0.55 WHEN 'Neutral' IN (a.ion, b.ion) AND 'Amphoteric' NOT IN (a.ion, b.ion) THEN 0.70 ELSE 0.80 END"""
+ION_SQL = f"least(1.0, 0.70 * ({ION_LABEL}) + 0.30 * CASE WHEN a.charge IS NULL AND b.charge IS NULL THEN 0.25 WHEN a.charge IS NULL OR b.charge IS NULL THEN 0.5 ELSE least(abs(a.charge - b.charge) / 4.0, 1.0) END)::DOUBLE"
+
+
+def part_pairs(spark, d) -> DataFrame:
+    full = F.concat_ws(" ", "p_type", "p_name")
+    w = F.split(full, " ")
+    s = F.col("p_size")
+    p = t(spark, d, "part").select(
+        F.col("p_partkey").alias("id"), F.col("p_brand").alias("block"),
+        w[0].alias("parent_class"), w[2].alias("functional_group"), F.concat_ws(" ", w[1], w[2]).alias("subclass"), full.alias("structural_type"), F.lit("").alias("corrected_class"),
+        F.element_at(F.array(*[F.lit(x) for x in ("Neutral", "Likely acidic", "Likely basic", "Amphoteric", "Unknown")]), s % 5 + 1).alias("ionisation"),
+        F.when(s % 4 != 0, s % 4 - 1).alias("formal_charge"), F.array_sort(F.array_distinct(F.array(w[0], w[1]))).alias("toxicophores"), F.array_sort(w).alias("alerts"), w[2].alias("first_alert"),
+        F.when(s % 6 != 0, w[0]).alias("topology_class"), F.array(w[1]).alias("modifiers"), w[2].alias("ring_system"), F.lit(None).cast("string").alias("ring_profile"), F.lit("x").alias("alcohol_context"),
+        (s % 5).alias("ring_count"), F.when(s % 7 != 0, s % 3).alias("aromatic_ring_count"), F.col("p_retailprice").alias("price"),
+    )
+    return p
+
+
+def _layer(spark, d, distance, *cols):
+    q = pairs.block_pairs(part_pairs(spark, d), "id", "block", cols)
+    return q.select("block", "i", "j", F.round(distance(layers.sides()), 6).alias("distance"))
+
+
+@query(f"WITH {L_SQL} SELECT block, i, j, round({CLASS_SQL}, 6) AS distance FROM q")
+def layer_class(spark, d):
+    return _layer(spark, d, layers.class_distance, "parent_class", "functional_group", "subclass", "structural_type", "corrected_class")
+
+
+@query(f"WITH {L_SQL} SELECT block, i, j, round({ION_SQL}, 6) AS distance FROM q")
+def layer_ionisation(spark, d):
+    return _layer(spark, d, layers.ionisation_distance, "ionisation", "formal_charge")
+
+
+_J = "CAST(len(list_intersect({a}, {b})) AS DOUBLE) / len(list_distinct(list_concat({a}, {b})))"
+TOX_SQL = f"(0.45 * (1 - {_J.format(a='list_distinct([a.w1, a.w2])', b='list_distinct([b.w1, b.w2])')}) + 0.35 * (1 - {_J.format(a='[a.w1, a.w2, a.w3]', b='[b.w1, b.w2, b.w3]')}) + 0.20 * CASE WHEN a.w3 = b.w3 THEN 0 ELSE 1 END)"
+
+
+@query(f"WITH {L_SQL} SELECT block, i, j, round({TOX_SQL}, 6) AS distance FROM q")
+def layer_toxicophore(spark, d):
+    return _layer(spark, d, layers.toxicophore_distance, "toxicophores", "alerts", "first_alert")
+
+
+TOP_SQL = """(0.25 * CASE WHEN a.p_size % 6 = 0 OR b.p_size % 6 = 0 THEN 0.5 WHEN a.w1 = b.w1 THEN 0 ELSE 1 END + 0.20 * CASE WHEN a.w2 = b.w2 THEN 0 ELSE 1 END + 0.15 * CASE WHEN a.w3 = b.w3 THEN 0 ELSE 1 END + 0.05
+ + 0.10 * abs(a.p_size % 5 - b.p_size % 5) / greatest(a.p_size % 5, b.p_size % 5, 1)::DOUBLE
+ + 0.10 * CASE WHEN a.p_size % 7 = 0 OR b.p_size % 7 = 0 THEN 0.5 ELSE abs(a.p_size % 3 - b.p_size % 3) / greatest(a.p_size % 3, b.p_size % 3, 1)::DOUBLE END)"""
+_TOP = ("topology_class", "modifiers", "ring_system", "ring_profile", "alcohol_context", "ring_count", "aromatic_ring_count")
+
+
+@query(f"WITH {L_SQL} SELECT block, i, j, round({TOP_SQL}, 6) AS distance FROM q")
+def layer_topology(spark, d):
+    return _layer(spark, d, layers.topology_distance, *_TOP)
+
+
+_DW = {"hbd": 0.08, "ring_count": 0.12, "fraction_csp3": 0.10, "ionisation": 0.15}
+DES_SQL = """((0.08 * abs(a.p_retailprice - b.p_retailprice) / (SELECT max(p_retailprice) - min(p_retailprice) FROM part) + 0.12 * abs(a.p_size - b.p_size) / (SELECT max(p_size) - min(p_size) FROM part)::DOUBLE
+ + 0.10 * abs(a.id % 13 - b.id % 13) / 12.0::DOUBLE + 0.15 * CASE WHEN a.ion = 'Unknown' AND b.ion = 'Unknown' THEN 0.20 WHEN 'Unknown' IN (a.ion, b.ion) THEN 0.55 WHEN a.ion = b.ion THEN 0 ELSE 0.35 END) / 0.45)"""
+
+
+@query(f"WITH {L_SQL} SELECT block, i, j, round({DES_SQL}, 6) AS distance FROM q")
+def layer_descriptor(spark, d):
+    p = part_pairs(spark, d).join(t(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_size"), "id")
+    p = p.select("id", "block", "ionisation", F.col("price").alias("hbd"), F.col("p_size").cast("double").alias("ring_count"), (F.col("id") % 13).cast("double").alias("fraction_csp3"))
+    p = layers.scaled(p, ["hbd", "ring_count", "fraction_csp3"])
+    q = pairs.block_pairs(p, "id", "block", tuple(_DW))
+    return q.select("block", "i", "j", F.round(layers.descriptor_distance(layers.sides(), _DW), 6).alias("distance"))
+
+
+TAX_SQL = "(0.05 * CASE WHEN a.w1 = b.w1 THEN 0 ELSE 1 END + 0.08 * CASE WHEN a.w2 = b.w2 THEN 0 ELSE 1 END + 0.16 * CASE WHEN a.w3 = b.w3 THEN 0 ELSE 1 END + 0.17 * CASE WHEN a.p_type = b.p_type THEN 0 ELSE 1 END + 0.12 * CASE WHEN list_sort([a.w2, a.w3]) = list_sort([b.w2, b.w3]) THEN 0 WHEN len(list_intersect([a.w2, a.w3], [b.w2, b.w3])) > 0 THEN 0.55 ELSE 0.90 END + 0.05 * 0.5 + 0.03 * CASE WHEN a.p_type = b.p_type THEN 0 ELSE 1 END)"
+
+
+@query(f"WITH {L_SQL} SELECT block, i, j, round({TAX_SQL}, 6) AS distance FROM q")
+def layer_taxonomy(spark, d):
+    w = F.split("structural_type", " ")
+    none = F.lit(None).cast("string")
+    p = part_pairs(spark, d).select(
+        "id", "block", F.col("parent_class").alias("kingdom"), w[1].alias("superclass"), w[2].alias("class"), F.col("structural_type").alias("subclass_level"), none.alias("direct_parent"), none.alias("framework"),
+        F.array_sort(F.array(w[1], w[2])).alias("substituents"), F.array().cast("array<string>").alias("hierarchy"), w.alias("path"), "parent_class", "functional_group", "subclass", "structural_type",
+    )
+    cols = tuple(c for c in p.columns if c not in ("id", "block"))
+    return pairs.block_pairs(p, "id", "block", cols).select("block", "i", "j", F.round(layers.taxonomy_distance(layers.sides()), 6).alias("distance"))
+
+
+BASE_SQL = f"(0.30 * CASE WHEN a.w3 = b.w3 THEN 0 ELSE 1 END + 0.25 * (1 - {_J.format(a='[a.w1, a.w2, a.w3]', b='[b.w1, b.w2, b.w3]')}) + 0.25 * abs(a.p_retailprice - b.p_retailprice) / 2000 + 0.20 * CASE WHEN a.w2 = b.w2 THEN 0 ELSE 1 END)"
+
+
+@query(f"WITH {L_SQL} SELECT block, i, j, round(least(1, least(1, 0.5 * {BASE_SQL} + 0.15 * {CLASS_SQL} + 0.15 * {TOP_SQL}) + 0.08 * {ION_SQL}) + 0.12 * {TOX_SQL}, 9) AS distance FROM q")
+def layer_blend(spark, d):
+    cols = ("parent_class", "functional_group", "subclass", "structural_type", "corrected_class", "ionisation", "formal_charge", "toxicophores", "alerts", "first_alert", "price", *_TOP)
+    q, x = pairs.block_pairs(part_pairs(spark, d), "id", "block", cols), layers.sides()
+    fp = 1 - jaccard(*x("alerts"))
+    base = layers.base_distance(x("functional_group"), [fp], F.abs(x("price")[0] - x("price")[1]) / 2000, tuple(F.get(v, F.lit(0)) for v in x("modifiers")))
+    out = layers.blend(base, {"class": layers.class_distance(x), "topology": layers.topology_distance(x), "ionisation": layers.ionisation_distance(x), "toxicophore": layers.toxicophore_distance(x)})
+    return q.select("block", "i", "j", F.round(out, 9).alias("distance"))
+
+
+@query(f"WITH {L_SQL}, m AS (SELECT block, round_even(avg({TOX_SQL}), 6) AS mean_distance FROM q GROUP BY block) SELECT block, mean_distance, CASE WHEN mean_distance <= 0.06 THEN 'Toxicophore coherent' WHEN mean_distance <= 0.22 THEN 'Toxicophore aligned' ELSE 'Toxicophore mixed' END AS cohesion FROM m")
+def layer_cohesion(spark, d):
+    q = pairs.block_pairs(part_pairs(spark, d), "id", "block", ("toxicophores", "alerts", "first_alert"))
+    m = evidence.mean_distance(q, layers.toxicophore_distance(layers.sides()))
+    return m.select("block", "mean_distance", layers.cohesion(F.col("mean_distance"), "toxicophore").alias("cohesion"))
+
+
+# ---- clusters ----
+
+
+@query()
+def gated_clusters(spark, d):
+    e = emb(spark, d).select("vec_id", F.concat(F.lit("g"), F.col("label").cast("string")).alias("family"), "bits", F.array_join("bits", ",").alias("structure"))
+    return cluster.gated_clusters(e, "vec_id", "structure", "family", "bits", "vec_id", 0.45).select("vec_id", "cluster_id", "family_id", "cluster_size", "unique_count", "duplicate_count")
+
+
+@query()
+def consensus_clusters(spark, d):
+    e = t(spark, d, "embeddings").withColumn("block", F.concat_ws("-", "label", F.pmod(F.xxhash64("vec_id"), F.lit(8))))
+    return cluster.consensus_clusters(e, "vec_id", "block", "embedding")
+
+
+@query("SELECT p_partkey, CASE WHEN (p_size > 2 AND p_size % 10 / 10.0 < 0.2) OR p_size % 13 = 0 THEN 'FAIL' WHEN p_size % 3 > 1 THEN 'WARNING' ELSE 'PASS' END AS decision, CASE WHEN p_size % 4 < 2 OR p_brand LIKE '%1' OR p_size % 6 = 0 OR p_size / 50.0 < 0.6 THEN 'SME Review Required' ELSE 'Structurally coherent pending SME review' END AS status FROM part")
+def cluster_decisions(spark, d):
+    s = F.col("p_size")
+    gate = F.when(F.col("p_brand").endswith("1"), F.lit("x / Separate review domain")).otherwise(F.lit("x"))
+    return t(spark, d, "part").select("p_partkey", cluster.decision(s, s % 10 / 10.0, s % 13 == 0, s % 3).alias("decision"), cluster.review_status(gate, s % 4, F.when(s % 6 != 0, s / 50.0))["status"].alias("status"))
+
+
+# ---- evidence ----
+
+
+@query()
+def domain_status(spark, d):
+    e = emb(spark, d).withColumns({
+        "cluster": F.when(F.col("vec_id") % 17 != 0, F.concat(F.lit("Cluster_"), F.col("label").cast("string"))), "ok_bits": F.when(F.col("vec_id") % 19 != 0, F.col("bits")),
+        "scaffold": F.concat(F.lit("s"), (F.col("vec_id") % 2).cast("string")), "profile": F.array((F.col("vec_id") % 3).cast("string")), "ion": F.when(F.col("vec_id") % 4 == 0, F.lit("Neutral")).otherwise(F.lit("Likely acidic")),
+        "who": F.when(F.col("vec_id") % 23 == 0, F.lit("Tier 3: x")).when(F.col("vec_id") % 29 == 0, F.lit("Surrogate")).otherwise(F.lit("Resolved")), "x": F.size("bits"), "y": (F.col("vec_id") % 50) * (F.col("vec_id") % 50),
+    })
+    return evidence.domain_status(e, "vec_id", "cluster", "ok_bits", "scaffold", ["x", "y"], F.col("profile"), F.col("ion"), F.col("who"))
+
+
+def _register(spark, d) -> DataFrame:
+    k, b = F.col("c_custkey"), F.col("c_acctbal")
+    who = F.element_at(F.array(*[F.lit(x) for x in ("", "Unresolved", "Surrogate of x", "Exact Match", "Odd")]), (k % 5 + 1).cast("int"))
+    made = F.when(k % 7 == 0, F.lit("Failed")).otherwise(F.lit("Calculated"))
+    domain = F.element_at(F.array(*[F.lit(x) for x in ("Inside", "Borderline", "Not assessable", "", "Else")]), (k % 5 + 1).cast("int"))
+    rec = evidence.uncertainty(who, made, F.when(b < 0, F.lit("alert")).otherwise(F.lit("None")), F.lit(""), F.when(k % 3 == 0, F.lit("MW")).when(k % 3 == 1, F.lit("None")).otherwise(F.lit("None; Not assessed: x")), F.array_compact(F.array(F.when(k % 2 == 0, F.lit("dose")))), domain)
+    return t(spark, d, "customer").select("c_custkey", "c_nationkey", rec.alias("records"))
+
+
+U_SQL = """u AS (SELECT c_custkey, c_nationkey, [
+  CASE c_custkey % 5 WHEN 0 THEN 2 WHEN 1 THEN 2 WHEN 2 THEN 1 WHEN 3 THEN 0 ELSE 1 END, CASE WHEN c_custkey % 7 = 0 THEN 2 ELSE 0 END,
+  CASE WHEN c_acctbal < 0 THEN 1 WHEN c_custkey % 7 = 0 THEN 2 ELSE 0 END, CASE c_custkey % 3 WHEN 1 THEN 0 ELSE 1 END, 2, CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 2 END,
+  CASE c_custkey % 5 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END] AS lv FROM customer),
+r AS (SELECT c_custkey, c_nationkey, unnest(['Identity', 'Structure', 'Reactivity', 'Property', 'Biological', 'Exposure', 'Domain']) AS category, unnest(range(7)) AS place, unnest(lv) AS level FROM u)"""
+
+
+@query(f"WITH {U_SQL}, s AS (SELECT c_custkey, string_agg(category, ', ' ORDER BY place) FILTER (level = 2) AS h, string_agg(category, ', ' ORDER BY place) FILTER (level = 1) AS m FROM r GROUP BY c_custkey) SELECT c_custkey, concat_ws(' | ', 'High: ' || h, 'Medium: ' || m) AS summary FROM s")
+def uncertainty_register(spark, d):
+    return _register(spark, d).select("c_custkey", evidence.uncertainty_summary(F.col("records")).alias("summary"))
+
+
+@query(f"WITH {U_SQL}, t AS (SELECT c_nationkey, category, max(level) AS top, count(*) AS members FROM r GROUP BY ALL) SELECT t.c_nationkey, t.category, ['Low', 'Medium', 'High'][top + 1] AS level, CAST(count(*) AS BIGINT) AS at_level, any_value(members) AS members FROM t JOIN r ON r.c_nationkey = t.c_nationkey AND r.category = t.category AND r.level = t.top GROUP BY t.c_nationkey, t.category, top")
+def severity_rollup(spark, d):
+    long = _register(spark, d).select("c_nationkey", F.explode("records").alias("r")).select("c_nationkey", "r.*")
+    return evidence.severity_rollup(long, "c_nationkey").select("c_nationkey", "category", "level", "at_level", "members")
+
+
+@query("""WITH f AS (SELECT c_nationkey, 'Grouping' AS domain, 'Members' AS type, 'Members=' || count(*) AS text, false AS u FROM customer GROUP BY 1 UNION ALL SELECT c_nationkey, 'Structure', 'Segments', string_agg(DISTINCT c_mktsegment, '; ' ORDER BY c_mktsegment), true FROM customer GROUP BY 1)
+SELECT CAST(c_nationkey AS VARCHAR) AS cluster_id, 'E-' || upper(left(sha256(c_nationkey || '|' || domain || '|' || type || '|' || text), 12)) AS evidence_id, CASE WHEN u THEN 'U-' || upper(left(sha256(c_nationkey || '|' || domain || '|' || text), 12)) ELSE '' END AS uncertainty_id, domain, type, text, '1.0.0' AS matrix_version FROM f""")
+def evidence_matrix(spark, d):
+    a = t(spark, d, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n"), group.joined_values(F.col("c_mktsegment")).alias("s"))
+    facts = F.array(
+        F.struct(F.lit("Grouping").alias("domain"), F.lit("Members").alias("type"), F.concat(F.lit("Members="), F.col("n").cast("string")).alias("text"), F.lit(False).alias("uncertain")),
+        F.struct(F.lit("Structure").alias("domain"), F.lit("Segments").alias("type"), F.col("s").alias("text"), F.lit(True).alias("uncertain")),
+    )
+    return evidence.evidence_rows(a.select("c_nationkey", F.explode(facts).alias("f")).select("c_nationkey", "f.*"), "c_nationkey")
+
+
+@query("WITH m AS (SELECT CAST(n_regionkey AS VARCHAR) AS cluster_id, 'd|t|' || n_name || '||' || n_name AS r FROM nation) SELECT cluster_id, sha256(string_agg(r, chr(10) ORDER BY r)) AS matrix_hash FROM m GROUP BY cluster_id")
+def matrix_hash(spark, d):
+    m = t(spark, d, "nation").select(F.col("n_regionkey").cast("string").alias("cluster_id"), F.lit("d").alias("domain"), F.lit("t").alias("type"), F.col("n_name").alias("evidence_id"), F.lit("").alias("uncertainty_id"), F.col("n_name").alias("text"))
+    return evidence.matrix_hash(m)
+
+
+@query(f"WITH {B_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, CAST(other AS VARCHAR)) AS k FROM b) SELECT id AS vec_id, string_agg('v' || other || ' (Tanimoto ' || printf('%.3f', round_even(s, 3)) || ')', '; ' ORDER BY k) AS nearest_members, printf('%.3f', round_even(max(s), 3)) AS nearest_similarity FROM r WHERE k <= 3 GROUP BY id")
+def membership_reasoning(spark, d):
+    e = emb(spark, d).withColumn("name", F.concat(F.lit("v"), F.col("vec_id").cast("string")))
+    return evidence.neighbour_text(e, "vec_id", "label", "bits", "name").select("vec_id", "nearest_members", "nearest_similarity")
+
+
+@query("""SELECT c_custkey, 'SME review is required before this grouping is used for analogue selection, read-across, or any endpoint-specific assessment because ' || coalesce(nullif(concat_ws('; ', CASE WHEN c_custkey % 2 = 1 THEN 'domain status is Borderline' END, CASE WHEN c_custkey % 5 = 0 THEN 'property-outlier flags are present' END, CASE WHEN c_custkey % 3 = 0 THEN 'identity status requires confirmation' END), ''), 'the grouping is a technical similarity result, not an endpoint conclusion') || '.' AS boundary FROM customer""")
+def review_boundary(spark, d):
+    k = F.col("c_custkey")
+    b = evidence.review_boundary(F.when(k % 2 == 1, F.lit("Borderline")).otherwise(F.lit("Inside")), F.lit(""), F.when(k % 5 == 0, F.lit("MW")).otherwise(F.lit("None")), F.lit("Consistent"), F.lit("Consistent"), F.when(k % 3 == 0, F.lit("Odd")).otherwise(F.lit("Resolved")))
+    return t(spark, d, "customer").select("c_custkey", b.alias("boundary"))
+
+
+@query(f"""WITH {P_SQL}, st AS (SELECT block, round_even(median(s), 3) AS m FROM p GROUP BY block), g AS (SELECT label, count(*) AS source_rows, count(DISTINCT bits) AS unique_structures FROM e GROUP BY label)
+SELECT label, source_rows, unique_structures, source_rows - unique_structures AS duplicates, m AS median_similarity, CASE WHEN unique_structures = 1 THEN 'Not assessable: one unique structure' WHEN m >= 0.33 THEN 'Structurally coherent under primary threshold; sensitivity review pending' ELSE 'Borderline: SME review required before use' END AS stability FROM g LEFT JOIN st ON label = block""")
+def cluster_summary(spark, d):
+    e = emb(spark, d)
+    st = pairs.pair_stats(pairs.tanimoto_pairs(e, "vec_id", "label", "bits")).select(F.col("block").alias("label"), "median_similarity")
+    g = e.groupBy("label").agg(F.count("*").alias("source_rows"), F.countDistinct("bits").alias("unique_structures")).join(st, "label", "left")
+    return g.select("label", "source_rows", "unique_structures", (F.col("source_rows") - F.col("unique_structures")).alias("duplicates"), "median_similarity", evidence.stability(F.col("unique_structures"), F.col("median_similarity"), 0.33).alias("stability"))
+
+
+@query(r"""SELECT doc_id, concat_ws(',', CASE WHEN doc_id % 5 = 0 OR doc_id % 7 = 0 THEN 'unknown_evidence' END, CASE WHEN doc_id % 5 = 0 THEN 'claim_without_evidence' END, CASE WHEN doc_id % 7 = 0 AND doc_id % 5 <> 0 THEN 'links_differ' END, CASE WHEN length(text) > 1800 THEN 'too_long' END, CASE WHEN regexp_matches(text, '(?i)\bthe\b') THEN 'banned_claim' END, CASE WHEN contains(lower(text), 'erth') THEN 'endpoint_term' END) AS errors FROM documents""")
+def grounding_check(spark, d):
+    k = F.col("doc_id")
+    cited = F.when(k % 5 == 0, F.array().cast("array<string>")).when(k % 7 == 0, F.array(F.lit("a"), F.lit("z"))).otherwise(F.array(F.lit("a")))
+    claim = F.when(k % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("a")))
+    err = evidence.grounding_errors(cited, F.array(F.lit("a"), F.lit("b")), {"one": claim}, F.col("text"), [r"\bthe\b"], ["erth"])
+    return t(spark, d, "documents").select("doc_id", F.array_join(err, ",").alias("errors"))
+
+
+# ---- ledger ----
+
+
+def _records(spark, d) -> DataFrame:
+    k = F.col("event_id")
+    pick = lambda n, *xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (k % n + 1).cast("int"))
+    return t(spark, d, "events").select(
+        "event_id", F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("identity_key"), F.lit("CASRN").alias("compound_mapping_method"), pick(3, "Genotoxicity", "Sensitisation", "Nonsense").alias("endpoint"),
+        pick(2, "Negative", "Positive").alias("result"), F.lit("In vivo").alias("study_type"), F.lit("Rat").alias("species"), F.when(k % 11 == 0, F.lit("")).otherwise(F.lit("Oral")).alias("route"),
+        pick(4, "5", "-2", "1 -3 mg", "n/a").alias("dose"), F.when(k % 8 == 0, F.lit("")).otherwise(F.lit("mg")).alias("dose_unit"), F.lit("src").alias("source"), k.cast("string").alias("source_record"),
+        F.when(k % 6 == 0, F.lit("")).otherwise(F.lit("http://x.example")).alias("source_url"), F.lit("Not assignable").alias("reliability"), pick(5, "Retrieved", "Retrieved", "No record retrieved", "Retrieved", "Incomplete").alias("evidence_status"),
+    )
+
+
+@query("""SELECT event_id, concat_ws(',', CASE WHEN event_id % 11 = 0 THEN 'missing:route' END, CASE WHEN event_id % 3 = 2 THEN 'vocabulary:endpoint' END, CASE WHEN event_id % 5 = 2 AND event_id % 2 = 0 THEN 'negative_without_record' END, CASE WHEN event_id % 4 = 1 THEN 'negative_dose' END, CASE WHEN event_id % 8 = 0 THEN 'dose_without_unit' END, CASE WHEN event_id % 4 IN (1, 2) THEN 'negative_range' END) AS errors,
+CASE WHEN event_id % 6 = 0 AND event_id % 5 IN (0, 1, 3) THEN 'Incomplete' WHEN event_id % 5 = 2 THEN 'No record retrieved' WHEN event_id % 5 = 4 THEN 'Incomplete' ELSE 'Retrieved' END AS evidence_status FROM events""")
+def ledger_validate(spark, d):
+    return ledger.validate(_records(spark, d), ledger.VOCABULARIES).select("event_id", F.array_join("errors", ",").alias("errors"), "evidence_status")
+
+
+@query("SELECT count(*) FILTER (event_id % 2 = 0) AS duplicates, count(*) FILTER (event_id % 2 = 1) AS imported, 0::BIGINT AS errors FROM events WHERE event_id % 660 IN (3, 7, 12, 15, 27, 31, 36, 39)")
+def ledger_ingest(spark, d):
+    ok = ledger.validate(_records(spark, d).where("event_id % 660 IN (3, 7, 12, 15, 27, 31, 36, 39)").withColumns({"endpoint": F.lit("Genotoxicity"), "dose": F.lit(""), "route": F.lit("Oral"), "result": F.lit("Positive")}), ledger.VOCABULARIES)
+    old = ok.where("event_id % 2 = 0")
+    outcomes, _ = ledger.ingest(old, ok, "query", "2024-01-01T00:00:00Z")
+    return outcomes.agg(F.count_if(F.col("status") == "Duplicate").alias("duplicates"), F.count_if(F.col("status") == "Imported").alias("imported"), F.count_if(F.col("status") == "Error").alias("errors"))
+
+
+@query("WITH p AS (SELECT c_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS a FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey), s AS (SELECT c_mktsegment, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS b FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY c_mktsegment) SELECT c_custkey, coalesce(a, b) AS matched FROM customer LEFT JOIN p USING (c_custkey) LEFT JOIN s USING (c_mktsegment)")
+def latest_match(spark, d):
+    c = t(spark, d, "customer").select("c_custkey", "c_mktsegment")
+    prior = t(spark, d, "orders").join(c, F.col("o_custkey") == F.col("c_custkey")).select("c_custkey", "c_mktsegment", "o_orderkey", "o_orderdate")
+    return ledger.latest_match(c, prior, "c_custkey", "c_mktsegment", "o_orderkey", "o_orderdate", "o_orderkey").select("c_custkey", "matched")
+
+
+@query("SELECT DISTINCT item_id FROM benchmark WHERE item_id IN (SELECT doc_id FROM documents) OR item_id IN (SELECT n_chars FROM documents)")
+def semi_multi_id(spark, d):
+    led = t(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("identity_key"), "item_id")
+    return ledger.for_identities(led, t(spark, d, "documents"), ["doc_id", "n_chars"]).select("item_id").distinct()
+
+
+@query("WITH m AS (SELECT max(ts) AS now FROM events), l AS (SELECT user_id, max(ts) AS ts FROM events GROUP BY user_id) SELECT user_id, ts FROM l, m WHERE ts + INTERVAL 1 DAY >= now")
+def ttl_cache(spark, d):
+    e = t(spark, d, "events").select("user_id", "ts")
+    now = e.agg(F.max("ts").alias("now"))
+    return ledger.fresh(e.crossJoin(F.broadcast(now)), "user_id", "ts", F.col("now"), 1).select("user_id", "ts")
+
+
+@query("SELECT event_id, CASE WHEN regexp_matches(lower(s), 'genotox|mutagen|genetic') THEN 'Genotoxicity' WHEN regexp_matches(lower(s), 'sensiti') THEN 'Sensitisation' WHEN regexp_matches(lower(s), 'repro|development|fertility|terato') THEN 'Reproductive/developmental toxicity' WHEN regexp_matches(lower(s), 'carcin|cancer') THEN 'Carcinogenicity' END AS family FROM (SELECT event_id, event_type || CASE event_id % 5 WHEN 0 THEN ' Mutagenic' WHEN 1 THEN ' skin sensitizer' WHEN 2 THEN ' fertility, cancer' WHEN 3 THEN ' Carcinoma' ELSE '' END AS s FROM events)")
+def hazard_mapping(spark, d):
+    k = F.col("event_id")
+    s = F.concat("event_type", F.element_at(F.array(*[F.lit(x) for x in (" Mutagenic", " skin sensitizer", " fertility, cancer", " Carcinoma", "")]), (k % 5 + 1).cast("int")))
+    return t(spark, d, "events").select("event_id", ledger.hazard_family(s).alias("family"))
+
+
+# ---- tables ----
+
+
+@query("WITH b AS (SELECT p_partkey, p_brand, CASE WHEN p_partkey % 10 = 0 THEN p_size + 1 ELSE p_size END AS p_size, CASE WHEN p_partkey % 15 = 0 THEN '' ELSE p_type END AS p_type FROM part WHERE p_partkey % 4 <> 0), j AS (SELECT a.p_partkey, unnest(['p_size', 'p_type']) AS field, unnest([coalesce(CAST(b.p_size AS VARCHAR), ''), coalesce(b.p_type, '')]) AS baseline_value, unnest([CAST(a.p_size AS VARCHAR), a.p_type]) AS current_value FROM part a LEFT JOIN b USING (p_partkey)) SELECT *, CASE WHEN baseline_value = '' THEN 'Added field' ELSE 'Changed' END AS change FROM j WHERE baseline_value <> current_value")
+def regression_diff(spark, d):
+    k = F.col("p_partkey")
+    p = t(spark, d, "part").select("p_partkey", "p_size", "p_type")
+    once = p.where(k % 4 != 0).select("p_partkey", F.when(k % 10 == 0, F.col("p_size") + 1).otherwise(F.col("p_size")).alias("p_size"), F.when(k % 15 == 0, F.lit("")).otherwise(F.col("p_type")).alias("p_type"))
+    twice = once.withColumn("o", F.lit(1)).unionByName(once.select("p_partkey", F.lit(-1).alias("p_size"), "p_type", F.lit(0).alias("o")))
+    return tables.differences(p, twice, "p_partkey", ["p_size", "p_type"], "o")
+
+
+@query("SELECT c_name AS \"Compound Name\", '' AS \"CAS\", c_mktsegment AS \"Compatibility Group\", c_custkey, c_nationkey, c_acctbal FROM customer")
+def contract_projection(spark, d):
+    c = t(spark, d, "customer").withColumnsRenamed({"c_name": "Compound Name", "c_mktsegment": "Cluster Family"}).withColumn("Retired", F.lit(1))
+    return tables.apply_contract(c, ["Compound Name", "CAS", "Compatibility Group"], ["Retired"], {"Cluster Family": "Compatibility Group"})
+
+
+@query("SELECT c_custkey, CASE WHEN c_acctbal >= 0 THEN c_mktsegment ELSE 'Not assessable' END AS domain, CASE WHEN c_acctbal < 0 THEN 'Structure missing or invalid' WHEN c_custkey % 3 = 0 THEN 'Identity requires verification: Surrogate' WHEN c_custkey % 3 = 1 THEN '' ELSE 'stale' END AS reason FROM customer")
+def export_reconcile(spark, d):
+    k = F.col("c_custkey")
+    c = t(spark, d, "customer").select("c_custkey", "c_acctbal", F.col("c_mktsegment").alias("domain"), F.lit("stale").alias("reason"), F.when(k % 3 == 0, F.lit("Surrogate")).when(k % 3 == 1, F.lit("Resolved")).otherwise(F.lit("Odd")).alias("who"))
+    return tables.reconcile(c, F.col("c_acctbal") >= 0, {"domain": "Not assessable"}, "reason", "who").select("c_custkey", "domain", "reason")
+
+
+@query("SELECT 'customer' AS kind, c_name AS name, c_acctbal AS balance, c_mktsegment AS segment FROM customer UNION ALL SELECT 'supplier', s_name, s_acctbal, NULL FROM supplier")
+def union_raw_tables(spark, d):
+    c = t(spark, d, "customer").select(F.lit("customer").alias("kind"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"))
+    s = t(spark, d, "supplier").select(F.lit("supplier").alias("kind"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))
+    return tables.union_all(c, s)
+
+
+@query("SELECT event_id, last_value(CASE WHEN event_id % 4 = 0 THEN event_type END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS filled FROM events")
+def forward_fill(spark, d):
+    e = t(spark, d, "events").withColumn("filled", F.when(F.col("event_id") % 4 == 0, F.col("event_type")))
+    return tables.forward_fill(e, ["filled"], ["user_id"], ["ts", "event_id"]).select("event_id", "filled")
+
+
+@query("WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents) SELECT doc_id, line_no, md5(lead(line) OVER (PARTITION BY doc_id ORDER BY line_no)) AS next_md5 FROM l")
+def next_line(spark, d):
+    lines = t(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return lines.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.md5(F.lead("line").over(Window.partitionBy("doc_id").orderBy("line_no"))).alias("next_md5"))
+
+
+@query()
+def fuzzy_rescue(spark, d):
+    c = t(spark, d, "customer").select(F.concat(F.lit("Customer "), F.col("c_custkey").cast("string"), F.when(F.col("c_custkey") % 2 == 0, F.lit(" isomer")).otherwise(F.lit("s"))).alias("name"))
+    s = t(spark, d, "supplier").select(F.concat(F.lit("Customer "), F.col("s_suppkey").cast("string")).alias("name"))
+    return tables.fuzzy_rescue(c, s, "name")
+
+
+@query("SELECT doc_id, CASE WHEN quality = 1 THEN 'Structured' WHEN regexp_matches(left(text, 200), '(?i)\\b(related compound|loss of|c=\\d+)\\b') THEN 'Ambiguous identity' WHEN quality IS NULL THEN 'Needs structure' ELSE 'Invalid structure' END AS status, CASE WHEN quality = 1 THEN 'Structure available' WHEN doc_id % 2 = 0 THEN 'CASRN supplied — verify scope' ELSE 'Name-only evidence' END AS tier FROM documents LEFT JOIN labels USING (doc_id)")
+def curation_routing(spark, d):
+    j = t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id", "left")
+    r = tables.curation_route(F.substring("text", 1, 200), F.col("quality").cast("string"), F.lit(None).cast("string"), F.coalesce(F.col("quality") == 1, F.lit(False)), F.when(F.col("doc_id") % 2 == 0, F.lit("50-00-0")))
+    return j.select("doc_id", r["status"].alias("status"), r["tier"].alias("tier"))
+
+
+@query("SELECT count(*) FILTER (o_orderstatus = 'O' AND o_orderpriority = '1-URGENT') AS blocking FROM orders")
+def release_gate(spark, d):
+    return t(spark, d, "orders").agg(F.count_if((F.col("o_orderstatus") == "O") & (F.col("o_orderpriority") == "1-URGENT")).alias("blocking"))
+
+
+@query("SELECT 'Nation' AS label, CAST(n_nationkey AS VARCHAR) AS id, n_name AS name FROM nation UNION SELECT 'Customer', CAST(c_custkey AS VARCHAR), c_name FROM customer UNION SELECT 'Supplier', CAST(s_suppkey AS VARCHAR), s_name FROM supplier")
+def graph_nodes(spark, d):
+    return tables.graph_nodes(("Nation", t(spark, d, "nation"), "n_nationkey", "n_name"), ("Customer", t(spark, d, "customer"), "c_custkey", "c_name"), ("Supplier", t(spark, d, "supplier"), "s_suppkey", "s_name"))
+
+
+@query("SELECT 'BELONGS_TO' AS kind, 'Customer' AS from_label, CAST(c_custkey AS VARCHAR) AS from_id, 'Nation' AS to_label, CAST(c_nationkey AS VARCHAR) AS to_id FROM customer UNION ALL SELECT 'BELONGS_TO', 'Supplier', CAST(s_suppkey AS VARCHAR), 'Nation', CAST(s_nationkey AS VARCHAR) FROM supplier")
+def graph_edges(spark, d):
+    return tables.graph_edges(("BELONGS_TO", "Customer", "Nation", t(spark, d, "customer"), "c_custkey", "c_nationkey"), ("BELONGS_TO", "Supplier", "Nation", t(spark, d, "supplier"), "s_suppkey", "s_nationkey"))
+
+
+# ---- events ----
+
+
+@query("SELECT date_trunc('hour', ts) AS start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS \"end\", event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def event_windows(spark, d):
+    return streams.windows(t(spark, d, "events")).withColumn("total", F.round("total", 4))
+
+
+@query("WITH f AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS f FROM events), g AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM f) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS \"end\", count(*) AS n FROM g GROUP BY user_id, g")
+def event_sessions(spark, d):
+    return streams.sessions(t(spark, d, "events"))
+
+
