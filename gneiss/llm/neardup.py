@@ -287,14 +287,13 @@ def _confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     both = pairs.join(needed.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(needed.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
 
     def run(batches):
-        held: dict[int, np.ndarray] = {}
+        last, x = None, None  # rows come sorted by a: its set is kept from row to row
         for pdf in batches:
             ok = []
-            for a, b, ta, tb in zip(pdf["a"], pdf["b"], pdf["ta"], pdf["tb"], strict=True):
-                if a not in held:
-                    held.clear()  # rows come sorted by a: one set is kept
-                    held[a] = shingle_set(ta, k)
-                x, y = held[a], shingle_set(tb, k)
+            for a, ta, tb in zip(pdf["a"], pdf["ta"], pdf["tb"], strict=True):
+                if last != (a, ta):
+                    last, x = (a, ta), shingle_set(ta, k)
+                y = shingle_set(tb, k)
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(100 * common >= percent * (len(x) + len(y) - common))
             yield pdf.loc[ok, ["a", "b"]]
@@ -395,7 +394,7 @@ def _check(pairs: DataFrame, sketches: DataFrame | None, texts: DataFrame, k: in
 
 def _families(members: DataFrame, sketches: DataFrame, texts: DataFrame, threshold: float, k: int, percent: int) -> DataFrame:
     """Links that join components in large nodes, block against block."""
-    needed = materialize(_picked(texts, members.select("id")).dropDuplicates(["id"]), "neardup-family-texts")
+    needed = materialize(_picked(texts, members.select("id")).withColumn("h", F.xxhash64("text")).dropDuplicates(["id", "h"]).drop("h"), "neardup-family-texts")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     one = members.join(sketches, "id").join(needed, "id").withColumns({"nb": blocks, "block": F.pmod(F.xxhash64("id"), blocks).cast("int")})
     # Block i meets every block j >= i as side 0 and every block j <= i as side 1; itself, as one side.
