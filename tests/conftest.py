@@ -1,6 +1,9 @@
+import numbers
 import os
 import sys
 
+import numpy as np
+import pandas as pd
 import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -38,7 +41,8 @@ def same(duck):
 
     def plain(df):
         df = df[sorted(df.columns)]
-        clean = lambda v: None if v is None or v != v else round(float(v), 6) if isinstance(v, float) else str(v)
+        number = lambda v: isinstance(v, numbers.Number) and not isinstance(v, (bool, np.bool_))
+        clean = lambda v: None if pd.isna(v) else round(float(v), 6) if number(v) else str(v)
         return sorted((tuple(clean(v) for v in row) for row in df.astype(object).itertuples(index=False, name=None)), key=str)
 
     def check(df, sql):
