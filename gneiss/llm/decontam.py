@@ -127,38 +127,31 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col="doc_id", text_col="
     parts = list(blocks(rows)) or [[]]
     keys = [hashlib.sha256(repr(p).encode()).hexdigest() for p in parts]
     carried = docs if keep_text else docs.select(id_col, text_col)
-    mark = "_hits struct<n_words:bigint,n_hit:bigint,items:array<string>,ranges:array<struct<s:int,e:int>>,spans:array<struct<s:int,e:int>>>"
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried.schema.fields if keep_text or f.name != text_col)
+    mark = "n_words bigint, n_hit bigint, items array<string>, ranges array<struct<s:int,e:int>>, spans array<struct<s:int,e:int>>"
 
     def scanner(part, key):
         shared = spark.sparkContext.broadcast(part)  # at most BLOCK_CHARS
 
-        def run(batches):
-            auto = None
-            for pdf in batches:
-                auto = auto if auto is not None else _held(key, shared.value)
+        @F.pandas_udf(mark)
+        def hits(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            auto = _held(key, shared.value)
+            for texts in batches:
                 found = []
-                for text in pdf[text_col]:
+                for text in texts:
                     words = normal(text)
                     ranges, who = scan(auto, words) if len(auto) else ([], set())
                     at = spans(text) if ranges else []
-                    found.append({
-                        "n_words": len(words), "n_hit": sum(b - a for a, b in ranges),
-                        "items": sorted({shared.value[k][0] for k in who} - {None}),
-                        "ranges": [{"s": a, "e": b} for a, b in ranges],
-                        "spans": [{"s": at[a][0], "e": at[b - 1][1]} for a, b in ranges],
-                    })
-                out = pdf if keep_text else pdf.drop(columns=[text_col])
-                out = out.copy()
-                out["_hits"] = pd.Series(found, index=out.index, dtype=object)
-                yield out
-
-        return run
+                    items = sorted({shared.value[k][0] for k in who} - {None})
+                    found.append((len(words), sum(b - a for a, b in ranges), items, [{"s": a, "e": b} for a, b in ranges], [{"s": at[a][0], "e": at[b - 1][1]} for a, b in ranges]))
+                yield pd.DataFrame(found, columns=["n_words", "n_hit", "items", "ranges", "spans"])
+
+        return hits
 
     if len(parts) == 1:
-        done = carried.mapInPandas(scanner(parts[0], keys[0]), f"{schema}, {mark}")
+        done = carried.withColumn("_hits", scanner(parts[0], keys[0])(F.col(text_col)))
+        done = done if keep_text else done.drop(text_col)
     else:
-        done = _many(spark, carried, parts, keys, scanner, schema, mark, id_col, text_col, keep_text)
+        done = _many(carried, parts, keys, scanner, text_col, keep_text)
     if keep_text:
         return done
     h = F.col("_hits")
@@ -173,29 +166,27 @@ def contaminated(hits):
     return (hits["n_hit"] > 0) & (20 * hits["n_hit"] >= hits["n_words"])
 
 
-def _many(spark, carried, parts, keys, scanner, schema, mark, id_col, text_col, keep_text):
+def _many(carried, parts, keys, scanner, text_col, keep_text):
     """One scan for each block; what they find of a text meets by the text's digest, so
     equal texts share one result and no row needs a number."""
     base = carried.withColumn("_text_key", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    plain = base.select(F.lit(None).cast("string").alias(id_col), text_col, "_text_key").withColumn(id_col, F.col("_text_key")).select(id_col, text_col)
     found = None
     for part, key in zip(parts, keys, strict=True):
-        one = plain.mapInPandas(scanner(part, key), f"`{id_col}` string, {mark}" if not keep_text else f"`{id_col}` string, `{text_col}` string, {mark}")
-        one = one.select(F.col(id_col).alias("_text_key"), "_hits").where(F.size("_hits.ranges") > 0).dropDuplicates(["_text_key"])
-        one = materialize(one, "decontam-block")
+        one = base.select("_text_key", scanner(part, key)(F.col(text_col)).alias("_hits"))
+        one = materialize(one.where(F.size("_hits.ranges") > 0).dropDuplicates(["_text_key"]), "decontam-block")
         found = one if found is None else found.unionByName(one)
-    flat = found.groupBy("_text_key").agg(F.flatten(F.collect_list("_hits.items")).alias("items"), F.flatten(F.collect_list("_hits.ranges")).alias("r"), F.flatten(F.collect_list("_hits.spans")).alias("p"))
+    flat = found.groupBy("_text_key").agg(F.flatten(F.collect_list("_hits.items")).alias("_items"), F.flatten(F.collect_list("_hits.ranges")).alias("_r"), F.flatten(F.collect_list("_hits.spans")).alias("_p"))
     covered = lambda c: F.aggregate(  # noqa: E731  union of ranges, sorted by start
         F.sort_array(c), F.array().cast("array<struct<s:int,e:int>>"),
         lambda acc, x: F.when((F.size(acc) > 0) & (x["s"] <= F.element_at(acc, -1)["e"]),
                               F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["s"].alias("s"), F.greatest(F.element_at(acc, -1)["e"], x["e"]).alias("e")))))
         .otherwise(F.concat(acc, F.array(x))))
-    merged = flat.select("_text_key", F.array_sort(F.array_distinct("items")).alias("items"), covered(F.col("r")).alias("r"), covered(F.col("p")).alias("p"))
+    merged = flat.select("_text_key", F.array_sort(F.array_distinct("_items")).alias("_items"), covered(F.col("_r")).alias("_r"), covered(F.col("_p")).alias("_p"))
     n_words = F.regexp_count(F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")).cast("long")
     joined = base.join(merged, "_text_key", "left").withColumn("_hits", F.struct(
-        n_words.alias("n_words"), F.coalesce(F.aggregate("r", F.lit(0).cast("long"), lambda a, x: a + x["e"] - x["s"]), F.lit(0).cast("long")).alias("n_hit"),
-        F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("r", F.array()).alias("ranges"), F.coalesce("p", F.array()).alias("spans"),
-    )).drop("items", "r", "p", "_text_key")
+        n_words.alias("n_words"), F.coalesce(F.aggregate("_r", F.lit(0).cast("long"), lambda a, x: a + x["e"] - x["s"]), F.lit(0).cast("long")).alias("n_hit"),
+        F.coalesce("_items", F.array().cast("array<string>")).alias("items"), F.coalesce("_r", F.array()).alias("ranges"), F.coalesce("_p", F.array()).alias("spans"),
+    )).drop("_items", "_r", "_p", "_text_key")
     return joined if keep_text else joined.drop(text_col)
 
 

@@ -17,6 +17,8 @@ prediction reads the text alone.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -32,6 +34,8 @@ EXCERPT = 256
 BATCH = 128
 STEPS = 450
 RATE = 0.02
+#: Texts that are padded at a time.
+STEP = 1024
 UNKNOWN = "und"
 
 
@@ -236,29 +240,27 @@ def fit(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang") -> d
 
 
 def predict(docs: DataFrame, model: dict | None, text_col="text", keep=()) -> DataFrame:
-    """The columns ``keep`` and a struct ``_lang`` of lang_pred and score."""
-    # A struct keeps the caller's columns apart from ours, whatever their names.
-    each = docs.select(
-        F.struct(*[F.col(c) for c in keep]).alias("k"),
-        F.when(F.col(text_col).rlike(r"\p{L}"), F.col(text_col).cast("binary")).alias("t"),
-    )
-    kept = each.schema["k"].dataType.simpleString()
+    """The columns ``keep`` and a struct ``_lang`` of lang_pred and score. Only the text's bytes go
+    through Python; other columns, whatever their names, stay where they are."""
+    t = F.when(F.col(text_col).rlike(r"\p{L}"), F.col(text_col).cast("binary"))
     if model is None:
-        out = each.select("k", F.struct(F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score")).alias("r"))
-    else:
-        shared = docs.sparkSession.sparkContext.broadcast(model)
-
-        def run(batches):
-            langs, w = shared.value["langs"], shared.value["weights"]
-            for pdf in batches:
-                texts = [b"" if t is None else bytes(t) for t in pdf["t"]]
-                p = pool(w, texts)
-                best = p.argmax(axis=1) if len(p) else []
-                found = [{"lang_pred": langs[b] if t else UNKNOWN, "score": min(1.0, max(0.0, float(x[b]))) if t else 0.0} for t, b, x in zip(texts, best, p, strict=True)]
-                yield pd.DataFrame({"k": pdf["k"], "r": pd.Series(found, index=pdf.index, dtype=object)})
-
-        out = each.mapInPandas(run, f"k {kept}, r struct<lang_pred:string,score:double>")
-    return out.select("k.*", F.col("r").alias("_lang"))
+        return docs.select(*keep, F.struct(F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score")).alias("_lang"))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("lang_pred string, score double")
+    def label(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        langs, w = shared.value["langs"], shared.value["weights"]
+        for texts in batches:
+            names, scores = [], []
+            for i in range(0, len(texts), STEP):
+                some = [b"" if t is None else bytes(t) for t in texts.iloc[i : i + STEP]]
+                p = pool(w, some)
+                best = p.argmax(axis=1)
+                names += [langs[k] if t else UNKNOWN for t, k in zip(some, best, strict=True)]
+                scores += [min(1.0, max(0.0, float(x[k]))) if t else 0.0 for t, k, x in zip(some, best, p, strict=True)]
+            yield pd.DataFrame({"lang_pred": pd.Series(names, dtype=object), "score": pd.Series(scores, dtype=float)})
+
+    return docs.select(*keep, label(t).alias("_lang"))
 
 
 def op5_langid(spark, sf_dir: str) -> DataFrame:
