@@ -2,7 +2,7 @@
 
 import pytest
 
-from gneiss.plans import catalogue
+from gneiss.plans import catalogue, catalogue_more  # noqa: F401
 
 from .conftest import DATA
 
