@@ -269,14 +269,39 @@ def _agree(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame
     return both.select("a", "b", "sa", "sb").mapInPandas(run, "a long, b long")
 
 
+def _bit(id_col: Column) -> tuple[Column, Column]:
+    """Word and place of an id in the bit filter."""
+    bit = F.pmod(F.xxhash64(id_col), F.lit(FILTER_BITS))
+    return F.floor(bit / 64), (bit % 64).cast("int")
+
+
+def bit_filter(ids: DataFrame) -> DataFrame:
+    """(word, bits) of a filter over the hashes of ``ids`` (id): at most FILTER_BITS / 64 rows,
+    whatever the number of ids, so it can be broadcast."""
+    word, place = _bit(F.col("id"))
+    return ids.select(word.alias("word"), place.alias("place")).groupBy("word").agg(F.expr("bit_or(shiftleft(1L, place))").alias("bits"))
+
+
+def _marked(docs: DataFrame, ids: DataFrame, id_col: Column) -> DataFrame:
+    """``docs`` with ``_maybe``: whether the id may be among ``ids``. No row is moved for it."""
+    word, place = _bit(id_col)
+    joined = docs.withColumns({"_word": word, "_place": place}).join(F.broadcast(bit_filter(ids).withColumnsRenamed({"word": "_word", "bits": "_bits"})), "_word", "left")
+    return joined.withColumn("_maybe", F.coalesce(F.expr("shiftright(_bits, _place) & 1L") == 1, F.lit(False))).drop("_word", "_place", "_bits")
+
+
 def _picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The texts whose ids may be among ``ids``, without moving any other: a bit filter over
-    hashes of the ids, of fixed size, goes to the scan. The joins that follow are exact; a
-    filter too full to help costs only what a join without it would."""
-    bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    bits = ids.select(bit.alias("bit")).groupBy(F.floor(F.col("bit") / 64).alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(bit % 64 AS INT)))").alias("bits"))
-    at = docs.withColumn("bit", bit).withColumn("word", F.floor(F.col("bit") / 64))
-    return at.join(F.broadcast(bits), "word").where("(shiftright(bits, CAST(bit % 64 AS INT)) & 1L) = 1L").select("id", "text")
+    """The texts whose ids may be among ``ids``, without moving any other. The joins that follow are
+    exact; a filter too full to help costs only what a join without it would."""
+    return _marked(docs, ids, F.col("id")).where("_maybe").select("id", "text")
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """``docs`` without the rows of ``ids`` (id; a null id as NULL_ID). Only rows that the bit filter
+    can't clear go through the join."""
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
+    marked = _marked(docs, ids, key)
+    rest = marked.where("_maybe").withColumn("_key", key).join(ids.select(F.col("id").alias("_key")), "_key", "left_anti")
+    return marked.where("NOT _maybe").select(*docs.columns).unionByName(rest.select(*docs.columns))
 
 
 def _confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
