@@ -43,7 +43,7 @@ TREES = 16
 DEPTH = 4
 DEEPER = 4
 SMALL = 64
-BLOCK = 2048
+BLOCK = 768
 #: Bits of the filter by which texts are picked for the exact check: two megabytes of bits.
 FILTER_BITS = 1 << 24
 NULL_ID = -(2**63)
