@@ -18,9 +18,8 @@ def keep_first(df: DataFrame, keys, order) -> DataFrame:
 def arg_max(df: DataFrame, key: str, value: str, tie: str) -> DataFrame:
     """The row of largest ``value`` for each key, ties by the smallest ``tie``; null keys are
     dropped. A struct aggregate, so it combines before the exchange."""
-    cols = [c for c in df.columns if c not in (value, tie)]
     best = F.min_by(F.struct(*[F.col(c) for c in df.columns]), F.struct((-F.col(value)).alias("v"), F.col(tie).alias("t")))
-    return df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(best.alias("_r")).select("_r.*") if cols else df
+    return df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(best.alias("_r")).select("_r.*")
 
 
 def unique_mode(df: DataFrame, group: str, value: str, name: str = "mode") -> DataFrame:
