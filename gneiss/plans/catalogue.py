@@ -84,11 +84,11 @@ def medoid(spark, d):
     return pairs.medoid(e, pairs.tanimoto_pairs(e, "vec_id", "label", "bits"), "vec_id", "label")
 
 
-@query("""WITH p AS (SELECT vec_id, label, CAST(embedding[1:8] AS DOUBLE[]) AS v, vec_id % 10 AS k FROM embeddings), e AS (SELECT a.k, a.vec_id AS i, b.vec_id AS j, a.label AS li, b.label AS lj, list_distance(a.v, b.v) AS d FROM p a JOIN p b ON a.k = b.k AND a.vec_id <> b.vec_id),
+@query("""WITH p AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v, vec_id % 10 AS k FROM embeddings), e AS (SELECT a.k, a.vec_id AS i, b.vec_id AS j, a.label AS li, b.label AS lj, list_distance(a.v, b.v) AS d FROM p a JOIN p b ON a.k = b.k AND a.vec_id <> b.vec_id),
 m AS (SELECT i, li, lj, avg(d) AS m FROM e GROUP BY ALL), s AS (SELECT i AS id, max(m) FILTER (li = lj) AS a, min(m) FILTER (li <> lj) AS b FROM m GROUP BY i)
 SELECT id, round(CASE WHEN a IS NULL OR b IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END, 5) AS silhouette FROM s""")
 def silhouette(spark, d):
-    e = t(spark, d, "embeddings").select("vec_id", "label", F.slice("embedding", 1, 8).alias("v"), (F.col("vec_id") % 10).alias("k"))
+    e = t(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").alias("v"), (F.col("vec_id") % 10).alias("k"))
     dist = F.sqrt(F.aggregate(F.zip_with("v_i", "v_j", lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, x: s + x))
     edges = pairs.block_pairs(e, "vec_id", "k", ("v",)).select("i", "j", dist.alias("distance"))
     return pairs.silhouette(edges, e.select(F.col("vec_id").alias("id"), "label")).withColumn("silhouette", F.round("silhouette", 5))
@@ -172,10 +172,10 @@ def scaled_columns(spark, d):
     return p.select("p_partkey", F.round(group.min_max_scaled(F.col("p_size"), Window.partitionBy("p_brand")), 6).alias("size_scaled"), F.round("z", 6).alias("price_z"))
 
 
-@query("WITH l AS (SELECT vec_id, label, unnest(embedding[1:8]) AS v, generate_subscripts(embedding[1:8], 1) AS p FROM embeddings), m AS (SELECT label, p, avg(v) AS m FROM l GROUP BY ALL), d AS (SELECT vec_id, label, sqrt(sum((v - m) * (v - m))) AS distance FROM l JOIN m USING (label, p) GROUP BY ALL) SELECT vec_id, label, round(distance, 5) AS distance, distance > 2 * sqrt(8) AS outside FROM d")
+@query("WITH l AS (SELECT vec_id, label, unnest(CAST(embedding AS DOUBLE[])) AS v, generate_subscripts(embedding, 1) AS p FROM embeddings), m AS (SELECT label, p, avg(v) AS m FROM l GROUP BY ALL), d AS (SELECT vec_id, label, sqrt(sum((v - m) * (v - m))) AS distance FROM l JOIN m USING (label, p) GROUP BY ALL) SELECT vec_id, label, round(distance, 5) AS distance, distance > 2 * sqrt(64) AS outside FROM d")
 def centroid_domain(spark, d):
-    e = t(spark, d, "embeddings").select("vec_id", "label", F.slice("embedding", 1, 8).cast("array<double>").alias("v"))
-    return group.centroid_outside(e, "vec_id", "label", "v", 8).withColumn("distance", F.round("distance", 5))
+    e = t(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    return group.centroid_outside(e, "vec_id", "label", "v", 64).withColumn("distance", F.round("distance", 5))
 
 
 @query("SELECT coalesce(nullif(trim(source), ''), 'Not available') AS label, count(*) AS n FROM documents GROUP BY 1 ORDER BY n DESC, label LIMIT 12")
@@ -497,9 +497,9 @@ def ledger_validate(spark, d):
     return ledger.validate(_records(spark, d), ledger.VOCABULARIES).select("event_id", F.array_join("errors", ",").alias("errors"), "evidence_status")
 
 
-@query("SELECT count(*) FILTER (event_id % 2 = 0) AS duplicates, count(*) FILTER (event_id % 2 = 1) AS imported, 0::BIGINT AS errors FROM events WHERE event_id % 660 IN (3, 7, 12, 15, 27, 31, 36, 39)")
+@query("SELECT count(*) FILTER (event_id % 2 = 0) AS duplicates, count(*) FILTER (event_id % 2 = 1) AS imported, 0::BIGINT AS errors FROM events")
 def ledger_ingest(spark, d):
-    ok = ledger.validate(_records(spark, d).where("event_id % 660 IN (3, 7, 12, 15, 27, 31, 36, 39)").withColumns({"endpoint": F.lit("Genotoxicity"), "dose": F.lit(""), "route": F.lit("Oral"), "result": F.lit("Positive")}), ledger.VOCABULARIES)
+    ok = ledger.validate(_records(spark, d).withColumns({"endpoint": F.lit("Genotoxicity"), "dose": F.lit(""), "route": F.lit("Oral"), "result": F.lit("Positive")}), ledger.VOCABULARIES)
     old = ok.where("event_id % 2 = 0")
     outcomes, _ = ledger.ingest(old, ok, "query", "2024-01-01T00:00:00Z")
     return outcomes.agg(F.count_if(F.col("status") == "Duplicate").alias("duplicates"), F.count_if(F.col("status") == "Imported").alias("imported"), F.count_if(F.col("status") == "Error").alias("errors"))
@@ -583,10 +583,10 @@ def fuzzy_rescue(spark, d):
     return tables.fuzzy_rescue(c, s, "name")
 
 
-@query("SELECT doc_id, CASE WHEN quality = 1 THEN 'Structured' WHEN regexp_matches(left(text, 200), '(?i)\\b(related compound|loss of|c=\\d+)\\b') THEN 'Ambiguous identity' WHEN quality IS NULL THEN 'Needs structure' ELSE 'Invalid structure' END AS status, CASE WHEN quality = 1 THEN 'Structure available' WHEN doc_id % 2 = 0 THEN 'CASRN supplied — verify scope' ELSE 'Name-only evidence' END AS tier FROM documents LEFT JOIN labels USING (doc_id)")
+@query("SELECT doc_id, CASE WHEN quality = 1 THEN 'Structured' WHEN regexp_matches(text, '(?i)\\b(related compound|loss of|c=\\d+)\\b') THEN 'Ambiguous identity' WHEN quality IS NULL THEN 'Needs structure' ELSE 'Invalid structure' END AS status, CASE WHEN quality = 1 THEN 'Structure available' WHEN doc_id % 2 = 0 THEN 'CASRN supplied — verify scope' ELSE 'Name-only evidence' END AS tier FROM documents LEFT JOIN labels USING (doc_id)")
 def curation_routing(spark, d):
     j = t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id", "left")
-    r = tables.curation_route(F.substring("text", 1, 200), F.col("quality").cast("string"), F.lit(None).cast("string"), F.coalesce(F.col("quality") == 1, F.lit(False)), F.when(F.col("doc_id") % 2 == 0, F.lit("50-00-0")))
+    r = tables.curation_route(F.col("text"), F.col("quality").cast("string"), F.lit(None).cast("string"), F.coalesce(F.col("quality") == 1, F.lit(False)), F.when(F.col("doc_id") % 2 == 0, F.lit("50-00-0")))
     return j.select("doc_id", r["status"].alias("status"), r["tier"].alias("tier"))
 
 
