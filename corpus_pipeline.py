@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gneiss.llm import decontam, langid, mixing, neardup, secrets
-from gneiss.llm.shared import materialize, table
+from gneiss.llm.shared import forget, materialize, scratch, table
 
 #: Documents below this pooled probability have no language that was learned.
 LEAST_SCORE = 0.4
@@ -68,7 +68,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. Of the tables written on the way only the last stays."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, keep = getattr(docs, "_gneiss_path", None), []
+        with scratch(spark, keep):
+            docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            keep.append(docs._gneiss_path)
+        if before:
+            forget(spark, before)
     return docs

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import LOWER, UPPER, materialize, table
+from .shared import LOWER, UPPER, materialize, table, trim
 
 WINDOW = 13
 #: Normalised characters of the items in one automaton. Each window pattern adds at
@@ -144,6 +144,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col="doc_id", text_col="
                     items = sorted({shared.value[k][0] for k in who} - {None})
                     found.append((len(words), sum(b - a for a, b in ranges), items, [{"s": a, "e": b} for a, b in ranges], [{"s": at[a][0], "e": at[b - 1][1]} for a, b in ranges]))
                 yield pd.DataFrame(found, columns=["n_words", "n_hit", "items", "ranges", "spans"])
+            trim()
 
         return hits
 

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import table, trimming
 
 # ---- reading a page ----
 
@@ -465,7 +465,7 @@ def extract(pages: DataFrame, html_col="html", keep=(), model: dict | None = Non
                 found += texts_of(shared.value, list(pdf["html"].iloc[i : i + STEP]))
             yield pd.DataFrame({"k": pdf["k"], "r": pd.Series([{"text": t, "n_chars": len(t)} for t in found], index=pdf.index, dtype=object)})
 
-    out = each.mapInPandas(run, f"k {each.schema['k'].dataType.simpleString()}, r struct<text:string,n_chars:bigint>")
+    out = each.mapInPandas(trimming(run), f"k {each.schema['k'].dataType.simpleString()}, r struct<text:string,n_chars:bigint>")
     return out.select("k.*", F.col("r").alias("_main"))
 
 

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import table, trim
 
 HIDDEN = 8
 SEGMENT = 128
@@ -259,6 +259,7 @@ def predict(docs: DataFrame, model: dict | None, text_col="text", keep=()) -> Da
                 names += [langs[k] if t else UNKNOWN for t, k in zip(some, best, strict=True)]
                 scores += [min(1.0, max(0.0, float(x[k]))) if t else 0.0 for t, k, x in zip(some, best, p, strict=True)]
             yield pd.DataFrame({"lang_pred": pd.Series(names, dtype=object), "score": pd.Series(scores, dtype=float)})
+        trim()
 
     return docs.select(*keep, label(t).alias("_lang"))
 

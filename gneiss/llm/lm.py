@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from .langid import fold
 from .neardup import _mix, words_at
-from .shared import fresh_path, materialize, table
+from .shared import fresh_path, materialize, scratch, table, trimming
 from .warc import _store
 
 SLICE = 4 << 20
@@ -241,7 +241,13 @@ def _numbered(words: Words, h: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, text_col: str = "text", folder: str | None = None) -> dict:
-    """Count ``docs`` and write the model; returns its description (files, sums, discounts)."""
+    """Count ``docs`` and write the model; returns its description (files, sums, discounts). The
+    model's files stay; the tables of the steps don't."""
+    with scratch(docs.sparkSession, []):
+        return _fit(docs, text_col, folder)
+
+
+def _fit(docs: DataFrame, text_col: str, folder: str | None) -> dict:
     spark = docs.sparkSession
     folder = folder or fresh_path(spark, "lm")
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t"))
@@ -265,7 +271,7 @@ def fit(docs: DataFrame, text_col: str = "text", folder: str | None = None) -> d
         return pd.DataFrame([(int(key[0]), save(folder, "words", k), save(folder, "counts", c.astype("<u8")), len(k), int(c.sum()), top.tolist(), c[top].tolist())], columns=["shard", "words", "counts", "n", "total", "top", "top_counts"])
 
     found = materialize(
-        texts.mapInPandas(count_words, BLOCK_SCHEMA).groupBy("shard").applyInPandas(write_words, "shard int, words string, counts string, n long, total long, top array<long>, top_counts array<long>"), "lm-words"
+        texts.mapInPandas(trimming(count_words), BLOCK_SCHEMA).groupBy("shard").applyInPandas(write_words, "shard int, words string, counts string, n long, total long, top array<long>, top_counts array<long>"), "lm-words"
     ).collect()  # one row for each shard
     by = {r["shard"]: r for r in found}
     n = [by[i]["n"] if i in by else 0 for i in range(shards)]
@@ -311,7 +317,7 @@ def fit(docs: DataFrame, text_col: str = "text", folder: str | None = None) -> d
         return pd.DataFrame(rows, columns=["part", "shard", "files", "n", "coc", "who", "ns", "after", "times"])
 
     schema = "part int, shard int, files array<string>, n long, coc array<long>, who binary, ns binary, after binary, times binary"
-    pairs = materialize(texts.mapInPandas(count_pairs, BLOCK_SCHEMA).groupBy("shard").applyInPandas(write_pairs, schema), "lm-pairs")
+    pairs = materialize(texts.mapInPandas(trimming(count_pairs), BLOCK_SCHEMA).groupBy("shard").applyInPandas(write_pairs, schema), "lm-pairs")
     found = pairs.where("part = -1").select("shard", "files", "n", "coc").collect()
     by = {r["shard"]: r for r in found}
     meta["pairs"] = [by[i]["files"] if i in by else [] for i in range(shards)]
@@ -430,7 +436,7 @@ def score(docs: DataFrame, meta: dict, text_col: str = "text", keep=()) -> DataF
             yield pd.DataFrame({"k": pdf["k"].reset_index(drop=True), "r": pd.Series(out.to_dict("records"), dtype=object)})
 
     kept = each.schema["k"].dataType.simpleString()
-    out = each.mapInPandas(run, f"k {kept}, r struct<n_tokens:bigint,n_known:bigint,train_tokens:bigint,base_score:double,score:double>")
+    out = each.mapInPandas(trimming(run), f"k {kept}, r struct<n_tokens:bigint,n_known:bigint,train_tokens:bigint,base_score:double,score:double>")
     return out.select("k.*", F.col("r").alias("_lm"))
 
 

@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import forget, fresh_path, materialize, table
+from .shared import forget, fresh_path, materialize, scratch, table, trimming
 
 SKETCH = 64
 TREES = 16
@@ -266,7 +266,7 @@ def _agree(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame
                 y = np.frombuffer(b"".join(pdf["sb"]), np.uint32).reshape(-1, SKETCH)
                 yield pdf.loc[(x == y).mean(axis=1) >= least, ["a", "b"]]
 
-    return both.select("a", "b", "sa", "sb").mapInPandas(run, "a long, b long")
+    return both.select("a", "b", "sa", "sb").mapInPandas(trimming(run), "a long, b long")
 
 
 def _bit(id_col: Column) -> tuple[Column, Column]:
@@ -323,7 +323,7 @@ def _confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
                 ok.append(100 * common >= percent * (len(x) + len(y) - common))
             yield pdf.loc[ok, ["a", "b"]]
 
-    return both.select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long")
+    return both.select("a", "b", "ta", "tb").mapInPandas(trimming(run), "a long, b long")
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:
@@ -351,19 +351,28 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         if tuple(sums[0]) == tuple(sums[1]):
             break
     tree = edges.select(F.col("u").alias("id"), F.col("v").alias("comp"))
-    return tree.unionByName(tree.select(F.col("comp").alias("id"), "comp").distinct())
+    out = tree.unionByName(tree.select(F.col("comp").alias("id"), "comp").distinct())
+    out._gneiss_path = path
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of ``docs``: id, n_shingles, component_id, kept."""
-    spark, threshold = docs.sparkSession, percent / 100
+    """One row per row of ``docs``: id, n_shingles, component_id, kept. The result reads two tables of
+    ids and sets in the shared folder; the others are deleted before it returns."""
+    keep: list[str] = []
+    with scratch(docs.sparkSession, keep):
+        return _near_duplicates(docs, id_col, text_col, shingle, percent, keep)
+
+
+def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, keep: list[str]) -> DataFrame:
+    threshold = percent / 100
     plain = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(text_col).alias("text"))
-    all_sets = materialize(plain.mapInPandas(_sets("id", "text", shingle), "id long, n int, h1 long, h2 long, sketch binary"), "neardup-sets")
+    all_sets = materialize(plain.mapInPandas(trimming(_sets("id", "text", shingle)), "id long, n int, h1 long, h2 long, sketch binary"), "neardup-sets")
     some = all_sets.where("n > 0")
     classes = some.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     sketches = materialize(some.join(classes.withColumnRenamed("rep", "id"), ["id", "h1", "h2", "n"], "left_semi").select("id", "sketch").distinct(), "neardup-sketches")
 
-    members = materialize(sketches.mapInPandas(_paths(threshold), "node long, id long"), "neardup-paths")
+    members = materialize(sketches.mapInPandas(trimming(_paths(threshold)), "node long, id long"), "neardup-paths")
     nodes = members.groupBy("node").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead <> last").drop("last")
     shared = materialize(members.join(nodes, "node"), "neardup-shared")
 
@@ -374,17 +383,18 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", shingle:
     # Nodes with documents of different components: small ones pair by pair.
     open_ = _mixed(shared.select("node", "id"), comps)
     small = open_.where(F.col("size") <= SMALL).join(sketches, "id").select("node", "id", "comp", "sketch")
-    pairs = small.repartition("node").sortWithinPartitions("node").mapInPandas(_small_nodes(threshold), "a long, b long")
+    pairs = small.repartition("node").sortWithinPartitions("node").mapInPandas(trimming(_small_nodes(threshold)), "a long, b long")
     links, comps = _more(links, comps, _check(pairs.distinct(), None, plain, shingle, percent))
     # Large ones go deeper first; what still meets there are families of similar texts.
     large = open_.where(F.col("size") > SMALL).join(sketches, "id").select("node", "id", "sketch")
-    deeper = _mixed(materialize(large.mapInPandas(_deeper(threshold), "node long, id long"), "neardup-deeper"), comps)
+    deeper = _mixed(materialize(large.mapInPandas(trimming(_deeper(threshold)), "node long, id long"), "neardup-deeper"), comps)
     links, comps = _more(links, comps, materialize(_families(deeper, sketches, plain, threshold, shingle, percent), "neardup-families"))
 
     # Classes with over a thousandth of all rows, a thousand at most, are looked up in a
     # broadcast; the join of the others has no hot key.
     rows = all_sets.select("id", "n", "h1", "h2")
     total = rows.count()
+    keep += [all_sets._gneiss_path, comps._gneiss_path]
     named = classes.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", "n", "copies", F.coalesce("comp", "rep").alias("comp"))
     hot = named.where(F.col("copies") * 1000 > total).select("h1", "h2", "n", F.col("comp").alias("hot"))
     looked = rows.join(F.broadcast(hot), ["h1", "h2", "n"], "left")

@@ -8,6 +8,7 @@ local session) a temporary folder is chosen.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -32,12 +33,33 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/gneiss/{name}-{uuid.uuid4().hex}"
 
 
+_scratch: list[list[str]] = []
+
+
 def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back."""
     spark = df.sparkSession
     path = path or fresh_path(spark, name)
+    for seen in _scratch:
+        seen.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._gneiss_path = path
+    return out
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession, keep: list[str]):
+    """Deletes at its end the tables that were materialized inside, but for those whose paths the
+    caller has put into ``keep`` because a lazy result still reads them."""
+    _scratch.append(seen := [])
+    try:
+        yield
+    finally:
+        _scratch.pop()
+        for path in seen:
+            if path not in keep:
+                forget(spark, path)
 
 
 def forget(spark: SparkSession, path: str) -> None:
@@ -81,3 +103,26 @@ def count_words(text: Column) -> Column:
     return F.when(plain == "", F.lit(0)).otherwise(
         F.length(plain) - F.length(F.replace(plain, F.lit(" "), F.lit(""))) + 1
     ).cast("long")
+
+
+def trim() -> None:
+    """Give memory that a worker no longer uses back to the system: workers are kept between tasks
+    and stages, and what they hold is missing from the executor."""
+    import ctypes
+
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if give is not None:
+        give(0)
+
+
+def trimming(run):
+    """A function of batches that trims at its end."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        trim()
+
+    return wrapped

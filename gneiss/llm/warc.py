@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fresh_path, materialize, table
+from .shared import fresh_path, materialize, table, trimming
 
 FRAME = 1 << 18
 FILE = 64 << 20
@@ -180,7 +180,7 @@ def write(pages: DataFrame, folder: str | None = None, id_col="page_id", url_col
         if bundle is not None:
             bundle.close()
 
-    index = materialize(rows.mapInPandas(run, "id long, record_id string, record_type string, file string, frame int, offset int, length int"), "warc-index")
+    index = materialize(rows.mapInPandas(trimming(run), "id long, record_id string, record_type string, file string, frame int, offset int, length int"), "warc-index")
     return index.select(F.nullif("id", none).alias(id_col), "record_id", "record_type", F.concat(F.lit(folder + "/"), "file").alias("file"), "frame", "offset", "length")
 
 
@@ -225,7 +225,7 @@ def read(index: DataFrame, id_col="page_id") -> DataFrame:
         if source is not None:
             source.close()
 
-    return wanted.mapInPandas(run, schema)
+    return wanted.mapInPandas(trimming(run), schema)
 
 
 def op4_warc(spark, sf_dir: str) -> DataFrame:
