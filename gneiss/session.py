@@ -32,6 +32,8 @@ def session(cores: int | None = None, **conf: str) -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(n))
         .config("spark.sql.adaptive.enabled", "true")
+        # Larger generated methods aren't compiled by the JVM; below this limit they are cut up.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.ui.enabled", "false")
     )
     for k, v in conf.items():
