@@ -24,14 +24,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one of the smallest id, once."""
-    found = neardup.near_duplicates(docs, shingle=5, percent=80)
-    ids = F.coalesce("doc_id", F.lit(neardup.NULL_ID)).alias("id")
-    by_id = materialize(found.groupBy(ids).agg(F.max("kept").alias("kept"), F.count_if("kept").alias("rows")), "pipeline-kept")
-    stay = neardup.without(docs, by_id.where("NOT kept").select("id"), "doc_id")
-    if by_id.where("rows > 1").isEmpty():
-        return stay
-    return stay.dropDuplicates(["doc_id"])  # rows that repeat an id
+    """One document of each group of near duplicates: one of the smallest id. Rows that share an id,
+    or have none, are told apart by their texts."""
+    return neardup.one_of_each(docs, shingle=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

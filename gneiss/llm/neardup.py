@@ -1,8 +1,9 @@
 """Near duplicates by a chosen-path set similarity join.
 
 A document's set is its distinct shingles of ``shingle`` words. Documents with the same set are
-one class; only one representative of each class, the smallest id, goes on. Each
-representative has ``SKETCH`` minwise values of its set.
+one class; only one representative of each class goes on, named by a hash of its id and text
+(``row_key``), so that rows which share an id, or have none, stay apart. Each representative
+has ``SKETCH`` minwise values of its set.
 
 Chosen paths: in each of ``TREES`` independent trees a document starts at the root and
 branches: the node it is in picks, by its own hash, one of the sketch's tokens (and a second
@@ -25,12 +26,15 @@ near copies never turn into all their pairs.
 
 Defined cases: null or empty texts, and texts of blanks, have an empty set, no link and are
 kept; with fewer words than a shingle, the whole sequence is the one shingle; every row is
-returned, rows that repeat an id are placed by their own text; a null id counts as one id, the
-smallest of all, and is null again in the result; an empty table gives an empty result; other columns are not read. Ids are integers.
+returned, rows that repeat an id or have none are placed by their own text, and texts that are not
+linked never meet by their ids; a null id is the smallest of all, and is null again in the
+result; an empty table gives an empty result; other columns are not read. Ids are integers.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -152,7 +156,7 @@ def _sets(id_col: str, text_col: str, k: int):
             # Two independent sums over the set make its 128-bit name.
             names = [(int(_mix(s).sum(dtype=np.uint64)), int(_mix(s + _BASE).sum(dtype=np.uint64))) if ok else (0, 0) for s, ok in zip(sets, some, strict=True)]
             yield pd.DataFrame({
-                "id": pdf[id_col].to_numpy(),
+                "doc": pdf["doc"].to_numpy(), "id": pdf[id_col].to_numpy(),
                 "n": [len(s) for s in sets],
                 "h1": _signed(np.array([a for a, _ in names], np.uint64)), "h2": _signed(np.array([b for _, b in names], np.uint64)),
                 "sketch": [sketch(s).tobytes() if ok else b"" for s, ok in zip(sets, some, strict=True)],
@@ -295,20 +299,26 @@ def _picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return _marked(docs, ids, F.col("id")).where("_maybe").select("id", "text")
 
 
-def without(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
-    """``docs`` without the rows of ``ids`` (id; a null id as NULL_ID). Only rows that the bit filter
+def without(docs: DataFrame, ids: DataFrame, key: Column) -> DataFrame:
+    """``docs`` without the rows whose ``key`` is in ``ids`` (id). Only rows that the bit filter
     can't clear go through the join."""
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
     marked = _marked(docs, ids, key)
     rest = marked.where("_maybe").withColumn("_key", key).join(ids.select(F.col("id").alias("_key")), "_key", "left_anti")
     return marked.where("NOT _maybe").select(*docs.columns).unionByName(rest.select(*docs.columns))
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def once(docs: DataFrame, ids: DataFrame, key: Column) -> DataFrame:
+    """``docs`` with one row only for each ``key`` in ``ids`` (id)."""
+    marked = _marked(docs, ids, key)
+    some = marked.where("_maybe").withColumn("_key", key).join(ids.select(F.col("id").alias("_key")), "_key", "left_semi").dropDuplicates(["_key"])
+    return without(docs, ids, key).unionByName(some.select(*docs.columns))
+
+
+def _confirm(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], k: int, percent: int) -> DataFrame:
     """The pairs with 100 * intersection >= percent * union on the full sets. Texts are what
     moves: they are smaller than their sets. A hot side is a plain equi-join of two
     exchanges, which adaptive execution splits."""
-    needed = materialize(_picked(docs, pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))), "neardup-texts")
+    needed = materialize(texts(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))), "neardup-texts")
     both = pairs.join(needed.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(needed.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
 
     def run(batches):
@@ -356,53 +366,94 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     return out
 
 
+def row_key(id_col: str, text_col: str, seed: int) -> Column:
+    """The name of a row by its id and text."""
+    return F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), F.col(text_col), F.lit(seed))
+
+
 def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id, kept. The result reads two tables of
     ids and sets in the shared folder; the others are deleted before it returns."""
+    rows, _ = placed(docs, id_col, text_col, shingle, percent)
+    back = lambda c: F.nullif(c, F.lit(NULL_ID))
+    return rows.select(back(F.col("doc")).alias(id_col), F.col("n").cast("long").alias("n_shingles"), back(F.col("first")).alias("component_id"), (F.col("doc") == F.col("first")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, id_col="doc_id", text_col="text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each component: one of its smallest id. Rows are told apart by their
+    own texts, so those that share an id, or have none, go only if their texts are linked.
+    Rows with an empty set all stay."""
+    rows, seed = placed(docs, id_col, text_col, shingle, percent)
+    key = row_key(id_col, text_col, seed)
+    named = rows.where("n > 0").select("id", "comp", (F.col("doc") == F.col("first")).alias("kept"))
+    by_key = materialize(named.groupBy("id").agg(F.min("comp").alias("comp"), F.max("kept").alias("kept"), F.count("*").alias("rows")), "neardup-kept")
+    gone, kept = by_key.where("NOT kept").select("id"), by_key.where("kept")
+    # Different texts of one component with the same smallest id: the smallest key stays.
+    several = kept.groupBy("comp").agg(F.min("id").alias("stays"), F.count("*").alias("keys")).where("keys > 1")
+    if not several.isEmpty():
+        gone = gone.unionByName(kept.join(several, "comp").where("id <> stays").select("id"))
+    out = without(docs, gone, key)
+    repeated = kept.where("rows > 1").select("id")
+    return out if repeated.isEmpty() else once(out, repeated, key)
+
+
+def placed(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> tuple[DataFrame, int]:
+    """One row per row of ``docs``: doc (its id, null as NULL_ID), id (its key), n, comp (a key that
+    names its component) and first (the component's smallest doc); and the seed of the keys."""
     keep: list[str] = []
     with scratch(docs.sparkSession, keep):
-        return _near_duplicates(docs, id_col, text_col, shingle, percent, keep)
+        return _placed(docs, id_col, text_col, shingle, percent, keep)
 
 
-def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, keep: list[str]) -> DataFrame:
+def _placed(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, keep: list[str], seed: int = 0) -> tuple[DataFrame, int]:
     threshold = percent / 100
-    plain = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(text_col).alias("text"))
-    all_sets = materialize(plain.mapInPandas(trimming(_sets("id", "text", shingle)), "id long, n int, h1 long, h2 long, sketch binary"), "neardup-sets")
+    plain = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), row_key(id_col, text_col, seed).alias("id"), F.col(text_col).alias("text"))
+    all_sets = materialize(plain.mapInPandas(trimming(_sets("id", "text", shingle)), "doc long, id long, n int, h1 long, h2 long, sketch binary"), "neardup-sets")
     some = all_sets.where("n > 0")
-    classes = some.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    sketches = materialize(some.join(classes.withColumnRenamed("rep", "id"), ["id", "h1", "h2", "n"], "left_semi").select("id", "sketch").distinct(), "neardup-sketches")
+    mixed = (F.min("n") != F.max("n")) | (F.min("h1") != F.max("h1")) | (F.min("h2") != F.max("h2"))
+    keys = some.groupBy("id").agg(F.count("*").alias("rows"), mixed.alias("mixed")).agg(F.max("rows").alias("rows"), F.bool_or("mixed").alias("mixed")).first()
+    if keys["mixed"]:  # two sets have one key: take other keys
+        return _placed(docs, id_col, text_col, shingle, percent, keep, seed + 1)
+
+    def texts(ids: DataFrame) -> DataFrame:
+        found = _picked(plain, ids)
+        return found.dropDuplicates(["id"]) if (keys["rows"] or 0) > 1 else found
+
+    classes = some.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.min("doc").alias("doc"), F.count("*").alias("copies"))
+    sketches = materialize(some.join(classes.select("h1", "h2", "n", F.col("rep").alias("id")), ["id", "h1", "h2", "n"], "left_semi").select("id", "sketch").distinct(), "neardup-sketches")
 
     members = materialize(sketches.mapInPandas(trimming(_paths(threshold)), "node long, id long"), "neardup-paths")
     nodes = members.groupBy("node").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead <> last").drop("last")
     shared = materialize(members.join(nodes, "node"), "neardup-shared")
 
     stars = shared.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    links = _check(stars, sketches, plain, shingle, percent)
+    links = _check(stars, sketches, texts, shingle, percent)
     comps = components(links)
 
     # Nodes with documents of different components: small ones pair by pair.
     open_ = _mixed(shared.select("node", "id"), comps)
     small = open_.where(F.col("size") <= SMALL).join(sketches, "id").select("node", "id", "comp", "sketch")
     pairs = small.repartition("node").sortWithinPartitions("node").mapInPandas(trimming(_small_nodes(threshold)), "a long, b long")
-    links, comps = _more(links, comps, _check(pairs.distinct(), None, plain, shingle, percent))
+    links, comps = _more(links, comps, _check(pairs.distinct(), None, texts, shingle, percent))
     # Large ones go deeper first; what still meets there are families of similar texts.
     large = open_.where(F.col("size") > SMALL).join(sketches, "id").select("node", "id", "sketch")
     deeper = _mixed(materialize(large.mapInPandas(trimming(_deeper(threshold)), "node long, id long"), "neardup-deeper"), comps)
-    links, comps = _more(links, comps, materialize(_families(deeper, sketches, plain, threshold, shingle, percent), "neardup-families"))
+    links, comps = _more(links, comps, materialize(_families(deeper, sketches, texts, threshold, shingle, percent), "neardup-families"))
 
     # Classes with over a thousandth of all rows, a thousand at most, are looked up in a
     # broadcast; the join of the others has no hot key.
-    rows = all_sets.select("id", "n", "h1", "h2")
+    rows = all_sets.select("doc", "id", "n", "h1", "h2")
     total = rows.count()
-    keep += [all_sets._gneiss_path, comps._gneiss_path]
-    named = classes.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", "n", "copies", F.coalesce("comp", "rep").alias("comp"))
-    hot = named.where(F.col("copies") * 1000 > total).select("h1", "h2", "n", F.col("comp").alias("hot"))
+    linked = classes.withColumnRenamed("rep", "id").join(comps, "id").select("id", "comp", "doc")
+    first = linked.groupBy("comp").agg(F.min("doc").alias("first"))
+    heads = materialize(comps.join(first, "comp").select(F.col("id").alias("rep"), "comp", "first"), "neardup-heads")
+    keep += [all_sets._gneiss_path, heads._gneiss_path]
+    named = classes.join(heads, "rep", "left").select("h1", "h2", "n", "copies", F.coalesce("comp", "rep").alias("comp"), F.coalesce("first", "doc").alias("first"))
+    hot = named.where(F.col("copies") * 1000 > total).select("h1", "h2", "n", F.struct("comp", "first").alias("hot"))
     looked = rows.join(F.broadcast(hot), ["h1", "h2", "n"], "left")
     others = looked.where("hot IS NULL").drop("hot").join(named.where(F.col("copies") * 1000 <= total).drop("copies"), ["h1", "h2", "n"], "left")
-    out = looked.where("hot IS NOT NULL").withColumnRenamed("hot", "comp").unionByName(others)
-    comp = F.coalesce("comp", "id")
-    back = lambda c: F.nullif(c, F.lit(NULL_ID))
-    return out.select(back(F.col("id")).alias(id_col), F.col("n").cast("long").alias("n_shingles"), back(comp).alias("component_id"), (F.col("id") == comp).alias("kept"))
+    out = looked.where("hot IS NOT NULL").select("doc", "id", "n", "h1", "h2", "hot.comp", "hot.first").unionByName(others.select("doc", "id", "n", "h1", "h2", "comp", "first"))
+    return out.select("doc", "id", "n", F.coalesce("comp", "id").alias("comp"), F.coalesce("first", "doc").alias("first")), seed
 
 
 def _mixed(members: DataFrame, comps: DataFrame) -> DataFrame:
@@ -420,16 +471,16 @@ def _more(links: DataFrame, comps: DataFrame, found: DataFrame) -> tuple[DataFra
     return links, components(links)
 
 
-def _check(pairs: DataFrame, sketches: DataFrame | None, texts: DataFrame, k: int, percent: int) -> DataFrame:
+def _check(pairs: DataFrame, sketches: DataFrame | None, texts: Callable[[DataFrame], DataFrame], k: int, percent: int) -> DataFrame:
     """Confirmed links among candidate pairs; with ``sketches``, of those that agree."""
     good = pairs if sketches is None else _agree(pairs, sketches, percent / 100)
     good = materialize(good, "neardup-good")
     return materialize(_confirm(good, texts, k, percent).distinct(), "neardup-links")
 
 
-def _families(members: DataFrame, sketches: DataFrame, texts: DataFrame, threshold: float, k: int, percent: int) -> DataFrame:
+def _families(members: DataFrame, sketches: DataFrame, texts: Callable[[DataFrame], DataFrame], threshold: float, k: int, percent: int) -> DataFrame:
     """Links that join components in large nodes, block against block."""
-    needed = materialize(_picked(texts, members.select("id")).withColumn("h", F.xxhash64("text")).dropDuplicates(["id", "h"]).drop("h"), "neardup-family-texts")
+    needed = materialize(texts(members.select("id")), "neardup-family-texts")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     one = members.join(sketches, "id").join(needed, "id").withColumns({"nb": blocks, "block": F.pmod(F.xxhash64("id"), blocks).cast("int")})
     # Block i meets every block j >= i as side 0 and every block j <= i as side 1; itself, as one side.

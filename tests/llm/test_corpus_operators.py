@@ -78,6 +78,23 @@ def test_near_duplicates_of_families(spark, k, percent):
     check(neardup.near_duplicates(df, shingle=k, percent=percent), docs, k, percent)
 
 
+def test_rows_that_share_an_id_stay_apart(spark):
+    """Ids repeated or null: the right component of each row, and one row of each component stays."""
+    import corpus_pipeline as c
+
+    rng = random.Random(9)
+    base = [prose(rng, 60) for _ in range(8)]
+    near = [b + " more" for b in base]
+    docs = [(5, base[0]), (5, base[1]), (3, near[1]), (None, base[2]), (None, base[3]), (7, near[2]), (8, near[3]), (None, base[4]), (None, base[4]), (9, base[5]), (9, near[5]), (9, base[6])]
+    docs += [(None, None), (None, None), (4, ""), (None, base[7])]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    check(neardup.near_duplicates(df, shingle=5, percent=80), docs, 5, 80)
+    kept = sorted(((r.doc_id, r.text) for r in c.near_duplicates(spark, df, "").collect()), key=str)
+    nine = [r for r in kept if r in ((9, base[5]), (9, near[5]))]
+    assert len(nine) == 1
+    assert kept == sorted([(5, base[0]), (3, near[1]), (None, base[2]), (None, base[3]), (None, base[4]), (9, base[6]), (None, base[7]), (None, None), (None, None), (4, ""), *nine], key=str)
+
+
 def test_word_hashes_follow_the_words():
     a = neardup.word_hashes(b"one two\tone\x0btwo three")
     assert a[0] == a[2] and a[1] == a[3] and len(set(a.tolist())) == 3 and len(neardup.word_hashes(b" \n")) == 0
