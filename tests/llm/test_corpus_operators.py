@@ -95,6 +95,22 @@ def test_rows_that_share_an_id_stay_apart(spark):
     assert kept == sorted([(5, base[0]), (3, near[1]), (None, base[2]), (None, base[3]), (None, base[4]), (9, base[6]), (None, base[7]), (None, None), (None, None), (4, ""), *nine], key=str)
 
 
+@pytest.mark.parametrize(("seed", "lead"), [(131, 30), (241, 8)])
+def test_large_nodes_are_compared_whole(spark, monkeypatch, seed, lead):
+    """A pair at the threshold that meets only in nodes led by an unlinked text; four more levels of
+    branching would part it."""
+    monkeypatch.setattr(neardup, "SMALL", 1)
+    r = random.Random(seed)
+    words = lambda m, k: [f"{k}{r.getrandbits(40):x}" for _ in range(m)]
+    s, a, b = words(80, "s"), words(10, "a"), words(10, "b")
+    r = random.Random(lead * 1000003 + seed)
+    first = s[:]
+    first.pop(r.randrange(80))
+    first += words(11, "l")
+    docs = list(enumerate(" ".join(x) for x in (first, s + a, s + b)))
+    check(neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), shingle=1, percent=80), docs, 1, 80)
+
+
 def test_word_hashes_follow_the_words():
     a = neardup.word_hashes(b"one two\tone\x0btwo three")
     assert a[0] == a[2] and a[1] == a[3] and len(set(a.tolist())) == 3 and len(neardup.word_hashes(b" \n")) == 0
