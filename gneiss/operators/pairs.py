@@ -8,6 +8,8 @@ bound them: similarity >= t needs t * |a| <= |b| <= |a| / t.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -84,7 +86,50 @@ def silhouette(edges: DataFrame, labels: DataFrame) -> DataFrame:
     mean against the nearest other cluster's; 0 for a cluster of one."""
     both = edges.select(F.explode(F.array(F.struct(F.col("i").alias("id"), F.col("j").alias("other")), F.struct(F.col("j").alias("id"), F.col("i").alias("other")))).alias("p"), "distance").select("p.id", "p.other", "distance")
     to = both.join(labels.select(F.col("id").alias("other"), F.col("label").alias("other_label")), "other").groupBy("id", "other_label").agg(F.avg("distance").alias("mean"))
-    mine = to.join(labels, "id")
+    return _silhouettes(to.join(labels, "id"))
+
+
+def _silhouettes(mine: DataFrame) -> DataFrame:
+    """(id, silhouette) from the mean distances of ids to labels (id, label, other_label, mean)."""
     sums = mine.groupBy("id").agg(F.max(F.when(F.col("label") == F.col("other_label"), F.col("mean"))).alias("a"), F.min(F.when(F.col("label") != F.col("other_label"), F.col("mean"))).alias("b"))
     value = F.when(F.col("a").isNull() | F.col("b").isNull() | (F.greatest("a", "b") == 0), F.lit(0.0)).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
     return sums.select("id", value.alias("silhouette"))
+
+
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Euclidean distances; those too small for the product of matrices are taken from the differences."""
+    xx, yy = (x**2).sum(1)[:, None], (y**2).sum(1)[None, :]
+    d = xx + yy - 2 * (x @ y.T)
+    i, j = np.nonzero(d < 1e-6 * (xx + yy))
+    for a in range(0, len(i), 1 << 14):
+        p, q = i[a : a + (1 << 14)], j[a : a + (1 << 14)]
+        d[p, q] = ((x[p] - y[q]) ** 2).sum(1)
+    return np.sqrt(np.maximum(d, 0))
+
+
+def silhouette_of_vectors(df: DataFrame, key: str, label: str, vector: str, block: int = 2048) -> DataFrame:
+    """(id, silhouette) over the distances of all pairs of rows, block against block: each task gets two blocks
+    of about ``block`` rows and returns sums per id and other label. Quadratic in the rows by definition."""
+    blocks = max(1, -(-df.count() // block))
+    rows = df.select(F.col(key).alias("id"), F.col(label).alias("label"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("at"))
+    each = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")).select("id", "label", "v", "at", F.least("at", "other").alias("p"), F.greatest("at", "other").alias("q"))
+
+    def sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        d = _distances(np.stack(a["v"].to_numpy()).astype(float), np.stack(b["v"].to_numpy()).astype(float))
+        apart = a["id"].to_numpy()[:, None] != b["id"].to_numpy()[None, :]
+        codes, names = pd.factorize(b["label"], use_na_sentinel=False)
+        of = np.eye(len(names))[codes]
+        total, n = np.where(apart, d, 0.0) @ of, apart.astype(float) @ of
+        i, j = np.nonzero(n)
+        return pd.DataFrame({"id": a["id"].to_numpy()[i], "label": a["label"].to_numpy()[i], "other_label": np.asarray(names)[j], "total": total[i, j], "n": n[i, j].astype(np.int64)})
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        p, q = pdf["p"].iloc[0], pdf["q"].iloc[0]
+        a, b = pdf[pdf["at"] == p], pdf[pdf["at"] == q]
+        if not len(a) or not len(b):  # an empty block has no pairs
+            return pd.DataFrame({"id": [], "label": [], "other_label": [], "total": [], "n": []})
+        return sums(a, b) if p == q else pd.concat([sums(a, b), sums(b, a)])
+
+    t = dict(rows.dtypes)
+    parts = each.groupBy("p", "q").applyInPandas(run, f"id {t['id']}, label {t['label']}, other_label {t['label']}, total double, n long")
+    return _silhouettes(parts.groupBy("id", "label", "other_label").agg((F.sum("total") / F.sum("n")).alias("mean")))

@@ -94,6 +94,12 @@ def silhouette(spark, d):
     return pairs.silhouette(edges, e.select(F.col("vec_id").alias("id"), "label")).withColumn("silhouette", F.round("silhouette", 5))
 
 
+@query()
+def silhouette_all(spark, d):
+    """Over all pairs of vectors; ``silhouette`` forms pairs inside tenths of the ids only."""
+    return pairs.silhouette_of_vectors(t(spark, d, "embeddings"), "vec_id", "label", "embedding").withColumn("silhouette", F.round("silhouette", 5))
+
+
 # ---- keys, groups, text ----
 
 
