@@ -384,7 +384,7 @@ def gated_clusters(spark, d):
 
 @query()
 def consensus_clusters(spark, d):
-    e = t(spark, d, "embeddings").withColumn("block", F.concat_ws("-", "label", F.pmod(F.xxhash64("vec_id"), F.lit(8))))
+    e = t(spark, d, "embeddings").select("vec_id", F.col("label").alias("block"), "embedding")
     return cluster.consensus_clusters(e, "vec_id", "block", "embedding")
 
 

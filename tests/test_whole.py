@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from gneiss.operators import pairs
+from gneiss.operators import cluster, pairs
 from gneiss.plans import catalogue
 
 from .conftest import DATA
@@ -40,3 +40,13 @@ def test_silhouette_in_blocks_with_copies_and_lone_labels(spark):
     got = {r.id: r.silhouette for r in pairs.silhouette_of_vectors(df, "id", "label", "v", block=7).collect()}
     want = silhouettes(np.arange(60), label, x)
     assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+
+
+def test_consensus_takes_whole_labels(spark, vectors):
+    ids, label, x = vectors
+    got = {r.vec_id: (r.block, r.label) for r in catalogue.QUERIES["consensus_clusters"](spark, f"{DATA}/sf0.001").collect()}
+    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    for c in set(label.tolist()):
+        at = np.flatnonzero(label == c)
+        want = cluster.consensus(np.sqrt(np.maximum(2 - 2 * x[at] @ x[at].T, 0)) / 2)
+        assert [got[i] for i in ids[at]] == [(c, v) for v in want]
