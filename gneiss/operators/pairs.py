@@ -133,3 +133,38 @@ def silhouette_of_vectors(df: DataFrame, key: str, label: str, vector: str, bloc
     t = dict(rows.dtypes)
     parts = each.groupBy("p", "q").applyInPandas(run, f"id {t['id']}, label {t['label']}, other_label {t['label']}, total double, n long")
     return _silhouettes(parts.groupBy("id", "label", "other_label").agg((F.sum("total") / F.sum("n")).alias("mean")))
+
+
+def top_of_all(queries: DataFrame, library: DataFrame, key: str, bits: str, k: int = 10, block: int = 2048) -> DataFrame:
+    """(id, other, similarity, rank): for each query row the ``k`` most similar of all library rows, itself left out.
+    Each task gets a block of queries and one of the library and returns its own ``k`` best of each query; these are merged."""
+    nq, nl = max(1, -(-queries.count() // block)), max(1, -(-library.count() // block))
+    cells = lambda df, name, n, other, m, side: df.select(
+        F.col(key).alias("id"), F.col(bits).alias("bits"), F.lit(side).alias("side"), F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias(name), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other)
+    ).select("id", "bits", "side", "p", "q")
+    each = cells(queries, "p", nq, "q", nl, 0).unionByName(cells(library, "q", nl, "p", nq, 1))
+
+    def dense(lists, width: int) -> np.ndarray:
+        x = np.zeros((len(lists), width), np.float32)
+        for r, b in enumerate(lists):
+            x[r, np.asarray(b, np.int64)] = 1
+        return x
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        width = max((int(max(x)) + 1 for x in pdf["bits"] if len(x)), default=1)
+        x, y = dense(a["bits"].to_list(), width), dense(b["bits"].to_list(), width)
+        both, ids = (x @ y.T).astype(float), b["id"].to_numpy()
+        union = x.sum(1, dtype=float)[:, None] + y.sum(1, dtype=float)[None, :] - both
+        near = np.divide(both, union, out=np.zeros_like(both), where=union > 0)
+        out = []
+        for r, i in enumerate(a["id"].to_numpy()):
+            order = np.lexsort((ids, -near[r]))
+            order = order[ids[order] != i][:k]
+            out.append(pd.DataFrame({"id": np.full(len(order), i), "other": ids[order], "similarity": near[r][order]}))
+        return pd.concat(out) if out else pd.DataFrame({"id": [], "other": [], "similarity": []})
+
+    t = dict(each.dtypes)
+    parts = each.groupBy("p", "q").applyInPandas(run, f"id {t['id']}, other {t['id']}, similarity double")
+    w = Window.partitionBy("id").orderBy(F.col("similarity").desc(), "other")
+    return parts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -78,6 +78,13 @@ def topk_library(spark, d):
     return pairs.top_matches(e.where("vec_id % 50 = 0"), e, "vec_id", "bits", "label").select("id", "other", "rank", F.round("similarity", 6).alias("similarity"))
 
 
+@query()
+def topk_library_all(spark, d):
+    """The same search over the whole table: rows of any label may be the nearest."""
+    e = emb(spark, d)
+    return pairs.top_of_all(e.where("vec_id % 50 = 0"), e, "vec_id", "bits").select("id", "other", "rank", F.round("similarity", 6).alias("similarity"))
+
+
 @query(f"WITH {B_SQL}, m AS (SELECT block, id, round_even(avg(s), 9) AS mean FROM (SELECT block, id, s FROM b UNION ALL SELECT label, vec_id, 1.0::DOUBLE FROM e) GROUP BY ALL) SELECT block, id AS medoid, round_even(mean, 6) AS mean_similarity FROM m QUALIFY row_number() OVER (PARTITION BY block ORDER BY mean DESC, id DESC) = 1")
 def medoid(spark, d):
     e = emb(spark, d)

@@ -42,6 +42,31 @@ def test_silhouette_in_blocks_with_copies_and_lone_labels(spark):
     assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
 
 
+def best(ids, bits, queries, k=10):
+    out = set()
+    for q in queries:
+        s = [(-(len(bits[q] & bits[o]) / len(bits[q] | bits[o]) if bits[q] | bits[o] else 0.0), o) for o in ids if o != q]
+        out |= {(q, o, r + 1, round(-v, 6)) for r, (v, o) in enumerate(sorted(s)[:k])}
+    return out
+
+
+def test_library_search_over_all_labels(spark, vectors):
+    ids, label, x = vectors
+    bits = {i: set(np.flatnonzero(v > 0).tolist()) for i, v in zip(ids.tolist(), x, strict=True)}
+    got = {(r.id, r.other, r.rank, r.similarity) for r in catalogue.QUERIES["topk_library_all"](spark, f"{DATA}/sf0.001").collect()}
+    assert got == best(ids.tolist(), bits, [i for i in ids.tolist() if i % 50 == 0])
+    of = dict(zip(ids.tolist(), label.tolist(), strict=True))
+    assert any(of[i] != of[o] for i, o, *_ in got)
+
+
+def test_library_search_in_blocks(spark):
+    rng = np.random.default_rng(6)
+    bits = {i: set(rng.choice(12, rng.integers(0, 6), replace=False).tolist()) for i in range(50)}
+    df = spark.createDataFrame([(i, sorted(b)) for i, b in bits.items()], "id long, bits array<int>")
+    got = {(r.id, r.other, r.rank, round(r.similarity, 6)) for r in pairs.top_of_all(df.where("id < 20"), df, "id", "bits", k=4, block=6).collect()}
+    assert got == best(list(bits), bits, range(20), 4)
+
+
 def test_consensus_takes_whole_labels(spark, vectors):
     ids, label, x = vectors
     got = {r.vec_id: (r.block, r.label) for r in catalogue.QUERIES["consensus_clusters"](spark, f"{DATA}/sf0.001").collect()}
