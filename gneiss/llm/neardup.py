@@ -13,12 +13,14 @@ alone, so ``DEPTH`` levels need no exchange. A pair at the threshold meets in no
 trees with a probability of 1.2e-5 at 85 % and 5.6e-5 at 80 %, averaged over sketches (calculated).
 
 In each node the smallest id is compared with all others (linear in the node's size), and
-confirmed links join their components. What is left are nodes whose documents are in
-different components. Small ones (up to ``SMALL``) are compared exhaustively by their sketches.
-Larger ones are compared as completely, by a task with their texts, which writes a
-link only where it joins two components, so never more links than documents. A node of more than
-``BLOCK`` documents is cut into blocks and each task gets two of them. Every candidate is
-confirmed on the full sets. Nothing is capped, dropped or sampled.
+confirmed links join their components. What is left are nodes whose other documents are in
+different components, one of each distinct set of members. Where one component has at least half
+of a large node, the rest meet that component once, whichever nodes they share with it. Then
+nodes of up to ``SMALL`` are compared exhaustively by their sketches, and what is left of larger
+ones block against block, as completely, by tasks with the texts of two blocks (of at most
+``BLOCK`` documents and about ``BLOCK_SHINGLES`` shingles), which write a link only where it joins two
+components, so never more links than documents. Every candidate is confirmed on the full
+sets. Nothing is capped, dropped or sampled, and no size changes which pairs are compared.
 
 Results are components: the smallest id reachable. Exact copies and large groups of
 near copies never turn into all their pairs.
@@ -39,15 +41,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import forget, fresh_path, materialize, scratch, table, trimming
+from .shared import forget, fresh, fresh_path, marked, materialize, scratch, table, trimming
 
 SKETCH = 64
 TREES = 16
 DEPTH = 4
 SMALL = 64
-BLOCK = 768
-#: Bits of the filter by which texts are picked for the exact check: two megabytes of bits.
-FILTER_BITS = 1 << 24
+#: Documents of a block, and shingles: a task holds two blocks.
+BLOCK = 512
+BLOCK_SHINGLES = 1 << 20
 NULL_ID = -(2**63)
 
 _U = np.uint64
@@ -209,9 +211,10 @@ def _small_nodes(threshold: float):
 
 
 def _family(threshold: float, k: int, percent: int):
-    """Links that join components within a large node (or two of its blocks). Each document
-    outside the largest component is compared with all that are not yet in its own, the
-    likeliest first; those inside one component need no comparison."""
+    """Links that join components between two blocks (sides 0 and 1), or within one (one side). Each
+    document outside the largest component is compared with all that are not yet in its
+    own and whose sketches agree; their intersections are counted together. Of the links
+    found one is written for each component that is joined."""
     least = least_agree(threshold)
 
     def run(pdf):
@@ -227,16 +230,21 @@ def _family(threshold: float, k: int, percent: int):
             return sets[i]
 
         for i in np.flatnonzero(comp != names[counts.argmax()]):
-            agree = (sk == sk[i]).mean(axis=1)
-            order = np.argsort(-agree, kind="stable")
-            for j in order[: int((agree >= least).sum())]:
-                if label[j] == label[i] or (across and side[j] == side[i]):
-                    continue
-                x, y = of(i), of(j)
-                if min(len(x), len(y)) * 100 < percent * max(len(x), len(y)):
-                    continue
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * common >= percent * (len(x) + len(y) - common):
+            open_ = label != label[i]
+            if across:
+                open_ &= side != side[i]
+            near = np.flatnonzero(open_)
+            near = near[(sk[near] == sk[i]).mean(axis=1) >= least]
+            if not len(near):
+                continue
+            x = of(i)
+            others = [of(j) for j in near]
+            sizes = np.array([len(y) for y in others])
+            flat = np.concatenate(others)
+            at = np.minimum(np.searchsorted(x, flat), len(x) - 1)
+            common = np.add.reduceat((x[at] == flat).astype(np.int64), np.cumsum(sizes) - sizes)
+            for j in near[100 * common >= percent * (len(x) + sizes - common)]:
+                if label[j] != label[i]:
                     links.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
                     label[label == label[j]] = label[i]
         return pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
@@ -260,44 +268,25 @@ def _agree(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame
     return both.select("a", "b", "sa", "sb").mapInPandas(trimming(run), "a long, b long")
 
 
-def _bit(id_col: Column) -> tuple[Column, Column]:
-    """Word and place of an id in the bit filter."""
-    bit = F.pmod(F.xxhash64(id_col), F.lit(FILTER_BITS))
-    return F.floor(bit / 64), (bit % 64).cast("int")
-
-
-def bit_filter(ids: DataFrame) -> DataFrame:
-    """(word, bits) of a filter over the hashes of ``ids`` (id): at most FILTER_BITS / 64 rows,
-    whatever the number of ids, so it can be broadcast."""
-    word, place = _bit(F.col("id"))
-    return ids.select(word.alias("word"), place.alias("place")).groupBy("word").agg(F.expr("bit_or(shiftleft(1L, place))").alias("bits"))
-
-
-def _marked(docs: DataFrame, ids: DataFrame, id_col: Column) -> DataFrame:
-    """``docs`` with ``_maybe``: whether the id may be among ``ids``. No row is moved for it."""
-    word, place = _bit(id_col)
-    joined = docs.withColumns({"_word": word, "_place": place}).join(F.broadcast(bit_filter(ids).withColumnsRenamed({"word": "_word", "bits": "_bits"})), "_word", "left")
-    return joined.withColumn("_maybe", F.coalesce(F.expr("shiftright(_bits, _place) & 1L") == 1, F.lit(False))).drop("_word", "_place", "_bits")
-
-
 def _picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The texts whose ids may be among ``ids``, without moving any other. The joins that follow are
-    exact; a filter too full to help costs only what a join without it would."""
-    return _marked(docs, ids, F.col("id")).where("_maybe").select("id", "text")
+    exact."""
+    return marked(docs, ids, F.col("id"), "_maybe").where("_maybe").select("id", "text")
 
 
 def without(docs: DataFrame, ids: DataFrame, key: Column) -> DataFrame:
     """``docs`` without the rows whose ``key`` is in ``ids`` (id). Only rows that the bit filter
     can't clear go through the join."""
-    marked = _marked(docs, ids, key)
-    rest = marked.where("_maybe").withColumn("_key", key).join(ids.select(F.col("id").alias("_key")), "_key", "left_anti")
-    return marked.where("NOT _maybe").select(*docs.columns).unionByName(rest.select(*docs.columns))
+    maybe, name = fresh(docs, "_maybe", "_key")
+    seen = marked(docs, ids, key, maybe)
+    rest = seen.where(F.col(maybe)).withColumn(name, key).join(ids.select(F.col("id").alias(name)), name, "left_anti")
+    return seen.where(~F.col(maybe)).select(*docs.columns).unionByName(rest.select(*docs.columns))
 
 
 def once(docs: DataFrame, ids: DataFrame, key: Column) -> DataFrame:
     """``docs`` with one row only for each ``key`` in ``ids`` (id)."""
-    marked = _marked(docs, ids, key)
-    some = marked.where("_maybe").withColumn("_key", key).join(ids.select(F.col("id").alias("_key")), "_key", "left_semi").dropDuplicates(["_key"])
+    maybe, name = fresh(docs, "_maybe", "_key")
+    some = marked(docs, ids, key, maybe).where(F.col(maybe)).withColumn(name, key).join(ids.select(F.col("id").alias(name)), name, "left_semi").dropDuplicates([name])
     return without(docs, ids, key).unionByName(some.select(*docs.columns))
 
 
@@ -407,7 +396,7 @@ def _placed(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent:
         return found.dropDuplicates(["id"]) if (keys["rows"] or 0) > 1 else found
 
     classes = some.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.min("doc").alias("doc"), F.count("*").alias("copies"))
-    sketches = materialize(some.join(classes.select("h1", "h2", "n", F.col("rep").alias("id")), ["id", "h1", "h2", "n"], "left_semi").select("id", "sketch").distinct(), "neardup-sketches")
+    sketches = materialize(some.join(classes.select("h1", "h2", "n", F.col("rep").alias("id")), ["id", "h1", "h2", "n"], "left_semi").select("id", "sketch", "n").distinct(), "neardup-sketches")
 
     members = materialize(sketches.mapInPandas(trimming(_paths(threshold)), "node long, id long"), "neardup-paths")
     nodes = members.groupBy("node").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead <> last").drop("last")
@@ -417,14 +406,25 @@ def _placed(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent:
     links = _check(stars, sketches, texts, shingle, percent)
     comps = components(links)
 
-    # Nodes with documents of different components: small ones pair by pair.
-    open_ = _mixed(shared.select("node", "id"), comps)
+    # A node's lead has met all others. Left are nodes whose others are in different components.
+    open_ = _mixed(shared.where("id <> lead").select("node", "id"), comps)
+    large = open_.where(F.col("size") > SMALL)
+    if not large.isEmpty():
+        # Where one component has at least half of a large node, those outside meet that
+        # component, once, whichever nodes they share with it; they stay to meet one another.
+        hosted = materialize(_hosts(large), "neardup-hosts")
+        guests = hosted.where("comp <> host")
+        links, comps = _more(links, comps, _compare(_against_hosts(hosted, sketches), sketches, texts, threshold, shingle, percent))
+        left = open_.where(F.col("size") <= SMALL).select("node", "id").unionByName(large.join(hosted.select("node").distinct(), "node", "left_anti").select("node", "id"))
+        open_ = _mixed(left.unionByName(guests.select("node", "id")), comps)
     small = open_.where(F.col("size") <= SMALL).join(sketches, "id").select("node", "id", "comp", "sketch")
     pairs = small.repartition("node").sortWithinPartitions("node").mapInPandas(trimming(_small_nodes(threshold)), "a long, b long")
     links, comps = _more(links, comps, _check(pairs.distinct(), None, texts, shingle, percent))
-    # Large ones are compared whole, block against block: branching further would part pairs.
-    large = _mixed(open_.where(F.col("size") > SMALL).select("node", "id"), comps)
-    links, comps = _more(links, comps, materialize(_families(large, sketches, texts, threshold, shingle, percent), "neardup-families"))
+    large = open_.where(F.col("size") > SMALL)
+    if not large.isEmpty():
+        # No component rules these: block against block.
+        keyed = _in_blocks(_mixed(large.select("node", "id"), comps), sketches)
+        links, comps = _more(links, comps, _compare(keyed, sketches, texts, threshold, shingle, percent))
 
     # Classes with over a thousandth of all rows, a thousand at most, are looked up in a
     # broadcast; the join of the others has no hot key.
@@ -443,10 +443,56 @@ def _placed(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent:
 
 
 def _mixed(members: DataFrame, comps: DataFrame) -> DataFrame:
-    """(node, id, comp, size) of the nodes with more than one component."""
+    """(node, id, comp, size) of the nodes with more than one component; of nodes with the same
+    members, one. A member set's name is its size and two sums of hashes without carry."""
     labelled = members.join(comps, "id", "left").select("node", "id", F.coalesce("comp", "id").alias("comp"))
-    mixed = labelled.groupBy("node").agg(F.count("*").alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
-    return materialize(labelled.join(mixed.select("node", "size"), "node"), "neardup-mixed")
+    mixed = labelled.groupBy("node").agg(
+        F.count("*").alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1"),
+        F.bit_xor(F.xxhash64("id")).alias("s1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("s2"),
+    ).where("c0 <> c1")
+    named = mixed.groupBy("size", "s1", "s2").agg(F.min("node").alias("node"))
+    return materialize(labelled.join(named.select("node", "size"), "node"), "neardup-mixed")
+
+
+def _hosts(large: DataFrame) -> DataFrame:
+    """(node, id, comp, host) of the nodes of which one component, the host, has at least half."""
+    counts = large.groupBy("node", "size", "comp").agg(F.count("*").alias("n"))
+    host = counts.where(F.col("n") * 2 >= F.col("size")).groupBy("node").agg(F.min("comp").alias("host"))
+    return large.join(host, "node").select("node", "id", "comp", "host")
+
+
+def _blocks_of(count: Column, words: Column) -> Column:
+    """Into how many blocks so many documents with so many shingles are cut."""
+    return F.greatest(F.ceil(count / BLOCK), F.ceil(words / BLOCK_SHINGLES)).cast("int")
+
+
+def _against_hosts(hosted: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(g, p, q, side, id, comp): each block of a host's documents with each block of its guests."""
+    each = hosted.select("host", "id", "comp").distinct().join(sketches.select("id", "n"), "id").withColumn("side", F.when(F.col("comp") == F.col("host"), 0).otherwise(1))
+    mine, theirs = F.col("side") == 0, F.col("side") == 1
+    sizes = each.groupBy("host").agg(_blocks_of(F.count_if(mine), F.sum(F.when(mine, F.col("n")))).alias("n0"), _blocks_of(F.count_if(theirs), F.sum(F.when(theirs, F.col("n")))).alias("n1"))
+    one = each.join(sizes, "host").withColumn("own", F.pmod(F.xxhash64("id"), F.when(mine, F.col("n0")).otherwise(F.col("n1"))).cast("int"))
+    out = one.select("host", "side", "id", "comp", "own", F.explode(F.sequence(F.lit(0), F.when(mine, F.col("n1")).otherwise(F.col("n0")) - 1)).alias("other"))
+    return out.select(F.col("host").alias("g"), F.when(mine, F.col("own")).otherwise(F.col("other")).alias("p"), F.when(mine, F.col("other")).otherwise(F.col("own")).alias("q"), "side", "id", "comp")
+
+
+def _in_blocks(members: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(g, p, q, side, id, comp): each two blocks of a node."""
+    each = members.join(sketches.select("id", "n"), "id")
+    sizes = each.groupBy("node").agg(_blocks_of(F.count("*"), F.sum("n")).alias("nb"))
+    one = each.join(sizes, "node").withColumn("i", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
+    # Block i meets every block j >= i as side 0 and every block j <= i as side 1; itself, as one side.
+    out = one.select("node", "id", "comp", "i", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j"))
+    return out.select(F.col("node").alias("g"), F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), F.when(F.col("i") <= F.col("j"), 0).otherwise(1).alias("side"), "id", "comp")
+
+
+def _compare(keyed: DataFrame, sketches: DataFrame, texts: Callable[[DataFrame], DataFrame], threshold: float, k: int, percent: int) -> DataFrame:
+    """Links that join components, from tasks of two blocks each. Sketch and text are put together once
+    for each document, before its copies for the tasks are made."""
+    keyed = materialize(keyed, "neardup-keyed")
+    needed = materialize(texts(keyed.select("id")).join(sketches.select("id", "sketch"), "id"), "neardup-family-texts")
+    full = keyed.join(needed, "id")
+    return materialize(full.groupBy("g", "p", "q").applyInPandas(_family(threshold, k, percent), "a long, b long"), "neardup-families")
 
 
 def _more(links: DataFrame, comps: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -464,19 +510,5 @@ def _check(pairs: DataFrame, sketches: DataFrame | None, texts: Callable[[DataFr
     return materialize(_confirm(good, texts, k, percent).distinct(), "neardup-links")
 
 
-def _families(members: DataFrame, sketches: DataFrame, texts: Callable[[DataFrame], DataFrame], threshold: float, k: int, percent: int) -> DataFrame:
-    """Links that join components in large nodes, block against block."""
-    needed = materialize(texts(members.select("id")), "neardup-family-texts")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    one = members.join(sketches, "id").join(needed, "id").withColumns({"nb": blocks, "block": F.pmod(F.xxhash64("id"), blocks).cast("int")})
-    # Block i meets every block j >= i as side 0 and every block j <= i as side 1; itself, as one side.
-    pairs = one.select("node", "id", "comp", "sketch", "text", F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j"))
-    keyed = pairs.select(
-        "node", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"),
-        F.when(F.col("i") <= F.col("j"), 0).otherwise(1).alias("side"), "id", "comp", "sketch", "text",
-    )
-    return keyed.groupBy("node", "p", "q").applyInPandas(_family(threshold, k, percent), "a long, b long")
-
-
 def op9_neardup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)

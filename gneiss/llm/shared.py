@@ -9,6 +9,7 @@ local session) a temporary folder is chosen.
 from __future__ import annotations
 
 import contextlib
+import re
 import tempfile
 import uuid
 
@@ -23,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="gneiss-shared-")
@@ -69,6 +72,45 @@ def forget(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that no column of ``df`` has, in either case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: Bits of the filter by which rows are picked for a join: two megabytes of bits.
+FILTER_BITS = 1 << 24
+
+
+def _bit(key: Column) -> tuple[Column, Column]:
+    """Word and place of a key in the bit filter."""
+    bit = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    return F.floor(bit / 64), (bit % 64).cast("int")
+
+
+def bit_filter(keys: DataFrame, key: str = "id") -> DataFrame:
+    """(word, bits) of a filter over the hashes of ``key``: at most FILTER_BITS / 64 rows,
+    whatever the number of keys, so it can be broadcast."""
+    word, place = _bit(F.col(key))
+    return keys.select(word.alias("word"), place.alias("place")).groupBy("word").agg(F.expr("bit_or(shiftleft(1L, place))").alias("bits"))
+
+
+def marked(df: DataFrame, keys: DataFrame, key: Column, out: str, name: str = "id") -> DataFrame:
+    """``df`` with the boolean ``out``: whether the row's ``key`` may be among ``keys``. No row is moved for
+    it; a filter too full to help costs only what a join of all rows would."""
+    word, place, bits = fresh(df, "_word", "_place", "_bits")
+    at, inside = _bit(key)
+    held = bit_filter(keys, name).withColumnsRenamed({"word": word, "bits": bits})
+    joined = df.withColumns({word: at, place: inside}).join(F.broadcast(held), word, "left")
+    found = F.coalesce(F.expr(f"shiftright({bits}, {place}) & 1L") == 1, F.lit(False))
+    return joined.withColumn(out, found).drop(word, place, bits)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

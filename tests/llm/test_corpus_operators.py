@@ -111,6 +111,64 @@ def test_large_nodes_are_compared_whole(spark, monkeypatch, seed, lead):
     check(neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), shingle=1, percent=80), docs, 1, 80)
 
 
+def linked_components(docs, k, percent):
+    """As ``components``, by an inverted index, for tables too large for all pairs."""
+    sets = sets_of(docs, k)
+    at = collections.defaultdict(list)
+    up = list(range(len(sets)))
+
+    def find(x):
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    links = []
+    for r, (_, x) in enumerate(sets):
+        common = collections.Counter(q for s in x for q in at[s])
+        for q, c in common.items():
+            if 100 * c >= percent * (len(x) + len(sets[q][1]) - c):
+                links.append((q, r))
+                up[find(q)] = find(r)
+        for s in x:
+            at[s].append(r)
+    return [find(r) for r in range(len(sets))], links
+
+
+@pytest.mark.parametrize(("k", "percent"), [(3, 85), (5, 80)])
+def test_recall_on_the_driver_table(spark, k, percent):
+    """Every link of a row whose id is divisible by 50, against all rows, and nothing but links."""
+    df = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")
+    docs = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
+    roots, links = linked_components(docs, k, percent)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(df, shingle=k, percent=percent).collect()}
+    asked = [(a, b) for a, b in links if docs[a][0] % 50 == 0 or docs[b][0] % 50 == 0]
+    assert asked and all(got[docs[a][0]] == got[docs[b][0]] for a, b in asked)
+    least = {}
+    for r, (i, _) in zip(roots, docs, strict=True):
+        least[r] = min(least.get(r, i), i)
+    assert got == {i: least[r] for r, (i, _) in zip(roots, docs, strict=True)}
+
+
+@pytest.mark.parametrize("linked", [True, False])
+def test_families_over_several_blocks(spark, monkeypatch, linked):
+    """Families of which one component is most, and of which most are linked with nothing; many blocks."""
+    monkeypatch.setattr(neardup, "SMALL", 6)
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    seen = []
+    inner = neardup._compare
+    monkeypatch.setattr(neardup, "_compare", lambda keyed, *a: seen.append(keyed.select("g", "p", "q").distinct().count()) or inner(keyed, *a))
+    rng = random.Random(17)
+    base, texts = prose(rng, 90).split(" "), []
+    for i in range(160):
+        change = (0.004 if i % 3 else 0.03) if linked else 0.045
+        texts.append(" ".join(prose(rng, 1) if rng.random() < change else w for w in base))
+    docs = list(enumerate(texts))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    check(neardup.near_duplicates(df, shingle=3, percent=85), docs, 3, 85)
+    assert max(seen) > 4
+
+
 def test_word_hashes_follow_the_words():
     a = neardup.word_hashes(b"one two\tone\x0btwo three")
     assert a[0] == a[2] and a[1] == a[3] and len(set(a.tolist())) == 3 and len(neardup.word_hashes(b" \n")) == 0
