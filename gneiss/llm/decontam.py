@@ -1,22 +1,24 @@
-"""Benchmark decontamination with an Aho-Corasick automaton.
+"""Benchmark decontamination with one Aho-Corasick automaton.
 
 Texts are normalised to words: A-Z in lower case, then the runs of
 ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``. A window is 13 consecutive words of an item (all of
-them, if it has fewer). The windows of all items, as word strings with a blank on
-both sides, become the patterns of an automaton; a document, normalised the same way,
-is scanned once, and each hit is mapped back from the normalised string to words and
-to code points of the original text.
-
-The automaton grows with the benchmark, never with the documents. Items are packed
-into blocks of at most ``BLOCK_CHARS`` normalised characters; one block is one scan, so a
-worker holds one automaton of bounded size however large the benchmark is. With more
-than one block the hit words of a document meet in an aggregate, at most one row for each
-block in which it is hit.
+them, if it has fewer). The automaton's patterns are, of every item, ``ANCHOR`` words at every
+``STRIDE``-th place: each window of 13 holds one of them whole; an item of fewer words is one
+pattern. A document is normalised the same way and scanned once. Where a pattern occurs, the
+equal words to both sides are counted against the item: 13 or more are windows, and all of them are hit.
+Hits are word ranges, mapped back to code points of the original text.
+
+Words are written as codes of fixed width over a small alphabet for each place, so that a node
+has few children and a match can't begin inside a word. The automaton grows with the
+benchmark, never with the documents: about half a node of 32 bytes for each code
+letter of a benchmark word. A benchmark of more than ``MOST_WORDS`` words is refused: its
+automaton would take over 0.3 GB in each worker. Up to there the plan is always the same.
 
 Defined cases: null or empty text has no words and no hit; an item without words has no
 window; repeated items (same id) count once; a null item id is not reported, though its
-words are hit; repeated documents are judged alike, each on its own; an empty
-benchmark leaves every document clean.
+words are hit; repeated documents are judged alike, each on its own; ties don't arise, since every
+item with a window in the text is named; a very long text is one string of codes, scanned whole; an
+empty benchmark leaves every document clean; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -29,12 +31,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import LOWER, UPPER, materialize, table, trim
+from .shared import LOWER, UPPER, fresh, table, trim
 
 WINDOW = 13
-#: Normalised characters of the items in one automaton. Each window pattern adds at
-#: most its own length of trie nodes, about 13 times the item's characters in all.
-BLOCK_CHARS = 400_000
+ANCHOR, STRIDE = 5, 9
+MOST_WORDS = 4_000_000
+#: Bits of a code letter.
+BITS = 6
 _FOLD = str.maketrans(UPPER, LOWER)
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -48,118 +51,116 @@ def spans(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in _WORD.finditer(text.translate(_FOLD))]
 
 
-def blocks(items, size: int = BLOCK_CHARS) -> Iterator[list[tuple[str | None, list[str]]]]:
-    """(id, words) of the items, in blocks of at most ``size`` characters (or one item)."""
-    now, held = [], 0
+def gather(items, most: int = MOST_WORDS) -> list[tuple[str | None, str]]:
+    """(id, words joined by blanks) of the items, each once; at most ``most`` words in all."""
+    seen, total = {}, 0
     for item_id, text in items:
         words = normal(text)
-        if not words:
-            continue
-        n = sum(map(len, words)) + len(words)
-        if now and held + n > size:
-            yield now
-            now, held = [], 0
-        now.append((None if item_id is None else str(item_id), words))
-        held += n
-    if now:
-        yield now
-
-
-def automaton(items: list[tuple[str | None, list[str]]]):
-    """Patterns to (number of words, indexes of the items that have the window)."""
-    import ahocorasick
-
-    windows: dict[str, tuple[int, set[int]]] = {}
-    for k, (_, words) in enumerate(items):
-        n = min(WINDOW, len(words))
-        for i in range(len(words) - n + 1):
-            windows.setdefault(" ".join(["", *words[i : i + n], ""]), (n, set()))[1].add(k)
-    out = ahocorasick.Automaton()
-    for pattern, (n, who) in windows.items():
-        out.add_word(pattern, (n, tuple(sorted(who))))
-    out.make_automaton()
-    return out
-
-
-def scan(auto, words: list[str]) -> tuple[list[tuple[int, int]], set[int]]:
-    """Merged [start, end) word ranges inside occurrences of windows, and the items."""
-    if not words:
-        return [], set()
-    plain = " ".join(["", *words, ""])
-    hits, who = [], set()
-    at, seen = 0, 0  # words of plain[:at] that have ended
-    for end, (n, items) in auto.iter(plain):
-        # Word k is followed by the (k + 2)th blank; matches come in order of their end.
-        seen += plain.count(" ", at, end + 1)
-        at = end + 1
-        last = seen - 1
-        if hits and last - n <= hits[-1][1] and last - n >= hits[-1][0]:
-            hits[-1][1] = max(hits[-1][1], last)
-        else:
-            hits.append([last - n, last])
-        who.update(items)
-    merged: list[list[int]] = []
-    for a, b in sorted(hits):
-        if merged and a <= merged[-1][1]:
-            merged[-1][1] = max(merged[-1][1], b)
-        else:
-            merged.append([a, b])
-    return [(a, b) for a, b in merged], who
-
-
-_cache: dict[str, object] = {}
-
-
-def _held(key: str, items):
-    """One automaton per worker process: the block's, built at its first use."""
+        key = (None if item_id is None else str(item_id), " ".join(words))
+        if words and key not in seen:
+            total += len(words)
+            if total > most:
+                raise ValueError(f"the benchmark has more than {most} words; one automaton can't hold it")
+            seen[key] = None
+    return list(seen)
+
+
+class Automaton:
+    """All items' anchors, and the items' words to compare with on both sides of one."""
+
+    def __init__(self, items: list[tuple[str | None, str]]):
+        import ahocorasick
+
+        vocabulary = sorted({w for _, text in items for w in text.split(" ")})
+        self.width = max(1, -(-len(vocabulary).bit_length() // BITS))
+        letters = [[chr(0x100 + (place << BITS) + x) for x in range(1 << BITS)] for place in range(self.width)]
+        self.codes = {w: "".join(letters[place][n >> (BITS * place) & (1 << BITS) - 1] for place in range(self.width)) for n, w in enumerate(vocabulary)}
+        self.unknown = "\0" * self.width
+        self.ids = [item_id for item_id, _ in items]
+        self.items = ["".join(map(self.codes.__getitem__, text.split(" "))) for _, text in items]
+        places: dict[str, list[tuple[int, int]]] = {}
+        for k, coded in enumerate(self.items):
+            n = len(coded) // self.width
+            step, size = (STRIDE, ANCHOR) if n >= WINDOW else (n, n)
+            for at in range(0, n - size + 1, step):
+                places.setdefault(coded[at * self.width : (at + size) * self.width], []).append((k, at))
+        self.trie = ahocorasick.Automaton()
+        for pattern, where in places.items():
+            self.trie.add_word(pattern, (len(pattern) // self.width, tuple(where)))
+        self.trie.make_automaton()
+
+    def scan(self, words: list[str]) -> tuple[list[tuple[int, int]], set[int]]:
+        """Merged [start, end) word ranges inside occurrences of windows, and the items."""
+        if not words or not self.items:
+            return [], set()
+        width, code = self.width, self.codes.get
+        plain = "".join([code(w, self.unknown) for w in words])
+        hits, who, done = [], set(), {}
+        for last, (n, where) in self.trie.iter(plain):
+            end = (last + 1) // width
+            for k, at in where:
+                shift = end - n - at  # the document's place of the item's first word
+                if done.get((k, shift), 0) >= end:
+                    continue  # a run that has been measured
+                item, a, b = self.items[k], end - n, end
+                most = min(len(words), shift + len(item) // width)
+                while a > max(0, shift) and plain[(a - 1) * width : a * width] == item[(a - 1 - shift) * width : (a - shift) * width]:
+                    a -= 1
+                while b < most and plain[b * width : (b + 1) * width] == item[(b - shift) * width : (b + 1 - shift) * width]:
+                    b += 1
+                done[k, shift] = b
+                if b - a >= min(WINDOW, len(item) // width):
+                    hits.append((a, b))
+                    who.add(k)
+        merged: list[list[int]] = []
+        for a, b in sorted(hits):
+            if merged and a <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], b)
+            else:
+                merged.append([a, b])
+        return [(a, b) for a, b in merged], who
+
+
+_cache: dict[str, Automaton] = {}
+
+
+def _held(key: str, items) -> Automaton:
+    """One automaton in a worker process, built at its first use."""
     if key not in _cache:
         _cache.clear()
-        _cache[key] = automaton(items)
+        _cache[key] = Automaton(items)
     return _cache[key]
 
 
-def decontaminate(docs: DataFrame, bench: DataFrame, id_col="doc_id", text_col="text", item_id="item_id", item_text="text", keep_text=False) -> DataFrame:
+def decontaminate(docs: DataFrame, bench: DataFrame, id_col="doc_id", text_col="text", item_id="item_id", item_text="text", keep_text=False, out="_hits") -> DataFrame:
     """Per row of ``docs``: id, n_words, n_hit, n_items, items (sorted ids), spans (code
     points of hit runs in the original text), contaminated. With ``keep_text`` instead all
-    columns of ``docs``, whatever their names, and the struct ``_hits``."""
-    spark = docs.sparkSession
-    rows = ((r[0], r[1]) for r in bench.select(item_id, item_text).toLocalIterator())  # a block at a time
-    parts = list(blocks(rows)) or [[]]
-    keys = [hashlib.sha256(repr(p).encode()).hexdigest() for p in parts]
-    carried = docs if keep_text else docs.select(id_col, text_col)
-    mark = "n_words bigint, n_hit bigint, items array<string>, ranges array<struct<s:int,e:int>>, spans array<struct<s:int,e:int>>"
-
-    def scanner(part, key):
-        shared = spark.sparkContext.broadcast(part)  # at most BLOCK_CHARS
-
-        @F.pandas_udf(mark)
-        def hits(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-            auto = _held(key, shared.value)
-            for texts in batches:
-                found = []
-                for text in texts:
-                    words = normal(text)
-                    ranges, who = scan(auto, words) if len(auto) else ([], set())
-                    at = spans(text) if ranges else []
-                    items = sorted({shared.value[k][0] for k in who} - {None})
-                    found.append((len(words), sum(b - a for a, b in ranges), items, [{"s": a, "e": b} for a, b in ranges], [{"s": at[a][0], "e": at[b - 1][1]} for a, b in ranges]))
-                yield pd.DataFrame(found, columns=["n_words", "n_hit", "items", "ranges", "spans"])
-            trim()
-
-        return hits
-
-    if len(parts) == 1:
-        done = carried.withColumn("_hits", scanner(parts[0], keys[0])(F.col(text_col)))
-        done = done if keep_text else done.drop(text_col)
-    else:
-        done = _many(carried, parts, keys, scanner, text_col, keep_text)
+    columns of ``docs``, whatever their names, and the struct ``out``."""
+    items = gather((r[0], r[1]) for r in bench.select(item_id, item_text).toLocalIterator())
+    key = hashlib.sha256(repr(items).encode("utf-8", "surrogatepass")).hexdigest()
+    shared = docs.sparkSession.sparkContext.broadcast(items)  # at most MOST_WORDS words
+
+    @F.pandas_udf("n_words bigint, n_hit bigint, items array<string>, spans array<struct<s:int,e:int>>")
+    def hits(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        auto = _held(key, shared.value)
+        for texts in batches:
+            found = []
+            for text in texts:
+                words = normal(text)
+                ranges, who = auto.scan(words)
+                at = spans(text) if ranges else []
+                found.append((len(words), sum(b - a for a, b in ranges), sorted({auto.ids[k] for k in who} - {None}), [{"s": at[a][0], "e": at[b - 1][1]} for a, b in ranges]))
+            yield pd.DataFrame(found, columns=["n_words", "n_hit", "items", "spans"])
+        trim()
+
     if keep_text:
-        return done
-    h = F.col("_hits")
-    return done.withColumns({
-        "n_words": h["n_words"], "n_hit": h["n_hit"], "n_items": F.size(h["items"]).cast("long"), "items": h["items"], "spans": h["spans"],
-        "contaminated": contaminated(h),
-    }).drop("_hits")
+        return docs.withColumn(out, hits(F.col(text_col)))
+    (name,) = fresh(docs, "_hits")
+    h = F.col(name)
+    return docs.select(id_col, hits(F.col(text_col)).alias(name)).select(
+        id_col, h["n_words"].alias("n_words"), h["n_hit"].alias("n_hit"), F.size(h["items"]).cast("long").alias("n_items"),
+        h["items"].alias("items"), h["spans"].alias("spans"), contaminated(h).alias("contaminated"),
+    )
 
 
 def contaminated(hits):
@@ -167,30 +168,6 @@ def contaminated(hits):
     return (hits["n_hit"] > 0) & (20 * hits["n_hit"] >= hits["n_words"])
 
 
-def _many(carried, parts, keys, scanner, text_col, keep_text):
-    """One scan for each block; what they find of a text meets by the text's digest, so
-    equal texts share one result and no row needs a number."""
-    base = carried.withColumn("_text_key", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    found = None
-    for part, key in zip(parts, keys, strict=True):
-        one = base.select("_text_key", scanner(part, key)(F.col(text_col)).alias("_hits"))
-        one = materialize(one.where(F.size("_hits.ranges") > 0).dropDuplicates(["_text_key"]), "decontam-block")
-        found = one if found is None else found.unionByName(one)
-    flat = found.groupBy("_text_key").agg(F.flatten(F.collect_list("_hits.items")).alias("_items"), F.flatten(F.collect_list("_hits.ranges")).alias("_r"), F.flatten(F.collect_list("_hits.spans")).alias("_p"))
-    covered = lambda c: F.aggregate(  # noqa: E731  union of ranges, sorted by start
-        F.sort_array(c), F.array().cast("array<struct<s:int,e:int>>"),
-        lambda acc, x: F.when((F.size(acc) > 0) & (x["s"] <= F.element_at(acc, -1)["e"]),
-                              F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["s"].alias("s"), F.greatest(F.element_at(acc, -1)["e"], x["e"]).alias("e")))))
-        .otherwise(F.concat(acc, F.array(x))))
-    merged = flat.select("_text_key", F.array_sort(F.array_distinct("_items")).alias("_items"), covered(F.col("_r")).alias("_r"), covered(F.col("_p")).alias("_p"))
-    n_words = F.regexp_count(F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")).cast("long")
-    joined = base.join(merged, "_text_key", "left").withColumn("_hits", F.struct(
-        n_words.alias("n_words"), F.coalesce(F.aggregate("_r", F.lit(0).cast("long"), lambda a, x: a + x["e"] - x["s"]), F.lit(0).cast("long")).alias("n_hit"),
-        F.coalesce("_items", F.array().cast("array<string>")).alias("items"), F.coalesce("_r", F.array()).alias("ranges"), F.coalesce("_p", F.array()).alias("spans"),
-    )).drop("_items", "_r", "_p", "_text_key")
-    return joined if keep_text else joined.drop(text_col)
-
-
 def op2_decontam(spark, sf_dir: str) -> DataFrame:
     out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")

@@ -9,8 +9,9 @@ Words are the runs of ``[^\\x20\\x09-\\x0D]+``. Windows of five words are compar
 64-bit hash; within one text of 20,000 words a false match has probability 1e-11.
 
 Defined cases: a null or empty text has no words and is not kept; ties and repeated
-rows are judged one by one, alike; an empty table gives an empty result; further
-columns are not read.
+rows are judged one by one, alike; very long texts are arrays of their words in one row's memory,
+without a prefix; an empty table gives an empty result; further columns, whatever their names, are
+carried and not read.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import let, table, words
+from .shared import fresh, let, table, words
 
 WINDOW = 5
 SYMBOLS = r"[#*$%&|<>]"
@@ -80,8 +81,8 @@ def _repeat_words(hashes: Column) -> Column:
     return F.when(n < WINDOW, F.lit(0)).otherwise(some)
 
 
-def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with a struct column ``_q`` of all statistics. The steps are kept apart
+def statistics(docs: DataFrame, text_col: str = "text", out: str = "_q") -> DataFrame:
+    """``docs`` with a struct column ``out`` of all statistics. The steps are kept apart
     so that words, lines and hashes are arrays in memory before lambdas read them."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -100,21 +101,22 @@ def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
             F.size(F.filter(ls, lambda x: x.rlike("(\\.\\.\\.|…)\\s*$"))).alias("dots"),
         )
 
-    w, ln = F.col("_w"), F.col("_l")
+    names = fresh(docs, "_w", "_l", "_s")
+    w, ln, symbols = (F.col(c) for c in names)
     each = docs.withColumns({
-        "_w": let(words(F.col(text_col)), of_words),
-        "_l": let(lines, of_lines),
-        "_s": F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long"),
+        names[0]: let(words(F.col(text_col)), of_words),
+        names[1]: let(lines, of_lines),
+        names[2]: F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long"),
     })
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
-    return each.withColumn("_q", F.struct(
-        w["n_words"].alias("n_words"), w["word_chars"].alias("word_chars"), F.col("_s").alias("n_symbols"),
+    return each.withColumn(out, F.struct(
+        w["n_words"].alias("n_words"), w["word_chars"].alias("word_chars"), symbols.alias("n_symbols"),
         ln["dup"].alias("n_dup_lines"), w["n_repeat_words"].alias("n_repeat_words"),
-        ratio(w["word_chars"], w["n_words"]).alias("mean_word_chars"), ratio(F.col("_s"), w["n_words"]).alias("symbols_per_word"),
+        ratio(w["word_chars"], w["n_words"]).alias("mean_word_chars"), ratio(symbols, w["n_words"]).alias("symbols_per_word"),
         ratio(w["stops"], w["n_words"]).alias("stop_word_ratio"), ratio(ln["dup"], ln["n"]).alias("dup_line_ratio"),
         ratio(ln["bullets"], ln["n"]).alias("bullet_line_ratio"), ratio(ln["dots"], ln["n"]).alias("ellipsis_line_ratio"),
         ratio(100 * w["n_repeat_words"], w["n_words"]).alias("repeat_percent"),
-    )).drop("_w", "_l", "_s")
+    )).drop(*names)
 
 
 def fails(rule: Rule, stats: str = "_q") -> Column:
@@ -124,22 +126,27 @@ def fails(rule: Rule, stats: str = "_q") -> Column:
     return (F.col(f"{stats}.n_words") >= rule.from_words) & (low | high)
 
 
-def score(docs: DataFrame, text_col: str = "text", rules=RULES, base=BASE) -> DataFrame:
-    """``docs`` with ``_q``, ``base_failed``, ``failed`` (names of the rules that fail) and ``kept``."""
+def score(docs: DataFrame, text_col: str = "text", rules=RULES, base=BASE, out: str = "_q") -> DataFrame:
+    """``docs`` with the struct ``out``: the statistics, base_failed, failed (names of the rules that
+    fail) and kept."""
+    (q,) = fresh(docs, "_q")
     base_failed = F.lit(False)
     for r in base:
         # The base rule compares whole numbers; 100 * n > 20 * m is exact.
-        bad = 100 * F.col("_q.n_repeat_words") > r.most * F.col("_q.n_words") if r.statistic == "repeat_percent" else fails(r)
+        bad = 100 * F.col(f"{q}.n_repeat_words") > r.most * F.col(f"{q}.n_words") if r.statistic == "repeat_percent" else fails(r, q)
         base_failed = base_failed | bad
-    failed = F.array_compact(F.array(*[F.when(fails(r), F.lit(r.name)) for r in rules])) if rules else F.array().cast("array<string>")
-    out = statistics(docs, text_col).withColumns({"base_failed": base_failed, "failed": failed})
-    return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0))
+    failed = F.array_compact(F.array(*[F.when(fails(r, q), F.lit(r.name)) for r in rules])) if rules else F.array().cast("array<string>")
+    found = statistics(docs, text_col, q)
+    known = [F.col(f"{q}.{c}").alias(c) for c in found.schema[q].dataType.names]
+    judged = found.withColumn(q, F.struct(*known, base_failed.alias("base_failed"), failed.alias("failed")))
+    kept = ~F.col(f"{q}.base_failed") & (F.size(f"{q}.failed") == 0)
+    done = judged.withColumn(q, F.col(q).withField("kept", kept))
+    return done if q == out else done.withColumn(out, F.col(q)).drop(q)
 
 
 def op1_quality(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    q = score(docs)
-    return q.select("doc_id", *[f"_q.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "base_failed", "kept")
+    return score(docs).select("doc_id", *[f"_q.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
 
 
 _STOPS = ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS)))

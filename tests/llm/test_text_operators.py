@@ -1,6 +1,7 @@
 """Quality, contamination, languages, secrets, chat: against brute force."""
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -23,25 +24,58 @@ def test_words(spark, edge, edge_docs):
 def test_quality_rules_keep_prose_and_drop_symbols(spark):
     rows = [(1, "The cat of the house and the dog in the garden with a ball " * 1 + "and that is all of it for now"), (2, "### $$$ %%% " * 30), (3, None)]
     out = {r.doc_id: r for r in quality.score(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
-    assert out[1].kept and not out[2].kept and not out[3].kept and out[3].base_failed
-
-
-def test_many_blocks_find_what_one_does(spark, edge, monkeypatch):
-    docs, bench = spark.read.parquet(f"{edge}/documents.parquet"), spark.read.parquet(f"{edge}/benchmark.parquet")
-    one = decontam.decontaminate(docs, bench)
-    blocks = decontam.blocks
-    monkeypatch.setattr(decontam, "blocks", lambda items: blocks(items, 30))
-    many = decontam.decontaminate(docs, bench)
-    assert sorted(map(str, one.collect())) == sorted(map(str, many.collect()))
-    kept = decontam.decontaminate(docs, bench, keep_text=True)
-    assert kept.columns[: len(docs.columns)] == docs.columns or "_hits" in kept.columns
+    assert out[1]._q.kept and not out[2]._q.kept and not out[3]._q.kept and out[3]._q.base_failed
+
+
+def test_one_automaton_for_a_large_benchmark(spark, edge):
+    """Over 400,000 characters of further items: the same plan and, but for their own hits, the same result."""
+    rng = random.Random(4)
+    docs, bench = spark.read.parquet(f"{edge}/documents.parquet"), spark.read.parquet(f"{edge}/benchmark.parquet").select("item_id", "text")
+    long = [r.text for r in docs.collect() if r.text and len(r.text) > 100_000][0]
+    far = [(1000 + i, " ".join(f"w{rng.getrandbits(20)}" for _ in range(90))) for i in range(700)]
+    near = [(5000, " ".join(long.split(" ")[700:713])), (5001, " ".join(long.split(" ")[900:912])), (5002, "zz " + " ".join(long.split(" ")[900:912]))]
+    assert sum(len(t) for _, t in far) > 400_000
+    small, large = (decontam.decontaminate(docs, b) for b in (bench, bench.unionByName(spark.createDataFrame(far, "item_id long, text string"))))
+    assert sorted(map(str, small.collect())) == sorted(map(str, large.collect()))
+    shape = lambda df: [x.split("#")[0].strip() for x in df._jdf.queryExecution().executedPlan().toString().split("\n")]
+    assert shape(small) == shape(large)
+    out = {r.doc_id: r for r in decontam.decontaminate(docs, bench.unionByName(spark.createDataFrame(near, "item_id long, text string"))).collect() if r.n_words > 20_000}
+    r = next(iter(out.values()))
+    assert {"5000", "5001"} <= set(r["items"]) and "5002" not in r["items"] and r.n_hit >= 25
+    with pytest.raises(ValueError):
+        decontam.gather([(1, "a b c")], most=2)
+
+
+def test_windows_by_brute_force():
+    """Random texts over few words, so that windows overlap and repeat: hit words and items of each."""
+    rng = random.Random(12)
+    for _ in range(300):
+        vocabulary = [f"w{i}" for i in range(rng.choice([1, 2, 3, 40]))]
+        items = [(str(k), [rng.choice(vocabulary) for _ in range(rng.choice([1, 2, 12, 13, 14, 25, 40]))]) for k in range(rng.randint(1, 6))]
+        words = [rng.choice([*vocabulary, "other"]) for _ in range(rng.randint(0, 60))]
+        for _, x in rng.sample(items, min(2, len(items))):
+            at, cut = rng.randint(0, len(words)), rng.randint(0, len(x))
+            words[at:at] = x[cut:] if rng.random() < 0.5 else x
+        hit, who = set(), set()
+        for k, x in items:
+            n = min(13, len(x))
+            grams = {tuple(x[i : i + n]) for i in range(len(x) - n + 1)}
+            for i in range(len(words) - n + 1):
+                if tuple(words[i : i + n]) in grams:
+                    hit |= set(range(i, i + n))
+                    who.add(k)
+        held = decontam.gather((k, " ".join(x)) for k, x in items)
+        auto = decontam.Automaton(held)
+        ranges, found = auto.scan(words)
+        assert {i for a, b in ranges for i in range(a, b)} == hit and {auto.ids[k] for k in found} == who
+        assert all(a < b for a, b in ranges) and all(x[1] < y[0] for x, y in zip(ranges, ranges[1:]))
 
 
 def test_spans_point_at_the_original():
     text = "Ab, CD!ef -- Éx"
     assert [text[a:b] for a, b in decontam.spans(text)] == ["Ab", "CD", "ef", "Éx"]
-    auto = decontam.automaton([("i", ["cd", "ef"]), ("j", ["ef"])])
-    assert decontam.scan(auto, decontam.normal(text)) == ([(1, 3)], {0, 1})
+    auto = decontam.Automaton([("i", "cd ef"), ("j", "ef")])
+    assert auto.scan(decontam.normal(text)) == ([(1, 3)], {0, 1})
 
 
 # ---- languages ----
