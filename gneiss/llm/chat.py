@@ -15,8 +15,9 @@ step joins the pieces. The digests of one conversation need its text in one valu
 hence a conversation's text must stay below the 2 GB of one string.
 
 Defined cases: null role or text is empty; turns are ordered by (turn, role, text),
-a null turn last; repeated rows are repeated turns; a null conversation id is a
-conversation; an empty table has no conversation; other columns are not read.
+a null turn last, and all null or equal turns of a conversation are in one piece; repeated rows are
+repeated turns; a null conversation id is a conversation; an empty table has no conversation;
+other columns, whatever their names, are not read: a table is known by the fields of its layout.
 """
 
 from __future__ import annotations
@@ -99,12 +100,40 @@ def _turns(mapping: dict, get) -> Column:
     return F.filter(made, lambda m: m["text"].isNotNull() & (m["text"] != ""))
 
 
+def layout_of(schema: StructType, rows: bool) -> tuple[str, dict, list[str]]:
+    """Name, mapping and top fields of the layout whose fields a table has: the fingerprint of all of its
+    fields, or, where other columns stand beside them, of the largest layout within them."""
+    paths = {f.name: field_paths(f.dataType, f.name) for f in schema.fields}
+    best = None
+    for name, x in LAYOUTS.items():
+        if ("rows" in x) != rows:
+            continue
+        tops = sorted({p.partition("[]")[0] for p in x["paths"]})
+        if any(t not in paths for t in tops):
+            continue
+        mark = fingerprint(p for t in tops for p in paths[t] if p in x["paths"])
+        if mark in MAPPINGS and MAPPINGS[mark][0] == name and (best is None or len(x["paths"]) > len(best[1]["paths"])):
+            best = name, x, tops
+    if best is None:
+        raise ValueError(f"no mapping for the fields {sorted(p for ps in paths.values() for p in ps)}")
+    return best
+
+
 def table_turns(df: DataFrame, id_col: str) -> DataFrame:
-    """(conv, turns) of a table whose schema, without the id, has a known fingerprint."""
-    paths = [p for f in df.schema.fields if f.name != id_col for p in field_paths(f.dataType, f.name)]
-    if (found := MAPPINGS.get(fingerprint(paths))) is None or "rows" in found[1]:
-        raise ValueError(f"no mapping for the fields {sorted(paths)}")
-    return df.select(F.col(id_col).alias("conv"), _turns(found[1], lambda at, kind: F.col(at).cast(kind)).alias("turns"))
+    """(conv, turns) of a table that has the fields of a known layout; other columns are not read."""
+    _, mapping, tops = layout_of(StructType([f for f in df.schema.fields if f.name != id_col]), rows=False)
+    kept = df.select(F.col(f"`{id_col}`").alias("conv"), F.struct(*[F.col(f"`{t}`") for t in tops]).alias("r"))
+    return kept.select("conv", _turns(mapping, lambda at, kind: _field(kept, at, kind)).alias("turns"))
+
+
+def _field(kept: DataFrame, at: str, kind: str) -> Column:
+    """A field of the record, a list of messages brought to the names and order of ``kind``."""
+    value, held = F.col(f"r.`{at}`"), kept.schema["r"].dataType[at].dataType
+    if not isinstance(held, ArrayType):
+        return value.cast(kind)
+    wanted = [c for c in held.elementType.names if f"`{c}` string" in kind]
+    wanted.sort(key=lambda c: kind.index(f"`{c}` string"))
+    return F.transform(value, lambda m: F.struct(*[m[c].cast("string").alias(c) for c in wanted]))
 
 
 def json_turns(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
@@ -210,7 +239,7 @@ def digests(pieces: DataFrame, conv="conv_id") -> DataFrame:
 
 def op8_chat(spark, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")
-    name, mapping = MAPPINGS[fingerprint(field_paths(rows.schema))]
+    _, mapping, _ = layout_of(rows.schema, rows=True)
     rows = rows.select(*[F.col(c).alias(k) for c, k in zip(mapping["rows"], ("conv_id", "turn", "role", "text"), strict=True)])
     tricky = f"{END}{START}assistant ok"
     ours = spark.range(1).select(
