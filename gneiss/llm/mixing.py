@@ -5,21 +5,22 @@ keys define a random order; the mix takes the source's whole budget off the fron
 of that order, repeating full epochs when the budget exceeds the source. Nothing
 sorts a whole source: the key's leading hex digits range-partition it, the
 distributed prefix sum of words by (source, range) finds the one range in which
-each source's cut lies, and only the rows of those ranges are ordered. What is
+each source's cut lies, the next digits do the same within that range, and only the rows
+of the range that is left are ordered. What is
 taken of a row is then a map-side expression over one small row per source.
 
 Defined cases: a null text has no words; a null source is a source of its own,
 ranked last; rows with equal keys (repeated ids) at the cut share what is left in
 proportion to their size, rounded down; an empty table gives an empty result; a
-source without words has target 0. Columns of the input that clash with the
-result's names are not read unless named as parameters.
+source without words has target 0; a very long text is one row of its size, cut like any other.
+Columns of the input that clash with the result's names are not read unless named as parameters.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from .shared import count_words, forget, fresh_path, materialize, table
@@ -28,8 +29,10 @@ from .shared import count_words, forget, fresh_path, materialize, table
 #: nature. Beyond this number the caller has passed an id as the source.
 MAX_SOURCES = 1_000_000
 
-#: Hex digits of the key that make a range: 16**3 ranges per source.
+#: Hex digits of the key that make a range: 16**3 ranges per source, and as many in the range of
+#: its cut, so that one in 16**6 of a source's rows is put in order.
 RANGE_DIGITS = 3
+LEVELS = 2
 
 
 def targets(sizes: dict[str | None, int], weights=(5, 2, 1), share: float = 1.5, most: float = 2.0) -> dict[str | None, float]:
@@ -56,6 +59,9 @@ _PLAN = StructType([
 ])
 
 
+_RANGE = StructType([StructField("_n", LongType()), StructField("_src", StringType()), StructField("_to", StringType()), StructField("_before", LongType()), StructField("_rest", LongType())])
+
+
 def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=(5, 2, 1), share=1.5, most=2.0, seed="mix-0", keep=()) -> DataFrame:
     """Rows of ``docs`` as (id, size, source_size, target, taken, source, *keep).
     ``taken`` is the words that the mix takes of the row, repeats counted: a value
@@ -83,18 +89,26 @@ def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source",
         plan.append((src, n, whole, float(goal), epochs, budget - epochs * whole))
     plans = spark.createDataFrame(plan, _PLAN)
 
-    # The distributed prefix sum: words by (source, range), then the range of each source's cut.
-    upto = Window.partitionBy("_src").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    by_range = sums.withColumn("_before", F.coalesce(F.sum("w").over(upto), F.lit(0)))
-    ranges = by_range.join(F.broadcast(plans), by_range["_src"].eqNullSafe(plans["_src"])).where(
-        (F.col("_before") <= F.col("_rest")) & (F.col("_rest") < F.col("_before") + F.col("w"))
-    ).select("_n", by_range["_src"], "_range", "_before", "_rest")
-    # Only the rows of those ranges (one in 16**RANGE_DIGITS of a source) are put in order.
+    # The distributed prefix sum: words by (source, range), then the range of each source's cut, and
+    # the same again within that range.
+    inside, ranges, held = None, None, sums.withColumnRenamed("_range", "_to")
+    for level in range(LEVELS):
+        upto = Window.partitionBy("_src").orderBy("_to").rowsBetween(Window.unboundedPreceding, -1)
+        by_range = held.withColumn("_before", F.coalesce(F.sum("w").over(upto), F.lit(0)))
+        known = plans.select("_n", "_src", "_rest", F.lit(0).cast("long").alias("_from")) if ranges is None else ranges.select("_n", "_src", "_rest", F.col("_before").alias("_from"))
+        ranges = by_range.join(F.broadcast(known), by_range["_src"].eqNullSafe(known["_src"])).select(
+            "_n", known["_src"], "_to", (F.col("_from") + F.col("_before")).alias("_before"), "_rest", "w"
+        ).where((F.col("_before") <= F.col("_rest")) & (F.col("_rest") < F.col("_before") + F.col("w")))
+        # At most one row for each source: a literal table, so that what follows doesn't compute it again.
+        found = ranges.select("_n", "_src", "_to", "_before", "_rest").collect()
+        ranges = spark.createDataFrame([tuple(r) for r in found], _RANGE)
+        at = narrow.withColumn("_to", F.substring("_key", 1, RANGE_DIGITS * (level + 1)))
+        inside = at.join(F.broadcast(ranges), at["_src"].eqNullSafe(ranges["_src"]) & (at["_to"] == ranges["_to"])).select("_n", narrow["_src"].alias("_src"), "_key", "size", "_before", "_rest")
+        if level + 1 < LEVELS:
+            held = inside.groupBy("_src", F.substring("_key", 1, RANGE_DIGITS * (level + 2)).alias("_to")).agg(F.sum("size").alias("w"))
     within = Window.partitionBy("_n").orderBy("_key").rowsBetween(Window.unboundedPreceding, -1)
-    at = narrow.withColumn("_range", part)
     cut = (
-        at.join(F.broadcast(ranges), at["_src"].eqNullSafe(ranges["_src"]) & (at["_range"] == ranges["_range"]))
-        .groupBy("_n", "_key").agg(F.sum("size").alias("w"), F.first("_before").alias("_b"), F.first("_rest").alias("_r"))
+        inside.groupBy("_n", "_key").agg(F.sum("size").alias("w"), F.first("_before").alias("_b"), F.first("_rest").alias("_r"))
         .withColumn("_b", F.col("_b") + F.coalesce(F.sum("w").over(within), F.lit(0)))
         .where((F.col("_b") <= F.col("_r")) & (F.col("_r") < F.col("_b") + F.col("w")))
         .select("_n", F.col("_key").alias("_cut"), (F.col("_r") - F.col("_b")).alias("_part"), F.col("w").alias("_tied"))
