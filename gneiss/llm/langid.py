@@ -31,6 +31,8 @@ SEGMENT = 128
 TILE = 2048
 SAMPLE = 600
 EXCERPT = 256
+#: With more language names than this, the column is refused.
+MOST_LANGUAGES = 1000
 BATCH = 128
 STEPS = 450
 RATE = 0.02
@@ -208,18 +210,18 @@ def pool(w, texts: list[bytes]) -> np.ndarray:
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int = SAMPLE) -> list[tuple[str, bytes]]:
     """Excerpts of the ``per_lang`` documents of smallest hash in each language. Counts pick a
     hash limit that leaves about twice as many, so that few rows come to the driver."""
-    where = F.col(lang_col).isNotNull() & F.coalesce(F.length(text_col) > 0, F.lit(False))
+    learned = docs.where(F.col(lang_col).isNotNull() & F.coalesce(F.length(text_col) > 0, F.lit(False)))
     h = F.xxhash64(F.lit("sample"), F.col(id_col).cast("string"))
-    labelled = docs.where(F.col(lang_col).isNotNull())
-    counts = {r[0]: r[1] for r in labelled.groupBy(lang_col).count().collect()}
+    counts = {r[0]: r[1] for r in learned.groupBy(lang_col).count().limit(MOST_LANGUAGES + 1).collect()}
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages; the column {lang_col} holds something else")
     if not counts:
         return []
-    limit = F.lit(None).cast("long")
-    for lang, n in counts.items():
-        share = min(1.0, (2 * per_lang + 64) / n)
-        limit = F.when(F.col(lang_col) == lang, F.lit(int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1)).otherwise(limit)
+    share = {lang: min(1.0, (2 * per_lang + 64) / n) for lang, n in counts.items()}
+    limits = {lang: int(-(2**63) + x * (2**64 - 1)) if x < 1 else 2**63 - 1 for lang, x in share.items()}
+    limit = F.create_map(*[F.lit(v) for pair in limits.items() for v in pair])
     start = F.pmod(F.shiftright(h, 7), F.greatest(F.length(text_col) - EXCERPT, F.lit(0)) + 1).cast("int") + 1
-    rows = docs.where(where & (h <= limit)).select(
+    rows = learned.where(h <= F.try_element_at(limit, F.col(lang_col))).select(
         F.col(lang_col).alias("lang"), h.alias("h"), F.substring(F.col(text_col), start, F.lit(EXCERPT)).cast("binary").alias("x")
     ).groupBy("lang", "h").agg(F.min("x").alias("x")).collect()  # repeated rows count once
     out = []
@@ -239,12 +241,12 @@ def fit(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang") -> d
     return {"langs": langs, "weights": train([x for _, x in rows], labels, len(langs))}
 
 
-def predict(docs: DataFrame, model: dict | None, text_col="text", keep=()) -> DataFrame:
-    """The columns ``keep`` and a struct ``_lang`` of lang_pred and score. Only the text's bytes go
+def predict(docs: DataFrame, model: dict | None, text_col="text", keep=(), out="_lang") -> DataFrame:
+    """The columns ``keep`` and a struct ``out`` of lang_pred and score. Only the text's bytes go
     through Python; other columns, whatever their names, stay where they are."""
     t = F.when(F.col(text_col).rlike(r"\p{L}"), F.col(text_col).cast("binary"))
     if model is None:
-        return docs.select(*keep, F.struct(F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score")).alias("_lang"))
+        return docs.select(*keep, F.struct(F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score")).alias(out))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
@@ -261,7 +263,7 @@ def predict(docs: DataFrame, model: dict | None, text_col="text", keep=()) -> Da
             yield pd.DataFrame({"lang_pred": pd.Series(names, dtype=object), "score": pd.Series(scores, dtype=float)})
         trim()
 
-    return docs.select(*keep, label(t).alias("_lang"))
+    return docs.select(*keep, label(t).alias(out))
 
 
 def op5_langid(spark, sf_dir: str) -> DataFrame:

@@ -17,20 +17,22 @@ each pair:
 
 The arrays lie in the shared folder and workers map them into memory; a query reads the
 pages that its sorted keys touch. Where the folder is no local path, a worker copies each
-array that it needs to its own disk first. The number of shards follows the number of input partitions.
+array that it needs to its own disk first, under no name: it goes with the worker. The number of shards follows the number of input partitions.
 
 Tokens are the words ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z, then one end token. A
 text is scored as a whole: sum of log10 p over its tokens, beginning at the start of a text.
 
 Defined cases: a null or empty text is its end token alone; words that were never seen share
 one place in the vocabulary; with nothing to learn from every token has probability 1 (V is
-0); repeated rows are counted as often as they occur; an empty table gives an empty
+0); repeated rows are counted as often as they occur; a very long text is read whole, as a slice of its
+own; an empty table gives an empty
 result; a null id is learned from and not held out; other columns are not read.
 """
 
 from __future__ import annotations
 
 import math
+import os
 import tempfile
 import uuid
 from functools import lru_cache
@@ -179,7 +181,10 @@ def mapped(folder: str, file: str, kind: str) -> np.ndarray:
             while piece := source.read(1 << 24):
                 local.write(piece)
         path = local.name
-    return np.memmap(path, kind, "r") if store.get_file_info(f"{root}/{file}").size else np.zeros(0, kind)
+    out = np.memmap(path, kind, "r") if store.get_file_info(f"{root}/{file}").size else np.zeros(0, kind)
+    if store.type_name != "local":
+        os.unlink(path)  # the mapping keeps it until the worker ends; no one else reads it
+    return out
 
 
 class Words:
