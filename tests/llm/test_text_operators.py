@@ -146,6 +146,108 @@ def test_random_strings_are_found_and_words_are_not(spark):
     assert sum(got[i].t == "see [secret] end" for i in range(40)) >= 38
 
 
+def battery(token):
+    """(random, tenth, length class) of a token by plain loops; None where no encoding fits."""
+    import math
+
+    def encode(b):
+        if not (re.search("[0-9]", b) and re.search("[A-Za-z]", b)):
+            return None
+        for name, pattern in (("hex", "([0-9a-f]+|[0-9A-F]+)"), ("base32", "[A-Z2-7]+"), ("base36", "([a-z0-9]+|[A-Z0-9]+)"), ("base62", "[A-Za-z0-9]+")):
+            if re.fullmatch(pattern, b):
+                return name
+        return "base64" if re.search("[A-Z]", b) and re.search("[a-z]", b) else None
+
+    body = re.sub("=+$", "", token)
+    if encode(body) is None:
+        body = re.sub("[-_+/=]", "", body)
+    if (enc := encode(body)) is None or (body != re.sub("=+$", "", token) and len(body) < secrets.SHORTEST):
+        return None
+    letters = secrets.ALPHABETS[enc]
+    folded = body.lower() if enc in ("hex", "base36") else body.replace("-", "+").replace("_", "/").replace("=", "")
+    xs, k = [letters.index(c) for c in folded], len(letters)
+    n = len(xs)
+    upper = lambda z: 0.5 * math.erfc(z / math.sqrt(2))
+    chi = k / n * sum(folded.count(c) ** 2 for c in letters) - n
+    ps = [upper((chi - (k - 1)) / math.sqrt(2 * (k - 1) * (n - 1) / n))]
+    high = [x >= k / 2 for x in xs]
+    n1 = sum(high)
+    mean = 1 + 2 * n1 * (n - n1) / n
+    var = (mean - 1) * (mean - 2) / (n - 1)
+    runs = 1 + sum(a != b for a, b in zip(high, high[1:]))
+    ps.append(2 * upper(abs(runs - mean) / math.sqrt(var)) if var > 0 else 0)
+    mid = sum(xs) / n
+    ss = sum((x - mid) ** 2 for x in xs)
+    lag = sum((a - mid) * (b - mid) for a, b in zip(xs, xs[1:]))
+    ps.append(2 * upper(abs((lag / ss + 1 / n) * math.sqrt(n))) if ss else 0)
+    random_ = min(ps) >= secrets.REJECT
+    kind = lambda c: 0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else 3
+    m = len(body) - 1
+    r = sum(kind(a) != kind(b) for a, b in zip(body, body[1:])) / m
+    q = secrets.TEXT_RATE
+    kl = r * math.log(r / q) + ((1 - r) * math.log((1 - r) / (1 - q)) if r < 1 else 0) if r > q else 0
+    tenth = min(secrets.TENTHS, math.floor(10 * m * kl / math.log(10) + 1e-9)) if random_ else 0
+    return random_, tenth, sum(len(body) >= x for x in secrets.LENGTH_CLASSES) - 1
+
+
+def test_random_spans_by_brute_force(spark):
+    """Tokens of every encoding, plain ones, separated ones, and overlaps with base spans."""
+    import random
+    import string
+    import uuid
+
+    rng = random.Random(6)
+    pools = [string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", "0123456789abcdef"[:16], "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", string.ascii_lowercase + string.digits, string.ascii_letters]
+    make = lambda: "".join(rng.choices(rng.choice(pools), k=rng.choice([20, 25, 31, 32, 44, 63, 64, 90])))
+    plain = ["some/path/to/a/file/in2here", "getUserNameFromDatabase12345", "a-very-long-slug-with-2024-in-it", "AAAAAAAAAAAAAAAAAAAAAAAAAAAAAA1a", "version_2_of_the_document_name"]
+    texts = [" ".join(rng.choice([make(), rng.choice(plain), "sk_live_" + "".join(rng.choices(pools[5], k=24)), str(uuid.UUID(int=rng.getrandbits(128))), f"token={make()}", f"password: a{make()}.{make()}", make() + "==", "é word"]) for _ in range(rng.randint(0, 9))) for _ in range(150)]
+    texts.append(" ".join(make() for _ in range(400)))  # more hits than a run
+    found = [(t, m) for t in texts for m in re.finditer(secrets.TOKEN, t)]
+    rows = {}
+    for _, m in found:
+        if (b := battery(m[0])) is not None:
+            n, r = rows.get((b[2], b[1]), (0, 0))
+            rows[b[2], b[1]] = n + 1, r + b[0]
+    least = secrets.thresholds([(g, t, n, r) for (g, t), (n, r) in rows.items()])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert secrets.limits(df) == least and set(least) == {0, 1, 2}
+    out = {r.doc_id: r for r in secrets.scan(df).select("doc_id", secrets.listing(F.col("_secrets.spans")).alias("s"), secrets.redact(F.col("text"), F.col("_secrets.spans")).alias("t")).collect()}
+    for i, t in enumerate(texts):
+        base = [(int(a), secrets.KINDS.index(k), int(b)) for k, a, b in (x.split(":") for x in brute(t).split(",") if x)]
+        more = []
+        for m in re.finditer(secrets.TOKEN, t):
+            b = battery(m[0])
+            if b and b[0] and b[1] >= least.get(b[2], 10**9) and not any(x < m.end() and m.start() < y for x, _, y in base):
+                more.append((m.start(), 3, m.end()))
+        want = sorted(base + more)
+        assert out[i].s == ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in want)
+        clean, at = "", 0
+        for a, _, b in want:
+            if a >= at:
+                clean += t[at:a] + "[secret]"
+            at = max(at, b)
+        assert out[i].t == clean + t[at:]
+
+
+def test_discoveries_are_held_to_the_rate():
+    """Only tokens that pass the battery count as found; all tested ones count as hypotheses."""
+    assert secrets.thresholds([(0, 40, 100, 0), (0, 30, 10, 10)], 0.01) == {}
+    assert secrets.thresholds([(0, 40, 100, 100), (0, 0, 900, 0)], 0.01) == {0: 40}
+    assert secrets.thresholds([(1, 10, 50, 50)], 0.01) == {} and secrets.thresholds([]) == {}
+
+
+def test_a_token_of_a_megabyte(spark):
+    import random
+    import string
+    import time
+
+    rng = random.Random(2)
+    text = "see " + "".join(rng.choices(string.ascii_letters + string.digits, k=1_000_000)) + " end"
+    began = time.monotonic()
+    r = secrets.scan(spark.createDataFrame([(text,)], "text string")).select(secrets.listing(F.col("_secrets.spans")).alias("s")).first()
+    assert r.s == "random:4:1000004" and time.monotonic() - began < 120
+
+
 def test_redaction_of_overlapping_spans(spark):
     df = spark.createDataFrame([("password=0123456789abcdef0123456789 x",)], "text string")
     out = secrets.scan(df).select(secrets.redact(F.col("text"), F.col("_secrets.spans"))).first()[0]
