@@ -9,7 +9,8 @@ bytes), so one record costs one frame of reading. Any Zstandard reader sees a pl
 Of records with equal payloads of at least ``LEAST`` bytes, the one of the smallest id is a
 response; the others become revisit records that name it. Digests are computed at the
 scan; what meets by digest is only (digest, smallest id), aggregated before the exchange, and
-only digests that occur more than once. Pages then travel once, to the task that writes them.
+only digests that occur more than once. Pages that a bit filter of these digests clears are written by
+the task that reads them; the others travel once, to the task that writes them.
 
 Files are written under a name of their own for each attempt, and the index, itself a table
 written once, names those of successful attempts: a lost executor's leftovers are never
@@ -17,8 +18,9 @@ read. Each task writes files of at most ``FILE`` bytes and never holds more than
 
 Defined cases: null payload is empty; payloads under ``LEAST`` bytes are always responses; of
 repeated rows (same id and payload) each is written, and those of the response's own id are
-all responses; a null id counts as the largest; a null url becomes an empty target; an empty
-table gives an archive of no file; other columns are not read.
+all responses (a tie of ids is no revisit); a very long payload is one record in a frame of its own; a
+null id counts as the largest; a null url becomes an empty target; an empty
+table gives an archive of no file; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -32,10 +34,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fresh_path, materialize, table, trimming
+from .shared import fresh_path, marked, materialize, table, trimming
 
 FRAME = 1 << 18
 FILE = 64 << 20
+#: Frames that one task reads of a file, or its share of all: 16 MB of records.
+RUN = 64
 LEAST = 100
 LEVEL = 3
 _TABLE, _MAGIC = 0x184D2A5E, 0x8F92EAB1
@@ -152,11 +156,13 @@ def write(pages: DataFrame, folder: str | None = None, id_col="page_id", url_col
     ).withColumns({"size": F.octet_length("payload").cast("long"), "digest": F.sha2("payload", 256)})
     large = base.where(F.col("size") >= LEAST).select("id", "digest")
     again = large.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").select("digest", "first")
-    # Every id learns of which page it is a revisit; a digest that a third of all pages share is
-    # an equi-join whose large side adaptive execution splits.
+    # Rows whose digest a bit filter clears are responses and are written where they are read. The
+    # others learn of which page they are a revisit: an equi-join whose large side adaptive execution splits.
     revisits = large.join(again, "digest").where("id <> first").select("id", "digest", F.col("first").alias("refers")).distinct()
-    rows = base.join(revisits, ["id", "digest"], "left").select(
-        "id", "url", F.when(F.col("refers").isNull(), F.col("payload")).alias("payload"), "size", "digest", "refers"
+    seen = marked(base, again, F.col("digest"), "maybe", "digest")
+    asked = seen.where("maybe").join(revisits, ["id", "digest"], "left")
+    rows = seen.where("NOT maybe").select("id", "url", "payload", "size", "digest", F.lit(None).cast("long").alias("refers")).unionByName(
+        asked.select("id", "url", F.when(F.col("refers").isNull(), F.col("payload")).alias("payload"), "size", "digest", "refers")
     )
 
     def run(batches):
@@ -187,8 +193,11 @@ def write(pages: DataFrame, folder: str | None = None, id_col="page_id", url_col
 def read(index: DataFrame, id_col="page_id") -> DataFrame:
     """The records that an index names, read back from the archives: (id, target, payload, size,
     digest, record_type, refers_to). A revisit's payload is null; size and digest are those
-    of the full payload. Frames are read once each and in order."""
-    wanted = index.select("file", "frame", "offset", "record_id").repartition("file", "frame").sortWithinPartitions("file", "frame", "offset")
+    of the full payload. Frames are read once each and in order; a task gets runs of ``RUN`` frames of a
+    file, and there are as many tasks as the records' bytes ask for, whatever the size of the index."""
+    total = index.agg(F.sum(F.col("length").cast("long"))).first()[0] or 0
+    tasks = max(1, -(-total // (RUN * FRAME)))
+    wanted = index.select("file", "frame", "offset", "record_id").repartition(tasks, F.col("file"), F.floor(F.col("frame") / RUN)).sortWithinPartitions("file", "frame", "offset")
     schema = f"{id_col} long, target string, payload binary, size long, digest string, record_type string, refers_to long"
 
     def number(ref: str | None):
