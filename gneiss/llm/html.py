@@ -15,7 +15,9 @@ pages is the parameter ``PAGES``; nothing is learned from the input.
 
 Defined cases: null or empty html gives an empty text; broken markup is read as far as it
 goes (an unfinished tag is text, an unfinished comment runs to the end); repeated rows are
-extracted alike; an empty table gives an empty result; other columns are not read.
+extracted alike; of two equally cheap decodings the one that drops is taken; a very long page is
+read whole, in time linear in its length; an empty table gives an empty result; other columns, whatever their
+names, are not read.
 """
 
 from __future__ import annotations
@@ -44,10 +46,15 @@ BLOCKS = frozenset(
     "fieldset legend blockquote pre figure figcaption address details summary hr hgroup dialog menu center".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title svg math iframe object canvas select option button head".split())
+#: Read to the end tag, or to the end of the page: nothing in them is markup.
+RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
+#: Nothing in them is text of the page; they end by the rules of the tree.
+HIDDEN = frozenset("head noscript template svg math object canvas select option optgroup datalist button".split())
+#: What may stand in a head; any other element, and text, ends it.
+_HEAD = frozenset("base basefont link meta script style title noscript template".split())
 #: A start tag of the key ends an open element of the values, up to the nearest enclosing list or table.
-ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
-_SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}}
+ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "optgroup": {"option", "optgroup"}}
+_SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select", "datalist"}, "optgroup": {"select"}}
 
 
 class Node:
@@ -67,7 +74,7 @@ def read(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
         return nodes, texts
     stack: list[tuple[str, int]] = [("html", 0)]  # open elements and the block they are, or are in
     run: list[str] = []
-    owner, at, chars, anchors = 0, 0, 0, 0
+    owner, at, chars, anchors, hidden = 0, 0, 0, 0, 0
 
     def close_run() -> None:
         nonlocal run, chars
@@ -80,18 +87,34 @@ def read(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
                 chars += len(text)
 
     def say(piece: str) -> None:
+        if hidden and stack[-1][0] == "head" and piece.strip():
+            pop(len(stack) - 1)
+        if hidden:
+            return
         run.append(piece)
         if anchors:
             nodes[owner].links += len(piece.strip())
 
     def pop(k: int) -> None:
-        nonlocal owner, anchors
+        nonlocal owner, anchors, hidden
         for tag, _ in stack[k:]:
             anchors -= tag == "a"
-        if any(tag in BLOCKS for tag, _ in stack[k:]):
+            hidden -= tag in HIDDEN
+        if stack[k - 1][1] != owner:
             close_run()
+        owner = stack[k - 1][1]
         del stack[k:]
-        owner = stack[-1][1] if stack else 0
+
+    def end_before(tag: str) -> None:
+        """End the open element that a start tag ends, within its list, table or selection."""
+        for k in range(len(stack) - 1, 0, -1):
+            if stack[k][0] in ENDS.get(tag, ()):
+                if stack[k][0] != tag and tag == "optgroup" and stack[k - 1][0] == "optgroup":
+                    k -= 1
+                pop(k)
+                return
+            if stack[k][0] in _SCOPE.get(tag, BLOCKS):
+                return
 
     for m in iter(lambda: _TOKEN.search(page, at), None):
         if m.start() > at:
@@ -105,15 +128,25 @@ def read(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
                 if stack[k][0] == tag:
                     pop(k)
                     break
-                if tag not in BLOCKS and stack[k][0] in BLOCKS:
+                if tag not in BLOCKS and tag not in HIDDEN and stack[k][0] in BLOCKS:
                     break  # an inline end tag doesn't end a block
             continue
-        if tag in RAW and not m[3].rstrip().endswith("/"):
+        closed = m[3].rstrip().endswith("/")
+        if hidden and stack[-1][0] == "head" and tag not in _HEAD:
+            pop(len(stack) - 1)
+        if tag in RAW and not closed:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            if tag == "head" and end is None:
-                continue
             at = end.end() if end else len(page)
-            nodes[owner].tags += 1
+            nodes[owner].tags += not hidden
+            continue
+        if tag in ("option", "optgroup"):
+            end_before(tag)
+        if hidden or (tag in HIDDEN and not closed):  # what is in it is neither text nor structure
+            nodes[owner].tags += not hidden
+            if tag not in VOID and not closed:
+                stack.append((tag, owner))
+                hidden += tag in HIDDEN
+                anchors += tag == "a"
             continue
         nodes[owner].tags += 1
         if tag == "br":
@@ -125,12 +158,7 @@ def read(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
                     break
                 if stack[k][0] in BLOCKS:
                     break
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in ENDS.get(tag, ()):
-                    pop(k)
-                    break
-                if stack[k][0] in _SCOPE.get(tag, BLOCKS):
-                    break
+            end_before(tag)
             close_run()
             tokens = tuple(t.lower() for a in _ATTR.finditer(m[3]) for t in _PART.findall(a[2] or a[3] or a[4] or ""))
             node = Node(tag, owner, tokens)
@@ -141,7 +169,7 @@ def read(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
             stack.append((tag, owner))
         elif tag == "hr":
             close_run()
-        elif tag not in VOID and tag != "html" and not m[3].rstrip().endswith("/"):
+        elif tag not in VOID and tag != "html" and not closed:
             stack.append((tag, owner))
             anchors += tag == "a"
     if at < len(page):
@@ -195,6 +223,14 @@ def features(nodes: list[Node], texts: list[tuple[int, str]]) -> np.ndarray:
     out = np.zeros((n, N_FEATURES), np.float32)
     depth, around, above = [0] * n, [0] * n, [0] * n
     base = len(_GROUPS)
+    place, alike = [0] * n, [1] * n  # among all siblings; of those with the same tag
+    for x in nodes:
+        tags_below: dict[str, int] = {}
+        for k, j in enumerate(x.down):
+            place[j] = k
+            tags_below[nodes[j].tag] = tags_below.get(nodes[j].tag, 0) + 1
+        for j in x.down:
+            alike[j] = tags_below[nodes[j].tag]
     for i, x in enumerate(nodes):
         row = out[i]
         if x.up >= 0:
@@ -215,13 +251,11 @@ def features(nodes: list[Node], texts: list[tuple[int, str]]) -> np.ndarray:
                 around[i] |= 1 << g
         above[i] |= own
         s = size[i]
-        sib = nodes[x.up].down if x.up >= 0 else [i]
-        rest = len(sib) - 1
+        rest = len(nodes[x.up].down) - 1 if x.up >= 0 else 0
         up = max(1, size[x.up]) if x.up >= 0 else total
-        same = sum(nodes[j].tag == x.tag for j in sib[:64])
         row[base + 2 * h + len(_AROUND) :] = (
             math.log1p(s), links[i] / s if s else 0, 100 * tags[i] / (s + 1), paras[i], 100 * punct[i] / (s + 1), s / max(1, parts[i]), signs[i] > 0,
-            x.own / s if s else 0, depth[i], x.begin / total, (x.begin + s) / total, s / up, s / total, sib.index(i) if rest < 64 else 64, same,
+            x.own / s if s else 0, depth[i], x.begin / total, (x.begin + s) / total, s / up, s / total, place[i], alike[i],
             math.log1p((up - s) / rest) if rest else 0, (links[x.up] - links[i]) / max(1, up - s) if rest and x.up >= 0 else 0,
         )
     return out
