@@ -127,6 +127,20 @@ def _back(w, d: str, seg, mask, keep, gh: np.ndarray, grad: dict[str, np.ndarray
     grad["x" + d], grad["u" + d], grad["c" + d] = gx.T, gu, gc
 
 
+def gradients(w, seg: np.ndarray, mask: np.ndarray, ys: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the mean over all positions of -log p(label), by backpropagation through time."""
+    keep = {d: [None] * len(seg) for d in "fb"}
+    hs = {d: _walk(w, d, seg, mask, keep[d]) for d in "fb"}
+    g = _outputs(w, hs["f"], hs["b"])
+    g[:, ys, np.arange(len(ys))] -= 1
+    g *= mask / mask.sum()
+    grad = {"bias": g.sum(axis=(0, 2))[:, None]}
+    for d in "fb":
+        grad["o" + d] = np.einsum("tkb,thb->kh", g, hs[d], optimize=True)
+        _back(w, d, seg, mask, keep[d], np.matmul(w["o" + d].T, g), grad)
+    return grad
+
+
 def train(texts: list[bytes], labels: np.ndarray, classes: int, steps: int = STEPS, seed: int = 7) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
     w = _start(classes, rng)
@@ -144,15 +158,7 @@ def train(texts: list[bytes], labels: np.ndarray, classes: int, steps: int = STE
         pick = rng.integers(0, len(ys), BATCH)
         seg = np.ascontiguousarray(data[pick].T)
         mask = (np.arange(SEGMENT)[:, None] < lens[pick]).astype(np.float32)[:, None, :]
-        keep = {d: [None] * SEGMENT for d in "fb"}
-        hs = {d: _walk(w, d, seg, mask, keep[d]) for d in "fb"}
-        g = _outputs(w, hs["f"], hs["b"])
-        g[:, ys[pick], np.arange(BATCH)] -= 1
-        g *= mask / mask.sum()
-        grad = {"bias": g.sum(axis=(0, 2))[:, None]}
-        for d in "fb":
-            grad["o" + d] = np.einsum("tkb,thb->kh", g, hs[d], optimize=True)
-            _back(w, d, seg, mask, keep[d], np.matmul(w["o" + d].T, g), grad)
+        grad = gradients(w, seg, mask, ys[pick])
         norm = np.sqrt(sum(float((v * v).sum()) for v in grad.values()))
         rate = RATE * (1 - step / (steps + 1)) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
         for k, v in grad.items():

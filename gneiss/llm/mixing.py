@@ -95,15 +95,16 @@ def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source",
     for level in range(LEVELS):
         upto = Window.partitionBy("_src").orderBy("_to").rowsBetween(Window.unboundedPreceding, -1)
         by_range = held.withColumn("_before", F.coalesce(F.sum("w").over(upto), F.lit(0)))
-        known = plans.select("_n", "_src", "_rest", F.lit(0).cast("long").alias("_from")) if ranges is None else ranges.select("_n", "_src", "_rest", F.col("_before").alias("_from"))
-        ranges = by_range.join(F.broadcast(known), by_range["_src"].eqNullSafe(known["_src"])).select(
-            "_n", known["_src"], "_to", (F.col("_from") + F.col("_before")).alias("_before"), "_rest", "w"
+        known = (plans.withColumn("_from", F.lit(0).cast("long")) if ranges is None else ranges.withColumnRenamed("_before", "_from")).select("_n", F.col("_src").alias("_of"), "_rest", "_from")
+        ranges = by_range.join(F.broadcast(known), F.col("_src").eqNullSafe(F.col("_of"))).select(
+            "_n", F.col("_of").alias("_src"), "_to", (F.col("_from") + F.col("_before")).alias("_before"), "_rest", "w"
         ).where((F.col("_before") <= F.col("_rest")) & (F.col("_rest") < F.col("_before") + F.col("w")))
         # At most one row for each source: a literal table, so that what follows doesn't compute it again.
         found = ranges.select("_n", "_src", "_to", "_before", "_rest").collect()
         ranges = spark.createDataFrame([tuple(r) for r in found], _RANGE)
         at = narrow.withColumn("_to", F.substring("_key", 1, RANGE_DIGITS * (level + 1)))
-        inside = at.join(F.broadcast(ranges), at["_src"].eqNullSafe(ranges["_src"]) & (at["_to"] == ranges["_to"])).select("_n", narrow["_src"].alias("_src"), "_key", "size", "_before", "_rest")
+        here = ranges.select("_n", F.col("_src").alias("_of"), F.col("_to").alias("_there"), "_before", "_rest")
+        inside = at.join(F.broadcast(here), F.col("_src").eqNullSafe(F.col("_of")) & (F.col("_to") == F.col("_there"))).select("_n", "_src", "_key", "size", "_before", "_rest")
         if level + 1 < LEVELS:
             held = inside.groupBy("_src", F.substring("_key", 1, RANGE_DIGITS * (level + 2)).alias("_to")).agg(F.sum("size").alias("w"))
     within = Window.partitionBy("_n").orderBy("_key").rowsBetween(Window.unboundedPreceding, -1)

@@ -330,19 +330,66 @@ def test_main_text_of_given_pages(model, page, want):
     assert html.texts_of(model, [page])[0] == want
 
 
-def test_no_kept_block_lies_in_a_dropped_one(model):
-    page, _ = html.compose(random.Random(5))
-    nodes, _texts = html.read(page)
-    p = np.random.default_rng(3).random(len(nodes))
-    kept = html.decode(nodes, p)
-    assert len(kept) == len(nodes)
-    sure = html.decode(nodes, np.where(np.arange(len(nodes)) == 1, 1e-6, 0.6))
-    below, todo = set(), list(nodes[1].down)
-    while todo:
-        k = todo.pop()
-        below.add(k)
-        todo += nodes[k].down
-    assert not any(sure[k] for k in below) or any(sure[k] for k in below) == sure[1] or len(below) > 8
+def test_elements_that_hold_no_text_end_by_the_tree():
+    words = lambda page: [t for _, t in html.read(page)[1]]
+    assert words("<div><datalist><option>a<option>b</datalist>one</div>two") == ["one", "two"]
+    assert words("<select><optgroup><option>a<optgroup><option>b</select>x") == ["x"]
+    assert words("<p>a<button>go<div>in</button>b<p>c") == ["ab", "c"]
+    assert words("<div><svg><g>icon</div>text") == ["text"]
+    assert words("<head><title>t</title><p>body") == ["body"] and words("<head><meta x>words") == ["words"]
+    assert words("<script>x</p>") == [] and words("a<script>x</script>b") == ["ab"]
+
+
+def test_siblings_are_counted_whole():
+    page = "<article>" + "<p>Some words.</p>" * 150 + "<div>x</div></article>"
+    nodes, texts = html.read(page)
+    x = html.features(nodes, texts)
+    place = x.shape[1] - 4
+    assert x[2:, place].tolist() == [*range(150), 150] and x[2:-1, place + 1].tolist() == [150.0] * 150 and x[-1, place + 1] == 1
+
+
+def test_decoding_is_the_cheapest_of_all():
+    """Small trees: every way to keep, drop or split, by exhaustion; and no kept block under a dropped one."""
+    import itertools
+
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        n = int(rng.integers(1, 8))
+        nodes = [html.Node("div", -1)]
+        for i in range(1, n):
+            nodes.append(html.Node("div", int(rng.integers(0, i))))
+            nodes[nodes[i].up].down.append(i)
+        for x in nodes:
+            x.own = int(rng.integers(0, 2)) * 9
+        p = rng.random(n)
+        keep, drop = -np.log(p), -np.log(1 - p)
+        w = [html.OWN if x.own else html.CONTAINER for x in nodes]
+
+        def cost(i, state):
+            if state[i] == 2:
+                own = min(w[i] * keep[i], w[i] * drop[i]) if nodes[i].own else 0.0
+                return html.SPLIT + own + sum(cost(j, state) for j in nodes[i].down) if nodes[i].down else math.inf
+            todo, total = [i], 0.0
+            while todo:
+                j = todo.pop()
+                total += w[j] * (keep[j] if state[i] else drop[j])
+                todo += nodes[j].down
+            return total
+
+        best = min(cost(0, s) for s in itertools.product((0, 1, 2), repeat=n))
+        kept = html.decode(nodes, p)
+        above = lambda i: [] if i < 0 else [*above(nodes[i].up), i]
+        # What was decoded, as states: a subtree that is all kept or all dropped may be one choice or a split.
+        options = [s for s in itertools.product((0, 1, 2), repeat=n) if abs(cost(0, s) - best) < 1e-9]
+
+        def outcome(s):
+            out = []
+            for i in range(n):
+                state = next((s[j] for j in above(i) if s[j] != 2), 2)
+                out.append(state == 1 or (state == 2 and bool(keep[i] <= drop[i])))
+            return out
+
+        assert kept in [outcome(s) for s in options]
 
 
 def test_pages_of_the_driver_tables(spark):

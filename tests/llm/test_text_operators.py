@@ -100,7 +100,7 @@ def test_language_of_odd_rows(spark, edge):
             assert (r.lang_pred == "und") == (not letters)
 
 
-def test_gradients_and_whole_texts():
+def test_whole_texts():
     import numpy as np
 
     texts, labels = [b"abcabcabcabc" * 4, b"xyzxyzxyzxyz" * 4] * 10, np.array([0, 1] * 10)
@@ -110,6 +110,36 @@ def test_gradients_and_whole_texts():
     assert set(langid.label_positions(w, b"abc" * 100).tolist()) == {0}
 
 
+def test_gradients_by_finite_differences():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    w = langid._start(3, rng)
+    seg = rng.integers(97, 101, (9, 4)).astype(np.uint8)
+    lens, ys = np.array([9, 5, 1, 7]), np.array([0, 2, 1, 0])
+    mask = (np.arange(9)[:, None] < lens).astype(np.float32)[:, None, :]
+
+    def loss(w):
+        p = langid._outputs(w, langid._walk(w, "f", seg, mask), langid._walk(w, "b", seg, mask))
+        own = p[:, ys, np.arange(4)].astype(np.float64)
+        return -(np.log(own) * mask[:, 0]).sum() / mask.sum()
+
+    grad = langid.gradients(w, seg, mask, ys)
+    assert set(grad) == set(w)
+    for k in w:
+        for _ in range(6):
+            at = tuple(int(rng.integers(0, n)) for n in w[k].shape)
+            if k[0] == "x":
+                at = (at[0], int(rng.integers(97, 101)))
+            step, old = 1e-2, w[k][at]
+            w[k][at] = old + step
+            up = loss(w)
+            w[k][at] = old - step
+            down = loss(w)
+            w[k][at] = old
+            assert abs((up - down) / (2 * step) - grad[k][at]) < 2e-4, (k, at)
+
+
 # ---- secrets ----
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
