@@ -1,7 +1,8 @@
 """The corpus pipeline: five stages from raw documents to a weighted mix.
 
 Each stage is a function of (spark, docs, sf_dir); its rows are written as Parquet and read
-again as the next one's ``docs``. All but the last return the columns of ``docs``.
+again as the next one's ``docs``. All but the last return the columns of ``docs``, whatever other
+columns there are and whatever their names.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gneiss.llm import decontam, langid, mixing, neardup, secrets
-from gneiss.llm.shared import forget, materialize, scratch, table
+from gneiss.llm.shared import forget, fresh, materialize, scratch, table
 
 #: Documents below this pooled probability have no language that was learned.
 LEAST_SCORE = 0.4
@@ -18,8 +19,9 @@ LEAST_SCORE = 0.4
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language; the model is learned from the labelled ones among them."""
-    out = langid.predict(docs, langid.fit(docs), keep=docs.columns)
-    sure = (F.col("_lang.lang_pred") != langid.UNKNOWN) & (F.col("_lang.score") >= LEAST_SCORE)
+    (name,) = fresh(docs, "_lang")
+    out = langid.predict(docs, langid.fit(docs), keep=docs.columns, out=name)
+    sure = (F.col(f"{name}.lang_pred") != langid.UNKNOWN) & (F.col(f"{name}.score") >= LEAST_SCORE)
     return out.where(sure).select(*docs.columns)
 
 
@@ -31,17 +33,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no benchmark item has contaminated."""
-    out = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"), keep_text=True)
-    return out.where(~decontam.contaminated(F.col("_hits"))).select(*docs.columns)
+    (name,) = fresh(docs, "_hits")
+    out = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"), keep_text=True, out=name)
+    return out.where(~decontam.contaminated(F.col(name))).select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets replaced by a mark."""
-    found = secrets.scan(docs)
-    clean = secrets.redact(F.col("text"), F.col("_secrets.spans"))
+    (name,) = fresh(docs, "_secrets")
+    found = secrets.scan(docs, out=name)
+    clean = secrets.redact(F.col("text"), F.col(f"{name}.spans"))
     out = found.withColumn("text", clean)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("_secrets.spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.size(f"{name}.spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
