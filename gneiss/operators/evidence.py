@@ -207,6 +207,80 @@ def grounding_errors(cited: Column, known: Column, claims: dict[str, Column], re
     )
 
 
+# Columns of a cluster's matrix, in order; the columns whose ranges are shown; id columns.
+MATRIX = ("Cluster_ID", "Evidence_ID", "Uncertainty_ID", "Evidence_Domain", "Evidence_Type", "Evidence_Text", "Source_Fields", "Matrix_Version")
+RANGES = ("MW", "LogP", "TPSA", "HBD", "HBA", "Rotatable_Bonds", "Formal_Charge", "Ring_Count", "Aromatic_Ring_Count", "Fraction_CSP3")
+MEMBER_IDS = ("DTXSID", "EPA_CTX_DTXSID", "InChIKey", "CAS", "CASRN")
+LEVELS_OF_TAXONOMY = (("Superclass", "ChemOnt_Superclass"), ("Class", "ChemOnt_Class"), ("Subclass", "ChemOnt_Subclass"), ("Direct Parent", "ChemOnt_Direct_Parent"))
+#: Facts that list the distinct values of one column: domain, type, column, whether it is uncertain.
+LISTED = (
+    ("Structure", "Scaffold", "Scaffold", False),
+    ("Structure", "Toxicophore profile", "Toxicophore_Profile", False),
+    ("Reactivity", "Structural alerts", "All_Structural_Alerts", False),
+    ("Domain", "Domain status", "Domain_Status", True),
+    ("Domain", "Domain reasons", "Domain_Reasons", True),
+    ("Identity", "Identity status", "Identity Status", True),
+    ("Physicochemical", "Member property-outlier flags", "Property_Outlier_Flags", True),
+    ("Biological", "Available targets", "ChEMBL_Targets", True),
+)
+
+
+def cluster_matrix(df: DataFrame, register: DataFrame | None = None, ledger: DataFrame | None = None, cluster: str = "Cluster ID", limit: int = 500, version: str = "1.0.0") -> DataFrame:
+    """The columns ``MATRIX``: eleven facts of each cluster's rows, the uncertainty register's rows of the cluster
+    and the ledger's records of its members. A fact without a value is left out; rows of no cluster are
+    ``Unassigned``, and those marked ``Unclustered`` have no facts. One aggregate makes all facts."""
+    text = lambda c: F.substring(canonical(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))), 1, limit)
+    rows = df.withColumn("_c", F.coalesce(F.nullif(text(cluster), F.lit("")), F.lit("Unassigned"))).where("_c <> 'Unclustered'")
+    listed = [c for c in dict.fromkeys(["Cluster_Status", "Decision", *[x[2] for x in LISTED], *[c for _, c in LEVELS_OF_TAXONOMY]]) if c in df.columns]
+    ranged = [c for c in RANGES if c in df.columns]
+    values = lambda c: F.array_join(F.array_sort(F.collect_set(F.nullif(canonical(F.col(f"`{c}`").cast("string")), F.lit("")))), "; ")
+    number = lambda c: F.col(c).try_cast("double")
+    sums = rows.groupBy("_c").agg(
+        F.count("*").alias("_n"), *[values(c).alias(f"_v_{c}") for c in listed],
+        *[F.when(F.count(number(c)) > 0, F.format_string(f"{c}=%.2f-%.2f", F.min(number(c)), F.max(number(c)))).alias(f"_r_{c}") for c in ranged],
+    )
+    shown = lambda c: F.coalesce(F.nullif(F.col(f"_v_{c}"), F.lit("")), F.lit("Not supplied")) if c in listed else F.lit("Not supplied")
+    levels = [F.concat(F.lit(f"{label}="), shown(c)) for label, c in LEVELS_OF_TAXONOMY if c in listed]
+    fact = lambda domain, kind, said, fields, uncertain: F.struct(F.lit(domain).alias("domain"), F.lit(kind).alias("type"), said.alias("text"), F.lit(fields).alias("fields"), F.lit(uncertain).alias("uncertain"))
+    facts = F.array(
+        fact("Grouping", "Deterministic cluster", F.concat(F.lit("Members="), F.col("_n").cast("string"), F.lit("; Cluster_Status="), shown("Cluster_Status"), F.lit("; Decision="), shown("Decision")), "Cluster ID; Cluster_Status; Decision", False),
+        fact("Structure", "ChemOnt hierarchy", F.concat_ws("; ", *levels) if levels else F.lit("Not supplied"), "; ".join(c for _, c in LEVELS_OF_TAXONOMY), True),
+        fact("Physicochemical", "Calculated property ranges", F.concat_ws("; ", *[F.col(f"_r_{c}") for c in ranged]) if ranged else F.lit(""), "; ".join(RANGES), False),
+        *[fact(domain, kind, shown(c), c, uncertain) for domain, kind, c, uncertain in LISTED],
+    )
+    each = sums.select("_c", F.explode(facts).alias("f")).select("_c", "f.*")
+    if register is not None:
+        mine = register.where("Scope = 'Cluster'").join(rows.select("_c").distinct(), F.col("Scope_ID").cast("string") == F.col("_c"))
+        each = each.unionByName(mine.select(
+            "_c", F.lit("Uncertainty").alias("domain"), F.concat(text("Category"), F.lit(" ("), text("Level"), F.lit(")")).alias("type"),
+            F.concat(text("Reason"), F.lit(" Required action: "), text("Required_Action")).alias("text"), text("Evidence_Fields").alias("fields"), F.lit(True).alias("uncertain"),
+        ))
+    ids = [c for c in MEMBER_IDS if c in df.columns]
+    if ledger is not None and ids:
+        members = rows.select("_c", F.explode(F.array(*[text(c) for c in ids])).alias("_id")).where("_id <> ''").distinct()
+        mine = ledger.join(members, F.col("identity_key").cast("string") == F.col("_id"))
+        said = [F.lit("Endpoint="), text("endpoint"), F.lit("; Result="), text("result"), F.lit("; Source="), text("source"), F.lit("; Record="), text("source_record"), F.lit("; Review="), text("reviewer_status")]
+        each = each.unionByName(mine.select("_c", F.lit("Biological").alias("domain"), F.lit("Retrieved endpoint evidence").alias("type"), F.concat(*said).alias("text"), F.lit("Endpoint Evidence Ledger").alias("fields"), F.lit(True).alias("uncertain")))
+    full = each.withColumn("full", canonical(F.col("text"))).where("full <> '' AND full <> 'Not supplied'")
+    return full.select(
+        F.col("_c").alias("Cluster_ID"), digest_id("E", F.col("_c"), F.col("domain"), F.col("type"), F.col("full")).alias("Evidence_ID"),
+        F.when(F.col("uncertain"), digest_id("U", F.col("_c"), F.col("domain"), F.col("full"))).otherwise(F.lit("")).alias("Uncertainty_ID"),
+        F.col("domain").alias("Evidence_Domain"), F.col("type").alias("Evidence_Type"), F.substring("full", 1, limit).alias("Evidence_Text"), F.col("fields").alias("Source_Fields"), F.lit(version).alias("Matrix_Version"),
+    )
+
+
+#: The order of a matrix's rows.
+MATRIX_ORDER = ("Cluster_ID", "Evidence_Domain", "Evidence_Type", "Evidence_ID")
+
+
+def cluster_matrix_hash(matrix: DataFrame) -> DataFrame:
+    """(cluster_id, matrix_hash): SHA-256 of a cluster's rows, in order, as canonical JSON: names sorted, no
+    blanks, letters of all alphabets as they are."""
+    order = F.struct(*[F.col(c).alias(f"_{i}") for i, c in enumerate(MATRIX_ORDER)], F.to_json(F.struct(*sorted(MATRIX))).alias("json"))
+    listed = matrix.groupBy(F.col("Cluster_ID").alias("cluster_id")).agg(F.array_sort(F.collect_list(order)).alias("rows"))
+    return listed.select("cluster_id", F.sha2(F.concat(F.lit("["), F.array_join(F.transform("rows", lambda r: r["json"]), ","), F.lit("]")), 256).alias("matrix_hash"))
+
+
 # ---- membership reasoning ----
 
 
@@ -256,4 +330,4 @@ def mean_distance(pairs: DataFrame, distance: Column) -> DataFrame:
     return pairs.groupBy("block").agg(F.bround(F.avg(distance), 6).alias("mean_distance"))
 
 
-__all__ = ["both_ways", "domain_status", "uncertainty", "severity_rollup", "evidence_rows", "matrix_hash", "grounding_errors", "review_boundary", "neighbour_text", "stability", "mean_distance"]
+__all__ = ["both_ways", "domain_status", "uncertainty", "severity_rollup", "evidence_rows", "matrix_hash", "cluster_matrix", "cluster_matrix_hash", "grounding_errors", "review_boundary", "neighbour_text", "stability", "mean_distance"]

@@ -11,11 +11,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-# Fields in order of the export; those required; those that the hash covers.
-FIELDS = (
-    "identity_key", "compound_mapping_method", "endpoint", "result", "study_type", "species", "route", "dose", "dose_unit", "duration",
-    "source", "source_record", "source_url", "source_database_version", "reliability", "evidence_status", "retrieved_at", "reviewer_status", "notes", "supersedes_evidence_id",
+# Columns of the export, in order; those that the ledger itself adds; those required.
+EXPORT = (
+    "evidence_id", "identity_key", "compound_mapping_method", "endpoint", "result",
+    "study_type", "species", "route", "dose", "dose_unit", "duration", "source",
+    "source_record", "source_url", "source_database_version", "reliability",
+    "evidence_status", "raw_record_hash", "vocabulary_version", "retrieved_at",
+    "imported_at", "imported_by", "reviewer_status", "supersedes_evidence_id", "notes",
 )
+ADDED = ("evidence_id", "raw_record_hash", "vocabulary_version", "imported_at", "imported_by")
+#: What a record says, and its hash covers.
+FIELDS = tuple(c for c in EXPORT if c not in ADDED)
 REQUIRED = ("identity_key", "compound_mapping_method", "endpoint", "result", "study_type", "species", "route", "source", "source_record", "reliability", "evidence_status")
 CONTROLLED = ("compound_mapping_method", "endpoint", "result", "study_type", "species", "route", "reliability", "evidence_status")
 
@@ -46,8 +52,8 @@ def validate(records: DataFrame, vocabularies: dict[str, list[str]], version: st
         "evidence_status": F.when(open_, F.lit("Incomplete")).otherwise(F.col("evidence_status")),
         "vocabulary_version": F.lit(version),
     })
-    body = F.concat_ws("\x1f", *[F.concat(F.lit(f"{c}="), F.col(c)) for c in sorted(FIELDS)])
-    hashed = checked.withColumn("raw_record_hash", F.sha2(body, 256))
+    # Canonical JSON: names sorted, no blanks, letters of all alphabets as they are.
+    hashed = checked.withColumn("raw_record_hash", F.sha2(F.to_json(F.struct(*sorted(FIELDS))), 256))
     return hashed.withColumn("evidence_id", F.concat(F.lit("EV-"), F.upper(F.substring("raw_record_hash", 1, 16))))
 
 
@@ -78,8 +84,9 @@ def ingest(ledger: DataFrame, batch: DataFrame, imported_by: str, imported_at: s
 
 
 def export(ledger: DataFrame, identity: str | None = None) -> DataFrame:
+    """The export's columns in order, of all or one identity; oldest first."""
     rows = ledger if identity is None else ledger.where(F.col("identity_key") == identity)
-    return rows.orderBy("imported_at", "evidence_id")
+    return rows.select(*EXPORT).orderBy("imported_at", "evidence_id")
 
 
 def for_identities(ledger: DataFrame, rows: DataFrame, ids: list[str], group: str | None = None) -> DataFrame:

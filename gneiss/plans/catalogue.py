@@ -72,15 +72,9 @@ def top3_neighbours(spark, d):
     return pairs.top_neighbours(pairs.tanimoto_pairs(emb(spark, d), "vec_id", "label", "bits")).select("id", "other", "rank", F.round("similarity", 6).alias("similarity"))
 
 
-@query(f"WITH {E_SQL}, p AS (SELECT a.vec_id AS id, b.vec_id AS other, CAST(len(list_intersect(a.bits, b.bits)) AS DOUBLE) / (len(a.bits) + len(b.bits) - len(list_intersect(a.bits, b.bits))) AS s FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0) SELECT id, other, rank, round(s, 6) AS similarity FROM (SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY s DESC, other) AS INTEGER) AS rank FROM p) WHERE rank <= 10")
+@query(f"WITH {E_SQL}, p AS (SELECT a.vec_id AS id, b.vec_id AS other, CAST(len(list_intersect(a.bits, b.bits)) AS DOUBLE) / (len(a.bits) + len(b.bits) - len(list_intersect(a.bits, b.bits))) AS s FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0) SELECT id, other, rank, round(s, 6) AS similarity FROM (SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY s DESC, other) AS INTEGER) AS rank FROM p) WHERE rank <= 10")
 def topk_library(spark, d):
-    e = emb(spark, d)
-    return pairs.top_matches(e.where("vec_id % 50 = 0"), e, "vec_id", "bits", "label").select("id", "other", "rank", F.round("similarity", 6).alias("similarity"))
-
-
-@query()
-def topk_library_all(spark, d):
-    """The same search over the whole table: rows of any label may be the nearest."""
+    """Rows whose id is divisible by 50 are the queries; all rows, of any label, are the library."""
     e = emb(spark, d)
     return pairs.top_of_all(e.where("vec_id % 50 = 0"), e, "vec_id", "bits").select("id", "other", "rank", F.round("similarity", 6).alias("similarity"))
 
@@ -91,19 +85,11 @@ def medoid(spark, d):
     return pairs.medoid(e, pairs.tanimoto_pairs(e, "vec_id", "label", "bits"), "vec_id", "label")
 
 
-@query("""WITH p AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v, vec_id % 10 AS k FROM embeddings), e AS (SELECT a.k, a.vec_id AS i, b.vec_id AS j, a.label AS li, b.label AS lj, list_distance(a.v, b.v) AS d FROM p a JOIN p b ON a.k = b.k AND a.vec_id <> b.vec_id),
+@query("""WITH p AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), e AS (SELECT a.vec_id AS i, a.label AS li, b.label AS lj, list_distance(a.v, b.v) AS d FROM p a JOIN p b ON a.vec_id <> b.vec_id),
 m AS (SELECT i, li, lj, avg(d) AS m FROM e GROUP BY ALL), s AS (SELECT i AS id, max(m) FILTER (li = lj) AS a, min(m) FILTER (li <> lj) AS b FROM m GROUP BY i)
 SELECT id, round(CASE WHEN a IS NULL OR b IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END, 5) AS silhouette FROM s""")
 def silhouette(spark, d):
-    e = t(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").alias("v"), (F.col("vec_id") % 10).alias("k"))
-    dist = F.sqrt(F.aggregate(F.zip_with("v_i", "v_j", lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, x: s + x))
-    edges = pairs.block_pairs(e, "vec_id", "k", ("v",)).select("i", "j", dist.alias("distance"))
-    return pairs.silhouette(edges, e.select(F.col("vec_id").alias("id"), "label")).withColumn("silhouette", F.round("silhouette", 5))
-
-
-@query()
-def silhouette_all(spark, d):
-    """Over all pairs of vectors; ``silhouette`` forms pairs inside tenths of the ids only."""
+    """Over all pairs of vectors."""
     return pairs.silhouette_of_vectors(t(spark, d, "embeddings"), "vec_id", "label", "embedding").withColumn("silhouette", F.round("silhouette", 5))
 
 
@@ -603,11 +589,6 @@ def curation_routing(spark, d):
     return j.select("doc_id", r["status"].alias("status"), r["tier"].alias("tier"))
 
 
-@query("SELECT count(*) FILTER (o_orderstatus = 'O' AND o_orderpriority = '1-URGENT') AS blocking FROM orders")
-def release_gate(spark, d):
-    return t(spark, d, "orders").agg(F.count_if((F.col("o_orderstatus") == "O") & (F.col("o_orderpriority") == "1-URGENT")).alias("blocking"))
-
-
 @query("SELECT 'Nation' AS label, CAST(n_nationkey AS VARCHAR) AS id, n_name AS name FROM nation UNION SELECT 'Customer', CAST(c_custkey AS VARCHAR), c_name FROM customer UNION SELECT 'Supplier', CAST(s_suppkey AS VARCHAR), s_name FROM supplier")
 def graph_nodes(spark, d):
     return tables.graph_nodes(("Nation", t(spark, d, "nation"), "n_nationkey", "n_name"), ("Customer", t(spark, d, "customer"), "c_custkey", "c_name"), ("Supplier", t(spark, d, "supplier"), "s_suppkey", "s_name"))

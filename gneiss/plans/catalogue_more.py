@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.smiles import smiles_summary
 from ..operators import group, narrative, pairs, rules, tables
 from ..sources import connectors, documents, files
+from . import catalogue_views  # noqa: F401  it registers its queries
 from .catalogue import query, t
 
 
@@ -20,7 +21,7 @@ def class_reason(spark, d):
 @query("""WITH m AS (SELECT c_nationkey, c_custkey, c_mktsegment, sha256('c_name=' || c_name || chr(31) || 'c_acctbal=' || CAST(c_acctbal AS VARCHAR)) AS h FROM customer)
 SELECT c_nationkey, count(*) AS member_count, string_agg(DISTINCT c_mktsegment, '; ' ORDER BY c_mktsegment) AS classes FROM m GROUP BY c_nationkey""")
 def narrative_packets(spark, d):
-    return narrative.packets(t(spark, d, "customer"), "c_nationkey", "c_mktsegment", "c_mktsegment", "c_mktsegment", ["c_name", "c_acctbal"], "c_custkey").select("c_nationkey", "member_count", "classes")
+    return narrative.packets(t(spark, d, "customer"), "c_nationkey", "c_mktsegment", "c_mktsegment", "c_mktsegment", ["c_name", "c_acctbal"], "c_custkey").select("c_nationkey", "member_count", "classes")  # the key: narrative_cache_key
 
 
 @query("SELECT c_nationkey, sha256('1|' || c_nationkey || '|' || string_agg(sha256('c_name=' || c_name || chr(31) || 'c_custkey=' || c_custkey), '|' ORDER BY c_custkey)) AS cache_key FROM customer GROUP BY c_nationkey")

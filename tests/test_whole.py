@@ -26,7 +26,7 @@ def silhouettes(ids, label, x):
 
 
 def test_silhouette_over_all_pairs(spark, vectors):
-    got = {r.id: r.silhouette for r in catalogue.QUERIES["silhouette_all"](spark, f"{DATA}/sf0.001").collect()}
+    got = {r.id: r.silhouette for r in catalogue.QUERIES["silhouette"](spark, f"{DATA}/sf0.001").collect()}
     want = silhouettes(*vectors)
     assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 2e-5 for i in want)
 
@@ -53,7 +53,7 @@ def best(ids, bits, queries, k=10):
 def test_library_search_over_all_labels(spark, vectors):
     ids, label, x = vectors
     bits = {i: set(np.flatnonzero(v > 0).tolist()) for i, v in zip(ids.tolist(), x, strict=True)}
-    got = {(r.id, r.other, r.rank, r.similarity) for r in catalogue.QUERIES["topk_library_all"](spark, f"{DATA}/sf0.001").collect()}
+    got = {(r.id, r.other, r.rank, r.similarity) for r in catalogue.QUERIES["topk_library"](spark, f"{DATA}/sf0.001").collect()}
     assert got == best(ids.tolist(), bits, [i for i in ids.tolist() if i % 50 == 0])
     of = dict(zip(ids.tolist(), label.tolist(), strict=True))
     assert any(of[i] != of[o] for i, o, *_ in got)
