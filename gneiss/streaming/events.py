@@ -49,11 +49,18 @@ def latest_state(events: DataFrame, key: str = "user_id", ttl_ms: int = 4 * 3600
     )
 
 
-def upsert_sink(stream: DataFrame, key: str, path: str, checkpoint: str):
-    """A query that keeps the latest row of each key in ``path``: each batch is written under its own
-    number, so that a repeated batch replaces itself."""
+def upsert_log(stream: DataFrame, path: str, checkpoint: str):
+    """A query that logs each batch of changed rows in ``path`` under its own number, so that a repeated batch
+    replaces itself. ``current`` reads the latest row of each key."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write)
+
+
+def current(spark, path: str, key: str) -> DataFrame:
+    """Of a log of changes the latest row of each key, by an aggregate that combines before the exchange."""
+    log = spark.read.option("basePath", path).parquet(path)
+    rest = [c for c in log.columns if c not in (key, "batch")]
+    return log.groupBy(key).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(key, "r.*")
