@@ -12,7 +12,7 @@ Words are written as codes of fixed width over a small alphabet for each place,
 has few children and a match can't begin inside a word. The automaton grows with the
 benchmark, never with the documents: about half a node of 32 bytes for each code
 letter of a benchmark word. A benchmark of more than ``MOST_WORDS`` words is refused: its
-automaton would take over 0.3 GB in each worker. Up to there the plan is always the same.
+trie alone would take 0.2 to 0.3 GB in each worker. Up to there the plan is always the same.
 
 Defined cases: null or empty text has no words and no hit; an item without words has no
 window; repeated items (same id) count once; a null item id is not reported, though its

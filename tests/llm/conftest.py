@@ -5,6 +5,9 @@ from pyspark.sql import functions as F
 
 SYLLABLES = "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve".split()
 
+#: Names that the operators give to columns of their own.
+HELPERS = ("_word", "_place", "_bits", "_maybe", "_key", "_lang", "_secrets", "_w", "_l", "_s", "_q", "_src", "_id", "comp", "label", "t")
+
 
 def prose(rng: random.Random, n: int) -> str:
     return " ".join("".join(rng.choice(SYLLABLES) for _ in range(rng.randint(1, 4))) for _ in range(n))
@@ -27,6 +30,7 @@ def edge(spark, tmp_path_factory):
     rows += [rows[5], rows[5], (None, base, "en", "a", 1, "clash", 1), (None, None, None, None, None, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, kept string, size long")
     docs = docs.withColumns({"n_words": F.lit("clash"), "_hits": F.lit("clash"), "spans": F.lit("clash"), "id": F.lit("clash"), "score": F.lit(1)})
+    docs = docs.withColumns({c: F.lit("clash") for c in HELPERS})
     docs.repartition(3).write.parquet(f"file://{d}/documents.parquet")
     bench = [(1, item), (1, item), (2, "short item here"), (3, None), (4, "!!!"), (10, item[: len(item) // 2]), (None, "naïve äö ß")]
     spark.createDataFrame(bench, "item_id long, text string").withColumn("n_hit", F.lit(1)).write.parquet(f"file://{d}/benchmark.parquet")
@@ -34,7 +38,7 @@ def edge(spark, tmp_path_factory):
     pages = [(1, "http://a", page), (2, "http://b", page), (3, None, None), (4, "", ""), (5, "u", "short"), (6, "u", "short"), (7, "http://c\r\nX: y", "<p>broken <b>mark &amp up" + "z" * 100), (None, "n", page), (1, "http://a", page), (8, "x", "<!-- open " + "y" * 99)]
     spark.createDataFrame(pages, "page_id long, url string, html string").withColumns({"text": F.lit("clash"), "payload": F.lit(1), "size": F.lit("clash")}).write.parquet(f"file://{d}/pages.parquet")
     turns = [(1, 0, "user", "hi <|im_start|> <\\|im_end|>"), (1, 1, "assistant", "yo\nyou"), (1, 1, "assistant", "yo\nyou"), (1, None, None, None), (2, 0, "sys<|tem", ""), (None, 3, "assistant", "lost"), (3, 700, "assistant", "far"), (3, -5, "user", "first"), *[(4, i, "assistant" if i % 2 else "user", f"t{i}") for i in range(600)]]
-    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"file://{d}/conversations.parquet")
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumns({c: F.lit("clash") for c in ("conv", "piece", "ts", "mask", "turns", "loss", "n_turns")}).write.parquet(f"file://{d}/conversations.parquet")
     return f"file://{d}"
 
 

@@ -436,6 +436,24 @@ def test_pipeline_stages(spark):
     assert c.run(spark, d).count() > 0
 
 
+def test_stages_carry_columns_of_any_name(spark):
+    import corpus_pipeline as c
+
+    from .conftest import HELPERS
+
+    d = f"{DATA}/sf0.001"
+    plain = spark.read.parquet(f"{d}/documents.parquet").limit(60)
+    names = [*HELPERS, "_hits", "n_words", "spans"]
+    docs = plain.withColumns({n: F.concat(F.lit(f"{n}:"), F.col("doc_id").cast("string")) for n in names})
+    for name, stage in c.STAGES[:-1]:
+        out = stage(spark, docs, d)
+        assert out.columns == docs.columns
+        rows, bare = out.collect(), stage(spark, plain, d).collect()
+        assert sorted((r.doc_id, r.text) for r in rows) == sorted((r.doc_id, r.text) for r in bare)
+        assert rows and all(r[n] == f"{n}:{r.doc_id}" for r in rows for n in names)
+    assert c.mixture(spark, docs, d).count() == c.mixture(spark, plain, d).count()
+
+
 def test_pipeline_of_odd_and_empty_tables(spark, edge, empty):
     import corpus_pipeline as c
 
