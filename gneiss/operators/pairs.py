@@ -25,6 +25,36 @@ def block_pairs(df: DataFrame, key: str, block: str, carry=(), where=None) -> Da
     return joined.select("a.block", "i", "j", *[f"{c}_{s}" for c in carry for s in "ij"])
 
 
+def _signatures(df: DataFrame, key: str, block: str, signature, terms: dict) -> tuple[DataFrame, DataFrame]:
+    """(block, s, n, signature) of each distinct signature of a block, named by its smallest key, and
+    (block, s, t, n_i, n_j, one column for each term) of all ordered pairs of them."""
+    kinds = df.select(F.col(block).alias("block"), F.col(key).alias("key"), F.struct(*signature).alias("signature")).groupBy("block", "signature").agg(F.min("key").alias("s"), F.count("*").alias("n"))
+    side = lambda k, name: kinds.select("block", F.col("s").alias(name), F.col("n").alias(f"n_{k}"), *[F.col(f"signature.{c}").alias(f"{c}_{k}") for c in signature])
+    x = lambda c: (F.col(f"{c}_i"), F.col(f"{c}_j"))
+    return kinds, side("i", "s").join(side("j", "t"), "block").select("block", "s", "t", "n_i", "n_j", *[f(x).alias(name) for name, f in terms.items()])
+
+
+def signature_pairs(df: DataFrame, key: str, block: str, signature, terms: dict, carry=()) -> DataFrame:
+    """``block_pairs`` with a column for each of ``terms``: functions of the sides of ``signature``'s
+    columns, which are computed once for each pair of distinct signatures of a block. Rows meet on
+    (block, signature), so that a hot block is spread by its signatures. It pays where signatures repeat."""
+    kinds, between = _signatures(df, key, block, signature, terms)
+    own = df.select(F.col(block).alias("block"), F.col(key).alias("key"), F.struct(*signature).alias("signature"), *[F.col(c).alias(f"_{c}") for c in carry])
+    named = own.join(kinds.drop("n"), ["block", "signature"]).drop("signature")
+    side = lambda k, name: named.select("block", F.col("s").alias(name), F.col("key").alias(k), *[F.col(f"_{c}").alias(f"{c}_{k}") for c in carry])
+    out = side("i", "s").join(between.drop("n_i", "n_j"), ["block", "s"]).join(side("j", "t"), ["block", "t"]).where(F.col("i") > F.col("j"))
+    return out.select("block", "i", "j", *terms, *[f"{c}_{k}" for c in carry for k in "ij"])
+
+
+def signature_mean(df: DataFrame, key: str, block: str, signature, term) -> DataFrame:
+    """(block, mean_distance) over all pairs of a block, to 6 places, of a symmetric term of the sides of
+    ``signature``'s columns, without forming the pairs: each pair of signatures counts as often as rows have it."""
+    between = _signatures(df, key, block, signature, {"term": term})[1]
+    both = F.when(F.col("s") == F.col("t"), F.col("n_i") * (F.col("n_i") - 1)).otherwise(F.col("n_i") * F.col("n_j"))
+    sums = between.groupBy("block").agg(F.sum(F.col("term") * both).alias("total"), F.sum(both).alias("pairs"))
+    return sums.where("pairs > 0").select("block", F.bround(F.col("total") / F.col("pairs"), 6).alias("mean_distance"))
+
+
 def tanimoto_pairs(df: DataFrame, key: str, block: str, bits: str, least: float | None = None) -> DataFrame:
     """(block, i, j, similarity) of all pairs in a block, or of those from ``least`` up."""
     sized = df.select(key, block, F.col(bits).alias("bits"), F.size(bits).alias("n"))

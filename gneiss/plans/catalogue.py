@@ -277,7 +277,7 @@ def part_pairs(spark, d) -> DataFrame:
         F.element_at(F.array(*[F.lit(x) for x in ("Neutral", "Likely acidic", "Likely basic", "Amphoteric", "Unknown")]), s % 5 + 1).alias("ionisation"),
         F.when(s % 4 != 0, s % 4 - 1).alias("formal_charge"), F.array_sort(F.array_distinct(F.array(w[0], w[1]))).alias("toxicophores"), F.array_sort(w).alias("alerts"), w[2].alias("first_alert"),
         F.when(s % 6 != 0, w[0]).alias("topology_class"), F.array(w[1]).alias("modifiers"), w[2].alias("ring_system"), F.lit(None).cast("string").alias("ring_profile"), F.lit("x").alias("alcohol_context"),
-        (s % 5).alias("ring_count"), F.when(s % 7 != 0, s % 3).alias("aromatic_ring_count"), F.col("p_retailprice").alias("price"),
+        (s % 5).alias("ring_count"), F.when(s % 7 != 0, s % 3).alias("aromatic_ring_count"), F.col("p_retailprice").alias("price"), s.alias("size"),
     )
     return p
 
@@ -301,9 +301,13 @@ _J = "CAST(len(list_intersect({a}, {b})) AS DOUBLE) / len(list_distinct(list_con
 TOX_SQL = f"(0.45 * (1 - {_J.format(a='list_distinct([a.w1, a.w2])', b='list_distinct([b.w1, b.w2])')}) + 0.35 * (1 - {_J.format(a='[a.w1, a.w2, a.w3]', b='[b.w1, b.w2, b.w3]')}) + 0.20 * CASE WHEN a.w3 = b.w3 THEN 0 ELSE 1 END)"
 
 
+_TOX = ("toxicophores", "alerts", "first_alert")
+
+
 @query(f"WITH {L_SQL} SELECT block, i, j, round({TOX_SQL}, 6) AS distance FROM q")
 def layer_toxicophore(spark, d):
-    return _layer(spark, d, layers.toxicophore_distance, "toxicophores", "alerts", "first_alert")
+    q = pairs.signature_pairs(part_pairs(spark, d), "id", "block", _TOX, {"distance": layers.toxicophore_distance})
+    return q.withColumn("distance", F.round("distance", 6))
 
 
 TOP_SQL = """(0.25 * CASE WHEN a.p_size % 6 = 0 OR b.p_size % 6 = 0 THEN 0.5 WHEN a.w1 = b.w1 THEN 0 ELSE 1 END + 0.20 * CASE WHEN a.w2 = b.w2 THEN 0 ELSE 1 END + 0.15 * CASE WHEN a.w3 = b.w3 THEN 0 ELSE 1 END + 0.05
@@ -314,7 +318,8 @@ _TOP = ("topology_class", "modifiers", "ring_system", "ring_profile", "alcohol_c
 
 @query(f"WITH {L_SQL} SELECT block, i, j, round({TOP_SQL}, 6) AS distance FROM q")
 def layer_topology(spark, d):
-    return _layer(spark, d, layers.topology_distance, *_TOP)
+    q = pairs.signature_pairs(part_pairs(spark, d), "id", "block", ("modifiers",), {"sets": layers.modifier_distance}, _TOP)
+    return q.select("block", "i", "j", F.round(layers.topology_distance(layers.sides(), F.col("sets")), 6).alias("distance"))
 
 
 _DW = {"hbd": 0.08, "ring_count": 0.12, "fraction_csp3": 0.10, "ionisation": 0.15}
@@ -334,35 +339,50 @@ def layer_descriptor(spark, d):
 TAX_SQL = "(0.05 * CASE WHEN a.w1 = b.w1 THEN 0 ELSE 1 END + 0.08 * CASE WHEN a.w2 = b.w2 THEN 0 ELSE 1 END + 0.16 * CASE WHEN a.w3 = b.w3 THEN 0 ELSE 1 END + 0.17 * CASE WHEN a.p_type = b.p_type THEN 0 ELSE 1 END + 0.12 * CASE WHEN list_sort([a.w2, a.w3]) = list_sort([b.w2, b.w3]) THEN 0 WHEN len(list_intersect([a.w2, a.w3], [b.w2, b.w3])) > 0 THEN 0.55 ELSE 0.90 END + 0.05 * 0.5 + 0.03 * CASE WHEN a.p_type = b.p_type THEN 0 ELSE 1 END)"
 
 
-@query(f"WITH {L_SQL} SELECT block, i, j, round({TAX_SQL}, 6) AS distance FROM q")
-def layer_taxonomy(spark, d):
+_TAX = (*layers.TAXONOMY_LEVELS, "substituents", "hierarchy", "path", "parent_class", "functional_group", "subclass", "structural_type")
+
+
+def taxonomy_columns(p: DataFrame) -> DataFrame:
     w = F.split("structural_type", " ")
     none = F.lit(None).cast("string")
-    p = part_pairs(spark, d).select(
-        "id", "block", F.col("parent_class").alias("kingdom"), w[1].alias("superclass"), w[2].alias("class"), F.col("structural_type").alias("subclass_level"), none.alias("direct_parent"), none.alias("framework"),
-        F.array_sort(F.array(w[1], w[2])).alias("substituents"), F.array().cast("array<string>").alias("hierarchy"), w.alias("path"), "parent_class", "functional_group", "subclass", "structural_type",
-    )
-    cols = tuple(c for c in p.columns if c not in ("id", "block"))
-    return pairs.block_pairs(p, "id", "block", cols).select("block", "i", "j", F.round(layers.taxonomy_distance(layers.sides()), 6).alias("distance"))
+    return p.withColumns({
+        "kingdom": F.col("parent_class"), "superclass": w[1], "class": w[2], "subclass_level": F.col("structural_type"), "direct_parent": none, "framework": none,
+        "substituents": F.array_sort(F.array(w[1], w[2])), "hierarchy": F.array().cast("array<string>"), "path": w,
+    })
+
+
+@query(f"WITH {L_SQL} SELECT block, i, j, round({TAX_SQL}, 6) AS distance FROM q")
+def layer_taxonomy(spark, d):
+    q = pairs.signature_pairs(taxonomy_columns(part_pairs(spark, d)), "id", "block", _TAX, {"distance": layers.taxonomy_distance})
+    return q.withColumn("distance", F.round("distance", 6))
 
 
 BASE_SQL = f"(0.30 * CASE WHEN a.w3 = b.w3 THEN 0 ELSE 1 END + 0.25 * (1 - {_J.format(a='[a.w1, a.w2, a.w3]', b='[b.w1, b.w2, b.w3]')}) + 0.25 * abs(a.p_retailprice - b.p_retailprice) / 2000 + 0.20 * CASE WHEN a.w2 = b.w2 THEN 0 ELSE 1 END)"
 
 
-@query(f"WITH {L_SQL} SELECT block, i, j, round(least(1, least(1, 0.5 * {BASE_SQL} + 0.15 * {CLASS_SQL} + 0.15 * {TOP_SQL}) + 0.08 * {ION_SQL}) + 0.12 * {TOX_SQL}, 9) AS distance FROM q")
+@query(f"WITH {L_SQL} SELECT block, i, j, round(least(1, least(1, least(1, 0.2 * {BASE_SQL} + 0.15 * {CLASS_SQL} + 0.20 * {DES_SQL} + 0.15 * {TOP_SQL}) + 0.08 * {ION_SQL}) + 0.12 * {TOX_SQL}) + 0.10 * {TAX_SQL}, 9) AS distance FROM q")
 def layer_blend(spark, d):
-    cols = ("parent_class", "functional_group", "subclass", "structural_type", "corrected_class", "ionisation", "formal_charge", "toxicophores", "alerts", "first_alert", "price", *_TOP)
-    q, x = pairs.block_pairs(part_pairs(spark, d), "id", "block", cols), layers.sides()
-    fp = 1 - jaccard(*x("alerts"))
-    base = layers.base_distance(x("functional_group"), [fp], F.abs(x("price")[0] - x("price")[1]) / 2000, tuple(F.get(v, F.lit(0)) for v in x("modifiers")))
-    out = layers.blend(base, {"class": layers.class_distance(x), "topology": layers.topology_distance(x), "ionisation": layers.ionisation_distance(x), "toxicophore": layers.toxicophore_distance(x)})
+    weights = {"hbd": _DW["hbd"], "size": _DW["ring_count"], "fraction_csp3": _DW["fraction_csp3"], "ionisation": _DW["ionisation"]}
+    p = part_pairs(spark, d).withColumns({"hbd": F.col("price"), "fraction_csp3": (F.col("id") % 13).cast("double")})
+    p = layers.scaled(taxonomy_columns(p), ["hbd", "size", "fraction_csp3"])
+    # What depends on words alone is computed for each pair of words' signatures; a pair of rows adds its numbers.
+    words = tuple(dict.fromkeys((*_TOX, "modifiers", "corrected_class", *_TAX)))
+    terms = {
+        "fingerprint": lambda x: 1 - jaccard(*x("alerts")), "toxicophore": layers.toxicophore_distance, "class": layers.class_distance,
+        "taxonomy": layers.taxonomy_distance, "sets": layers.modifier_distance,
+    }
+    q, x = pairs.signature_pairs(p, "id", "block", words, terms, ("ionisation", "formal_charge", "price", "functional_group", "hbd", "size", "fraction_csp3", *_TOP)), layers.sides()
+    base = layers.base_distance(x("functional_group"), [F.col("fingerprint")], F.abs(x("price")[0] - x("price")[1]) / 2000, tuple(F.get(v, F.lit(0)) for v in x("modifiers")))
+    out = layers.blend(base, {
+        "class": F.col("class"), "descriptor": layers.descriptor_distance(x, weights), "topology": layers.topology_distance(x, F.col("sets")),
+        "ionisation": layers.ionisation_distance(x), "toxicophore": F.col("toxicophore"), "taxonomy": F.col("taxonomy"),
+    })
     return q.select("block", "i", "j", F.round(out, 9).alias("distance"))
 
 
 @query(f"WITH {L_SQL}, m AS (SELECT block, round_even(avg({TOX_SQL}), 6) AS mean_distance FROM q GROUP BY block) SELECT block, mean_distance, CASE WHEN mean_distance <= 0.06 THEN 'Toxicophore coherent' WHEN mean_distance <= 0.22 THEN 'Toxicophore aligned' ELSE 'Toxicophore mixed' END AS cohesion FROM m")
 def layer_cohesion(spark, d):
-    q = pairs.block_pairs(part_pairs(spark, d), "id", "block", ("toxicophores", "alerts", "first_alert"))
-    m = evidence.mean_distance(q, layers.toxicophore_distance(layers.sides()))
+    m = pairs.signature_mean(part_pairs(spark, d), "id", "block", _TOX, layers.toxicophore_distance)
     return m.select("block", "mean_distance", layers.cohesion(F.col("mean_distance"), "toxicophore").alias("cohesion"))
 
 

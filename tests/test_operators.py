@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gneiss.functions import numeric, text
-from gneiss.operators import cluster, components, evidence, group, layers, ledger, rules, tables
+from gneiss.operators import cluster, components, evidence, group, layers, ledger, pairs, rules, tables
 from gneiss.sources import files
 
 
@@ -239,3 +239,17 @@ def test_pipeline_stages_resume(spark, tmp_path):
     assert out.side["evidence_matrix"].count() > 0 and pipeline.stage_name("CORE") == "b1a" and pipeline.stage_name("x") == "all"
     a = spark.read.parquet(f"file://{tmp_path}/run/b1a")
     assert pipeline.preserved(a, spark.read.parquet(f"file://{tmp_path}/run/b1b"), "src_pos", ["cluster_id", "domain_status"])
+
+
+def test_signature_pairs_equal_pairs_of_rows(spark):
+    rows = [(k, "a" if k % 3 else "b", ["x", "y"] if k % 2 else None, "w" if k % 5 else None, k * 1.5) for k in range(24)] + [(90, "alone", ["x"], "w", 0.0), (91, None, ["x"], "w", 0.0)]
+    df = spark.createDataFrame(rows, "id long, block string, modifiers array<string>, first_alert string, price double")
+    term = layers.modifier_distance
+    got = pairs.signature_pairs(df, "id", "block", ("modifiers", "first_alert"), {"d": term}, ("price", "modifiers"))
+    x = layers.sides()
+    want = pairs.block_pairs(df, "id", "block", ("price", "modifiers"))
+    tell = lambda q, d: sorted(tuple(r) for r in q.select("block", "i", "j", d.alias("d"), "price_i", "price_j").collect())
+    assert tell(got, F.col("d")) == tell(want, term(x))
+    mean = {r["block"]: r["mean_distance"] for r in pairs.signature_mean(df, "id", "block", ("modifiers", "first_alert"), term).collect()}
+    plain = {r["block"]: r["m"] for r in want.groupBy("block").agg(F.avg(term(x)).alias("m")).collect()}
+    assert mean.keys() == plain.keys() and all(mean[k] == pytest.approx(plain[k], abs=1e-6) for k in mean)
