@@ -6,6 +6,7 @@ from __future__ import annotations
 import difflib
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -73,43 +74,81 @@ def rescue_reason(name: str, match: str, ratio: float) -> str | None:
     return "Surrogate SMILES (Typo Corrected)" if ratio >= 0.85 and same_digits and same_chains else None
 
 
-def best_name(name: str, known: list[str]) -> tuple[str | None, float]:
-    """The known name of the highest sequence ratio, the first of equals; one of over five letters that
-    the name contains counts as 0.95 at least."""
-    best, top = None, 0.0
-    matcher = difflib.SequenceMatcher(None, b="")
-    for k in known:
-        matcher.set_seqs(name.lower(), k.lower())
-        inside = len(k) > 5 and k.lower() in name.lower()
-        if not inside and max(0.0, matcher.real_quick_ratio()) <= top:
-            continue
-        r = matcher.ratio()
-        if inside and r < 0.85:
-            r = 0.95
-        if r > top:
-            best, top = k, r
-    return best, top
-
-
-def fuzzy_rescue(unresolved: DataFrame, resolved: DataFrame, name: str, batch: str | None = None, most: int = 100_000) -> DataFrame:
-    """(name, match, ratio, reason) of unresolved names against the resolved names of their batch. The
-    resolved names are a lookup set of bounded size; beyond it a finer batch is needed."""
-    n = resolved.select(name).distinct().limit(most + 1).count()
-    if n > most:
-        raise ValueError(f"more than {most} resolved names; give a finer batch")
-    known = [r[0] for r in resolved.where(F.col(name).isNotNull()).groupBy(name).agg(F.min(F.col(batch) if batch else F.lit(0)).alias("o")).orderBy("o", name).select(name).collect()]
-    shared = unresolved.sparkSession.sparkContext.broadcast(known)
-
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for x in pdf[name]:
-                k, r = best_name(x, shared.value)
-                why = rescue_reason(x, k, r) if k is not None and r >= 0.85 else None
-                rows.append((x, k if why else None, round(r, 6), why or "Tier 3: Class Fallback Required (No Structure)"))
-            yield pd.DataFrame(rows, columns=[name, "match", "ratio", "reason"])
-
-    return unresolved.select(name).where(F.col(name).isNotNull()).mapInPandas(run, f"{name} string, match string, ratio double, reason string")
+#: A sequence ratio from which a name may stand for another, and what a name inside a longer one counts as.
+RESCUE_RATIO, INSIDE_RATIO, INSIDE_LENGTH = 0.85, 0.95, 6
+
+
+def _letters(words: list[str], width: int = 64) -> np.ndarray:
+    """Letters of each word, counted by their code modulo ``width``."""
+    out = np.zeros((len(words), width), np.int32)
+    for r, w in enumerate(words):
+        codes, n = np.unique(np.fromiter(map(ord, w), np.int64, len(w)) % width, return_counts=True)
+        out[r, codes] = n
+    return out
+
+
+def best_names(names: list[str], known: list[str]) -> list[tuple[int, float]]:
+    """For each name the place of the known one of the highest ratio from ``RESCUE_RATIO`` up, the first of
+    equals, or -1. Only names whose common letters allow that ratio, or one inside the other, are compared."""
+    low, kl = [n.lower() for n in names], [k.lower() for k in known]
+    counts, sizes, long = _letters(kl), np.array([len(k) for k in kl]), np.array([len(k) >= INSIDE_LENGTH for k in known])
+    out, matcher = [], difflib.SequenceMatcher()
+    for name, have in zip(low, _letters(low), strict=True):
+        common = np.minimum(counts, have).sum(1)
+        whole = (common == sizes) & long
+        reach = 2 * common >= RESCUE_RATIO * (len(name) + sizes)
+        best, top = -1, 0.0
+        for k in np.flatnonzero(whole | reach):
+            matcher.set_seqs(name, kl[k])
+            r = matcher.ratio() if reach[k] else 0.0
+            if r < RESCUE_RATIO and whole[k] and kl[k] in name:
+                r = INSIDE_RATIO
+            if r >= RESCUE_RATIO and r > top:
+                best, top = int(k), r
+        out.append((best, top))
+    return out
+
+
+def fuzzy_rescue(unresolved: DataFrame, resolved: DataFrame, name: str, batch: str | None = None, order: str | None = None, block: int = 2048) -> DataFrame:
+    """(batch, name, match, ratio, reason) of each row of ``unresolved`` with a name, against the resolved names of
+    its batch (null is a batch of its own). ``ratio`` is that of the best name, the first in ``order`` (null first; without
+    it by text) of equals, and null where none reaches the least ratio; ``match`` is null too where the chemistry
+    forbids it. Names meet block against block: no task gets more than two blocks of about ``block`` names."""
+    at = F.col(batch) if batch else F.lit(0)
+    kind = unresolved.schema[batch].dataType.simpleString() if batch else "int"
+    trimmed = lambda df, *more: df.select(F.struct(at.alias("b")).alias("batch"), F.trim(F.col(name)).alias("name"), *more).where("name <> ''")
+    rows = trimmed(unresolved)
+    first = trimmed(resolved, (F.col(order) if order else F.trim(F.col(name))).alias("o")).groupBy("batch", "name").agg(F.min("o").alias("o"))
+    asked = rows.distinct()
+    n = lambda out: F.ceil(F.count("*") / block).cast("int").alias(out)
+    shape = asked.groupBy("batch").agg(n("np")).join(first.groupBy("batch").agg(n("nq"), F.min("o").alias("least")), "batch")
+
+    def cells(df: DataFrame, side: int, own: str, n: str, other: str, m: str) -> DataFrame:
+        placed = df.join(shape, "batch").withColumn(own, F.pmod(F.xxhash64("name"), F.col(n)).cast("int"))
+        return placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(m) - 1))).select("batch", "p", "q", F.lit(side).alias("side"), "name", F.col("o" if side else "least").alias("o"))
+
+    each = cells(asked, 0, "p", "np", "q", "nq").unionByName(cells(first, 1, "q", "nq", "p", "np"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1].sort_values(["o", "name"], na_position="first")
+        known, orders = b["name"].to_list(), b["o"].to_list()
+        found = [(r, *kr) for r, kr in enumerate(best_names(a["name"].to_list(), known)) if kr[0] >= 0]
+        rows = [(a["batch"].iloc[r]["b"], a["name"].iloc[r], known[k], None if pd.isna(orders[k]) else orders[k], ratio) for r, k, ratio in found]
+        return pd.DataFrame(rows, columns=["b", "name", "match", "o", "ratio"], dtype=object)
+
+    o = first.schema["o"].dataType.simpleString()
+    near = each.groupBy("batch", "p", "q").applyInPandas(run, f"b {kind}, name string, match string, o {o}, ratio double")
+    best = near.groupBy(F.struct("b").alias("batch"), "name").agg(F.min(F.struct((-F.col("ratio")).alias("r"), "o", "match")).alias("best"))
+
+    def reasons(names: pd.Series, matches: pd.Series, ratios: pd.Series) -> pd.Series:
+        return pd.Series([None if m is None else rescue_reason(n, m, r) for n, m, r in zip(names, matches, ratios, strict=True)], dtype=object)
+
+    judged = best.select("batch", "name", F.col("best.match").alias("match"), (-F.col("best.r")).alias("ratio"))
+    judged = judged.withColumn("why", F.pandas_udf(reasons, "string")("name", "match", "ratio"))
+    return rows.join(judged, ["batch", "name"], "left").select(
+        F.col("batch.b").alias("batch"), "name", F.when(F.col("why").isNotNull(), F.col("match")).alias("match"), F.round("ratio", 6).alias("ratio"),
+        F.coalesce("why", F.lit("Tier 3: Class Fallback Required (No Structure)")).alias("reason"),
+    )
 
 
 def merge_identity(supplied: DataFrame, lookup: DataFrame, key: str, fields: list[str], status: str) -> DataFrame:

@@ -599,7 +599,7 @@ def next_line(spark, d):
 def fuzzy_rescue(spark, d):
     c = t(spark, d, "customer").select(F.concat(F.lit("Customer "), F.col("c_custkey").cast("string"), F.when(F.col("c_custkey") % 2 == 0, F.lit(" isomer")).otherwise(F.lit("s"))).alias("name"))
     s = t(spark, d, "supplier").select(F.concat(F.lit("Customer "), F.col("s_suppkey").cast("string")).alias("name"))
-    return tables.fuzzy_rescue(c, s, "name")
+    return tables.fuzzy_rescue(c, s, "name").drop("batch")
 
 
 @query("SELECT doc_id, CASE WHEN quality = 1 THEN 'Structured' WHEN regexp_matches(text, '(?i)\\b(related compound|loss of|c=\\d+)\\b') THEN 'Ambiguous identity' WHEN quality IS NULL THEN 'Needs structure' ELSE 'Invalid structure' END AS status, CASE WHEN quality = 1 THEN 'Structure available' WHEN doc_id % 2 = 0 THEN 'CASRN supplied — verify scope' ELSE 'Name-only evidence' END AS tier FROM documents LEFT JOIN labels USING (doc_id)")

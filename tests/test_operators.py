@@ -179,12 +179,39 @@ def test_ledger_is_idempotent_and_atomic(spark):
 
 def test_rescue():
     known = ["Irganox 1010", "1-hexanol", "octane"]
-    assert tables.best_name("Irganox 1010 related compound", known) == ("Irganox 1010", 0.95)
+    assert tables.best_names(["Irganox 1010 related compound"], known) == [(known.index("Irganox 1010"), 0.95)]
     assert tables.rescue_reason("2-hexanol", "1-hexanol", 0.9) is None
     assert tables.rescue_reason("octanne", "octane", 0.92) == "Surrogate SMILES (Typo Corrected)"
     assert tables.rescue_reason("x (n=3)", "x (n=4)", 0.9) == "Surrogate SMILES (Homologue)"
 
 
+def test_rescue_by_batch_equals_all_pairs(spark):
+    import difflib
+
+    known = [(1, "Irganox 1010", 5), (1, "irganox 1010", 3), (1, "Irganox 1010", 9), (1, "octane", 1), (1, "hexanol A", 2), (1, "hexanol B", 1), (2, "decane", 4), (None, "octane", 1), (1, None, 0), (1, "  ", 0), (3, "nothing else", 1)]
+    asked = [(1, "Irganox 1010 related compound"), (1, "octanne"), (2, "octanne"), (None, "octanne"), (1, "hexanol C"), (1, "hexanol C"), (2, " decanee "), (4, "octane"), (1, None), (1, " "), (2, "ﬀ" * 400)]
+    got = tables.fuzzy_rescue(spark.createDataFrame(asked, "lot long, name string"), spark.createDataFrame(known, "lot long, name string, at long"), "name", "lot", "at", block=2).collect()
+
+    def plain(lot, name):
+        best, top = None, 0.0
+        mine = [(o, k) for b, k, o in known if b == lot and k and k.strip()]
+        for k in dict.fromkeys(k for _, k in sorted(mine)):
+            r = difflib.SequenceMatcher(None, name.lower(), k.lower()).ratio()
+            if k.lower() in name.lower() and len(k) > 5 and r < 0.85:
+                r = 0.95
+            if r > top:
+                best, top = k, r
+        why = tables.rescue_reason(name, best, top) if top >= 0.85 else None
+        return (lot, name, best if why else None, round(top, 6) if top >= 0.85 else None, why or "Tier 3: Class Fallback Required (No Structure)")
+
+    want = [plain(b, n.strip()) for b, n in asked if n and n.strip()]
+    key = lambda r: tuple(str(v) for v in r)
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+    assert {r[2] for r in want} >= {"irganox 1010", "octane"}
+    empty = tables.fuzzy_rescue(spark.createDataFrame(asked, "lot long, name string"), spark.createDataFrame([], "lot long, name string"), "name", "lot").collect()
+    assert len(empty) == len(want) and all(r.match is None and r.ratio is None for r in empty)
+
+
 def test_contract_and_gate(spark):
     df = spark.createDataFrame([("a", 1, "PASS", "Unresolved")], "Old string, Extra int, decision string, who string")
     out = tables.apply_contract(df, ["New", "Blank"], ["decision"], {"Old": "New"})
