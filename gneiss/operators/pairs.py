@@ -26,17 +26,23 @@ def block_pairs(df: DataFrame, key: str, block: str, carry=(), where=None) -> Da
 
 
 def _signatures(df: DataFrame, key: str, block: str, signature, terms: dict) -> tuple[DataFrame, DataFrame]:
-    """(block, s, n, signature) of each distinct signature of a block, named by its smallest key, and
-    (block, s, t, n_i, n_j, one column for each term) of all ordered pairs of them."""
-    kinds = df.select(F.col(block).alias("block"), F.col(key).alias("key"), F.struct(*signature).alias("signature")).groupBy("block", "signature").agg(F.min("key").alias("s"), F.count("*").alias("n"))
-    side = lambda k, name: kinds.select("block", F.col("s").alias(name), F.col("n").alias(f"n_{k}"), *[F.col(f"signature.{c}").alias(f"{c}_{k}") for c in signature])
+    """(block, s, n, signature) of each distinct signature of a block, and (block, s, t, n_i, n_j, one column for
+    each term) of all ordered pairs of them. A signature is named by its smallest key in any block, so that a
+    term is computed once for each two signatures that meet, in however many blocks they do."""
+    kinds = df.select(F.col(block).alias("block"), F.col(key).alias("key"), F.struct(*signature).alias("signature")).groupBy("block", "signature").agg(F.min("key").alias("first"), F.count("*").alias("n"))
+    names = kinds.groupBy("signature").agg(F.min("first").alias("s"))
+    kinds = kinds.join(names, "signature").select("block", "s", "n", "signature")
+    side = lambda k, name: kinds.select("block", F.col("s").alias(name), F.col("n").alias(f"n_{k}"))
+    meet = side("i", "s").join(side("j", "t"), "block").select("block", "s", "t", "n_i", "n_j")
+    spread = lambda k, name: names.select(F.col("s").alias(name), *[F.col(f"signature.{c}").alias(f"{c}_{k}") for c in signature])
     x = lambda c: (F.col(f"{c}_i"), F.col(f"{c}_j"))
-    return kinds, side("i", "s").join(side("j", "t"), "block").select("block", "s", "t", "n_i", "n_j", *[f(x).alias(name) for name, f in terms.items()])
+    each = meet.select("s", "t").distinct().join(spread("i", "s"), "s").join(spread("j", "t"), "t").select("s", "t", *[f(x).alias(name) for name, f in terms.items()])
+    return kinds, meet.join(each, ["s", "t"])
 
 
 def signature_pairs(df: DataFrame, key: str, block: str, signature, terms: dict, carry=()) -> DataFrame:
     """``block_pairs`` with a column for each of ``terms``: functions of the sides of ``signature``'s
-    columns, which are computed once for each pair of distinct signatures of a block. Rows meet on
+    columns, which are computed once for each two distinct signatures that meet in any block. Rows meet on
     (block, signature), so that a hot block is spread by its signatures. It pays where signatures repeat."""
     kinds, between = _signatures(df, key, block, signature, terms)
     own = df.select(F.col(block).alias("block"), F.col(key).alias("key"), F.struct(*signature).alias("signature"), *[F.col(c).alias(f"_{c}") for c in carry])
