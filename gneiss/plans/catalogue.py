@@ -154,12 +154,6 @@ def outlier_and_unassessed_columns(spark, d):
     return o.select("c_custkey", F.array_join("outlier_columns", "; ").alias("outlier_columns"), F.array_join("not_assessed", "; ").alias("not_assessed"))
 
 
-@query("SELECT c_nationkey, string_agg(DISTINCT c_mktsegment, '; ' ORDER BY c_mktsegment) AS segments, printf('%.2f', min(c_acctbal)) || '-' || printf('%.2f', max(c_acctbal)) AS balance FROM customer GROUP BY c_nationkey")
-def distinct_values_and_range(spark, d):
-    b = F.col("c_acctbal")
-    return t(spark, d, "customer").groupBy("c_nationkey").agg(group.joined_values(F.col("c_mktsegment")).alias("segments"), F.concat(F.format_string("%.2f", F.min(b)), F.lit("-"), F.format_string("%.2f", F.max(b))).alias("balance"))
-
-
 @query("WITH s AS (SELECT source, lang AS v, min(doc_id) AS o FROM documents GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY o) AS k, count(*) OVER (PARTITION BY source) AS n FROM s) SELECT source, string_agg(v, '; ' ORDER BY k) FILTER (k <= 2) || CASE WHEN max(n) > 2 THEN '; additional values present' ELSE '' END AS \"values\" FROM r GROUP BY source")
 def first_seen_values(spark, d):
     return group.first_values(t(spark, d, "documents"), "source", F.col("lang"), "doc_id", 2)
@@ -182,12 +176,6 @@ def top12_frequency(spark, d):
     return group.frequency(t(spark, d, "documents"), "source")
 
 
-@query("SELECT count(*) AS row_count, count(DISTINCT text) AS texts, count(DISTINCT source) AS sources, count(*) FILTER (quality = 1) AS good, count(*) FILTER (toxic = 1) AS toxic, count(*) FILTER (quality IS NULL) AS unlabelled FROM documents LEFT JOIN labels USING (doc_id)")
-def dashboard_metrics(spark, d):
-    j = t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id", "left")
-    return j.agg(F.count("*").alias("row_count"), F.countDistinct("text").alias("texts"), F.countDistinct("source").alias("sources"), F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("toxic") == 1).alias("toxic"), F.count_if(F.col("quality").isNull()).alias("unlabelled"))
-
-
 @query(r"""SELECT c_custkey, CAST(round_even(abs(c_acctbal) / 100, 1) AS DOUBLE) AS rounded, 'E-' || upper(left(sha256('c|' || c_name), 12)) AS evidence_id, TRY_CAST(regexp_extract(c_name, '([0-9]+)$', 1) AS INTEGER) AS tail FROM customer""")
 def scalar_functions(spark, d):
     c = t(spark, d, "customer")
@@ -478,15 +466,6 @@ def review_boundary(spark, d):
     return t(spark, d, "customer").select("c_custkey", b.alias("boundary"))
 
 
-@query(f"""WITH {P_SQL}, st AS (SELECT block, round_even(median(s), 3) AS m FROM p GROUP BY block), g AS (SELECT label, count(*) AS source_rows, count(DISTINCT bits) AS unique_structures FROM e GROUP BY label)
-SELECT label, source_rows, unique_structures, source_rows - unique_structures AS duplicates, m AS median_similarity, CASE WHEN unique_structures = 1 THEN 'Not assessable: one unique structure' WHEN m >= 0.33 THEN 'Structurally coherent under primary threshold; sensitivity review pending' ELSE 'Borderline: SME review required before use' END AS stability FROM g LEFT JOIN st ON label = block""")
-def cluster_summary(spark, d):
-    e = emb(spark, d)
-    st = pairs.pair_stats(pairs.tanimoto_pairs(e, "vec_id", "label", "bits")).select(F.col("block").alias("label"), "median_similarity")
-    g = e.groupBy("label").agg(F.count("*").alias("source_rows"), F.countDistinct("bits").alias("unique_structures")).join(st, "label", "left")
-    return g.select("label", "source_rows", "unique_structures", (F.col("source_rows") - F.col("unique_structures")).alias("duplicates"), "median_similarity", evidence.stability(F.col("unique_structures"), F.col("median_similarity"), 0.33).alias("stability"))
-
-
 @query(r"""SELECT doc_id, concat_ws(',', CASE WHEN doc_id % 5 = 0 OR doc_id % 7 = 0 THEN 'unknown_evidence' END, CASE WHEN doc_id % 5 = 0 THEN 'claim_without_evidence' END, CASE WHEN doc_id % 7 = 0 AND doc_id % 5 <> 0 THEN 'links_differ' END, CASE WHEN length(text) > 1800 THEN 'too_long' END, CASE WHEN regexp_matches(text, '(?i)\bthe\b') THEN 'banned_claim' END, CASE WHEN contains(lower(text), 'erth') THEN 'endpoint_term' END) AS errors FROM documents""")
 def grounding_check(spark, d):
     k = F.col("doc_id")
