@@ -26,18 +26,18 @@ def block_pairs(df: DataFrame, key: str, block: str, carry=(), where=None) -> Da
 
 
 def _signatures(df: DataFrame, key: str, block: str, signature, terms: dict) -> tuple[DataFrame, DataFrame]:
-    """(block, s, n, signature) of each distinct signature of a block, and (block, s, t, n_i, n_j, one column for
+    """(block, _s, n, signature) of each distinct signature of a block, and (block, _s, _t, n_i, n_j, one column for
     each term) of all ordered pairs of them. A signature is named by its smallest key in any block, so that a
     term is computed once for each two signatures that meet, in however many blocks they do."""
     kinds = df.select(F.col(block).alias("block"), F.col(key).alias("key"), F.struct(*signature).alias("signature")).groupBy("block", "signature").agg(F.min("key").alias("first"), F.count("*").alias("n"))
-    names = kinds.groupBy("signature").agg(F.min("first").alias("s"))
-    kinds = kinds.join(names, "signature").select("block", "s", "n", "signature")
-    side = lambda k, name: kinds.select("block", F.col("s").alias(name), F.col("n").alias(f"n_{k}"))
-    meet = side("i", "s").join(side("j", "t"), "block").select("block", "s", "t", "n_i", "n_j")
-    spread = lambda k, name: names.select(F.col("s").alias(name), *[F.col(f"signature.{c}").alias(f"{c}_{k}") for c in signature])
+    names = kinds.groupBy("signature").agg(F.min("first").alias("_s"))
+    kinds = kinds.join(names, "signature").select("block", "_s", "n", "signature")
+    side = lambda k, name: kinds.select("block", F.col("_s").alias(name), F.col("n").alias(f"n_{k}"))
+    meet = side("i", "_s").join(side("j", "_t"), "block").select("block", "_s", "_t", "n_i", "n_j")
+    spread = lambda k, name: names.select(F.col("_s").alias(name), *[F.col(f"signature.{c}").alias(f"{c}_{k}") for c in signature])
     x = lambda c: (F.col(f"{c}_i"), F.col(f"{c}_j"))
-    each = meet.select("s", "t").distinct().join(spread("i", "s"), "s").join(spread("j", "t"), "t").select("s", "t", *[f(x).alias(name) for name, f in terms.items()])
-    return kinds, meet.join(each, ["s", "t"])
+    each = meet.select("_s", "_t").distinct().join(spread("i", "_s"), "_s").join(spread("j", "_t"), "_t").select("_s", "_t", *[f(x).alias(name) for name, f in terms.items()])
+    return kinds, meet.join(each, ["_s", "_t"])
 
 
 def signature_pairs(df: DataFrame, key: str, block: str, signature, terms: dict, carry=()) -> DataFrame:
@@ -47,8 +47,8 @@ def signature_pairs(df: DataFrame, key: str, block: str, signature, terms: dict,
     kinds, between = _signatures(df, key, block, signature, terms)
     own = df.select(F.col(block).alias("block"), F.col(key).alias("key"), F.struct(*signature).alias("signature"), *[F.col(c).alias(f"_{c}") for c in carry])
     named = own.join(kinds.drop("n"), ["block", "signature"]).drop("signature")
-    side = lambda k, name: named.select("block", F.col("s").alias(name), F.col("key").alias(k), *[F.col(f"_{c}").alias(f"{c}_{k}") for c in carry])
-    out = side("i", "s").join(between.drop("n_i", "n_j"), ["block", "s"]).join(side("j", "t"), ["block", "t"]).where(F.col("i") > F.col("j"))
+    side = lambda k, name: named.select("block", F.col("_s").alias(name), F.col("key").alias(k), *[F.col(f"_{c}").alias(f"{c}_{k}") for c in carry])
+    out = side("i", "_s").join(between.drop("n_i", "n_j"), ["block", "_s"]).join(side("j", "_t"), ["block", "_t"]).where(F.col("i") > F.col("j"))
     return out.select("block", "i", "j", *terms, *[f"{c}_{k}" for c in carry for k in "ij"])
 
 
@@ -56,7 +56,7 @@ def signature_mean(df: DataFrame, key: str, block: str, signature, term) -> Data
     """(block, mean_distance) over all pairs of a block, to 6 places, of a symmetric term of the sides of
     ``signature``'s columns, without forming the pairs: each pair of signatures counts as often as rows have it."""
     between = _signatures(df, key, block, signature, {"term": term})[1]
-    both = F.when(F.col("s") == F.col("t"), F.col("n_i") * (F.col("n_i") - 1)).otherwise(F.col("n_i") * F.col("n_j"))
+    both = F.when(F.col("_s") == F.col("_t"), F.col("n_i") * (F.col("n_i") - 1)).otherwise(F.col("n_i") * F.col("n_j"))
     sums = between.groupBy("block").agg(F.sum(F.col("term") * both).alias("total"), F.sum(both).alias("pairs"))
     return sums.where("pairs > 0").select("block", F.bround(F.col("total") / F.col("pairs"), 6).alias("mean_distance"))
 

@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cluster, evidence, layers, ledger, rules, tables
+from ..operators import cluster, evidence, layers, ledger, rules, tables, views
 
 ALIASES = {
     "a": ("a", "phase_a", "phasea", "snapshot"), "b1a": ("b1", "b1a", "core", "enrich", "enrichment"),
@@ -26,10 +26,11 @@ ALIASES = {
 
 @dataclass
 class Result:
-    """A stage's main table and its side tables."""
+    """A stage's main table, its side tables, and what the stages of the run did."""
 
     compounds: DataFrame
     side: dict[str, DataFrame] = field(default_factory=dict)
+    trace: list[dict] = field(default_factory=list)
 
 
 def stage_name(text: str) -> str:
@@ -100,22 +101,64 @@ def preserved(before: DataFrame, after: DataFrame, key: str, columns: list[str])
     return tuple(h(before)) == tuple(h(after))
 
 
+STAGES = ("a", "b1a", "b1b", "b2")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done)
+
+
+def _sides(spark: SparkSession, path: str, name: str) -> dict[str, DataFrame]:
+    """The side tables that a stage has written."""
+    here = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/side_{name}_*")
+    found = here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(here) or []
+    return {f.getPath().getName().removeprefix(f"side_{name}_"): spark.read.parquet(f.getPath().toString()) for f in found}
+
+
 def run(spark: SparkSession, df: DataFrame, path: str, upto: str = "all", contract: list[str] = ()) -> Result:
     """Stages up to ``upto``, each written under ``path`` and read again; stages that are already
-    there are not repeated."""
-    steps: list[tuple[str, Callable[[DataFrame], Result]]] = [("a", snapshot), ("b1a", core), ("b1b", optional), ("b2", lambda d: export(d, list(contract) or d.columns))]
-    out, fs = Result(df), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    for name, step in steps:
+    there are not repeated, and their side tables are read with them."""
+    steps: dict[str, Callable[[DataFrame], Result]] = {"a": snapshot, "b1a": core, "b1b": optional, "b2": lambda d: export(d, list(contract) or d.columns)}
+    out = Result(df)
+    for name in STAGES:
         where = f"{path}/{name}"
-        done = fs(f"{where}/_SUCCESS")
-        if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
-            made = step(out.compounds)
+        status = "kept"
+        if not _exists(spark, where):
+            made = steps[name](out.compounds)
             for k, s in made.side.items():
                 s.write.mode("overwrite").parquet(f"{path}/side_{name}_{k}")
             made.compounds.write.mode("overwrite").parquet(where)
-            out = Result(spark.read.parquet(where), {**out.side, **{k: spark.read.parquet(f"{path}/side_{name}_{k}") for k in made.side}})
-        else:
-            out = Result(spark.read.parquet(where), out.side)
+            status = "complete"
+        now = spark.read.parquet(where)
+        out = Result(now, {**out.side, **_sides(spark, path, name)}, [*out.trace, {"step": name, "status": status, "rows": now.count(), "columns": len(now.columns), "has_cluster_id": "cluster_id" in now.columns}])
         if name == stage_name(upto):
             break
     return out
+
+
+def resume(spark: SparkSession, path: str) -> Result | None:
+    """What the run under ``path`` has reached, without computing anything; None if it has finished no stage."""
+    out = None
+    for name in STAGES:
+        if not _exists(spark, f"{path}/{name}"):
+            break
+        out = Result(spark.read.parquet(f"{path}/{name}"), {**(out.side if out else {}), **_sides(spark, path, name)}, [*(out.trace if out else []), {"step": name, "status": "kept"}])
+    return out
+
+
+def assess(df: DataFrame) -> DataFrame:
+    """Rows taken one by one: their own classification, and a preview where a batch would show its clusters."""
+    nearest = F.col("nearest_similarity") * 100 if "nearest_similarity" in df.columns else F.lit(None).cast("double")
+    return snapshot(df).compounds.withColumn("preview", views.single_preview(nearest, F.col("scaffold")))
+
+
+def assess_batch(spark: SparkSession, df: DataFrame, path: str, contract: list[str] = ()) -> Result:
+    """All stages of a batch: its rows in the workbook's order, and the side tables."""
+    return run(spark, df, path, "all", contract)
+
+
+def trace_rows(spark: SparkSession, result: Result) -> DataFrame:
+    """(place, step, status, rows, columns, has_cluster_id): what each stage did."""
+    rows = [(i, x["step"], x["status"], x.get("rows"), x.get("columns"), x.get("has_cluster_id")) for i, x in enumerate(result.trace, 1)]
+    return spark.createDataFrame(rows, "place int, step string, status string, rows long, columns int, has_cluster_id boolean")

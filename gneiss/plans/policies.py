@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import os
 from dataclasses import dataclass, field
 
 CATEGORIES = ["Identity", "Structure", "Reactivity", "Property", "Biological", "Exposure", "Domain"]
@@ -81,3 +82,46 @@ def all_or_none(loaders: dict[str, tuple]) -> dict[str, Policy | None]:
         except (ValueError, KeyError, TypeError):
             out[name] = None
     return out
+
+
+# What the other rule files must have.
+VOCABULARIES = {"vocabulary_version", "endpoint_families", "results", "study_types", "species", "routes", "reliability", "evidence_statuses", "reviewer_statuses", "mapping_methods"}
+HAZARD_SERVICE = {"rule_version", "base_url", "chemical_equal_path", "hazard_by_dtxsid_path", "source_version", "timeout_seconds", "max_retries", "min_request_interval_seconds", "cache_ttl_days", "allowed_identifier_columns"}
+TAXONOMY_SERVICE = {"rule_version", "source", "base_url", "entity_path_template", "timeout_seconds", "cache_ttl_days", "min_request_interval_seconds", "allowed_identifier_columns", "required_output_fields", "status_version"}
+NARRATIVE = {"matrix_version", "prompt_version", "max_source_text_length", "max_rendered_characters", "required_output_fields", "banned_claim_patterns", "endpoint_claim_terms"}
+
+
+def _complete(rules: dict, need: set[str], version: str) -> Policy:
+    if missing := need - set(rules):
+        raise ValueError(f"missing: {sorted(missing)}")
+    return Policy(str(rules[version]), rules)
+
+
+def vocabularies(rules: dict) -> Policy:
+    return _complete(rules, VOCABULARIES, "vocabulary_version")
+
+
+def hazard_service(rules: dict) -> Policy:
+    return _complete(rules, HAZARD_SERVICE, "rule_version")
+
+
+def taxonomy_service(rules: dict) -> Policy:
+    """Only the public structure key may be sent."""
+    out = _complete(rules, TAXONOMY_SERVICE, "rule_version")
+    if rules["allowed_identifier_columns"] != ["InChIKey"]:
+        raise ValueError("only InChIKey may be sent")
+    return out
+
+
+def narrative(rules: dict) -> Policy:
+    return _complete(rules, NARRATIVE, "matrix_version")
+
+
+def ontology(path: str) -> Policy:
+    """Approved mappings; none without a file."""
+    if not os.path.exists(path):
+        return Policy("unavailable", {"mappings": {}})
+    rules = load(path)
+    if not isinstance(rules.get("mappings"), dict):
+        raise ValueError("mappings must be an object")
+    return Policy(str(rules.get("ontology_mapping_version", "")), rules)

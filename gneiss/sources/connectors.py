@@ -11,7 +11,8 @@ import time
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ledger import fresh
@@ -60,3 +61,17 @@ def taxonomy_fields(payload: Column) -> Column:
     for p in ("kingdom", "superclass", "class", "direct_parent"):
         some = some | (levels[p] != "")
     return F.when(some, F.struct(*[v.alias(k) for k, v in levels.items()], frame.alias("molecular_framework"), F.array_join(items, "; ").alias("substituents")))
+
+
+def local_records(spark: SparkSession, path: str) -> DataFrame:
+    """(key, payload, cache_version) of a JSON file of records by exact key: a cache that asks no service. Keys
+    are upper-case; without the file there are no records."""
+    kind = "key string, payload string, cache_version string"
+    try:
+        text = spark.read.text(path, wholetext=True)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], kind)
+    records = F.from_json(F.get_json_object("value", "$.records"), "map<string,string>")
+    return text.select(F.explode(records).alias("key", "payload"), F.get_json_object("value", "$.cache_version").alias("cache_version")).select(F.upper(F.trim("key")).alias("key"), "payload", "cache_version")

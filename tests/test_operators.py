@@ -266,6 +266,10 @@ def test_pipeline_stages_resume(spark, tmp_path):
     assert out.side["evidence_matrix"].count() > 0 and pipeline.stage_name("CORE") == "b1a" and pipeline.stage_name("x") == "all"
     a = spark.read.parquet(f"file://{tmp_path}/run/b1a")
     assert pipeline.preserved(a, spark.read.parquet(f"file://{tmp_path}/run/b1b"), "src_pos", ["cluster_id", "domain_status"])
+    again = pipeline.resume(spark, f"file://{tmp_path}/run")
+    assert pipeline.resume(spark, f"file://{tmp_path}/none") is None and set(again.side) == set(out.side) and [x["step"] for x in again.trace] == list(pipeline.STAGES)
+    assert [(r.step, r.status) for r in pipeline.trace_rows(spark, out).collect()] == [(x, "complete") for x in pipeline.STAGES]
+    assert {r.preview.cluster_id for r in pipeline.assess(df).collect()} == {"Not available in single assessment"}
 
 
 def test_signature_pairs_equal_pairs_of_rows(spark):
