@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, html, langid, lm, mixing, neardup, quality, secrets, spelling, warc
+from . import alignment, chat, decontam, html, langid, lm, mixing, neardup, quality, secrets, spelling, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_chat": chat.op8_chat,
     "op9_neardup": neardup.op9_neardup,
     "op10_secrets": secrets.op10_secrets,
+    "op12_alignment": alignment.op12_alignment,
     "op13_spelling": spelling.op13_spelling,
 }
 
