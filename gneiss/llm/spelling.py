@@ -114,6 +114,8 @@ class Postings:
 
     def candidates(self, word: str) -> Iterator[int]:
         """Indexed words with enough grams of ``word`` at the same place or one beside it."""
+        if not self.words:
+            return
         bound = len(word) - Q + 1 - Q
         lists = []
         for p in range(len(word) - Q + 1):
@@ -131,6 +133,8 @@ class Postings:
 def near_in_list(rows: list[tuple[str, int, bool, int]]) -> Iterator[tuple[str, int, str, int]]:
     """(word, n, word, n) of the near words of one list, from its rows (word, n, longer, place)."""
     index, counts = Postings(), []
+    if len(rows) < 2:
+        return
     for word, n, longer, place in sorted(rows, key=lambda r: r[2]):
         for k in index.candidates(word):
             other = index.words[k]
