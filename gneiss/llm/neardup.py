@@ -41,7 +41,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import forget, fresh, fresh_path, marked, materialize, scratch, table, trimming
+from .shared import forget, fresh, fresh_path, join_spread, marked, materialize, scratch, table, trimming
 
 SKETCH = 64
 TREES = 16
@@ -144,7 +144,12 @@ def branch(nodes: np.ndarray, owners: np.ndarray, sketches: np.ndarray, levels:
     return nodes, owners
 
 
-def _signed(x: np.ndarray) -> np.ndarray:
+def set_name(s: np.ndarray) -> tuple[int, int]:
+    """Two independent sums over a set make its 128-bit name."""
+    return (int(_mix(s).sum(dtype=np.uint64)), int(_mix(s + _BASE).sum(dtype=np.uint64))) if len(s) else (0, 0)
+
+
+def signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
 
@@ -153,12 +158,11 @@ def _sets(id_col: str, text_col: str, k: int):
         for pdf in batches:
             sets = [shingle_set(t, k) for t in pdf[text_col]]
             some = [len(s) > 0 for s in sets]
-            # Two independent sums over the set make its 128-bit name.
-            names = [(int(_mix(s).sum(dtype=np.uint64)), int(_mix(s + _BASE).sum(dtype=np.uint64))) if ok else (0, 0) for s, ok in zip(sets, some, strict=True)]
+            names = [set_name(s) for s in sets]
             yield pd.DataFrame({
                 "doc": pdf["doc"].to_numpy(), "id": pdf[id_col].to_numpy(),
                 "n": [len(s) for s in sets],
-                "h1": _signed(np.array([a for a, _ in names], np.uint64)), "h2": _signed(np.array([b for _, b in names], np.uint64)),
+                "h1": signed(np.array([a for a, _ in names], np.uint64)), "h2": signed(np.array([b for _, b in names], np.uint64)),
                 "sketch": [sketch(s).tobytes() if ok else b"" for s, ok in zip(sets, some, strict=True)],
             })
 
@@ -173,7 +177,7 @@ def _paths(threshold: float):
                 sk = np.frombuffer(b"".join(pdf["sketch"]), np.uint32).reshape(-1, SKETCH)
                 owners = np.repeat(np.arange(len(pdf)), TREES)
                 nodes, owners = branch(np.tile(roots, len(pdf)), owners, sk, DEPTH, threshold)
-                yield pd.DataFrame({"node": _signed(nodes), "id": pdf["id"].to_numpy()[owners]})
+                yield pd.DataFrame({"node": signed(nodes), "id": pdf["id"].to_numpy()[owners]})
 
     return run
 
@@ -268,7 +272,7 @@ def _agree(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame
     return both.select("a", "b", "sa", "sb").mapInPandas(trimming(run), "a long, b long")
 
 
-def _picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The texts whose ids may be among ``ids``, without moving any other. The joins that follow are
     exact."""
     return marked(docs, ids, F.col("id"), "_maybe").where("_maybe").select("id", "text")
@@ -385,47 +389,67 @@ def _placed(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent:
     threshold = percent / 100
     plain = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), row_key(id_col, text_col, seed).alias("id"), F.col(text_col).alias("text"))
     all_sets = materialize(plain.mapInPandas(trimming(_sets("id", "text", shingle)), "doc long, id long, n int, h1 long, h2 long, sketch binary"), "neardup-sets")
-    some = all_sets.where("n > 0")
-    mixed = (F.min("n") != F.max("n")) | (F.min("h1") != F.max("h1")) | (F.min("h2") != F.max("h2"))
-    keys = some.groupBy("id").agg(F.count("*").alias("rows"), mixed.alias("mixed")).agg(F.max("rows").alias("rows"), F.bool_or("mixed").alias("mixed")).first()
+    keys = keys_of(all_sets)
     if keys["mixed"]:  # two sets have one key: take other keys
         return _placed(docs, id_col, text_col, shingle, percent, keep, seed + 1)
 
     def texts(ids: DataFrame) -> DataFrame:
-        found = _picked(plain, ids)
+        found = picked(plain, ids)
         return found.dropDuplicates(["id"]) if (keys["rows"] or 0) > 1 else found
 
-    classes = some.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.min("doc").alias("doc"), F.count("*").alias("copies"))
-    sketches = materialize(some.join(classes.select("h1", "h2", "n", F.col("rep").alias("id")), ["id", "h1", "h2", "n"], "left_semi").select("id", "sketch", "n").distinct(), "neardup-sketches")
+    classes = classes_of(all_sets)
+    sketches = materialize(representatives(all_sets, classes).select("id", "sketch", "n").distinct(), "neardup-sketches")
 
     members = materialize(sketches.mapInPandas(trimming(_paths(threshold)), "node long, id long"), "neardup-paths")
-    nodes = members.groupBy("node").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead <> last").drop("last")
-    shared = materialize(members.join(nodes, "node"), "neardup-shared")
+    nodes = members.groupBy("node").agg(F.min("id").alias("lead"), F.max("id").alias("last"), F.count("*").alias("size")).where("lead <> last").drop("last")
+    shared = materialize(join_spread(members, materialize(nodes, "neardup-nodes"), "node", "size", "id").drop("size"), "neardup-shared")
 
     stars = shared.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     links = _check(stars, sketches, texts, shingle, percent)
     comps = components(links)
 
     # A node's lead has met all others. Left are nodes whose others are in different components.
-    open_ = _mixed(shared.where("id <> lead").select("node", "id"), comps)
+    open_ = mixed_nodes(shared.where("id <> lead").select("node", "id"), comps)
     large = open_.where(F.col("size") > SMALL)
     if not large.isEmpty():
         # Where one component has at least half of a large node, those outside meet that
         # component, once, whichever nodes they share with it; they stay to meet one another.
-        hosted = materialize(_hosts(large), "neardup-hosts")
+        hosted = materialize(hosts(large), "neardup-hosts")
         guests = hosted.where("comp <> host")
-        links, comps = _more(links, comps, _compare(_against_hosts(hosted, sketches), sketches, texts, threshold, shingle, percent))
+        links, comps = more(links, comps, _compare(against_hosts(hosted, sketches), sketches, texts, threshold, shingle, percent))
         left = open_.where(F.col("size") <= SMALL).select("node", "id").unionByName(large.join(hosted.select("node").distinct(), "node", "left_anti").select("node", "id"))
-        open_ = _mixed(left.unionByName(guests.select("node", "id")), comps)
+        open_ = mixed_nodes(left.unionByName(guests.select("node", "id")), comps)
     small = open_.where(F.col("size") <= SMALL).join(sketches, "id").select("node", "id", "comp", "sketch")
     pairs = small.repartition("node").sortWithinPartitions("node").mapInPandas(trimming(_small_nodes(threshold)), "a long, b long")
-    links, comps = _more(links, comps, _check(pairs.distinct(), None, texts, shingle, percent))
+    links, comps = more(links, comps, _check(pairs.distinct(), None, texts, shingle, percent))
     large = open_.where(F.col("size") > SMALL)
     if not large.isEmpty():
         # No component rules these: block against block.
-        keyed = _in_blocks(_mixed(large.select("node", "id"), comps), sketches)
-        links, comps = _more(links, comps, _compare(keyed, sketches, texts, threshold, shingle, percent))
+        keyed = in_blocks(mixed_nodes(large.select("node", "id"), comps), sketches)
+        links, comps = more(links, comps, _compare(keyed, sketches, texts, threshold, shingle, percent))
+
+    return labelled(all_sets, classes, comps, keep, all_sets._gneiss_path), seed
+
+
+def keys_of(all_sets: DataFrame):
+    """How many rows a key has at most, and whether two different sets have one key."""
+    mixed = (F.min("n") != F.max("n")) | (F.min("h1") != F.max("h1")) | (F.min("h2") != F.max("h2"))
+    each = all_sets.where("n > 0").groupBy("id").agg(F.count("*").alias("rows"), mixed.alias("mixed"))
+    return each.agg(F.max("rows").alias("rows"), F.bool_or("mixed").alias("mixed")).first()
+
+
+def classes_of(all_sets: DataFrame) -> DataFrame:
+    """(h1, h2, n, rep, doc, copies) of the rows with the same set: its representative and its smallest document."""
+    return all_sets.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.min("doc").alias("doc"), F.count("*").alias("copies"))
+
+
+def representatives(all_sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows of the classes' representatives."""
+    return all_sets.where("n > 0").join(classes.select("h1", "h2", "n", F.col("rep").alias("id")), ["id", "h1", "h2", "n"], "left_semi")
+
 
+def labelled(all_sets: DataFrame, classes: DataFrame, comps: DataFrame, keep: list[str], path: str) -> DataFrame:
+    """(doc, id, n, comp, first) of each row of ``all_sets``, which ``path`` holds, by its class's component."""
     # Classes with over a thousandth of all rows, a thousand at most, are looked up in a
     # broadcast; the join of the others has no hot key.
     rows = all_sets.select("doc", "id", "n", "h1", "h2")
@@ -433,32 +457,32 @@ def _placed(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent:
     linked = classes.withColumnRenamed("rep", "id").join(comps, "id").select("id", "comp", "doc")
     first = linked.groupBy("comp").agg(F.min("doc").alias("first"))
     heads = materialize(comps.join(first, "comp").select(F.col("id").alias("rep"), "comp", "first"), "neardup-heads")
-    keep += [all_sets._gneiss_path, heads._gneiss_path]
+    keep += [path, heads._gneiss_path]
     named = classes.join(heads, "rep", "left").select("h1", "h2", "n", "copies", F.coalesce("comp", "rep").alias("comp"), F.coalesce("first", "doc").alias("first"))
     hot = named.where(F.col("copies") * 1000 > total).select("h1", "h2", "n", F.struct("comp", "first").alias("hot"))
     looked = rows.join(F.broadcast(hot), ["h1", "h2", "n"], "left")
     others = looked.where("hot IS NULL").drop("hot").join(named.where(F.col("copies") * 1000 <= total).drop("copies"), ["h1", "h2", "n"], "left")
     out = looked.where("hot IS NOT NULL").select("doc", "id", "n", "h1", "h2", "hot.comp", "hot.first").unionByName(others.select("doc", "id", "n", "h1", "h2", "comp", "first"))
-    return out.select("doc", "id", "n", F.coalesce("comp", "id").alias("comp"), F.coalesce("first", "doc").alias("first")), seed
+    return out.select("doc", "id", "n", F.coalesce("comp", "id").alias("comp"), F.coalesce("first", "doc").alias("first"))
 
 
-def _mixed(members: DataFrame, comps: DataFrame) -> DataFrame:
+def mixed_nodes(members: DataFrame, comps: DataFrame) -> DataFrame:
     """(node, id, comp, size) of the nodes with more than one component; of nodes with the same
     members, one. A member set's name is its size and two sums of hashes without carry."""
-    labelled = members.join(comps, "id", "left").select("node", "id", F.coalesce("comp", "id").alias("comp"))
-    mixed = labelled.groupBy("node").agg(
+    named = members.join(comps, "id", "left").select("node", "id", F.coalesce("comp", "id").alias("comp"))
+    mixed = named.groupBy("node").agg(
         F.count("*").alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1"),
         F.bit_xor(F.xxhash64("id")).alias("s1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("s2"),
     ).where("c0 <> c1")
-    named = mixed.groupBy("size", "s1", "s2").agg(F.min("node").alias("node"))
-    return materialize(labelled.join(named.select("node", "size"), "node"), "neardup-mixed")
+    once_each = materialize(mixed.groupBy("size", "s1", "s2").agg(F.min("node").alias("node")).select("node", "size"), "neardup-nodes")
+    return materialize(join_spread(named, once_each, "node", "size", "id"), "neardup-mixed")
 
 
-def _hosts(large: DataFrame) -> DataFrame:
+def hosts(large: DataFrame) -> DataFrame:
     """(node, id, comp, host) of the nodes of which one component, the host, has at least half."""
     counts = large.groupBy("node", "size", "comp").agg(F.count("*").alias("n"))
-    host = counts.where(F.col("n") * 2 >= F.col("size")).groupBy("node").agg(F.min("comp").alias("host"))
-    return large.join(host, "node").select("node", "id", "comp", "host")
+    host = counts.where(F.col("n") * 2 >= F.col("size")).groupBy("node").agg(F.min("comp").alias("host"), F.max("size").alias("held"))
+    return join_spread(large, host, "node", "held", "id").select("node", "id", "comp", "host")
 
 
 def _blocks_of(count: Column, words: Column) -> Column:
@@ -466,21 +490,21 @@ def _blocks_of(count: Column, words: Column) -> Column:
     return F.greatest(F.ceil(count / BLOCK), F.ceil(words / BLOCK_SHINGLES)).cast("int")
 
 
-def _against_hosts(hosted: DataFrame, sketches: DataFrame) -> DataFrame:
+def against_hosts(hosted: DataFrame, sketches: DataFrame) -> DataFrame:
     """(g, p, q, side, id, comp): each block of a host's documents with each block of its guests."""
     each = hosted.select("host", "id", "comp").distinct().join(sketches.select("id", "n"), "id").withColumn("side", F.when(F.col("comp") == F.col("host"), 0).otherwise(1))
     mine, theirs = F.col("side") == 0, F.col("side") == 1
-    sizes = each.groupBy("host").agg(_blocks_of(F.count_if(mine), F.sum(F.when(mine, F.col("n")))).alias("n0"), _blocks_of(F.count_if(theirs), F.sum(F.when(theirs, F.col("n")))).alias("n1"))
-    one = each.join(sizes, "host").withColumn("own", F.pmod(F.xxhash64("id"), F.when(mine, F.col("n0")).otherwise(F.col("n1"))).cast("int"))
+    sizes = each.groupBy("host").agg(_blocks_of(F.count_if(mine), F.sum(F.when(mine, F.col("n")))).alias("n0"), _blocks_of(F.count_if(theirs), F.sum(F.when(theirs, F.col("n")))).alias("n1"), F.count("*").alias("held"))
+    one = join_spread(each, sizes, "host", "held", "id").withColumn("own", F.pmod(F.xxhash64("id"), F.when(mine, F.col("n0")).otherwise(F.col("n1"))).cast("int"))
     out = one.select("host", "side", "id", "comp", "own", F.explode(F.sequence(F.lit(0), F.when(mine, F.col("n1")).otherwise(F.col("n0")) - 1)).alias("other"))
     return out.select(F.col("host").alias("g"), F.when(mine, F.col("own")).otherwise(F.col("other")).alias("p"), F.when(mine, F.col("other")).otherwise(F.col("own")).alias("q"), "side", "id", "comp")
 
 
-def _in_blocks(members: DataFrame, sketches: DataFrame) -> DataFrame:
+def in_blocks(members: DataFrame, sketches: DataFrame) -> DataFrame:
     """(g, p, q, side, id, comp): each two blocks of a node."""
     each = members.join(sketches.select("id", "n"), "id")
-    sizes = each.groupBy("node").agg(_blocks_of(F.count("*"), F.sum("n")).alias("nb"))
-    one = each.join(sizes, "node").withColumn("i", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
+    sizes = each.groupBy("node").agg(_blocks_of(F.count("*"), F.sum("n")).alias("nb"), F.count("*").alias("held"))
+    one = join_spread(each, sizes, "node", "held", "id").withColumn("i", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
     # Block i meets every block j >= i as side 0 and every block j <= i as side 1; itself, as one side.
     out = one.select("node", "id", "comp", "i", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j"))
     return out.select(F.col("node").alias("g"), F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), F.when(F.col("i") <= F.col("j"), 0).otherwise(1).alias("side"), "id", "comp")
@@ -495,7 +519,7 @@ def _compare(keyed: DataFrame, sketches: DataFrame, texts: Callable[[DataFrame],
     return materialize(full.groupBy("g", "p", "q").applyInPandas(_family(threshold, k, percent), "a long, b long"), "neardup-families")
 
 
-def _more(links: DataFrame, comps: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+def more(links: DataFrame, comps: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Links and components with the links that were found."""
     if found.isEmpty():
         return links, comps

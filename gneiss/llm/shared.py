@@ -111,6 +111,24 @@ def marked(df: DataFrame, keys: DataFrame, key: Column, out: str, name: str = "i
     return joined.withColumn(out, found).drop(word, place, bits)
 
 
+#: A key with more rows than this is spread over ``SALTS`` tasks.
+HOT_ROWS, SALTS = 1024, 64
+
+
+def join_spread(rows: DataFrame, keyed: DataFrame, key: str, size: str, by: str) -> DataFrame:
+    """``rows`` joined with ``keyed``, which has one row for each ``key`` and says in ``size`` how many rows that
+    key has. Rows of hot keys are dealt by the hash of ``by``, each share with its copy of the keyed row.
+    Which keys those are is looked up in a bit filter of bounded size; a key it takes for a hot one is only copied."""
+    hot = keyed.where(F.col(size) > HOT_ROWS).select(F.col(key).alias("id"))
+    (mark,) = fresh(rows, "_hot")
+    left, right = marked(rows, hot, F.col(key), mark), marked(keyed, hot, F.col(key), mark)
+    plain = left.where(~F.col(mark)).drop(mark).join(right.where(~F.col(mark)).drop(mark), key)
+    salt = F.when(F.col(mark), F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    copies = right.where(mark).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).drop(mark)
+    spread = left.where(mark).withColumn("_salt", salt).drop(mark).join(copies, [key, "_salt"]).drop("_salt")
+    return plain.unionByName(spread)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
