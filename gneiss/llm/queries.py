@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, chat, decontam, html, langid, lm, mixing, neardup, quality, secrets, spelling, warc
+from . import alignment, chat, decontam, html, langid, lm, mixing, neardup, overlap, quality, secrets, spelling, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_chat": chat.op8_chat,
     "op9_neardup": neardup.op9_neardup,
     "op10_secrets": secrets.op10_secrets,
+    "op11_overlap": overlap.op11_overlap,
     "op12_alignment": alignment.op12_alignment,
     "op13_spelling": spelling.op13_spelling,
 }
@@ -25,5 +26,6 @@ ORACLE = {
     "op2_decontam": decontam.OP2_SQL,
     "op7_mixing": mixing.OP7_SQL,
     "op8_chat": chat.OP8_SQL,
+    "op11_overlap": overlap.OP11_SQL,
     "op13_spelling": spelling.OP13_SQL,
 }
