@@ -73,6 +73,9 @@ def read(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
     if not page:
         return nodes, texts
     stack: list[tuple[str, int]] = [("html", 0)]  # open elements and the block they are, or are in
+    # Where on the stack the elements of a tag lie, and those that are blocks: what is open is looked up, not walked to.
+    at_tag: dict[str, list[int]] = {}
+    at_block: list[int] = []
     run: list[str] = []
     owner, at, chars, anchors, hidden = 0, 0, 0, 0, 0
 
@@ -95,9 +98,21 @@ def read(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
         if anchors:
             nodes[owner].links += len(piece.strip())
 
+    def push(tag: str, block: int) -> None:
+        nonlocal anchors, hidden
+        at_tag.setdefault(tag, []).append(len(stack))
+        if tag in BLOCKS:
+            at_block.append(len(stack))
+        stack.append((tag, block))
+        anchors += tag == "a"
+        hidden += tag in HIDDEN
+
     def pop(k: int) -> None:
         nonlocal owner, anchors, hidden
-        for tag, _ in stack[k:]:
+        for tag, _ in reversed(stack[k:]):
+            at_tag[tag].pop()
+            if tag in BLOCKS:
+                at_block.pop()
             anchors -= tag == "a"
             hidden -= tag in HIDDEN
         if stack[k - 1][1] != owner:
@@ -105,16 +120,22 @@ def read(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
         owner = stack[k - 1][1]
         del stack[k:]
 
+    def nearest(tags) -> int:
+        """The place of the last open element of the tags; 0 if there is none."""
+        return max((at_tag[t][-1] for t in tags if at_tag.get(t)), default=0)
+
+    def block() -> int:
+        return at_block[-1] if at_block else 0
+
     def end_before(tag: str) -> None:
         """End the open element that a start tag ends, within its list, table or selection."""
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in ENDS.get(tag, ()):
-                if stack[k][0] != tag and tag == "optgroup" and stack[k - 1][0] == "optgroup":
-                    k -= 1
-                pop(k)
-                return
-            if stack[k][0] in _SCOPE.get(tag, BLOCKS):
-                return
+        if tag not in ENDS:
+            return
+        k = nearest(ENDS[tag])
+        if k and k >= (nearest(_SCOPE[tag]) if tag in _SCOPE else block()):
+            if stack[k][0] != tag and tag == "optgroup" and stack[k - 1][0] == "optgroup":
+                k -= 1
+            pop(k)
 
     for m in iter(lambda: _TOKEN.search(page, at), None):
         if m.start() > at:
@@ -124,12 +145,9 @@ def read(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
             continue
         tag = m[2].lower()
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    pop(k)
-                    break
-                if tag not in BLOCKS and tag not in HIDDEN and stack[k][0] in BLOCKS:
-                    break  # an inline end tag doesn't end a block
+            k = nearest((tag,))
+            if k and (tag in BLOCKS or tag in HIDDEN or k > block()):  # an inline end tag doesn't end a block
+                pop(k)
             continue
         closed = m[3].rstrip().endswith("/")
         if hidden and stack[-1][0] == "head" and tag not in _HEAD:
@@ -144,20 +162,14 @@ def read(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
         if hidden or (tag in HIDDEN and not closed):  # what is in it is neither text nor structure
             nodes[owner].tags += not hidden
             if tag not in VOID and not closed:
-                stack.append((tag, owner))
-                hidden += tag in HIDDEN
-                anchors += tag == "a"
+                push(tag, owner)
             continue
         nodes[owner].tags += 1
         if tag == "br":
             run.append(" ")
         if tag in BLOCKS and tag not in ("html", "hr"):
-            for k in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph
-                if stack[k][0] == "p":
-                    pop(k)
-                    break
-                if stack[k][0] in BLOCKS:
-                    break
+            if block() and stack[block()][0] == "p":  # a block ends an open paragraph
+                pop(block())
             end_before(tag)
             close_run()
             tokens = tuple(t.lower() for a in _ATTR.finditer(m[3]) for t in _PART.findall(a[2] or a[3] or a[4] or ""))
@@ -166,12 +178,11 @@ def read(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
             nodes.append(node)
             nodes[owner].down.append(len(nodes) - 1)
             owner = len(nodes) - 1
-            stack.append((tag, owner))
+            push(tag, owner)
         elif tag == "hr":
             close_run()
         elif tag not in VOID and tag != "html" and not closed:
-            stack.append((tag, owner))
-            anchors += tag == "a"
+            push(tag, owner)
     if at < len(page):
         say(page[at:])
     close_run()
