@@ -4,15 +4,16 @@ The network reads UTF-8 bytes in both directions, labels every byte with a distr
 the languages, and a document's probabilities are the mean over all of its bytes. It is
 trained here, in numpy, by backpropagation through time, with a loss at every position.
 
-Training uses a bounded sample: for each language the ``SAMPLE`` documents of smallest id hash
-and, of each, ``EXCERPT`` characters from a place that the hash picks. Prediction reads
+Training uses a bounded sample: for each language the ``SAMPLE`` documents of smallest hash of id and text
+(all, if it has fewer) and, of each, ``EXCERPT`` characters from a place that the hash picks. Prediction reads
 every byte of every text, in segments of ``SEGMENT`` bytes that each start from empty states;
 segments of many texts run side by side, so memory depends on the tile, not on a text.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; so is every text
 when there is nothing to learn from; null languages are not learned; a null id is not held
-out; repeated rows are predicted alike; an empty table gives an empty result; the
-prediction reads the text alone.
+out, and its row is learned from like others; repeated rows are learned from once and predicted alike; equally
+probable languages: the first by name; a column of more than ``MOST_LANGUAGES`` names is refused; an empty
+table gives an empty result; the prediction reads the text alone.
 """
 
 from __future__ import annotations
@@ -214,27 +215,27 @@ def pool(w, texts: list[bytes]) -> np.ndarray:
 
 
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int = SAMPLE) -> list[tuple[str, bytes]]:
-    """Excerpts of the ``per_lang`` documents of smallest hash in each language. Counts pick a
-    hash limit that leaves about twice as many, so that few rows come to the driver."""
+    """Excerpts of the ``per_lang`` documents of smallest hash in each language. A document is an id and a text:
+    repeated ones count once, and those that share an id, or have none, are told apart. Counts of rows pick a
+    hash limit that leaves about twice as many; languages of which too few different documents lie below
+    theirs, because rows are repeated, are read again with a larger one, until they have enough or all."""
     learned = docs.where(F.col(lang_col).isNotNull() & F.coalesce(F.length(text_col) > 0, F.lit(False)))
-    h = F.xxhash64(F.lit("sample"), F.col(id_col).cast("string"))
     counts = {r[0]: r[1] for r in learned.groupBy(lang_col).count().limit(MOST_LANGUAGES + 1).collect()}
     if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages; the column {lang_col} holds something else")
-    if not counts:
-        return []
-    share = {lang: min(1.0, (2 * per_lang + 64) / n) for lang, n in counts.items()}
-    limits = {lang: int(-(2**63) + x * (2**64 - 1)) if x < 1 else 2**63 - 1 for lang, x in share.items()}
-    limit = F.create_map(*[F.lit(v) for pair in limits.items() for v in pair])
+    h = F.xxhash64(F.lit("sample"), F.col(id_col).cast("string"), F.col(text_col))
     start = F.pmod(F.shiftright(h, 7), F.greatest(F.length(text_col) - EXCERPT, F.lit(0)) + 1).cast("int") + 1
-    rows = learned.where(h <= F.try_element_at(limit, F.col(lang_col))).select(
-        F.col(lang_col).alias("lang"), h.alias("h"), F.substring(F.col(text_col), start, F.lit(EXCERPT)).cast("binary").alias("x")
-    ).groupBy("lang", "h").agg(F.min("x").alias("x")).collect()  # repeated rows count once
-    out = []
-    for lang in sorted(counts):
-        mine = sorted(((r["h"], bytes(r["x"])) for r in rows if r["lang"] == lang))[:per_lang]
-        out += [(lang, x) for _, x in mine]
-    return out
+    share, found = {lang: min(1.0, (2 * per_lang + 64) / n) for lang, n in counts.items()}, {}
+    while share:
+        limits = {lang: int(-(2**63) + x * (2**64 - 1)) if x < 1 else 2**63 - 1 for lang, x in share.items()}
+        limit = F.create_map(*[F.lit(v) for pair in limits.items() for v in pair])
+        rows = learned.where(h <= F.try_element_at(limit, F.col(lang_col))).select(
+            F.col(lang_col).alias("lang"), h.alias("h"), F.substring(F.col(text_col), start, F.lit(EXCERPT)).cast("binary").alias("x")
+        ).groupBy("lang", "h").agg(F.min("x").alias("x")).collect()  # about twice the sample
+        for lang in share:
+            found[lang] = sorted((r["h"], bytes(r["x"])) for r in rows if r["lang"] == lang)[:per_lang]
+        share = {lang: min(1.0, x * (2 * per_lang + 64) / (len(found[lang]) + 1)) for lang, x in share.items() if len(found[lang]) < per_lang and x < 1}
+    return [(lang, x) for lang in sorted(counts) for _, x in found[lang]]
 
 
 def fit(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang") -> dict | None:
