@@ -11,12 +11,14 @@ control string occurs there; taking one away again restores the text exactly.
 
 A conversation is formatted in pieces of ``PIECE`` turn numbers, so that neither the
 ordering nor the string work of a long one lies in a single task; a second, smaller
-step joins the pieces. The digests of one conversation need its text in one value,
+step joins the pieces. A piece of more than ``CROWD`` turns, as where many have one number or none, is dealt
+further by what turns are ordered by: their number, their role and the first characters of their text. Sorted
+turns are then cut by rank, so that what is formatted, masked and read back at a time has ``PIECE`` turns. The digests of one conversation need its text in one value,
 hence a conversation's text must stay below the 2 GB of one string.
 
 Defined cases: null role or text is empty; turns are ordered by (turn, role, text),
-a null turn last, and all null or equal turns of a conversation are in one piece; repeated rows are
-repeated turns; a null conversation id is a conversation; an empty table has no conversation;
+a null turn last; turns of a conversation with the same number, role and beginning of the text are
+sorted in one task; repeated rows are repeated turns; a null conversation id is a conversation; an empty table has no conversation;
 other columns, whatever their names, are not read: a table is known by the fields of its layout.
 """
 
@@ -28,10 +30,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
-from .shared import table
+from .shared import marked, table
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 PIECE = 256
+#: A piece with more turns is dealt by number, role and so many first characters.
+CROWD = 4 * PIECE
+FIRST = 3
 
 
 def escape(text: Column) -> Column:
@@ -172,15 +177,22 @@ def format_turns(turns: DataFrame, conv="conv_id", turn="turn", role="role", tex
     assistant text, which is all that a loss is taken on."""
     rows = turns.select(
         F.col(conv).alias("conv"),
-        F.floor(F.col(turn) / PIECE).alias("piece"),
-        F.struct(
-            F.col(turn).isNull().alias("last"),
-            F.col(turn).alias("turn"),
-            F.coalesce(F.col(role), F.lit("")).alias("role"),
-            F.coalesce(F.col(text), F.lit("")).alias("text"),
-        ).alias("t"),
+        F.col(turn).isNull().alias("last"),
+        F.floor(F.col(turn) / PIECE).alias("block"),
+        F.col(turn).alias("turn"),
+        F.coalesce(F.col(role), F.lit("")).alias("role"),
+        F.coalesce(F.col(text), F.lit("")).alias("text"),
     )
-    listed = rows.groupBy("conv", "piece").agg(F.sort_array(F.collect_list("t")).alias("ts"))
+    # Crowded pieces are looked up in a bit filter; one that it takes for crowded is only cut smaller.
+    key = F.xxhash64("conv", "last", "block")
+    crowded = rows.groupBy("conv", "last", "block").count().where(F.col("count") > CROWD).select(key.alias("id"))
+    seen = marked(rows, crowded, key, "crowded")
+    fine = lambda c: F.when(F.col("crowded"), c)
+    piece = F.struct("last", "block", fine(F.col("turn")).alias("turn"), fine(F.col("role")).alias("role"), fine(F.substring("text", 1, FIRST)).alias("first"))
+    listed = seen.select("conv", piece.alias("piece"), F.struct("last", "turn", "role", "text").alias("t")).groupBy("conv", "piece").agg(F.sort_array(F.collect_list("t")).alias("all"))
+    # From here on no step holds more than PIECE turns at a time.
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("all") - 1) / PIECE).cast("int")), lambda i: F.slice("all", i * PIECE + 1, PIECE))
+    listed = listed.select("conv", "piece", F.posexplode(cut).alias("part", "ts")).select("conv", F.struct("piece.*", "part").alias("piece"), "ts")
     parts = listed.select(
         "conv", "piece",
         F.transform("ts", lambda t: F.struct(
@@ -218,11 +230,11 @@ def read_pieces(formatted: DataFrame) -> DataFrame:
 
 
 def digests(pieces: DataFrame, conv="conv_id") -> DataFrame:
-    """One row per conversation from its pieces; a null piece (null turns) is last."""
+    """One row per conversation from its pieces, which are ordered as their turns are."""
     each = pieces.select(
         "conv",
         F.struct(
-            F.col("piece").isNull().alias("last"), F.col("piece").alias("piece"), F.size("turns").alias("n"),
+            F.col("piece").alias("piece"), F.size("turns").alias("n"),
             F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "").alias("said"),
             F.col("loss").alias("loss"), F.col("chars").alias("chars"),
         ).alias("p"),
