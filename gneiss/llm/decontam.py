@@ -4,15 +4,15 @@ Texts are normalised to words: A-Z in lower case, then the runs of
 ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``. A window is 13 consecutive words of an item (all of
 them, if it has fewer). The automaton's patterns are, of every item, ``ANCHOR`` words at every
 ``STRIDE``-th place: each window of 13 holds one of them whole; an item of fewer words is one
-pattern. A document is normalised the same way and scanned once. Where a pattern occurs, the
-equal words to both sides are counted against the item: 13 or more are windows, and all of them are hit.
+pattern. A document is normalised the same way and scanned once, whatever the items have in common: where an anchor
+occurs, the document's windows around it are looked up, each once, among the items' distinct windows, which are kept
+as sorted hashes and compared word for word; which items hold a window is read only where it occurs.
 Hits are word ranges, mapped back to code points of the original text.
 
 Words are written as codes of fixed width over a small alphabet for each place, so that a node
-has few children and a match can't begin inside a word. The automaton grows with the
-benchmark, never with the documents: about half a node of 32 bytes for each code
-letter of a benchmark word. A benchmark of more than ``MOST_WORDS`` words is refused: its
-trie alone would take 0.2 to 0.3 GB in each worker. Up to there the plan is always the same.
+has few children and a match can't begin inside a word. What a worker holds grows with the
+benchmark, never with the documents. A benchmark of more than ``MOST_WORDS`` words is refused;
+README has what a worker holds at that limit. Up to there the plan is always the same.
 
 Defined cases: null or empty text has no words and no hit; an item without words has no
 window; repeated items (same id) count once; a null item id is not reported, though its
@@ -27,6 +27,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +36,7 @@ from .shared import LOWER, UPPER, fresh, table, trim
 
 WINDOW = 13
 ANCHOR, STRIDE = 5, 9
-MOST_WORDS = 4_000_000
+MOST_WORDS = 2_000_000
 #: Bits of a code letter.
 BITS = 6
 _FOLD = str.maketrans(UPPER, LOWER)
@@ -65,53 +66,105 @@ def gather(items, most: int = MOST_WORDS) -> list[tuple[str | None, str]]:
     return list(seen)
 
 
+def rolled(codes: np.ndarray, factor: int) -> np.ndarray:
+    """A hash of each ``WINDOW`` consecutive codes."""
+    n = len(codes) - WINDOW + 1
+    out = np.zeros(max(0, n), np.uint64)
+    for i in range(WINDOW if n > 0 else 0):
+        out = (out + codes[i : i + n].astype(np.uint64) + np.uint64(1)) * np.uint64(factor)
+        out ^= out >> np.uint64(29)
+    return out
+
+
+class Windows:
+    """The distinct windows of the items, by sorted hashes: where one occurrence lies, and the items that hold it."""
+
+    def __init__(self, items: list[np.ndarray]):
+        self.codes = np.concatenate(items) if items else np.zeros(0, np.int32)
+        begin = np.cumsum([0, *map(len, items)])
+        counts = np.array([max(0, len(x) - WINDOW + 1) for x in items], np.int64)
+        item = np.repeat(np.arange(len(items)), counts)
+        place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + begin[item]
+        self.factor = 0x9E3779B97F4A7C15
+        while True:
+            h = rolled(self.codes, self.factor)[place]
+            order = np.lexsort((item, h))
+            self.hashes, first, self.which = np.unique(h[order], return_index=True, return_inverse=True)
+            self.place = place[order][first]
+            mine = place[order]
+            if all((self.codes[mine + i] == self.codes[self.place[self.which] + i]).all() for i in range(WINDOW)):
+                break
+            self.factor += 2  # two windows have one hash: take another one
+        pairs = np.unique(self.which.astype(np.int64) * max(1, len(items)) + item[order])
+        self.which = None
+        self.items = (pairs % max(1, len(items))).astype(np.int32)
+        self.stops = np.searchsorted(pairs, np.arange(len(self.hashes) + 1) * max(1, len(items)))
+
+    def find(self, codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the windows of a text that begin at ``starts``, those that an item has, and their numbers."""
+        if not len(starts) or not len(self.hashes):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        h = rolled(codes, self.factor)[starts]
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        ok = self.hashes[at] == h
+        for i in range(WINDOW):
+            ok &= self.codes[self.place[at] + i] == codes[starts + i]
+        return starts[ok], at[ok]
+
+
 class Automaton:
-    """All items' anchors, and the items' words to compare with on both sides of one."""
+    """All items' anchors, and the items' distinct windows."""
 
     def __init__(self, items: list[tuple[str | None, str]]):
         import ahocorasick
 
-        vocabulary = sorted({w for _, text in items for w in text.split(" ")})
-        self.width = max(1, -(-len(vocabulary).bit_length() // BITS))
-        letters = [[chr(0x100 + (place << BITS) + x) for x in range(1 << BITS)] for place in range(self.width)]
-        self.codes = {w: "".join(letters[place][n >> (BITS * place) & (1 << BITS) - 1] for place in range(self.width)) for n, w in enumerate(vocabulary)}
-        self.unknown = "\0" * self.width
+        self.number = {w: n for n, w in enumerate(sorted({w for _, text in items for w in text.split(" ")}))}
+        self.width = max(1, -(-len(self.number).bit_length() // BITS))
+        self.letters = [[chr(0x100 + (place << BITS) + x) for x in range(1 << BITS)] for place in range(self.width)]
         self.ids = [item_id for item_id, _ in items]
-        self.items = ["".join(map(self.codes.__getitem__, text.split(" "))) for _, text in items]
-        places: dict[str, list[tuple[int, int]]] = {}
-        for k, coded in enumerate(self.items):
-            n = len(coded) // self.width
-            step, size = (STRIDE, ANCHOR) if n >= WINDOW else (n, n)
-            for at in range(0, n - size + 1, step):
-                places.setdefault(coded[at * self.width : (at + size) * self.width], []).append((k, at))
-        self.trie = ahocorasick.Automaton()
-        for pattern, where in places.items():
-            self.trie.add_word(pattern, (len(pattern) // self.width, tuple(where)))
+        coded = [np.array([self.number[w] for w in text.split(" ")], np.int32) for _, text in items]
+        self.trie, short = ahocorasick.Automaton(), {}
+        for k, codes in enumerate(coded):
+            n = len(codes)
+            if n < WINDOW:
+                short.setdefault(self.written(codes), (n, []))[1].append(k)
+                continue
+            for at in range(0, n - ANCHOR + 1, STRIDE):
+                self.trie.add_word(self.written(codes[at : at + ANCHOR]), (ANCHOR, None))
+        for pattern, (n, who) in short.items():  # an item of ANCHOR words may also be an anchor
+            anchor = n == ANCHOR and pattern in self.trie
+            self.trie.add_word(pattern, (n, (tuple(who), anchor)))
         self.trie.make_automaton()
+        self.windows = Windows(coded)
+
+    def written(self, codes) -> str:
+        """Codes as letters; -1, for a word that no item has, as letters that none has."""
+        return "".join(["".join([self.letters[place][n >> (BITS * place) & (1 << BITS) - 1] for place in range(self.width)]) if n >= 0 else "\0" * self.width for n in codes])
 
     def scan(self, words: list[str]) -> tuple[list[tuple[int, int]], set[int]]:
         """Merged [start, end) word ranges inside occurrences of windows, and the items."""
-        if not words or not self.items:
+        if not words or not self.ids:
             return [], set()
-        width, code = self.width, self.codes.get
-        plain = "".join([code(w, self.unknown) for w in words])
-        hits, who, done = [], set(), {}
-        for last, (n, where) in self.trie.iter(plain):
-            end = (last + 1) // width
-            for k, at in where:
-                shift = end - n - at  # the document's place of the item's first word
-                if done.get((k, shift), 0) >= end:
-                    continue  # a run that has been measured
-                item, a, b = self.items[k], end - n, end
-                most = min(len(words), shift + len(item) // width)
-                while a > max(0, shift) and plain[(a - 1) * width : a * width] == item[(a - 1 - shift) * width : (a - shift) * width]:
-                    a -= 1
-                while b < most and plain[b * width : (b + 1) * width] == item[(b - shift) * width : (b + 1 - shift) * width]:
-                    b += 1
-                done[k, shift] = b
-                if b - a >= min(WINDOW, len(item) // width):
-                    hits.append((a, b))
-                    who.add(k)
+        number = self.number.get
+        codes = [number(w, -1) for w in words]
+        hits, who, starts, next_ = [], set(), [], 0
+        for last, (n, short) in self.trie.iter(self.written(codes)):
+            end = (last + 1) // self.width
+            if short is not None:
+                hits.append((end - n, end))
+                who.update(short[0])
+                if not short[1]:
+                    continue
+            # Windows with this anchor begin where none has been looked up yet.
+            next_ = max(next_, end - WINDOW)
+            stop = min(end - ANCHOR, len(words) - WINDOW) + 1
+            starts += range(next_, stop)
+            next_ = max(next_, stop)
+        if starts:
+            found, which = self.windows.find(np.array(codes, np.int32), np.array(starts))
+            hits += [(a, a + WINDOW) for a in found.tolist()]
+            for w in np.unique(which).tolist():
+                who.update(self.windows.items[self.windows.stops[w] : self.windows.stops[w + 1]].tolist())
         merged: list[list[int]] = []
         for a, b in sorted(hits):
             if merged and a <= merged[-1][1]:
