@@ -340,6 +340,63 @@ def test_elements_that_hold_no_text_end_by_the_tree():
     assert words("<script>x</p>") == [] and words("a<script>x</script>b") == ["ab"]
 
 
+@pytest.mark.parametrize("page", ["<b>" * 250_000 + "<div>x</div>" * 20_000, "<div>" * 100_000 + "</section>" * 50_000, "<option>" * 100_000 + "<optgroup>x" * 20_000, "<span>x" * 100_000 + "</i>" * 100_000 + "<p>y" * 10_000], ids=["inline", "foreign", "options", "spans"])
+def test_reading_is_linear(page):
+    """A megabyte of unclosed or foreign tags."""
+    import time
+
+    began = time.perf_counter()
+    html.read(page)
+    assert time.perf_counter() - began < 8  # quadratic steps would take an hour
+
+
+def test_open_elements_end_as_in_a_plain_walk():
+    """What ends an open element, told by walking down the whole stack, for random tags."""
+    rng, tags = random.Random(2), "ul ol li p td tr table option optgroup select b span div a i dl dt dd template".split()
+
+    def plain(tokens):
+        """(tag, depth) of the blocks, by a walk for each token; what is hidden is left out."""
+        stack, out = ["html"], []
+
+        def end(wanted, scope):
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k] in wanted:
+                    return k
+                if stack[k] in scope:
+                    return 0
+            return 0
+
+        for close, tag in tokens:
+            hidden = any(t in html.HIDDEN for t in stack)
+            if close:
+                k = end({tag}, () if tag in html.BLOCKS or tag in html.HIDDEN else html.BLOCKS)
+                del stack[k or len(stack) :]
+                continue
+            if tag in ("option", "optgroup"):
+                k = end(html.ENDS[tag], html._SCOPE[tag])
+                if k and stack[k] != tag and tag == "optgroup" and stack[k - 1] == "optgroup":
+                    k -= 1
+                del stack[k or len(stack) :]
+                hidden = any(t in html.HIDDEN for t in stack)
+            if not hidden and tag in html.BLOCKS:
+                k = end({"p"}, html.BLOCKS)
+                del stack[k or len(stack) :]
+                if tag in html.ENDS:
+                    k = end(html.ENDS[tag], html._SCOPE[tag])
+                    del stack[k or len(stack) :]
+                out.append((tag, sum(t in html.BLOCKS for t in stack)))
+            stack.append(tag)
+        return out
+
+    for _ in range(3000):
+        tokens = [(rng.random() < 0.4, rng.choice(tags)) for _ in range(rng.randint(1, 25))]
+        nodes, _ = html.read("".join(f"</{t}>" if c else f"<{t}>" for c, t in tokens))
+        depth = [0] * len(nodes)
+        for i, x in enumerate(nodes[1:], 1):
+            depth[i] = depth[x.up] + 1
+        assert [(x.tag, d) for x, d in zip(nodes[1:], depth[1:], strict=True)] == plain(tokens)
+
+
 def test_siblings_are_counted_whole():
     page = "<article>" + "<p>Some words.</p>" * 150 + "<div>x</div></article>"
     nodes, texts = html.read(page)

@@ -71,6 +71,21 @@ def test_windows_by_brute_force():
         assert all(a < b for a, b in ranges) and all(x[1] < y[0] for x, y in zip(ranges, ranges[1:]))
 
 
+def test_items_with_the_same_opening_cost_no_more():
+    """Thousands of items share an anchor: a text full of it is scanned once, and windows that many items share name all of them."""
+    import time
+
+    rng, opening = random.Random(3), "which of the following statements is true about the".split(" ")
+    items = decontam.gather((k, " ".join(opening + [f"t{rng.randrange(5000)}" for _ in range(10)])) for k in range(20_000))
+    auto = decontam.Automaton(items)
+    began = time.perf_counter()
+    assert auto.scan((opening + ["x", "y", "z"]) * 30) == ([], set())
+    assert time.perf_counter() - began < 0.1
+    shared = " ".join(f"s{i}" for i in range(13))
+    auto = decontam.Automaton(decontam.gather((k, f"{shared} {k}") for k in range(500)))
+    assert auto.scan(["x", *shared.split(" "), "y"]) == ([(1, 14)], set(range(500)))
+
+
 def test_spans_point_at_the_original():
     text = "Ab, CD!ef -- Éx"
     assert [text[a:b] for a, b in decontam.spans(text)] == ["Ab", "CD", "ef", "Éx"]
@@ -93,11 +108,41 @@ def test_languages_on_held_out_documents(spark):
 
 def test_language_of_odd_rows(spark, edge):
     rows = langid.op5_langid(spark, edge).collect()
-    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{edge}/documents.parquet").collect()}
-    for r in rows:
-        letters = any(c.isalpha() for c in texts[r.doc_id] or "")
-        if r.doc_id is not None:
-            assert (r.lang_pred == "und") == (not letters)
+    odd = spark.read.parquet(f"{edge}/documents.parquet").collect()
+    letters = lambda t: any(c.isalpha() for c in t or "")
+    assert sorted((str(r.doc_id), r.lang_pred != "und") for r in rows) == sorted((str(r.doc_id), letters(r.text)) for r in odd)
+
+
+def test_sample_has_each_language_whole(spark):
+    """Null ids, repeated ids and repeated rows: each language gives the documents of smallest hash, each once."""
+    import collections
+
+    rng = random.Random(1)
+    say = lambda k: " ".join(f"{k}{rng.getrandbits(30):x}" for _ in range(8))
+    rows = [(i, say("e"), "en") for i in range(900)] + [(None, say("f"), "fr") for _ in range(900)] + [(77, "der hund", "de")] * 6000 + [(9, say("d"), "de") for _ in range(150)] + [(3, "x", None), (4, None, "nl"), (5, "", "nl")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.sample(df, "doc_id", "text", "lang", per_lang=200)
+    assert collections.Counter(lang for lang, _ in got) == {"en": 200, "fr": 200, "de": 151}
+    hashed = df.where("text <> '' AND lang IS NOT NULL").select("lang", F.xxhash64(F.lit("sample"), F.col("doc_id").cast("string"), "text").alias("h"), "text").distinct().collect()
+    want = [(lang, t.encode()) for lang in ("de", "en", "fr") for _, t in sorted((r.h, r.text) for r in hashed if r.lang == lang)[:200]]
+    assert got == want  # texts this short are their own excerpts
+
+
+def test_pooling_by_a_plain_loop():
+    """Probabilities of a text are the mean over its bytes, one segment after another."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    w = langid._start(3, rng)
+    texts = [bytes(rng.integers(97, 123, n).astype(np.uint8)) for n in (1, 5, 127, 128, 129, 700, 0, 2000)]
+    for text, p in zip(texts, langid.pool(w, texts), strict=True):
+        total = np.zeros(3)
+        for i in range(0, len(text), langid.SEGMENT):
+            seg = np.frombuffer(text[i : i + langid.SEGMENT], np.uint8)[:, None]
+            out = langid._outputs(w, langid._walk(w, "f", seg, None), langid._walk(w, "b", seg, None))
+            for at in range(len(seg)):
+                total += out[at, :, 0]
+        assert np.allclose(p, total / max(1, len(text)), atol=1e-5)
 
 
 def test_whole_texts():
@@ -298,6 +343,19 @@ def test_chat_round_trip(spark, edge):
             assert r.formatted[m.end : m.end + len(chat.END)] == chat.END
 
 
+@pytest.mark.parametrize("turn", [None, 7])
+def test_many_turns_of_one_number(spark, turn):
+    """More turns than a piece holds: order, digests and loss text are those of a plain sort."""
+    n = 5000
+    df = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.lit(turn).cast("long").alias("turn"), F.when(F.col("id") % 2 == 0, "assistant").otherwise("user").alias("role"), F.concat(F.lit("<|"), (F.col("id") % 1700).cast("string")).alias("text"))
+    pieces = chat.read_pieces(chat.format_turns(df))
+    assert max(len(r.turns) for r in pieces.collect()) <= chat.PIECE
+    rows = sorted(("assistant" if i % 2 == 0 else "user", f"<|{i % 1700}") for i in range(n))
+    r = chat.digests(pieces).collect()[0]
+    assert r.n_turns == n and r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in rows).encode()).hexdigest()
+    assert r.loss_sha256 == hashlib.sha256("".join(b for a, b in rows if a == "assistant").encode()).hexdigest()
+
+
 def test_layouts_by_fingerprint(spark):
     rows = [(1, '{"messages":[{"role":"human","content":"q"},{"content":"a","role":"gpt"}]}'), (2, '{"output":"b","instruction":"a","input":""}'), (3, "no"), (4, '{"z":1}'), (5, '{"prompt":"q","completion":"c"}'),
             (6, '{"conversations":[{"from":"human","value":"v"}]}'), (7, None), (8, '{"system":"s","prompt":"p","response":"r"}'), (9, '{"question":"p","answer":"r"}')]
