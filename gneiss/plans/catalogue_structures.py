@@ -63,14 +63,19 @@ def _of_structures(df, smiles: str, **columns):
     return df.join(found, smiles)
 
 
-_ATOMS, _RINGS = F.col("molecule.atoms"), F.col("molecule.rings")
+def _atoms():
+    return F.col("molecule.atoms")
+
+
+def _rings():
+    return F.col("molecule.rings")
 
 
 @query(f"""SELECT c_custkey, {_end(1)} AS features, split_part({_end(1)}, ',', 1) AS first_feature, 4 + c_custkey % 5 AS chain FROM customer""")
 def structure_features(spark, d):
     c = _chains(spark, d)
-    m = structures.read_structures(c, "smiles").withColumn("motifs", structures.motif_columns(_ATOMS))
-    names, _ = structures.features(_ATOMS, _RINGS, F.col("motifs"))
+    m = structures.read_structures(c, "smiles").withColumn("motifs", structures.motif_columns(_atoms()))
+    names, _ = structures.features(_atoms(), _rings(), F.col("motifs"))
     found = m.select(F.col("structure").alias("smiles"), F.array_join(F.array_sort(names), ",").alias("features"))
     return c.join(found, "smiles").select("c_custkey", "features", F.substring_index("features", ",", 1).alias("first_feature"), F.length("chain").alias("chain"))
 
@@ -81,8 +86,8 @@ WHEN 15 THEN 'STC-PHE-001' WHEN 16 THEN 'STC-HYD-001' WHEN 17 THEN 'STC-PHO-001'
 def structure_classes(spark, d):
     """From the text of a structure to the rule that classifies it."""
     c = _chains(spark, d)
-    m = structures.read_structures(c, "smiles").withColumn("motifs", structures.motif_columns(_ATOMS))
-    names, _ = structures.features(_ATOMS, _RINGS, F.col("motifs"))
+    m = structures.read_structures(c, "smiles").withColumn("motifs", structures.motif_columns(_atoms()))
+    names, _ = structures.features(_atoms(), _rings(), F.col("motifs"))
     found = m.select(F.col("structure").alias("smiles"), names.alias("f")).select("smiles", F.array_join(F.array_sort("f"), ",").alias("features"), rules.classify(F.col("f"), F.lit(True))["rule_id"].alias("rule_id"))
     return c.join(found, "smiles").select("c_custkey", "features", "rule_id")
 
@@ -90,10 +95,10 @@ def structure_classes(spark, d):
 @query(f"SELECT c_custkey, {_end(2)} AS groups, {_end(3)} AS toxicophores, CASE WHEN c_custkey % {len(ENDS)} = 2 THEN 'Likely acidic' WHEN c_custkey % {len(ENDS)} = 5 THEN 'Likely basic' ELSE 'Neutral' END AS ionisation FROM customer")
 def structure_groups(spark, d):
     c = _chains(spark, d)
-    names = F.transform(structures.groups(_ATOMS), lambda g: g["name"])
+    names = F.transform(structures.groups(_atoms()), lambda g: g["name"])
     out = _of_structures(
-        c, "smiles", groups=F.array_join(F.array_sort(F.filter(names, lambda g: g != "Aliphatic Chain")), ","), toxicophores=F.array_join(F.array_sort(structures.named(_ATOMS, structures.TOXICOPHORES)), ","),
-        ionisation=chemistry.ionisation_label(*structures.ionisation(_ATOMS)),
+        c, "smiles", groups=F.array_join(F.array_sort(F.filter(names, lambda g: g != "Aliphatic Chain")), ","), toxicophores=F.array_join(F.array_sort(structures.named(_atoms(), structures.TOXICOPHORES)), ","),
+        ionisation=chemistry.ionisation_label(*structures.ionisation(_atoms())),
     )
     return out.select("c_custkey", "groups", "toxicophores", "ionisation")
 
@@ -106,7 +111,7 @@ def _system(place: int) -> str:
 @query(f"SELECT p_partkey, {_system(1)} AS topology_class, {_system(2)} AS ring_count, {_system(3)} AS aromatic_ring_count, {_system(4)} AS fused_pairs, {_system(5)} AS spiro_pairs FROM part")
 def structure_topology(spark, d):
     p = t(spark, d, "part").select("p_partkey", _choose([x[0] for x in SYSTEMS], F.col("p_partkey") % len(SYSTEMS)).alias("smiles"))
-    out = _of_structures(p, "smiles", top=structures.topology(_ATOMS, _RINGS, F.array().cast("array<array<int>>")))
+    out = _of_structures(p, "smiles", top=structures.topology(_atoms(), _rings(), F.array().cast("array<array<int>>")))
     return out.select("p_partkey", *[F.col(f"top.rings.{n}").alias(n) for n in ("topology_class", "ring_count", "aromatic_ring_count", "fused_pairs", "spiro_pairs")])
 
 
@@ -123,7 +128,7 @@ def structure_canonical(spark, d):
     salt = F.when(k == 1, F.concat(F.lit("[Na+].[O-]C(=O)"), chain)).otherwise(F.concat(back, F.lit(".Cl")))
     c = t(spark, d, "customer").select("c_custkey", forth.alias("forth"), back.alias("back"), salt.alias("salt"))
     texts = c.select(F.explode(F.array("forth", "back", "salt")).alias("s"))
-    m = structures.read_structures(texts, "s").select("structure", F.col("molecule.canonical").alias("text"), F.col("molecule.parent").alias("parent"), F.col("molecule.scaffold").alias("scaffold"), structures.circular(_ATOMS).alias("bits"))
+    m = structures.read_structures(texts, "s").select("structure", F.col("molecule.canonical").alias("text"), F.col("molecule.parent").alias("parent"), F.col("molecule.scaffold").alias("scaffold"), structures.circular(_atoms()).alias("bits"))
     one = lambda n: m.select(F.col("structure").alias(n), F.struct("text", "parent", "scaffold", "bits").alias(f"{n}_"))
     out = c.join(one("forth"), "forth").join(one("back"), "back").join(one("salt"), "salt")
     return out.select(
@@ -136,5 +141,5 @@ def structure_canonical(spark, d):
 def structure_descriptors(spark, d):
     """Counts of straight alcohols."""
     c = t(spark, d, "customer").select("c_custkey", F.concat(F.repeat(F.lit("C"), (4 + F.col("c_custkey") % 5).cast("int")), F.lit("O")).alias("smiles"))
-    out = _of_structures(c, "smiles", x=structures.descriptors(_ATOMS))
+    out = _of_structures(c, "smiles", x=structures.descriptors(_atoms()))
     return out.select("c_custkey", "x.*")
