@@ -21,7 +21,7 @@ ENDS = (
     ("Cl", "Halogenated compound", "Halogen", "Alkyl halide"),
     ("C(=O)N", "Amide", "Amide", ""),
     ("OO", "Organic hydroperoxide", "Hydroxyl", "Peroxide"),
-    ("S(=O)(=O)Cl", "Halogenated compound", "Halogen", "Sulfonyl halide"),
+    ("S(=O)(=O)Cl", "Halogenated compound,Sulfur-containing compound — not further classified", "Halogen", "Sulfonyl halide"),
     ("C(=O)C=C", "Ketone", "Ketone", "Michael acceptor"),
     ("O[Si](C)(C)O[Si](C)(C)C", "Siloxane", "Siloxane", ""),
     ("c1ccccc1O", "Phenol", "Aromatic Ring,Hydroxyl,Phenol", ""),
