@@ -184,12 +184,12 @@ def scalar_functions(spark, d):
 
 # ---- classification ----
 
-P_RULES = (("R-1", "PROMO"), ("R-2", "GEAR"), ("R-3", "Brand#11"), ("R-4", "SMALL"), ("R-5", "LARGE"))
+P_RULES = (("R-1", "PROMO", "PROMO motif detected"), ("R-2", "GEAR", "GEAR motif detected"), ("R-3", "Brand#11", "Brand#11 motif detected"), ("R-4", "SMALL", "SMALL motif detected"), ("R-5", "LARGE", "LARGE motif detected"))
 
 
 def part_features(spark, d) -> DataFrame:
     p = t(spark, d, "part")
-    return p.withColumn("features", F.array_compact(F.array(*[F.when(F.upper(F.concat_ws(" ", "p_type", "p_name", "p_brand")).contains(x.upper()), F.lit(x)) for _, x in P_RULES])))
+    return p.withColumn("features", F.array_compact(F.array(*[F.when(F.upper(F.concat_ws(" ", "p_type", "p_name", "p_brand")).contains(x.upper()), F.lit(x)) for _, x, _ in P_RULES])))
 
 
 @query("""SELECT p_partkey, CASE WHEN p_size % 11 = 0 THEN 'STC-UNK-000' WHEN s LIKE '%PROMO%' THEN 'R-1' WHEN s LIKE '%GEAR%' THEN 'R-2' WHEN s LIKE '%BRAND#11%' THEN 'R-3' WHEN s LIKE '%SMALL%' THEN 'R-4' WHEN s LIKE '%LARGE%' THEN 'R-5' ELSE 'STC-UNK-001' END AS rule_id,
