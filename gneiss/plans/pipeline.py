@@ -55,10 +55,14 @@ def core(df: DataFrame, cutoff: float = 0.60) -> Result:
     """Clusters, applicability domain, uncertainty."""
     made = df.where(F.col("bits").isNotNull()).withColumn("family", F.col("gate.family"))
     x = layers.sides()
-    parts = made.select(F.col("src_pos").alias("k"), "family", F.col("features").alias("f"), "mw", "logp", "tpsa", F.coalesce("amide_units", F.lit(0)).alias("am"))
-    from ..operators.pairs import block_pairs
+    parts = made.select(F.col("src_pos").alias("k"), F.col("features").alias("f"), "mw", "logp", "tpsa", F.coalesce("amide_units", F.lit(0)).alias("am"))
+
+    def bad(similar: DataFrame) -> DataFrame:
+        """Of the similar pairs, those that a gate keeps apart."""
+        side = lambda s: parts.select(F.col("k").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("f", "mw", "logp", "tpsa", "am")])
+        both = similar.join(side("i"), "i").join(side("j"), "j")
+        return both.where(rules.pair_gate(x("am"), x("f"), x("mw"), x("logp"), x("tpsa")).isNotNull()).select("i", "j")
 
-    bad = block_pairs(parts, "k", "family", ("f", "mw", "logp", "tpsa", "am")).where(rules.pair_gate(x("am"), x("f"), x("mw"), x("logp"), x("tpsa")).isNotNull()).select("i", "j")
     grouped = cluster.gated_clusters(made, "src_pos", "smiles", "family", "bits", "src_pos", cutoff, bad)
     ids = grouped.select("src_pos", "cluster_id", "family_id", "cluster_size", "unique_count", "duplicate_count")
     full = df.join(ids, "src_pos", "left")
