@@ -102,10 +102,12 @@ def bit_filter(keys: DataFrame, key: str = "id") -> DataFrame:
 
 def marked(df: DataFrame, keys: DataFrame, key: Column, out: str, name: str = "id") -> DataFrame:
     """``df`` with the boolean ``out``: whether the row's ``key`` may be among ``keys``. No row is moved for
-    it; a filter too full to help costs only what a join of all rows would."""
+    it; a filter too full to help costs only what a join of all rows would. The filter always has a word that no
+    key has, so that the plan is the same where there are no keys."""
     word, place, bits = fresh(df, "_word", "_place", "_bits")
     at, inside = _bit(key)
-    held = bit_filter(keys, name).withColumnsRenamed({"word": word, "bits": bits})
+    none = df.sparkSession.range(1).select(F.lit(-1).cast("long").alias("word"), F.lit(0).cast("long").alias("bits"))
+    held = bit_filter(keys, name).unionByName(none).withColumnsRenamed({"word": word, "bits": bits})
     joined = df.withColumns({word: at, place: inside}).join(F.broadcast(held), word, "left")
     found = F.coalesce(F.expr(f"shiftright({bits}, {place}) & 1L") == 1, F.lit(False))
     return joined.withColumn(out, found).drop(word, place, bits)
