@@ -149,13 +149,21 @@ def hazard_family(text: Column) -> Column:
     return out
 
 
-def hazard_records(raw: DataFrame, identity: str, text: str, qualifier: str, value: str, unit: str, record: str, study: str, species: str, route: str, source: str) -> DataFrame:
+#: Fixed value: what a reviewer is told of a record that was mapped.
+MAPPED_NOTE = "Mapped conservatively from EPA CTX raw record; reviewer interpretation required."
+
+
+def hazard_records(raw: DataFrame, identity: str, text: str, qualifier: str, value: str, unit: str, record: str, study: str, species: str, route: str, source: str, duration: str | None = None, url: str = "", version: str = "", prefix: str = "EPA-CTX-") -> DataFrame:
     """External hazard rows as ledger records: values outside a vocabulary become Other, missing
-    ones Not reported; the dose is qualifier and number."""
+    ones Not reported; the dose is qualifier and number; a row without a record's id is named by the hash of its
+    columns as JSON, their names sorted."""
     clamp = lambda c, v, missing: F.when(F.coalesce(F.col(c), F.lit("")) == "", F.lit(missing)).when(F.col(c).isin(*VOCABULARIES[v]), F.col(c)).otherwise(F.lit("Other"))
-    return raw.withColumn("_e", hazard_family(F.col(text))).where("_e IS NOT NULL").select(
+    whole = F.to_json(F.struct(*[F.col(f"`{c}`").alias(c) for c in sorted(raw.columns)]))
+    named = F.coalesce(F.nullif(F.trim(F.col(record).cast("string")), F.lit("")), F.concat(F.lit(prefix), F.substring(F.sha2(whole, 256), 1, 16)))
+    return raw.withColumns({"_e": hazard_family(F.col(text)), "_r": named}).where("_e IS NOT NULL").select(
         F.col(identity).alias("identity_key"), F.lit("DTXSID").alias("compound_mapping_method"), F.col("_e").alias("endpoint"), F.lit("Not reported").alias("result"),
         clamp(study, "study_type", "Other").alias("study_type"), clamp(species, "species", "Not reported").alias("species"), clamp(route, "route", "Not reported").alias("route"),
-        F.trim(F.concat_ws(" ", qualifier, F.col(value).cast("string"))).alias("dose"), F.col(unit).alias("dose_unit"), F.lit(source).alias("source"), F.col(record).cast("string").alias("source_record"),
-        F.lit("Not assignable").alias("reliability"), F.lit("Retrieved").alias("evidence_status"), F.lit("Not reviewed").alias("reviewer_status"),
+        F.trim(F.concat_ws(" ", F.nullif(F.col(qualifier), F.lit("")), F.col(value).cast("string"))).alias("dose"), F.coalesce(F.col(unit), F.lit("")).alias("dose_unit"), (F.coalesce(F.col(duration).cast("string"), F.lit("")) if duration else F.lit("")).alias("duration"),
+        F.lit(source).alias("source"), F.col("_r").alias("source_record"), F.lit(url).alias("source_url"), F.lit(version).alias("source_database_version"), F.lit("Not assignable").alias("reliability"),
+        F.lit("Retrieved").alias("evidence_status"), F.lit("").alias("retrieved_at"), F.lit("Not reviewed").alias("reviewer_status"), F.lit(MAPPED_NOTE).alias("notes"),
     )

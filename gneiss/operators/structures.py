@@ -352,7 +352,7 @@ def read_structures(df: DataFrame, smiles: str) -> DataFrame:
 
 def profiled(df: DataFrame, smiles: str, radius: int = 2, width: int = 1024) -> DataFrame:
     """``df`` with the struct ``found`` of all that its structure says: valid, canonical, parent, scaffold, bits, features and their
-    atoms, functional groups, toxicophores, ionisation parts, topology, descriptors. Each distinct structure is worked on once;
+    atoms, silicon counts, functional groups, toxicophores, ionisation parts, topology, descriptors. Each distinct structure is worked on once;
     rows without a readable one have ``found.valid`` false or no ``found``."""
     m = read_structures(df, smiles)
     atoms, rings = F.col("molecule.atoms"), F.col("molecule.rings")
@@ -360,7 +360,9 @@ def profiled(df: DataFrame, smiles: str, radius: int = 2, width: int = 1024) ->
     names, places = features(atoms, rings, F.col("motifs"))
     alcohols = F.col(f"motifs.m{list(MOTIFS).index('Alcohol')}")
     permanent, acidic, basic = ionisation(atoms)
+    silicon = lambda xs: F.size(F.filter(xs, lambda i: F.get(atoms, i)["symbol"] == "Si"))
     found = F.struct(
+        F.size(F.filter(atoms, lambda x: x["symbol"] == "Si")).alias("si_atoms"), F.coalesce(F.array_max(F.transform(rings, silicon)), F.lit(0)).alias("si_ring_units"),
         atoms.isNotNull().alias("valid"), F.col("molecule.canonical").alias("canonical"), F.col("molecule.parent").alias("parent"), F.col("molecule.scaffold").alias("scaffold"),
         circular(atoms, radius, width).alias("bits"), names.alias("features"), places.alias("feature_atoms"), groups(atoms).alias("groups"), F.array_sort(named(atoms, TOXICOPHORES)).alias("toxicophores"),
         permanent.alias("permanent"), acidic.alias("acidic"), basic.alias("basic"), topology(atoms, rings, alcohols).alias("topology"), descriptors(atoms).alias("descriptors"),

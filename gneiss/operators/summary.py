@@ -62,6 +62,8 @@ def cluster_summary(df: DataFrame, medoids: DataFrame, pos: str = "src_pos", str
     ``df`` lacks are not assessed. Values are counted once for each cluster and column before the few that are
     shown meet in a row, so a large cluster is never gathered."""
     col = lambda c: F.col(f"`{c}`")
+    if "Compatibility Group" not in df.columns and "Cluster Family" in df.columns:  # an older name
+        df = df.withColumnRenamed("Cluster Family", "Compatibility Group")
     rows = df.where(assessable(col(cluster))).withColumn("_cluster", col(cluster))
     firsts = rows.groupBy("_cluster", col(structure).alias("_s")).agg(F.min(pos).alias("_pos")).select("_cluster", "_pos", F.lit(True).alias("_first"))
     rows = rows.withColumn("_pos", F.col(pos)).join(firsts, ["_cluster", "_pos"], "left").withColumn("_first", F.col("_first").isNotNull())

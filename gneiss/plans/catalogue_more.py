@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.smiles import smiles_summary
 from ..operators import group, narrative, pairs, rules, tables
 from ..sources import connectors, documents, files
-from . import catalogue_structures, catalogue_summary, catalogue_views  # noqa: F401  they register their queries
+from . import catalogue_layouts, catalogue_structures, catalogue_summary, catalogue_views  # noqa: F401  they register their queries
 from .catalogue import query, t
 
 

@@ -4,8 +4,9 @@ A stage reads the table that the stage before it wrote, so a run can be resumed
 stage by its id alone, and lost executors cost no finished stage. Optional stages only add
 columns; ``preserved`` checks that they left the core as it was.
 
-The input is the compound table with chemistry already computed (fingerprint bits, features,
-descriptors): the chemistry itself belongs to a backend outside this engine.
+The input is the compound table. What it doesn't bring along of its structures (fingerprint bits, features,
+ring systems, counts) is worked out from their texts (``from_structures``); LogP, polar surface and
+the catalogues of alerts belong to a toolkit and are taken from columns where there are any.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cluster, evidence, layers, ledger, rules, tables, views
+from ..operators import chemistry, cluster, evidence, layers, ledger, rules, structures, tables, views
 
 ALIASES = {
     "a": ("a", "phase_a", "phasea", "snapshot"), "b1a": ("b1", "b1a", "core", "enrich", "enrichment"),
@@ -39,8 +40,27 @@ def stage_name(text: str) -> str:
     return next((k for k, names in ALIASES.items() if low in names), "all")
 
 
+#: Columns that a toolkit may bring along, and their types.
+OUTSIDE = {"alerts": "array<string>", "logp": "double", "tpsa": "double", "amide_units": "int", "conc": "double"}
+
+
+def from_structures(df: DataFrame, smiles: str = "smiles") -> DataFrame:
+    """``df`` with the columns that the stages read and it lacks, each distinct structure worked on once."""
+    found, x = structures.profiled(df, smiles), F.col("found")
+    top, counts = x["topology"]["rings"], x["descriptors"]
+    made = {
+        "bits": x["bits"], "features": x["features"], "scaffold": chemistry.scaffold_label(F.coalesce(x["valid"], F.lit(False)), x["scaffold"]), "toxicophores": x["toxicophores"],
+        "ionisation": F.when(x["valid"], chemistry.ionisation_label(x["permanent"], x["acidic"], x["basic"])), "topology_class": top["topology_class"], "ring_count": top["ring_count"],
+        "aromatic_ring_count": top["aromatic_ring_count"], "formal_charge": counts["formal_charge"], "mw": counts["weight"], "si_atoms": x["si_atoms"], "si_ring_units": x["si_ring_units"],
+    }
+    made |= {c: F.lit(None).cast(t) for c, t in OUTSIDE.items()}
+    return found.withColumns({c: v for c, v in made.items() if c not in df.columns}).drop("found")
+
+
 def snapshot(df: DataFrame) -> Result:
     """Classification, taxonomy and gate from the features; one projection."""
+    if "features" not in df.columns or "bits" not in df.columns:
+        df = from_structures(df)
     valid = F.col("bits").isNotNull()
     c = df.withColumn("_c", rules.classify(F.coalesce("features", F.array().cast("array<string>")), valid))
     out = c.withColumns({
@@ -77,20 +97,45 @@ def core(df: DataFrame, cutoff: float = 0.60) -> Result:
     return Result(out, {"uncertainty_register": evidence.severity_rollup(long, "cluster_id")})
 
 
+def matrix_view(df: DataFrame) -> DataFrame:
+    """The rows under the names that a cluster's matrix reads."""
+    texts = lambda c: F.array_join(F.coalesce(c, F.array().cast("array<string>")), "; ")
+    names = {
+        "Cluster ID": "cluster_id", "Scaffold": "scaffold", "Domain_Status": "domain_status", "Domain_Reasons": "domain_reasons", "Identity Status": "identity_status", "Property_Outlier_Flags": "property_outlier_flags",
+        "MW": "mw", "LogP": "logp", "TPSA": "tpsa", "Formal_Charge": "formal_charge", "Ring_Count": "ring_count", "Aromatic_Ring_Count": "aromatic_ring_count", "InChIKey": "inchikey", "CASRN": "casrn",
+        "Cluster_Status": "cluster_status", "Decision": "decision", "Toxicophore_Profile": "toxicophores", "All_Structural_Alerts": "alerts",
+    }
+    lists = {c for c, t in df.dtypes if t == "array<string>"}
+    return df.select(*[(texts(F.col(c)) if c in lists else F.col(c)).alias(n) for n, c in names.items() if c in df.columns])
+
+
+def register_rows(df: DataFrame) -> DataFrame:
+    """The uncertainty register of the clusters: scope, category, level, reason, action and fields of each."""
+    long = df.where(F.col("cluster_id").isNotNull()).select("cluster_id", F.explode("uncertainty").alias("r")).select("cluster_id", "r.*")
+    up = evidence.severity_rollup(long, "cluster_id")
+    return up.select(
+        F.lit("Cluster").alias("Scope"), F.col("cluster_id").alias("Scope_ID"), F.col("category").alias("Category"), F.col("level").alias("Level"), F.col("reason").alias("Reason"),
+        F.col("action").alias("Required_Action"), F.lit("Uncertainty register").alias("Evidence_Fields"), F.col("place").alias("Place"),
+    )
+
+
 def optional(df: DataFrame, records: DataFrame | None = None) -> Result:
-    """Evidence matrix, and ledger rows of the members, where a ledger is given."""
-    from ..operators.group import joined_values
-
-    base = df.where(F.col("cluster_id").isNotNull())
-    a = base.groupBy("cluster_id").agg(F.count("*").alias("n"), joined_values(F.col("scaffold")).alias("s"), joined_values(F.col("domain_status")).alias("d"), joined_values(F.col("identity_status")).alias("i"))
-    row = lambda dom, kind, text, u: F.struct(F.lit(dom).alias("domain"), F.lit(kind).alias("type"), text.alias("text"), F.lit(u).alias("uncertain"))
-    facts = F.array(row("Grouping", "Deterministic cluster", F.concat(F.lit("Members="), F.col("n").cast("string")), False), row("Structure", "Scaffold", F.col("s"), False), row("Domain", "Domain status", F.col("d"), True), row("Identity", "Identity status", F.col("i"), True))
-    side = {"evidence_matrix": evidence.evidence_rows(a.select("cluster_id", F.explode(facts).alias("f")).select("cluster_id", "f.*"), "cluster_id")}
+    """The whole evidence matrix of the clusters, with the register and, where a ledger is given, its rows of the
+    members; its hash; and those rows."""
+    clustered = df.where(F.col("cluster_id").isNotNull())
+    matrix = evidence.cluster_matrix(matrix_view(clustered), register_rows(df).drop("Place"), records)
+    side = {"evidence_matrix": matrix, "matrix_hash": evidence.cluster_matrix_hash(matrix), "register": register_order(register_rows(df))}
     if records is not None:
         side["ledger"] = ledger.for_identities(records, df, ["inchikey", "casrn"])
     return Result(df, side)
 
 
+def register_order(register: DataFrame) -> DataFrame:
+    """Rows of a register as they are read: highest level first, then scope, its id, and the categories' order."""
+    level = F.array_position(F.array(*[F.lit(x) for x in reversed(evidence.LEVELS)]), F.col("Level"))
+    return register.orderBy(level, "Scope", "Scope_ID", "Place").drop("Place")
+
+
 def export(df: DataFrame, contract: list[str], required: list[str] = ()) -> Result:
     """The contract's columns in the workbook's order; refuses what the release gate rejects."""
     if errors := tables.release_errors(df, list(required), [], "identity_status", "decision"):
