@@ -131,9 +131,8 @@ def optional(df: DataFrame, records: DataFrame | None = None) -> Result:
 
 
 def register_order(register: DataFrame) -> DataFrame:
-    """Rows of a register as they are read: highest level first, then scope, its id, and the categories' order."""
-    level = F.array_position(F.array(*[F.lit(x) for x in reversed(evidence.LEVELS)]), F.col("Level"))
-    return register.orderBy(level, "Scope", "Scope_ID", "Place").drop("Place")
+    """Rows of a register as they are written: by category, level (as a word) and reason."""
+    return register.orderBy("Category", "Level", "Reason", "Scope_ID").drop("Place")
 
 
 def export(df: DataFrame, contract: list[str], required: list[str] = ()) -> Result:
