@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 from ..functions import text as tx
 
 from ..functions.sets import jaccard, sign_bits, tanimoto_words, words_of_bits
-from ..operators import cluster, evidence, group, layers, ledger, pairs, rules, tables
+from ..operators import cluster, evidence, group, layers, ledger, pairs, rules, search, tables
 from ..streaming import events as streams
 
 QUERIES: dict = {}
@@ -72,13 +72,26 @@ def top3_neighbours(spark, d):
     return pairs.top_neighbours(pairs.tanimoto_pairs(emb(spark, d), "vec_id", "label", "bits")).select("id", "other", "rank", F.round("similarity", 6).alias("similarity"))
 
 
-@query(f"WITH {E_SQL}, p AS (SELECT a.vec_id AS id, b.vec_id AS other, CAST(len(list_intersect(a.bits, b.bits)) AS DOUBLE) / (len(a.bits) + len(b.bits) - len(list_intersect(a.bits, b.bits))) AS s FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0) SELECT id, other, rank, round(s, 6) AS similarity FROM (SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY s DESC, other) AS INTEGER) AS rank FROM p) WHERE rank <= 10")
+_TOPK_SQL = f"WITH {E_SQL}, p AS (SELECT a.vec_id AS id, b.vec_id AS other, CAST(len(list_intersect(a.bits, b.bits)) AS DOUBLE) / (len(a.bits) + len(b.bits) - len(list_intersect(a.bits, b.bits))) AS s FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0) SELECT id, other, rank, round(s, 6) AS similarity FROM (SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY s DESC, other) AS INTEGER) AS rank FROM p) WHERE rank <= 10"
+
+
+@query(_TOPK_SQL)
 def topk_library(spark, d):
     """Rows whose id is divisible by 50 are the queries; all rows, of any label, are the library."""
     e = emb(spark, d)
     return pairs.top_of_all(e.where("vec_id % 50 = 0"), e, "vec_id", "bits").select("id", "other", "rank", F.round("similarity", 6).alias("similarity"))
 
 
+@query(_TOPK_SQL)
+def indexed_topk(spark, d):
+    """The same search by the index."""
+    e = emb(spark, d)
+    width = e.select(F.array_max("bits").alias("top")).agg(F.max("top")).first()[0] or 0
+    index = search.build(e, "vec_id", "bits", width + 1)
+    found = search.search(index, e.where("vec_id % 50 = 0"), "vec_id", "bits", 10)
+    return found.top.select("id", "other", "rank", F.round("similarity", 6).alias("similarity"))
+
+
 @query(f"WITH {B_SQL}, m AS (SELECT block, id, round_even(avg(s), 9) AS mean FROM (SELECT block, id, s FROM b UNION ALL SELECT label, vec_id, 1.0::DOUBLE FROM e) GROUP BY ALL) SELECT block, id AS medoid, round_even(mean, 6) AS mean_similarity FROM m QUALIFY row_number() OVER (PARTITION BY block ORDER BY mean DESC, id DESC) = 1")
 def medoid(spark, d):
     e = emb(spark, d)
