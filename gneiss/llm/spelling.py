@@ -10,10 +10,10 @@ equally long ones as themselves, and of others the longer one enters the lists o
 shorter by one. A list's words differ in at most ``SEGMENT`` + 1 code points, so its size has a
 bound that doesn't depend on the table, whatever the words.
 
-Index: within a list the words' grams of ``Q`` code points are posted under (gram, place). For each
-word the postings of its own grams at the same place or one beside it are heap-merged; a word
-is a candidate if it comes up at least as often as one edit must leave grams in common
-(the longer length - ``Q`` + 1 - ``Q``).
+Index: within a list the words' grams of ``Q`` code points are posted under (place, gram). For each
+word the postings of its own grams are heap-merged, from the same place and, of a word that is longer by one, from
+the place before; a word is a candidate if it comes up at least as often as one edit must leave grams
+in common (the longer length - ``Q`` + 1 - ``Q``).
 
 Each candidate is verified, and written by the first list only that can hold the pair.
 
@@ -27,8 +27,8 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from itertools import groupby
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -81,87 +81,97 @@ def _lists(word: Column) -> Column:
     return F.concat(entries(0), entries(1))
 
 
-def one_edit(x: str, y: str) -> bool:
-    """Whether two words differ by exactly one edit; ``y`` is not the shorter one."""
-    if len(x) == len(y):
-        return sum(a != b for a, b in zip(x, y, strict=True)) == 1
-    if len(y) != len(x) + 1:
-        return False
-    p = next((i for i, (a, b) in enumerate(zip(x, y)) if a != b), len(x))  # noqa: B905
-    return x[p:] == y[p + 1 :]
-
-
-def _first_place(x: str, y: str) -> int:
-    """The first place at which one code point inserted into ``x`` makes ``y``."""
-    p = next((i for i, (a, b) in enumerate(zip(x, y)) if a != b), len(x))  # noqa: B905
-    while p and x[p - 1] == y[p]:
-        p -= 1
-    return p
+def one_edit(x: str, y: str, place: int = 0) -> int:
+    """The place at which one edit turns ``x`` into ``y``, which is another word and not the shorter one; -1 if none does.
+    Both are alike up to ``place``."""
+    p, n = place, len(x)
+    while p < n and x[p] == y[p]:
+        p += 1
+    return p if x[p + (len(y) == n) :] == y[p + 1 :] else -1
 
 
 class Postings:
     """Words of one length under their positional grams."""
 
-    def __init__(self) -> None:
+    def __init__(self, length: int) -> None:
         self.words: list[str] = []
-        self.at: dict[tuple[str, int], list[int]] = {}
+        self.at: list[dict[str, list[int]]] = [{} for _ in range(length - Q + 1)]
 
     def add(self, word: str) -> None:
         k = len(self.words)
         self.words.append(word)
-        for p in range(len(word) - Q + 1):
-            self.at.setdefault((word[p : p + Q], p), []).append(k)
-
-    def candidates(self, word: str) -> Iterator[int]:
-        """Indexed words with enough grams of ``word`` at the same place or one beside it."""
-        if not self.words:
-            return
-        bound = len(word) - Q + 1 - Q
-        lists = []
-        for p in range(len(word) - Q + 1):
-            gram = word[p : p + Q]
-            for q in (p - 1, p, p + 1):
-                found = self.at.get((gram, q))
-                if found:
+        for p, lists in enumerate(self.at):
+            lists.setdefault(word[p : p + Q], []).append(k)
+
+    def candidates(self, word: str) -> list[int]:
+        """Indexed words, as long as ``word`` or shorter by one, with as many of its grams as one edit leaves."""
+        bound, lists = len(word) - Q + 1 - Q, []
+        for p, held in enumerate(self.at):
+            if (found := held.get(word[p : p + Q])) is not None:
+                lists.append(found)
+        if len(word) > len(self.at) + Q - 1:  # behind an inserted code point grams stand one place further
+            for p, held in enumerate(self.at, 1):
+                if (found := held.get(word[p : p + Q])) is not None:
                     lists.append(found)
-        if len(lists) >= bound:
-            for k, same in groupby(heapq.merge(*lists)):
-                if sum(1 for _ in same) >= bound:
-                    yield k
-
-
-def near_in_list(rows: list[tuple[str, int, bool, int]]) -> Iterator[tuple[str, int, str, int]]:
-    """(word, n, word, n) of the near words of one list, from its rows (word, n, longer, place)."""
-    index, counts = Postings(), []
-    if len(rows) < 2:
-        return
-    for word, n, longer, place in sorted(rows, key=lambda r: r[2]):
-        for k in index.candidates(word):
-            other = index.words[k]
-            if not one_edit(other, word):
-                continue
-            if longer:
-                # A pair may be in several lists, as where a letter is doubled: the first one writes it.
-                if place and place >= _first_place(other, word):
+        if len(lists) < bound:
+            return []
+        out, last, times = [], -1, 0
+        for k in heapq.merge(*lists):
+            times = times + 1 if k == last else 1
+            last = k
+            if times == bound:
+                out.append(k)
+        return out
+
+
+def near_in_list(words: list[str], n: list[int], own: int, place: int) -> Iterator[tuple[str, int, str, int]]:
+    """(word, n, word, n) of the near words of one list: the first ``own`` are of its length, the others longer by one; all are alike
+    up to ``place``, where the segment begins that was left out."""
+    index = Postings(len(words[0]))
+    for i, word in enumerate(words):
+        if i:
+            for k in index.candidates(word):
+                other = index.words[k]
+                at = one_edit(other, word, place)
+                if at < 0:
                     continue
-            yield word, n, other, counts[k]
-        if not longer:
+                if i >= own and place:
+                    # A pair may be in several lists, as where a letter is doubled: the first one writes it.
+                    while at and other[at - 1] == word[at]:
+                        at -= 1
+                    if place >= at:
+                        continue
+                yield word, n[i], other, n[k]
+        if i < own:
             index.add(word)
-            counts.append(n)
 
 
 def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows come sorted by key; at most one list's rows wait for the next batch."""
-    wait_key, wait = None, []
-    for pdf in batches:
+    """Rows come sorted by key, a list's own words first; at most one list's rows wait for the next batch."""
+
+    def of(pdf: pd.DataFrame, stops: np.ndarray) -> pd.DataFrame:
         out: list[tuple] = []
-        for key, rows in groupby(zip(pdf["key"], pdf["word"], pdf["n"], pdf["longer"], pdf["place"], strict=True), key=lambda r: r[0]):
-            if key != wait_key:
-                out += near_in_list(wait)
-                wait_key, wait = key, []
-            wait += [r[1:] for r in rows]
-        yield pd.DataFrame(out, columns=["word", "n", "near", "near_n"])
-    yield pd.DataFrame(list(near_in_list(wait)), columns=["word", "n", "near", "near_n"])
+        words, n, places = pdf["word"].tolist(), pdf["n"].tolist(), pdf["place"].tolist()
+        owned = np.concatenate(([0], np.cumsum(~pdf["longer"].to_numpy(bool))))
+        first = 0
+        for stop in stops.tolist():
+            own = int(owned[stop] - owned[first])
+            if own and stop - first > 1:
+                out += near_in_list(words[first:stop], n[first:stop], own, places[first])
+            first = stop
+        return pd.DataFrame(out, columns=["word", "n", "near", "near_n"])
+
+    wait = None
+    for pdf in batches:
+        pdf = pdf if wait is None else pd.concat([wait, pdf], ignore_index=True)
+        key = pdf["key"].to_numpy()
+        stops = np.flatnonzero(key[1:] != key[:-1]) + 1
+        if len(stops):
+            yield of(pdf.iloc[: stops[-1]], stops)
+            pdf = pdf.iloc[stops[-1] :]
+        wait = pdf
+    if wait is not None:
+        yield of(wait, np.array([len(wait)]))
 
 
 def near_words(words: DataFrame) -> DataFrame:
@@ -170,7 +180,7 @@ def near_words(words: DataFrame) -> DataFrame:
     # Lists without two words, or without a word of their own length, hold no pair.
     useful = rows.groupBy("key").agg(F.count("*").alias("all"), F.count_if(~F.col("longer")).alias("own")).where("all > 1 AND own > 0").select("key")
     kept = rows.join(useful, "key", "left_semi")
-    return kept.repartition("key").sortWithinPartitions("key").mapInPandas(trimming(_pairs), "word string, n long, near string, near_n long")
+    return kept.repartition("key").sortWithinPartitions("key", "longer").mapInPandas(trimming(_pairs), "word string, n long, near string, near_n long")
 
 
 def forms(words: DataFrame, near: DataFrame, times: int = FORM) -> DataFrame:
