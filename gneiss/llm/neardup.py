@@ -41,7 +41,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import forget, fresh, fresh_path, join_spread, marked, materialize, scratch, table, trimming
+from ..operators.components import components
+from .shared import fresh, join_spread, marked, materialize, scratch, table, trimming
 
 SKETCH = 64
 TREES = 16
@@ -316,36 +317,6 @@ def _confirm(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], k: int,
     return both.select("a", "b", "ta", "tb").mapInPandas(trimming(run), "a long, b long")
 
 
-def components(links: DataFrame, name: str = "components") -> DataFrame:
-    """(id, comp) for all ids of the links (a, b): comp is the smallest id reachable.
-    Alternating stars: each round hangs every id on the smallest neighbour seen, by
-    aggregates only, until nothing changes; the number of rounds grows with the logarithm of
-    the longest chain."""
-    spark = links.sparkSession
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    path = fresh_path(spark, name)
-    edges, old = materialize(edges, name, path), path
-    while True:
-        both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # Large star: larger neighbours hang on the smallest of the neighbourhood.
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # Small star: an id and its smaller neighbours hang on the smallest of these.
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        path = fresh_path(spark, name)
-        now = materialize(small, name, path)
-        sums = [d.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first() for d in (edges, now)]
-        forget(spark, old)
-        edges, old = now, path
-        if tuple(sums[0]) == tuple(sums[1]):
-            break
-    tree = edges.select(F.col("u").alias("id"), F.col("v").alias("comp"))
-    out = tree.unionByName(tree.select(F.col("comp").alias("id"), "comp").distinct())
-    out._gneiss_path = path
-    return out
-
-
 def row_key(id_col: str, text_col: str, seed: int) -> Column:
     """The name of a row by its id and text."""
     return F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), F.col(text_col), F.lit(seed))
