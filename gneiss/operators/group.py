@@ -121,3 +121,23 @@ def frequency(df: DataFrame, value: str, limit: int = 12, empty: str = "Not avai
     """(label, n): the ``limit`` most frequent values of a report, ties by label."""
     label = F.coalesce(F.nullif(F.trim(F.col(value).cast("string")), F.lit("")), F.lit(empty))
     return df.groupBy(label.alias("label")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "label").limit(limit)
+
+
+def spans(df: DataFrame, group: str, column: str, name: str = "span") -> DataFrame:
+    """(group, name): the difference of the largest and the smallest number of a group; null without a number."""
+    v = F.col(column)
+    return df.groupBy(group).agg((F.max(v) - F.min(v)).alias(name))
+
+
+def distinct_counts(df: DataFrame, group: str, columns: list[str], words: tuple[str, ...] = ("",)) -> DataFrame:
+    """(group, n_<column> ...): how many different values each column has in a group, case and blanks at the ends apart;
+    missing ones, and the ``words`` for it, don't count."""
+    text = lambda c: F.lower(F.trim(F.col(c).cast("string")))
+    return df.groupBy(group).agg(*[F.count_distinct(F.when(~text(c).isin(*words), text(c))).alias(f"n_{c}") for c in columns])
+
+
+def majority_profile(df: DataFrame, group: str, items: str, sep: str = ";") -> DataFrame:
+    """(group, common_profile): the set of items that most rows of a group have, written in order; null where
+    two sets are equally frequent. A row without items has the empty set."""
+    one = df.select(group, F.array_join(F.array_sort(F.array_distinct(F.coalesce(F.col(items), F.array().cast("array<string>")))), sep).alias("_p"))
+    return unique_mode(one, group, "_p", "common_profile")

@@ -59,10 +59,20 @@ def row_coverage(spark, d):
     return x.select("doc_id", narrative.row_coverage(["lang", "maybe", "source"]).alias("coverage"))
 
 
-@query("SELECT c_nationkey, max(c_custkey % 5) - min(c_custkey % 5) AS span, count(DISTINCT c_mktsegment) AS classes FROM customer GROUP BY c_nationkey")
+@query("SELECT c_nationkey, max(c_custkey % 5) - min(c_custkey % 5) AS span, count(DISTINCT CASE WHEN c_custkey % 3 > 0 THEN lower(c_mktsegment) END) AS n_segment, count(DISTINCT c_custkey % 7) AS n_k FROM customer GROUP BY c_nationkey")
 def spans_and_distinct(spark, d):
-    k = F.col("c_custkey") % 5
-    return t(spark, d, "customer").groupBy("c_nationkey").agg((F.max(k) - F.min(k)).alias("span"), F.countDistinct("c_mktsegment").alias("classes"))
+    k = F.col("c_custkey")
+    segment = F.when(k % 3 == 0, F.lit(" None ")).when(k % 2 == 0, F.lower("c_mktsegment")).otherwise(F.concat(F.lit(" "), F.col("c_mktsegment")))
+    c = t(spark, d, "customer").select("c_nationkey", (k % 5).alias("v"), segment.alias("segment"), (k % 7).alias("k"))
+    return group.spans(c, "c_nationkey", "v").join(group.distinct_counts(c, "c_nationkey", ["segment", "k"], ("", "none")), "c_nationkey")
+
+
+@query("""WITH p AS (SELECT c_nationkey, CASE c_custkey % 3 WHEN 0 THEN 'a;b' WHEN 1 THEN '' ELSE 'b' END AS p FROM customer), n AS (SELECT c_nationkey, p, count(*) AS n FROM p GROUP BY ALL),
+m AS (SELECT c_nationkey, max(n) AS top FROM n GROUP BY c_nationkey) SELECT n.c_nationkey, CASE WHEN count(*) = 1 THEN min(p) END AS common_profile FROM n JOIN m ON m.c_nationkey = n.c_nationkey AND n = top GROUP BY n.c_nationkey""")
+def majority_profile(spark, d):
+    k = F.col("c_custkey") % 3
+    items = F.when(k == 0, F.array(F.lit("b"), F.lit("a"), F.lit("b"))).when(k == 2, F.array(F.lit("b")))
+    return group.majority_profile(t(spark, d, "customer").select("c_nationkey", items.alias("items")), "c_nationkey", "items")
 
 
 @query("""WITH s AS (SELECT avg(p_retailprice) AS m1, stddev_pop(p_retailprice) AS s1, avg(p_size) AS m2, stddev_pop(p_size) AS s2 FROM part), z AS (SELECT p_partkey AS id, p_brand, (p_retailprice - m1) / s1 AS a, (p_size - m2) / s2 AS b FROM part, s),

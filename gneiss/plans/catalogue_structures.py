@@ -38,6 +38,35 @@ SYSTEMS = (
 )
 
 
+#: The family, functional group and path of each end's class.
+KINDS = (
+    ("Hydrocarbon", "Hydrocarbon", "Hydrocarbon → Acyclic Hydrocarbon"),
+    ("Oxygen-containing Compound", "Alcohol", "Oxygen-containing Compound → Alcohol → Acyclic Alcohol → Primary Alcohol"),
+    ("Oxygen-containing Compound", "Carboxylic Acid", "Oxygen-containing Compound → Carboxylic Acid"),
+    ("Oxygen-containing Compound", "Ester", "Oxygen-containing Compound → Ester"),
+    ("Nitrogen-containing Compound", "Nitrile", "Nitrogen-containing Compound → Nitrile"),
+    ("Nitrogen-containing Compound", "Amine", "Nitrogen-containing Compound → Amine"),
+    ("Oxygen-containing Compound", "Ether", "Oxygen-containing Compound → Ether"),
+    ("Oxygen-containing Compound", "Aldehyde", "Oxygen-containing Compound → Aldehyde"),
+    ("Oxygen-containing Compound", "Ketone", "Oxygen-containing Compound → Ketone"),
+    ("Halogenated Compound", "Halogenated compound", "Halogenated Compound"),
+    ("Nitrogen-containing Compound", "Amide", "Nitrogen-containing Compound → Amide"),
+    ("Oxygen-containing Compound", "Hydroperoxide", "Oxygen-containing Compound → Hydroperoxide → Organic Hydroperoxide"),
+    ("Halogenated Compound", "Halogenated compound", "Halogenated Compound"),
+    ("Oxygen-containing Compound", "Ketone", "Oxygen-containing Compound → Ketone"),
+    ("Silicon-containing Compound", "Siloxane", "Silicon-containing Compound → Siloxane"),
+    ("Oxygen-containing Compound", "Phenol", "Oxygen-containing Compound → Phenol"),
+    ("Hydrocarbon", "Hydrocarbon", "Hydrocarbon → Monocyclic Hydrocarbon"),
+    ("Phosphorus-containing Compound", "Phosphate Ester", "Phosphorus-containing Compound → Phosphate Ester → Trialkyl Phosphate"),
+    ("Nitrogen-containing Compound", "Amide", "Nitrogen-containing Compound → Amide → Lactam → Cyclic Lactam"),
+    ("Oxygen-containing Compound", "Acetal", "Oxygen-containing Compound → Acetal → Cyclic Acetal"),
+)
+
+
+def _taxonomy(place: int) -> str:
+    return "CASE c_custkey % " + str(len(ENDS)) + " " + " ".join(f"WHEN {k} THEN '{x[place]}'" for k, x in enumerate(KINDS)) + " END"
+
+
 def _end(place: int) -> str:
     return "CASE c_custkey % " + str(len(ENDS)) + " " + " ".join(f"WHEN {k} THEN '{x[place]}'" for k, x in enumerate(ENDS)) + " END"
 
@@ -82,14 +111,18 @@ def structure_features(spark, d):
 
 @query(f"""SELECT c_custkey, {_end(1)} AS features, CASE c_custkey % {len(ENDS)} WHEN 0 THEN 'STC-HYD-001' WHEN 1 THEN 'STC-ALC-001' WHEN 2 THEN 'STC-ACD-001' WHEN 3 THEN 'STC-EST-001' WHEN 4 THEN 'STC-NIT-001' WHEN 5 THEN 'STC-AMI-001'
 WHEN 6 THEN 'STC-ETH-004' WHEN 7 THEN 'STC-ALD-001' WHEN 8 THEN 'STC-KET-003' WHEN 9 THEN 'STC-HAL-001' WHEN 10 THEN 'STC-AMD-001' WHEN 11 THEN 'STC-HYP-001' WHEN 12 THEN 'STC-HAL-001' WHEN 13 THEN 'STC-KET-003' WHEN 14 THEN 'STC-SIL-001'
-WHEN 15 THEN 'STC-PHE-001' WHEN 16 THEN 'STC-HYD-001' WHEN 17 THEN 'STC-PHO-001' WHEN 18 THEN 'STC-LAC-001' ELSE 'STC-ACE-001' END AS rule_id FROM customer""")
+WHEN 15 THEN 'STC-PHE-001' WHEN 16 THEN 'STC-HYD-001' WHEN 17 THEN 'STC-PHO-001' WHEN 18 THEN 'STC-LAC-001' ELSE 'STC-ACE-001' END AS rule_id,
+{_taxonomy(0)} AS family, {_taxonomy(1)} AS functional_group, {_taxonomy(2)} AS path FROM customer""")
 def structure_classes(spark, d):
     """From the text of a structure to the rule that classifies it."""
     c = _chains(spark, d)
     m = structures.read_structures(c, "smiles").withColumn("motifs", structures.motif_columns(_atoms()))
     names, _ = structures.features(_atoms(), _rings(), F.col("motifs"))
-    found = m.select(F.col("structure").alias("smiles"), names.alias("f")).select("smiles", F.array_join(F.array_sort("f"), ",").alias("features"), rules.classify(F.col("f"), F.lit(True))["rule_id"].alias("rule_id"))
-    return c.join(found, "smiles").select("c_custkey", "features", "rule_id")
+    top = structures.topology(_atoms(), _rings(), F.col(f"motifs.m{list(structures.MOTIFS).index('Alcohol')}"))
+    named = m.select(F.col("structure").alias("smiles"), names.alias("f"), top.alias("top")).withColumn("c", rules.classify(F.col("f"), F.lit(True)))
+    kind = rules.taxonomy(F.col("c.label"), F.col("f"), F.col("top.rings.topology_class"), F.col("top.rings.aromatic_ring_count"), F.col("top.rings.ring_count"), F.col("top.alcohol_substitution"))
+    found = named.select("smiles", F.array_join(F.array_sort("f"), ",").alias("features"), "c.rule_id", kind.alias("k"))
+    return c.join(found, "smiles").select("c_custkey", "features", "rule_id", "k.family", "k.functional_group", F.array_join("k.path", " → ").alias("path"))
 
 
 @query(f"SELECT c_custkey, {_end(2)} AS groups, {_end(3)} AS toxicophores, CASE WHEN c_custkey % {len(ENDS)} = 2 THEN 'Likely acidic' WHEN c_custkey % {len(ENDS)} = 5 THEN 'Likely basic' ELSE 'Neutral' END AS ionisation FROM customer")
