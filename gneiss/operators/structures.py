@@ -224,8 +224,8 @@ def topology(atoms: Column, rings: Column, alcohols: Column) -> Column:
 
 # ---- features ----
 
-#: Rings and bridges from which a structure is called macrocyclic, or a polyether.
-MACROCYCLE, POLYETHER, MACROCYCLIC_ETHERS = 12, 2, 3
+#: Rings and bridges from which a structure is called macrocyclic, or a polyether (``policies.classification``).
+THRESHOLDS = {"polyether_min_ether_bridges": 3, "macrocyclic_min_ring_size": 12, "macrocyclic_min_ether_bridges": 4}
 #: What a structure without any motif is called by the first element that it has.
 REST = {"P": "Organophosphorus compound — not further classified", "S": "Sulfur-containing compound — not further classified", "Si": "Silicon-containing compound — not further classified", "N": "Nitrogen-containing compound — not further classified", "O": "Oxygen-containing compound — not further classified"}
 
@@ -235,8 +235,9 @@ def motif_columns(atoms: Column) -> Column:
     return F.struct(*[matches(atoms, p).alias(f"m{k}") for k, p in enumerate(MOTIFS.values())])
 
 
-def features(atoms: Column, rings: Column, motifs: Column) -> tuple[Column, Column]:
+def features(atoms: Column, rings: Column, motifs: Column, thresholds: dict = THRESHOLDS) -> tuple[Column, Column]:
     """(array of feature names in order, map from name to atoms) from the motifs' matches."""
+    macrocycle = thresholds["macrocyclic_min_ring_size"]
     of = {name: motifs[f"m{k}"] for k, name in enumerate(MOTIFS)}
     for state, name in SAME.items():
         of[name] = F.concat(of[name], of.pop(state))
@@ -272,9 +273,9 @@ def features(atoms: Column, rings: Column, motifs: Column) -> tuple[Column, Colu
     rows += [(name, some(name), spread(name)) for name in ("Phosphate ester", "Trialkylphosphine oxide", "Organic hydroperoxide", "Dialkyl peroxide", "Sulfonamide", "Sulfonic acid", "Halogenated compound")]
     rows += [
         ("Cyclic ketone", at("Ketone", 0), None), ("Cyclic aldehyde", at("Aldehyde", 0), None), ("Cyclic ether", at("Ether", 1) | at("Ether", 2), None),
-        ("Polyether", F.size(of["Ether"]) >= POLYETHER, None), ("Macrocyclic polyether", (F.size(of["Ether"]) >= MACROCYCLIC_ETHERS) & (largest >= MACROCYCLE), None),
+        ("Polyether", F.size(of["Ether"]) >= thresholds["polyether_min_ether_bridges"], None), ("Macrocyclic polyether", (F.size(of["Ether"]) >= max(thresholds["macrocyclic_min_ether_bridges"], thresholds["polyether_min_ether_bridges"])) & (largest >= macrocycle), None),
         ("Cyclic siloxane", some("Siloxane") & (F.size(si_rings) > 0), ring_atoms(si_rings)),
-        ("Macrocyclic siloxane", some("Siloxane") & F.exists(si_rings, lambda r: F.size(r) >= MACROCYCLE), ring_atoms(si_rings)),
+        ("Macrocyclic siloxane", some("Siloxane") & F.exists(si_rings, lambda r: F.size(r) >= macrocycle), ring_atoms(si_rings)),
         ("1,2-Oxasilinane", F.size(oxasilinanes) > 0, ring_atoms(oxasilinanes)),
         ("Lactone", at("Carboxylic acid", 0) | at("Ester", 0), None), ("Lactam", F.exists(amides, lambda m: in_ring(F.get(m, F.lit(1)))), None), ("Imide", imide, None),
         ("Acetal", F.size(acetals) > 0, acetals), ("Ketal", F.size(ketals) > 0, ketals), ("Cyclic acetal", cyclic(acetals), None), ("Cyclic ketal", cyclic(ketals), None),

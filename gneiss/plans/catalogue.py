@@ -387,6 +387,29 @@ def layer_cohesion(spark, d):
     return m.select("block", "mean_distance", layers.cohesion(F.col("mean_distance"), "toxicophore").alias("cohesion"))
 
 
+_MEANS = {"descriptor": layer_descriptor, "topology": layer_topology, "ionisation": layer_ionisation, "taxonomy": layer_taxonomy}
+_COHESION_SQL = " UNION ALL ".join(
+    f"SELECT '{k}' AS layer, block, total, n, CASE WHEN total / n <= {layers.COHESION[k][0]} * 1000000 THEN '{layers.COHESION[k][2]} coherent' WHEN total / n <= {layers.COHESION[k][1]} * 1000000 THEN '{layers.COHESION[k][2]} aligned' ELSE '{layers.COHESION[k][2]} mixed' END AS cohesion"
+    f" FROM (SELECT block, CAST(sum(CAST(round(distance * 1000000) AS BIGINT)) AS BIGINT) AS total, count(*) AS n FROM ({ORACLE['layer_' + k]}) GROUP BY block)"
+    for k in _MEANS
+)
+
+
+@query(f"""SELECT * FROM ({_COHESION_SQL}) UNION ALL SELECT 'class', block, total, n, CASE WHEN total = n THEN 'Chemically coherent' WHEN total >= 0.65 * n THEN 'Chemically aligned' ELSE 'Chemically mixed' END
+FROM (SELECT p_brand AS block, CAST(max(n) AS BIGINT) AS total, CAST(sum(n) AS BIGINT) AS n FROM (SELECT p_brand, split_part(p_type, ' ', 1) AS w, count(*) AS n FROM part GROUP BY ALL) GROUP BY p_brand)""")
+def layer_cohesions(spark, d):
+    """How far the rows of a block agree in each layer: the sum of all distances in millionths, which is exact, and how many there are; of
+    classes how many rows have the most frequent one."""
+    millionths = F.sum(F.round(F.col("distance") * 1_000_000).cast("long"))
+    parts = [q(spark, d).groupBy("block").agg(millionths.alias("total"), F.count("*").alias("n")).select(F.lit(k).alias("layer"), "block", "total", "n", layers.cohesion(F.col("total") / F.col("n") / 1_000_000, k).alias("cohesion")) for k, q in _MEANS.items()]
+    kinds = t(spark, d, "part").groupBy(F.col("p_brand").alias("block"), F.substring_index("p_type", " ", 1).alias("w")).count()
+    share = kinds.groupBy("block").agg(F.max("count").alias("total"), F.sum("count").alias("n"))
+    out = share.select(F.lit("class").alias("layer"), "block", "total", "n", layers.class_cohesion(F.col("total") / F.col("n")).alias("cohesion"))
+    for p in parts:
+        out = out.unionByName(p)
+    return out
+
+
 # ---- clusters ----
 
 

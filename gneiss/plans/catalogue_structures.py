@@ -28,7 +28,7 @@ ENDS = (
     ("C1CCCCC1", "Hydrocarbon", "", ""),
     ("OP(=O)(OC)OC", "Phosphate ester,Trialkyl phosphate", "Phosphate", ""),
     ("C1CC(=O)NC1", "Amide,Lactam", "Amide", ""),
-    ("C1OCCO1", "Acetal,Cyclic acetal,Cyclic ether,Ether,Polyether", "Ether", ""),
+    ("C1OCCO1", "Acetal,Cyclic acetal,Cyclic ether,Ether", "Ether", ""),
 )
 #: Ring systems: the text, class, rings, aromatic rings, pairs that are fused, and spiro.
 SYSTEMS = (

@@ -125,3 +125,25 @@ def ontology(path: str) -> Policy:
     if not isinstance(rules.get("mappings"), dict):
         raise ValueError("mappings must be an object")
     return Policy(str(rules.get("ontology_mapping_version", "")), rules)
+
+
+def classification(rules: dict) -> Policy:
+    """The structural rules: their versions, positive whole thresholds, and a vocabulary of classes, each named once."""
+    for name in ("rule_version", "taxonomy_dictionary_version"):
+        if not str(rules.get(name, "")).strip():
+            raise ValueError(f"{name} is missing")
+    limits = rules.get("thresholds") or {}
+    for name in ("polyether_min_ether_bridges", "macrocyclic_min_ring_size", "macrocyclic_min_ether_bridges"):
+        if not isinstance(limits.get(name), int) or isinstance(limits.get(name), bool) or limits[name] < 1:
+            raise ValueError(f"{name} must be a positive whole number")
+    words = rules.get("primary_class_vocabulary") or []
+    if not words or len(set(words)) < len(words):
+        raise ValueError("primary_class_vocabulary must name each class once")
+    return Policy(str(rules["rule_version"]), rules)
+
+
+def ontology_mappings(rules: dict) -> dict[str, dict[str, str]]:
+    """Rule id to (class_id, direct_parent, mapping_evidence) of approved mappings; a missing text is empty."""
+    if not isinstance(rules.get("mappings"), dict):
+        raise ValueError("mappings must be an object")
+    return {i: {k: str(m.get(k, "")) for k in m} for i, m in rules["mappings"].items()}

@@ -146,3 +146,50 @@ def test_profile_to_clusters(spark):
     clusters = {r.pos: (r.cluster_id, r.cluster_size, r.unique_count) for r in cluster.gated_clusters(made, "pos", "s", "family", "bits", "pos", 0.6).collect()}
     assert clusters[0] == clusters[1] and clusters[3] == clusters[4] and clusters[3][1:] == (2, 1) and len({c for c, *_ in clusters.values()}) >= 3
     out.unpersist()
+
+
+def test_thresholds_and_their_rules(spark):
+    """Three ethers make a polyether, or as many as the rules say; a crown is macrocyclic."""
+    from gneiss.plans import policies
+
+    rules = {"rule_version": "1", "taxonomy_dictionary_version": "1", "thresholds": dict(structures.THRESHOLDS), "primary_class_vocabulary": ["Ether", "Polyether"]}
+    assert policies.classification(rules).version == "1"
+    for bad in ({"rule_version": ""}, {"thresholds": {}}, {"thresholds": {**structures.THRESHOLDS, "macrocyclic_min_ring_size": 0}}, {"primary_class_vocabulary": ["a", "a"]}):
+        with pytest.raises(ValueError):
+            policies.classification({**rules, **bad})
+    assert policies.ontology_mappings({"mappings": {"R": {"direct_parent": "x"}}}) == {"R": {"direct_parent": "x"}}
+    m = structures.read_structures(spark.createDataFrame([("COCOC",), ("COCCOCCOC",), ("C1COCCOCCOCCOCCO1",)], "s string"), "s").withColumn("motifs", structures.motif_columns(F.col("molecule.atoms")))
+    of = lambda limits: {r.structure: r.f for r in m.select("structure", structures.features(F.col("molecule.atoms"), F.col("molecule.rings"), F.col("motifs"), limits)[0].alias("f")).collect()}
+    got = of(structures.THRESHOLDS)
+    assert "Polyether" not in got["COCOC"] and "Polyether" in got["COCCOCCOC"] and "Macrocyclic polyether" in got["C1COCCOCCOCCOCCO1"] and "Macrocyclic polyether" not in got["COCCOCCOC"]
+    assert "Polyether" in of({**structures.THRESHOLDS, "polyether_min_ether_bridges": 2})["COCOC"]
+
+
+def test_run_from_structures(spark, tmp_path):
+    """Texts and names are enough: classes, families, clusters, evidence."""
+    from gneiss.plans import pipeline
+
+    texts = ["CCCCO", "CCCCCO", "CCCCCCO", "c1ccccc1C(=O)O", "CC(=O)O", "bad(", None, "C[Si]1(C)O[Si](C)(C)O[Si](C)(C)O1"]
+    rows = [(i, f"n{i}", f"{i}-1", s, f"K{i}", "Resolved", 1.0) for i, s in enumerate(texts)]
+    df = spark.createDataFrame(rows, "src_pos long, name string, casrn string, smiles string, inchikey string, identity_status string, conc double")
+    out = pipeline.run(spark, df, f"file://{tmp_path}/run", contract=["name", "chemical_class", "cluster_id", "scaffold", "topology_class", "ionisation"])
+    got = {r.name: r for r in out.compounds.collect()}
+    assert [got[f"n{i}"].chemical_class for i in range(8)] == ["Alcohol", "Alcohol", "Alcohol", "Carboxylic acid", "Carboxylic acid", "Unclassified", "Unclassified", "Cyclic siloxane"]
+    assert got["n3"].scaffold == "c1ccccc1" and got["n5"].scaffold == "Invalid" and got["n3"].ionisation == "Likely acidic" and got["n7"].topology_class == "Monocyclic"
+    assert got["n5"].cluster_id is None and got["n0"].cluster_id is not None
+    matrix = out.side["evidence_matrix"]
+    kinds = {r.Evidence_Type for r in matrix.select("Evidence_Type").distinct().collect()}
+    assert {"Deterministic cluster", "Scaffold", "Domain status", "Calculated property ranges"} <= kinds and out.side["matrix_hash"].count() == matrix.select("Cluster_ID").distinct().count()
+    register = [(r.Category, r.Level, r.Reason) for r in out.side["register"].collect()]
+    assert register and {c for c, *_ in register} <= {"Identity", "Structure", "Reactivity", "Property", "Biological", "Exposure", "Domain"}
+
+
+def test_hazard_records_are_whole(spark):
+    from gneiss.operators import ledger
+
+    raw = spark.createDataFrame([("D1", "Mutagenicity", ">", "5", "mg", None, "In vitro", "Rat", "Oral", "28 d"), ("D1", "cancer", "", "7", None, "r2", "x", None, "", None), ("D2", "nothing", "", "1", "", "", "", "", "", "")], "id string, text string, q string, v string, u string, rec string, study string, sp string, route string, dur string")
+    out = sorted(ledger.hazard_records(raw, "id", "text", "q", "v", "u", "rec", "study", "sp", "route", "service", "dur", "https://x", "v1").collect(), key=lambda r: r.endpoint)
+    assert [r.endpoint for r in out] == ["Carcinogenicity", "Genotoxicity"]
+    a, b = out
+    assert (a.source_record, a.dose, a.dose_unit, a.study_type, a.species, a.route, a.duration) == ("r2", "7", "", "Other", "Not reported", "Not reported", "")
+    assert (b.dose, b.dose_unit, b.duration, b.source_url, b.source_database_version, b.reviewer_status) == ("> 5", "mg", "28 d", "https://x", "v1", "Not reviewed") and b.source_record.startswith("EPA-CTX-") and len(b.source_record) == 24 and b.notes
