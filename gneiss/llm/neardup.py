@@ -507,3 +507,28 @@ def _check(pairs: DataFrame, sketches: DataFrame | None, texts: Callable[[DataFr
 
 def op9_neardup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
+def components_sql(shingle: int, percent: int) -> str:
+    """The rows' sets and components in SQL: all pairs that have a shingle in common are counted, and links are followed
+    to their closure."""
+    return rf"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT r, array_to_string(ws[i:i + n - 1], ' ') AS g FROM (SELECT r, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM (SELECT r, ws, least({shingle}, len(ws)) AS n FROM d WHERE len(ws) > 0))
+), z AS (
+  SELECT r, count(*) AS n FROM s GROUP BY r
+), c AS (
+  SELECT a.r AS x, b.r AS y, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.r <> b.r GROUP BY a.r, b.r
+), l AS (
+  SELECT x, y FROM c JOIN z p ON p.r = x JOIN z q ON q.r = y WHERE 100 * common >= {percent} * (p.n + q.n - common)
+), reach AS (
+  SELECT r, r AS t FROM d UNION SELECT reach.r, l.y FROM reach JOIN l ON l.x = reach.t
+)
+SELECT d.doc_id, coalesce(z.n, 0) AS n_shingles, m.component_id
+FROM d LEFT JOIN z USING (r) JOIN (SELECT reach.r, CASE WHEN count(*) > count(o.doc_id) THEN NULL ELSE min(o.doc_id) END AS component_id FROM reach JOIN d o ON o.r = reach.t GROUP BY reach.r) m ON m.r = d.r
+"""
+
+
+OP9_SQL = f"SELECT *, doc_id IS NOT DISTINCT FROM component_id AS kept FROM ({components_sql(3, 85)})"

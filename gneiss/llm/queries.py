@@ -26,6 +26,7 @@ ORACLE = {
     "op2_decontam": decontam.OP2_SQL,
     "op7_mixing": mixing.OP7_SQL,
     "op8_chat": chat.OP8_SQL,
+    "op9_neardup": neardup.OP9_SQL,
     "op11_overlap": overlap.OP11_SQL,
     "op13_spelling": spelling.OP13_SQL,
 }

@@ -12,7 +12,7 @@ def test_equals_sql(spark, same, name):
     same(QUERIES[name](spark, f"{DATA}/sf0.001"), ORACLE[name])
 
 
-@pytest.mark.parametrize("name", ["op1_quality", "op2_decontam", "op8_chat", "op11_overlap", "op13_spelling"])
+@pytest.mark.parametrize("name", ["op1_quality", "op2_decontam", "op8_chat", "op9_neardup", "op11_overlap", "op13_spelling"])
 def test_odd_rows_equal_sql(spark, edge, edge_same, name):
     edge_same(QUERIES[name](spark, edge), ORACLE[name])
 
