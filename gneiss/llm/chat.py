@@ -18,7 +18,7 @@ hence a conversation's text must stay below the 2 GB of one string.
 
 Defined cases: null role or text is empty; turns are ordered by (turn, role, text),
 a null turn last; turns of a conversation with the same number, role and beginning of the text are
-sorted in one task; repeated rows are repeated turns; a null conversation id is a conversation; an empty table has no conversation;
+sorted in one task; repeated rows are repeated turns; a null conversation id is a conversation; an empty table has no conversation (the query adds one of its own to any table);
 other columns, whatever their names, are not read: a table is known by the fields of its layout.
 """
 

@@ -24,7 +24,7 @@ text is scored as a whole: sum of log10 p over its tokens, beginning at the star
 
 Defined cases: a null or empty text is its end token alone; words that were never seen share
 one place in the vocabulary; with nothing to learn from every token has probability 1 (V is
-0); repeated rows are counted as often as they occur; a very long text is read whole, as a slice of its
+0); repeated rows are counted as often as they occur; ties don't arise; a very long text is read whole, as a slice of its
 own; an empty table gives an empty
 result; a null id is learned from and not held out; other columns are not read.
 """

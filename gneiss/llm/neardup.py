@@ -29,7 +29,8 @@ Defined cases: null or empty texts, and texts of blanks, have an empty set, no l
 kept; with fewer words than a shingle, the whole sequence is the one shingle; every row is
 returned, rows that repeat an id or have none are placed by their own text, and texts that are not
 linked never meet by their ids; a null id is the smallest of all, and is null again in the
-result; an empty table gives an empty result; other columns are not read. Ids are integers.
+result; very long texts are taken whole; ties don't arise, but for different texts with one id in a component,
+of which ``one_of_each`` keeps that of the smallest key; an empty table gives an empty result; other columns are not read. Ids are integers.
 """
 
 from __future__ import annotations
