@@ -3,6 +3,10 @@
 Each stage is a function of (spark, docs, sf_dir); its rows are written as Parquet and read
 again as the next one's ``docs``. All but the last return the columns of ``docs``, whatever other
 columns there are and whatever their names.
+
+Defined cases: a null or empty text, and one without a letter, has no language and goes in the first stage; null ids are documents
+like others, told apart by their texts; of repeated rows one stays; ties of the smallest id go to the smallest key; very long texts are
+taken whole by every stage; an empty table, or one without a labelled row, gives an empty result.
 """
 
 from __future__ import annotations
