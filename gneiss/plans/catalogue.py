@@ -435,7 +435,32 @@ def cluster_decisions(spark, d):
 # ---- evidence ----
 
 
-@query()
+_MODE = "SELECT cluster, CASE WHEN count(*) = 1 THEN max({c}) END AS {o} FROM (SELECT cluster, {c}, count(*) AS n, max(count(*)) OVER (PARTITION BY cluster) AS top FROM v GROUP BY cluster, {c}) WHERE n = top GROUP BY cluster"
+_OUT = "CASE WHEN n >= 4 AND {c}3 > {c}1 AND ({c} < {c}1 - 1.5 * ({c}3 - {c}1) OR {c} > {c}3 + 1.5 * ({c}3 - {c}1)) THEN '{c}' END"
+_AGREE = "CASE WHEN NOT ok THEN 'Not assessable' WHEN {c} IS NULL THEN 'No unique cluster majority' WHEN {c} = {o} THEN 'Consistent' ELSE 'Different from cluster majority' END"
+
+
+@query(f"""WITH {E_SQL}, a AS (SELECT vec_id, CASE WHEN vec_id % 17 <> 0 THEN 'Cluster_' || label END AS cluster, vec_id % 19 <> 0 AS ok, bits, 's' || vec_id % 2 AS sc, CAST(vec_id % 3 AS VARCHAR) AS p,
+CASE WHEN vec_id % 4 = 0 THEN 'Neutral' ELSE 'Likely acidic' END AS ion, CASE WHEN vec_id % 23 = 0 THEN 'Tier 3: x' WHEN vec_id % 29 = 0 THEN 'Surrogate' ELSE 'Resolved' END AS who, len(bits) AS x, (vec_id % 50) * (vec_id % 50) AS y FROM e),
+v AS (SELECT * FROM a WHERE ok AND cluster IS NOT NULL),
+pr AS (SELECT a.cluster, a.vec_id AS i, b.vec_id AS j, CAST(len(list_intersect(a.bits, b.bits)) AS DOUBLE) / (len(a.bits) + len(b.bits) - len(list_intersect(a.bits, b.bits))) AS s FROM v a JOIN v b ON a.cluster = b.cluster AND a.vec_id > b.vec_id),
+st AS (SELECT cluster, round_even(min(s), 3) AS lo, round_even(median(s), 3) AS mid FROM pr GROUP BY cluster), nr AS (SELECT id, round_even(max(s), 3) AS near FROM (SELECT i AS id, s FROM pr UNION ALL SELECT j, s FROM pr) GROUP BY id),
+rp AS (SELECT cluster, sc AS rep, n, t FROM (SELECT cluster, sc, count(*) AS n, sum(count(*)) OVER (PARTITION BY cluster) AS t, row_number() OVER (PARTITION BY cluster ORDER BY count(*) DESC, sc) AS r FROM v GROUP BY cluster, sc) WHERE r = 1),
+pm AS ({_MODE.format(c='p', o='cp')}), im AS ({_MODE.format(c='ion', o='ci')}),
+f AS (SELECT cluster, count(*) AS n, quantile_cont(x, 0.25) AS x1, quantile_cont(x, 0.75) AS x3, quantile_cont(y, 0.25) AS y1, quantile_cont(y, 0.75) AS y3 FROM v GROUP BY cluster),
+o AS (SELECT vec_id, list_filter([{_OUT.format(c='x')}, {_OUT.format(c='y')}], lambda c: c IS NOT NULL) AS outs, n < 4 AS few FROM v JOIN f USING (cluster)),
+g AS (SELECT a.*, near, lo, mid, rep, CAST(rp.n AS DOUBLE) / rp.t AS exact, rp.t AS members, cp, ci, outs, few FROM a LEFT JOIN st USING (cluster) LEFT JOIN rp USING (cluster) LEFT JOIN pm USING (cluster) LEFT JOIN im USING (cluster) LEFT JOIN nr ON id = a.vec_id LEFT JOIN o ON o.vec_id = a.vec_id),
+w AS (SELECT *, list_filter([CASE WHEN members = 1 THEN 'Singleton cluster requires analogue review' END, CASE WHEN members > 1 AND near < 0.6 THEN 'Nearest-neighbour similarity below review threshold' END,
+CASE WHEN exact < 0.75 THEN 'Shared-scaffold coverage below review threshold' END, CASE WHEN len(outs) > 0 THEN 'Property outlier: ' || array_to_string(outs, ', ') END,
+CASE WHEN cp IS NULL THEN 'Toxicophore profile has no unique cluster majority' WHEN cp <> p THEN 'Toxicophore profile differs from cluster majority' END,
+CASE WHEN ci IS NULL THEN 'Ionisation indicator has no unique cluster majority' WHEN ci <> ion THEN 'Ionisation indicator differs from cluster majority' END,
+CASE WHEN who LIKE 'Tier%' THEN 'Identity status prevents assessment: ' || who WHEN who = 'Surrogate' THEN 'Identity status requires review: ' || who END], lambda c: c IS NOT NULL) AS flags FROM g)
+SELECT vec_id, cluster, CASE WHEN cluster IS NULL OR NOT ok OR who LIKE 'Tier%' THEN 'Not assessable' WHEN who = 'Surrogate' OR len(flags) > 0 THEN 'Borderline' ELSE 'Inside' END AS domain_status,
+CASE WHEN cluster IS NULL THEN 'No cluster assignment' WHEN NOT ok THEN 'Standardized structure missing or invalid' ELSE array_to_string(list_concat(['Representative scaffold ' || rep || '; coverage ' || printf('%.0f', round_even(exact * 100, 0)) || '%',
+CASE WHEN near IS NULL THEN 'Singleton cluster; no pairwise similarity' ELSE 'Nearest-neighbour Tanimoto ' || printf('%.3f', near) END], flags), '; ') END AS domain_reasons,
+near AS nearest_similarity, lo AS min_similarity, mid AS median_similarity, round_even(exact, 3) AS scaffold_coverage, rep AS representative,
+CASE WHEN len(outs) > 0 THEN array_to_string(outs, '; ') ELSE 'None' END || CASE WHEN few THEN '; Not assessed (fewer than 4 valid values or unavailable): x, y' ELSE '' END AS property_outlier_flags,
+{_AGREE.format(c='ci', o='ion')} AS ionisation_consistency, {_AGREE.format(c='cp', o='p')} AS toxicophore_consistency FROM w""")
 def domain_status(spark, d):
     e = emb(spark, d).withColumns({
         "cluster": F.when(F.col("vec_id") % 17 != 0, F.concat(F.lit("Cluster_"), F.col("label").cast("string"))), "ok_bits": F.when(F.col("vec_id") % 19 != 0, F.col("bits")),
