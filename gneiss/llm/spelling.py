@@ -180,7 +180,9 @@ def near_words(words: DataFrame) -> DataFrame:
     # Lists without two words, or without a word of their own length, hold no pair.
     useful = rows.groupBy("key").agg(F.count("*").alias("all"), F.count_if(~F.col("longer")).alias("own")).where("all > 1 AND own > 0").select("key")
     kept = rows.join(useful, "key", "left_semi")
-    return kept.repartition("key").sortWithinPartitions("key", "longer").mapInPandas(trimming(_pairs), "word string, n long, near string, near_n long")
+    # By an expression of its own: an exchange by the join's key is left out, and the join may be made a broadcast while it runs, which
+    # reads its rows by mapper and would tear lists apart.
+    return kept.repartition(F.hash("key")).sortWithinPartitions("key", "longer").mapInPandas(trimming(_pairs), "word string, n long, near string, near_n long")
 
 
 def forms(words: DataFrame, near: DataFrame, times: int = FORM) -> DataFrame:

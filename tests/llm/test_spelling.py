@@ -83,3 +83,20 @@ def test_candidates_are_all_near_words():
             index = spelling.Postings(len(x))
             index.add(x)
             assert index.candidates(y) == [0] and spelling.one_edit(x, y) >= 0
+
+
+def test_lists_stay_whole_where_the_join_is_broadcast(spark):
+    """Words of several files, lists few enough to be broadcast while the query runs: no list is torn apart by the join's reader."""
+    rng = random.Random(5)
+    words = sorted({"".join(rng.choice("abcd") for _ in range(rng.randint(7, 8))) for _ in range(400)})
+    rows = spark.createDataFrame([(w, 2) for w in words], "word string, n long").repartition(6).localCheckpoint()
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "24"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        near = [tuple(sorted((r.word, r.near))) for r in spelling.near_words(rows).collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert sorted(near) == sorted((x, y) for i, x in enumerate(words) for y in words[i + 1 :] if apart(x, y))
