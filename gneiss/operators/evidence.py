@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from ..functions.numeric import fixed, percent
 from ..functions.text import canonical, contains_any, digest_id
 from .group import outlier_lists, representative, unique_mode
-from .pairs import both_ways, nearest, pair_stats, tanimoto_pairs, top_neighbours
+from .kinds import nearest, stats, top_neighbours
+from .pairs import both_ways
 
 # ---- applicability domain ----
 
@@ -28,9 +29,8 @@ def domain_status(df: DataFrame, key: str, group: str, bits: str, scaffold: str,
     """(key, domain_status, domain_reasons, nearest, min, median, coverage, representative, flags ...) of
     rows with a group. ``profile`` is an array; rows whose ``bits`` are null have no structure."""
     valid = df.where(F.col(bits).isNotNull() & F.col(group).isNotNull())
-    pairs = tanimoto_pairs(valid, key, group, bits)
-    stats = pair_stats(pairs).select(F.col("block").alias(group), "min_similarity", "median_similarity")
-    near = nearest(pairs).withColumnRenamed("id", key)
+    spread = stats(valid, key, group, bits).select(F.col("block").alias(group), "min_similarity", "median_similarity")
+    near = nearest(valid, key, group, bits).withColumnRenamed("id", key)
     scaf = valid.select(key, group, F.nullif(F.trim(F.col(scaffold)), F.lit("")).alias("s"))
     rep = representative(scaf, group, "s")
     # Coverage is compared before it is rounded.
@@ -42,7 +42,7 @@ def domain_status(df: DataFrame, key: str, group: str, bits: str, scaffold: str,
     odd = outlier_lists(valid, key, group, descriptors)
     w = (
         df.select(key, group, F.col(bits).isNotNull().alias("ok"), F.array_join(F.array_sort(F.coalesce(profile, F.array().cast("array<string>"))), ";").alias("p"), F.coalesce(ionisation, F.lit("Unknown")).alias("x"), F.nullif(F.trim(identity), F.lit("")).alias("who"))
-        .join(stats, group, "left").join(rep, group, "left").join(exact, group, "left").join(common_p, group, "left").join(common_i, group, "left")
+        .join(spread, group, "left").join(rep, group, "left").join(exact, group, "left").join(common_p, group, "left").join(common_i, group, "left")
         .join(near, key, "left").join(odd, key, "left")
     )
     c = F.col
@@ -305,7 +305,7 @@ def review_boundary(domain: Column, status: Column, flags: Column, ionisation: C
 
 def neighbour_text(df: DataFrame, key: str, group: str, bits: str, name: str, k: int = 3) -> DataFrame:
     """(key, nearest_members, nearest_similarity): the ``k`` most similar members of a row's group."""
-    top = top_neighbours(tanimoto_pairs(df, key, group, bits), k)
+    top = top_neighbours(df, key, group, bits, k)
     named = top.join(df.select(F.col(key).alias("other"), F.col(name).cast("string").alias("n")), "other")
     text = F.concat(F.col("n"), F.lit(" (Tanimoto "), fixed(F.col("similarity"), 3), F.lit(")"))
     listed = named.groupBy(F.col("id").alias(key)).agg(F.array_sort(F.collect_list(F.struct("rank", text.alias("t")))).alias("ts"), F.max("similarity").alias("s"))
