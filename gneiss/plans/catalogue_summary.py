@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import evidence, group, pairs, summary
+from ..operators import evidence, group, kinds, summary
 from .catalogue import B_SQL, P_SQL, emb, query, t
 
 _SEEN = {
@@ -39,17 +39,16 @@ FROM g LEFT JOIN st ON st.block = g.label LEFT JOIN m ON m.block = g.label LEFT
 @query(_SUMMARY_SQL)
 def cluster_summary(spark, d):
     e = emb(spark, d)
-    every = pairs.tanimoto_pairs(e, "vec_id", "label", "bits")
     rows = e.withColumn("structure", F.array_join("bits", ","))
     k = F.col("vec_id")
-    shown = rows.join(pairs.pair_stats(every).withColumnRenamed("block", "label"), "label", "left").join(pairs.nearest(every).withColumnRenamed("id", "vec_id"), "vec_id", "left").select(
+    shown = rows.join(kinds.stats(e, "vec_id", "label", "bits").withColumnRenamed("block", "label"), "label", "left").join(kinds.nearest(e, "vec_id", "label", "bits").withColumnRenamed("id", "vec_id"), "vec_id", "left").select(
         "vec_id", "label", "structure", F.concat(F.lit("Cluster_"), F.col("label").cast("string")).alias("Cluster ID"), F.when(k % 3 != 0, F.concat(F.lit("V"), k.cast("string"))).alias("Compound Name"),
         F.expr(_SEEN["Compatibility Group"][0]).alias("Compatibility Group"), F.expr(_SEEN["Compatibility Gate"][0]).alias("Compatibility Gate"), F.expr(_SEEN["Member Chemical Classes"][0]).alias("Corrected Chemical Class"),
         F.expr(_SEEN["Primary Functional Group Profile"][0]).alias("Primary Functional Group"), F.expr(_SEEN["Scaffold Profile"][0]).alias("Scaffold"),
         F.col("min_similarity").alias("Cluster_Min_Pairwise_Tanimoto"), F.col("median_similarity").alias("Cluster_Median_Pairwise_Tanimoto"), F.col("nearest_similarity").alias("Nearest_Neighbour_Tanimoto"),
     )
     unique = rows.groupBy("label", "structure").agg(F.min("vec_id").alias("vec_id"), F.min_by("bits", "vec_id").alias("bits"))
-    best = pairs.medoid(unique, pairs.tanimoto_pairs(unique, "vec_id", "label", "bits"), "vec_id", "label")
+    best = kinds.medoid(unique, "vec_id", "label", "bits")
     medoids = best.select(F.concat(F.lit("Cluster_"), F.col("block").cast("string")).alias("cluster"), F.col("medoid").alias("pos"))
     return summary.cluster_summary(shown, medoids, "vec_id", "structure")
 
@@ -101,7 +100,7 @@ def membership_words(spark, d):
 
 @query(f"WITH {P_SQL} SELECT block AS cluster, arg_min('similarity ' || printf('%.3f', round_even(s, 3)), i * 1000000 + j) AS reason FROM p WHERE s < 0.25 GROUP BY block")
 def partition_check(spark, d):
-    p = pairs.tanimoto_pairs(emb(spark, d), "vec_id", "label", "bits")
+    p = kinds.first_below(emb(spark, d), "vec_id", "label", "bits", 0.25)  # of the failing pairs only the first counts
     s = F.col("similarity")
     return summary.failing_pairs(p, F.when(s < 0.25, F.concat(F.lit("similarity "), F.format_string("%.3f", F.bround(s, 3)))))
 
