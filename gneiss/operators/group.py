@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.numeric import number
+from .stage import materialize
 
 
 def keep_first(df: DataFrame, keys, order) -> DataFrame:
@@ -49,33 +53,73 @@ def representative(df: DataFrame, group: str, value: str) -> DataFrame:
     return joined.select(group, F.coalesce("representative", F.lit("Not supplied")).alias("representative"), F.bround(F.coalesce(F.col("n"), F.lit(0)) / F.col("members"), 3).alias("coverage"))
 
 
+def quantiles(df: DataFrame, by: list[str], value: str, places=(0.25, 0.75)) -> DataFrame:
+    """(by..., n, q): how many values a group has, and its quantiles by linear interpolation, exact; null values don't count. As ``percentile``, but no
+    task holds a group's values: they are counted in bands that narrow in two steps, and only the band that a wanted rank lies in is sorted. The bands found are
+    written, so that their size is known: where they are few, rows meet them where they are."""
+    keys = [f"_k{i}" for i in range(len(by))]
+    rows = df.select(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], (F.col(value) + 0.0).alias("_v")).where("_v IS NOT NULL")
+    same = lambda a, b, names: reduce(and_, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in names])
+    # Bands by sign and magnitude, 1,024 to a doubling; then 65,536 of equal width in each that is wanted.
+    first = F.when(F.col("_v") == 0, F.lit(0)).otherwise(F.signum("_v") * (1_200_000 + F.floor(F.least(F.log2(F.abs("_v")) * 1024, F.lit(1_100_000.0)))))
+    banded = rows.withColumn("_a", first.cast("long"))
+    bands = materialize(banded.groupBy(*keys, "_a").agg(F.count("*").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")), "quantile-bands")
+    groups = bands.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+    at = lambda f, p: f((F.col("_n") - 1) * p).cast("long")
+    ranks = groups.select(*keys, F.explode(F.array_distinct(F.array(*[at(f, p) for p in places for f in (F.floor, F.ceil)]))).alias("_rank"))
+
+    def holding(counted: DataFrame, wanted: DataFrame, inside: list[str], order: str) -> DataFrame:
+        """The rows of ``counted`` that hold a wanted rank; ranks are those from the start of what they are inside of."""
+        upto = F.sum("_c").over(Window.partitionBy(*inside).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+        run = counted.withColumn("_upto", upto).alias("r")
+        found = run.join(wanted.alias("w"), same("r", "w", inside) & (F.col("w._rank") < F.col("r._upto")) & (F.col("w._rank") >= F.col("r._upto") - F.col("r._c")))
+        return found.select("r.*", (F.col("w._rank") - F.col("r._upto") + F.col("r._c")).alias("_rank"), *[F.col(f"w.{c}") for c in wanted.columns if c == "_whole"])
+
+    wide = materialize(holding(bands, ranks.withColumn("_whole", F.col("_rank")), keys, "_a"), "quantile-wide")
+    held = banded.alias("b").join(wide.select(*keys, "_a", "_lo", "_hi").distinct().alias("h"), same("b", "h", [*keys, "_a"])).select("b.*", "_lo", "_hi")
+    fine = held.withColumn("_b", F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * 65536)).otherwise(F.lit(0)).cast("long"))
+    slim = fine.groupBy(*keys, "_a", "_b").agg(F.count("*").alias("_c"))
+    narrow = materialize(holding(slim, wide.select(*keys, "_a", "_rank", "_whole"), [*keys, "_a"], "_b").select(*keys, "_a", "_b", "_rank", "_whole"), "quantile-narrow")
+    values = fine.alias("f").join(narrow.select(*keys, "_a", "_b").distinct().alias("g"), same("f", "g", [*keys, "_a", "_b"])).groupBy(*[F.col(f"f.{c}").alias(c) for c in (*keys, "_a", "_b", "_v")]).agg(F.count("*").alias("_c"))
+    exact = holding(values, narrow, [*keys, "_a", "_b"], "_v").groupBy(*keys).agg(F.map_from_entries(F.collect_set(F.struct("_whole", "_v"))).alias("_of"))
+
+    def quantile(p: float) -> Column:
+        place, lower, upper = (F.col("_n") - 1) * p, at(F.floor, p), at(F.ceil, p)
+        a, b = F.try_element_at("_of", lower), F.try_element_at("_of", upper)
+        return F.when((lower == upper) | (a == b), a).otherwise((upper - place) * a + (place - lower) * b)
+
+    return groups.alias("g").join(exact.alias("e"), same("g", "e", keys)).select(*[F.col(f"g.{k}").alias(c) for c, k in zip(by, keys, strict=True)], F.col("_n").alias("n"), F.array(*[quantile(p) for p in places]).alias("q"))
+
+
 def fences(df: DataFrame, group: str, value: str, factor: float = 1.5) -> DataFrame:
     """(group, n, low, high): interquartile fences by linear interpolation; null fences where
     fewer than 4 values or no spread make them meaningless."""
     v = number(F.col(value))
-    stats = df.select(group, v.alias("v")).where("v IS NOT NULL").groupBy(group).agg(F.count("*").alias("n"), F.percentile("v", [0.25, 0.75]).alias("q"))
+    stats = quantiles(df.select(group, v.alias("v")), [group], "v")
     q1, q3 = F.col("q")[0], F.col("q")[1]
     usable = (F.col("n") >= 4) & (q3 > q1)
     return stats.select(group, "n", F.when(usable, q1 - factor * (q3 - q1)).alias("low"), F.when(usable, q3 + factor * (q3 - q1)).alias("high"))
 
 
 def outliers(df: DataFrame, key: str, group: str, value: str, factor: float = 1.5) -> DataFrame:
-    """(key, group, value) strictly outside its group's fences."""
+    """(key, group, value) strictly outside its group's fences. These are written first, so that their size is known: where they are few, rows
+    meet them where they are, and a group of many rows is no task's."""
     v = number(F.col(value))
-    return df.select(key, group, v.alias(value)).join(fences(df, group, value, factor), group).where((F.col(value) < F.col("low")) | (F.col(value) > F.col("high"))).select(key, group, value)
+    return df.select(key, group, v.alias(value)).join(materialize(fences(df, group, value, factor), "fences"), group).where((F.col(value) < F.col("low")) | (F.col(value) > F.col("high"))).select(key, group, value)
 
 
 def outlier_lists(df: DataFrame, key: str, group: str, columns: list[str], factor: float = 1.5) -> DataFrame:
     """(key, outlier_columns, not_assessed): by row the columns in which it lies outside its
     group's fences, by group those with fewer than 4 values; both in the order given. One unpivot
     and one aggregate serve all columns."""
-    long = df.select(key, group, F.posexplode(F.array(*[number(F.col(c)) for c in columns])).alias("p", "v"))
-    stats = long.groupBy(group, "p").agg(F.count("v").alias("n"), F.percentile("v", [0.25, 0.75]).alias("q"))
+    long = df.where(F.col(group).isNotNull()).select(key, group, F.posexplode(F.array(*[number(F.col(c)) for c in columns])).alias("p", "v"))
+    stats = materialize(quantiles(long, [group, "p"], "v"), "quartiles")
+    n = F.coalesce(F.col("n"), F.lit(0))
     spread = F.col("q")[1] - F.col("q")[0]
     low, high = F.col("q")[0] - factor * spread, F.col("q")[1] + factor * spread
-    out = (F.col("n") >= 4) & (spread > 0) & ((F.col("v") < low) | (F.col("v") > high))
+    out = (n >= 4) & (spread > 0) & ((F.col("v") < low) | (F.col("v") > high))
     name = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("p") + 1)
-    marked = long.join(stats, [group, "p"]).select(key, "p", F.when(out, name).alias("o"), F.when(F.col("n") < 4, name).alias("x"))
+    marked = long.join(stats, [group, "p"], "left").select(key, "p", F.when(out, name).alias("o"), F.when(n < 4, name).alias("x"))
     listed = lambda c: F.transform(F.sort_array(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("p", F.col(c).alias("c"))))), lambda s: s["c"])
     return marked.groupBy(key).agg(listed("o").alias("outlier_columns"), listed("x").alias("not_assessed"))
 
