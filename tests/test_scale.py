@@ -1,12 +1,14 @@
 """Work that grows with the input only: what is exchanged, sorted or held on the way."""
 
 import re
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from gneiss.operators import group, pairs
+from gneiss.operators import cluster, group, pairs, search
 from gneiss.sources import layouts
 
 from .test_whole import silhouettes as silhouettes_of
@@ -79,3 +81,36 @@ def test_silhouette_moves_rows_a_bounded_number_of_times(spark, monkeypatch):
     want = silhouettes_of(np.arange(90), label, x)
     assert all(abs(r.silhouette - want[r.id]) < 1e-9 for r in silhouettes.collect())
     assert "sequence(0, 2" in silhouettes._jdf.queryExecution().analyzed().toString() or "sequence(0, (3 - 1)" in silhouettes._jdf.queryExecution().analyzed().toString() or "[0,1,2]" in silhouettes._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_consensus_is_no_cube():
+    """The centres of spectral clustering were met in one array of rows x centres x directions, and each merge looked at the whole square."""
+    rng = np.random.default_rng(9)
+    x = np.round(rng.normal(size=(300, 6)), 1)
+    x[40:60] = x[0]
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    tracemalloc.start()
+    labels = cluster.spectral(np.exp(-(d**2)), 60)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(set(labels.tolist())) > 30 and peak < 6 * 300 * 300 * 8
+    plain, groups = d.copy(), {i: [i] for i in range(300)}
+    np.fill_diagonal(plain, np.inf)
+    while len(groups) > 60:
+        i, j = sorted(np.unravel_index(np.argmin(plain), plain.shape))
+        a, b = len(groups[i]), len(groups[j])
+        merged = (a * plain[i] + b * plain[j]) / (a + b)
+        plain[i], plain[:, i] = merged, merged
+        plain[i, i], plain[j], plain[:, j] = np.inf, np.inf, np.inf
+        groups[i] += groups.pop(j)
+    got = cluster.linkage(d, False, k=60)
+    assert sorted(map(sorted, groups.values())) == sorted(sorted(np.flatnonzero(got == c).tolist()) for c in set(got.tolist()))
+
+
+def test_search_keeps_the_best_of_a_block():
+    """All pairs of queries and a block's rows went into a window's sort."""
+    a = pd.DataFrame({"q": [7, 1], "qw": [[3], [-1]]})
+    b = pd.DataFrame({"id": [9, 7, 5, 4, 2], "words": [[3], [3], [1], [2], [0]]})
+    got = search._best(2)(a, b)
+    assert sorted(zip(got["q"].tolist(), got["other"].tolist(), got["less"].tolist(), strict=True)) == [(1, 7, -2 / 64), (1, 9, -2 / 64), (7, 4, -0.5), (7, 9, -1.0)]
+    assert len(search._best(2)(a, b[:0])) == 0
