@@ -112,16 +112,18 @@ OVER_TIME_HEAD, OVER_TIME_MARK, PEAK_MARK = 5, "CONCENTRATIONS OF", "PEAK_NUM"
 def standard_report(text_lines: DataFrame) -> DataFrame:
     """(doc, page, line, record) of reports of external standards from lines (doc, page, line, text): rows between the line of dashes and
     the totals; the last word holds compound and number."""
-    w = Window.partitionBy("doc", "page").orderBy("line")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("doc", "page")
     t = F.coalesce("text", F.lit(""))
-    marked = text_lines.withColumns({
-        "_is": F.max(t.contains("Sample Name:")).over(whole) & F.max(t.contains("External Standard Report")).over(whole),
-        "_begun": F.max(t.contains(DASHES)).over(upto),
-    })
-    ended = marked.withColumn("_ended", F.max(F.col("_begun") & t.contains(TOTALS)).over(upto))
-    rows = ended.where(F.col("_is") & F.col("_begun") & ~F.col("_ended") & ~t.contains(DASHES) & ~t.contains(EQUALS) & (F.trim(t) != ""))
+    line = F.coalesce(F.col("line").cast("long"), F.lit(-(1 << 63)))  # null is before all
+    same = lambda a, b: F.col(f"{a}.doc").eqNullSafe(F.col(f"{b}.doc")) & F.col(f"{a}.page").eqNullSafe(F.col(f"{b}.page"))
+    # Only lines with a mark are grouped; a page's two bounds then meet its lines, which are neither sorted nor held.
+    marks = text_lines.where(t.contains("Sample Name:") | t.contains("External Standard Report") | t.contains(DASHES) | t.contains(TOTALS)).select("doc", "page", line.alias("_line"), t.alias("_t"))
+    has = lambda x: F.max(F.col("_t").contains(x))
+    begun = marks.groupBy("doc", "page").agg(has("Sample Name:").alias("_s"), has("External Standard Report").alias("_r"), F.min(F.when(F.col("_t").contains(DASHES), F.col("_line"))).alias("_from")).where("_s AND _r AND _from IS NOT NULL").drop("_s", "_r")
+    late = marks.where(F.col("_t").contains(TOTALS)).alias("m").join(begun.hint("shuffle_hash").alias("b"), same("m", "b")).where("_line >= _from")
+    totals = late.groupBy("m.doc", "m.page").agg(F.min("_line").alias("_to"))
+    bounds = begun.alias("b").join(totals.hint("shuffle_hash").alias("e"), same("b", "e"), "left").select("b.doc", "b.page", "_from", "_to")
+    placed = text_lines.alias("l").join(bounds.hint("shuffle_hash").alias("b"), same("l", "b")).select("l.doc", "l.page", "l.line", "l.text", "_from", "_to").withColumn("_line", line)
+    rows = placed.where((F.col("_line") >= F.col("_from")) & (F.col("_to").isNull() | (F.col("_line") < F.col("_to"))) & ~t.contains(DASHES) & ~t.contains(EQUALS) & (F.trim(t) != ""))
     p = F.split(F.trim(t), r"\s+")
     n = F.size(p)
     last = F.get(p, n - 1)
