@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import clean_name, parse_amount, present
+from .stage import fresh_path, materialize, scratch
 
 # ---- ingest ----
 
@@ -78,6 +79,12 @@ def rescue_reason(name: str, match: str, ratio: float) -> str | None:
 RESCUE_RATIO, INSIDE_RATIO, INSIDE_LENGTH = 0.85, 0.95, 6
 
 
+#: Keys that a name is looked up by; one with more meets the known names block against block.
+LOOKUPS = 4096
+#: Known names from this length on have letters that ``difflib`` leaves out.
+COMMON_LEFT_OUT = 200
+
+
 def _letters(words: list[str], width: int = 64) -> np.ndarray:
     """Letters of each word, counted by their code modulo ``width``."""
     out = np.zeros((len(words), width), np.int32)
@@ -87,65 +94,139 @@ def _letters(words: list[str], width: int = 64) -> np.ndarray:
     return out
 
 
-def best_names(names: list[str], known: list[str]) -> list[tuple[int, float]]:
-    """For each name the place of the known one of the highest ratio from ``RESCUE_RATIO`` up, the first of
-    equals, or -1. Only names whose common letters allow that ratio, or one inside the other, are compared."""
+def _score(name: str, known: str, long: bool, matcher: difflib.SequenceMatcher) -> float:
+    """The ratio of two lower-cased names, ``INSIDE_RATIO`` where that is too small and ``known`` is long and inside ``name``."""
+    matcher.set_seqs(name, known)
+    r = matcher.ratio()
+    return INSIDE_RATIO if r < RESCUE_RATIO and long and known in name else r
+
+
+def best_names(names: list[str], known: list[str], least: list[float] | None = None) -> list[tuple[int, float]]:
+    """For each name the place of the known one of the highest ratio from ``RESCUE_RATIO`` (and the name's ``least``) up, the first of
+    equals, or -1. Only names whose common letters allow that ratio, or one inside the other, are compared, the most promising first."""
     low, kl = [n.lower() for n in names], [k.lower() for k in known]
-    counts, sizes, long = _letters(kl), np.array([len(k) for k in kl]), np.array([len(k) >= INSIDE_LENGTH for k in known])
+    sizes, long = np.array([len(k) for k in kl], np.int32), np.array([len(k) >= INSIDE_LENGTH for k in known], bool)
+    counts = np.ascontiguousarray(_letters(kl).T)
     out, matcher = [], difflib.SequenceMatcher()
-    for name, have in zip(low, _letters(low), strict=True):
-        common = np.minimum(counts, have).sum(1)
-        whole = (common == sizes) & long
-        reach = 2 * common >= RESCUE_RATIO * (len(name) + sizes)
-        best, top = -1, 0.0
-        for k in np.flatnonzero(whole | reach):
-            matcher.set_seqs(name, kl[k])
-            r = matcher.ratio() if reach[k] else 0.0
-            if r < RESCUE_RATIO and whole[k] and kl[k] in name:
-                r = INSIDE_RATIO
-            if r >= RESCUE_RATIO and r > top:
+    for name, have, floor in zip(low, _letters(low), least or [RESCUE_RATIO] * len(low), strict=True):
+        common = np.zeros(len(kl), np.int32)
+        for c in np.flatnonzero(have):
+            common += np.minimum(counts[c], have[c])
+        bound = 2.0 * common / (len(name) + sizes)
+        bound[(common == sizes) & long & (bound < INSIDE_RATIO)] = INSIDE_RATIO
+        near = np.flatnonzero(bound >= floor)
+        best, top = -1, floor
+        for k in near[np.argsort(-bound[near], kind="stable")]:
+            if bound[k] < top:
+                break
+            r = _score(name, kl[k], bool(long[k]), matcher)
+            if r > top or r == top and (best < 0 or k < best):
                 best, top = int(k), r
-        out.append((best, top))
+        out.append((best, top if best >= 0 else 0.0))
     return out
 
 
+def _without_one(names: DataFrame, low: str, *keep: str) -> DataFrame:
+    """``keep`` and the hash ``h`` of each name's text without one of its letters."""
+    n = F.length(low)
+    each = names.select("batch", low, *[k for k in keep if k not in ("batch", low)], F.explode(F.sequence(F.lit(1), n)).alias("i"))
+    return each.select(*keep, F.xxhash64("batch", F.concat(F.substring(low, F.lit(1), F.col("i") - 1), F.substring(low, F.col("i") + 1, n))).alias("h"))
+
+
+def _looked_up(asked: DataFrame, heads: DataFrame) -> DataFrame:
+    """(batch, low, score, at): the best known name among those inside a name, equal to it or one letter from it. Texts meet by
+    hashes, and every pair is compared."""
+    low, size = F.col("low"), F.length("low")
+    brief = asked.where("not wide").withColumn("of", F.xxhash64("batch", "low"))
+    own = brief.select("of", F.col("of").alias("h"))
+    cut = brief.select("batch", "low", "of", F.explode("inner").alias("k")).where(F.col("k") < size)
+    cut = cut.select("batch", "low", "of", "k", F.explode(F.sequence(F.lit(1), size - F.col("k") + 1)).alias("i"))
+    inside = cut.select("of", F.xxhash64("batch", F.substring("low", F.col("i"), F.col("k"))).alias("h"))
+    shorter = _without_one(brief.where(F.array_contains("sizes", size - 1)), "low", "of")
+    known = heads.select("batch", F.col("low").alias("klow"), "long", "at", F.xxhash64("batch", "low").alias("h"))
+    keys = own.unionByName(inside).unionByName(shorter).join(known.select("h"), "h", "left_semi")  # few keys are those of a name
+    longer = _without_one(known.where(F.length("klow") <= LOOKUPS + 1), "klow", "batch", "klow", "long", "at")
+    met = keys.join(known, "h").unionByName(own.join(longer, "h")).drop("h").join(brief.select("batch", "low", "of"), ["batch", "of"])
+
+    # A short known name that is inside a name is its longest common part, and all of it.
+    plain = F.contains(low, F.col("klow")) & (F.length("klow") < COMMON_LEFT_OUT)
+    ratio = 2.0 * F.length("klow") / (F.length("klow") + size)
+    closed = met.where(plain).withColumn("score", F.when((ratio < RESCUE_RATIO) & F.col("long"), F.lit(INSIDE_RATIO)).otherwise(ratio))
+
+    def scores(names: pd.Series, others: pd.Series, long: pd.Series) -> pd.Series:
+        matcher = difflib.SequenceMatcher()
+        return pd.Series([_score(n, k, bool(w), matcher) for n, k, w in zip(names, others, long, strict=True)], dtype=float)
+
+    compared = met.where(~plain).withColumn("score", F.pandas_udf(scores, "double")("low", "klow", "long"))
+    both = closed.unionByName(compared).where(F.col("score") >= RESCUE_RATIO)
+    best = both.groupBy("batch", "low").agg(F.min(F.struct((-F.col("score")).alias("r"), "at")).alias("best"))
+    return best.select("batch", "low", (-F.col("best.r")).alias("score"), F.col("best.at").alias("at"))
+
+
+def _can_be_better() -> Column:
+    """Whether a known name two letters or more away could reach ``least``, by the lengths of those that there are."""
+
+    def reaches(k: Column) -> Column:
+        total = F.length("low") + k
+        apart = F.greatest(F.abs(F.length("low") - k), 2 + F.pmod(total, F.lit(2)))
+        return 2.0 * F.floor((total - apart) / 2) / total >= F.col("least")
+
+    return F.exists("sizes", reaches)
+
+
 def fuzzy_rescue(unresolved: DataFrame, resolved: DataFrame, name: str, batch: str | None = None, order: str | None = None, block: int = 2048) -> DataFrame:
     """(batch, name, match, ratio, reason) of each row of ``unresolved`` with a name, against the resolved names of
     its batch (null is a batch of its own). ``ratio`` is that of the best name, the first in ``order`` (null first; without
     it by text) of equals, and null where none reaches the least ratio; ``match`` is null too where the chemistry
-    forbids it. Names meet block against block: no task gets more than two blocks of about ``block`` names."""
+    forbids it. Names are looked up first by their parts and by their texts without a letter. Only those for which a name further away
+    could be as good as what was found meet the known names, block against block: no task gets more than two blocks of about ``block`` names."""
     at = F.col(batch) if batch else F.lit(0)
     kind = unresolved.schema[batch].dataType.simpleString() if batch else "int"
+    lower = F.pandas_udf(lambda names: pd.Series([n.lower() for n in names], dtype=object), "string")
     trimmed = lambda df, *more: df.select(F.struct(at.alias("b")).alias("batch"), F.trim(F.col(name)).alias("name"), *more).where("name <> ''")
-    rows = trimmed(unresolved)
+    rows = trimmed(unresolved).withColumn("low", lower("name"))
     first = trimmed(resolved, (F.col(order) if order else F.trim(F.col(name))).alias("o")).groupBy("batch", "name").agg(F.min("o").alias("o"))
-    asked = rows.distinct()
-    n = lambda out: F.ceil(F.count("*") / block).cast("int").alias(out)
-    shape = asked.groupBy("batch").agg(n("np")).join(first.groupBy("batch").agg(n("nq"), F.min("o").alias("least")), "batch")
-
-    def cells(df: DataFrame, side: int, own: str, n: str, other: str, m: str) -> DataFrame:
-        placed = df.join(shape, "batch").withColumn(own, F.pmod(F.xxhash64("name"), F.col(n)).cast("int"))
-        return placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(m) - 1))).select("batch", "p", "q", F.lit(side).alias("side"), "name", F.col("o" if side else "least").alias("o"))
-
-    each = cells(asked, 0, "p", "np", "q", "nq").unionByName(cells(first, 1, "q", "nq", "p", "np"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1].sort_values(["o", "name"], na_position="first")
-        known, orders = b["name"].to_list(), b["o"].to_list()
-        found = [(r, *kr) for r, kr in enumerate(best_names(a["name"].to_list(), known)) if kr[0] >= 0]
-        rows = [(a["batch"].iloc[r]["b"], a["name"].iloc[r], known[k], None if pd.isna(orders[k]) else orders[k], ratio) for r, k, ratio in found]
-        return pd.DataFrame(rows, columns=["b", "name", "match", "o", "ratio"], dtype=object)
-
     o = first.schema["o"].dataType.simpleString()
-    near = each.groupBy("batch", "p", "q").applyInPandas(run, f"b {kind}, name string, match string, o {o}, ratio double")
-    best = near.groupBy(F.struct("b").alias("batch"), "name").agg(F.min(F.struct((-F.col("ratio")).alias("r"), "o", "match")).alias("best"))
-
-    def reasons(names: pd.Series, matches: pd.Series, ratios: pd.Series) -> pd.Series:
-        return pd.Series([None if m is None else rescue_reason(n, m, r) for n, m, r in zip(names, matches, ratios, strict=True)], dtype=object)
-
-    judged = best.select("batch", "name", F.col("best.match").alias("match"), (-F.col("best.r")).alias("ratio"))
-    judged = judged.withColumn("why", F.pandas_udf(reasons, "string")("name", "match", "ratio"))
-    return rows.join(judged, ["batch", "name"], "left").select(
+    # Names that differ in their letters' case alone have the same ratio; the first stands for all.
+    cased = first.withColumns({"low": lower("name"), "long": F.length("name") >= INSIDE_LENGTH})
+    spark, path = unresolved.sparkSession, fresh_path(unresolved.sparkSession, "rescue-best")
+    with scratch(spark, [path]):
+        heads = materialize(cased.groupBy("batch", "low", "long").agg(F.min(F.struct("o", "name")).alias("at")), "rescue-known")
+        lengths = heads.groupBy("batch").agg(F.collect_set(F.length("low")).alias("sizes"), F.collect_set(F.when(F.col("long"), F.length("low"))).alias("inner"))
+        lookups = 1 + F.length("low") + F.aggregate("inner", F.lit(0).cast("long"), lambda n, k: n + F.greatest(F.length("low") - k + 1, F.lit(0)))
+        asked = materialize(rows.select("batch", "low").distinct().join(lengths, "batch").withColumn("wide", lookups > LOOKUPS), "rescue-asked")
+        found = asked.join(_looked_up(asked, heads), ["batch", "low"], "left").withColumn("least", F.coalesce("score", F.lit(RESCUE_RATIO)))
+        found = materialize(found.select("batch", "low", "score", "at", "least", (F.col("wide") | _can_be_better()).alias("open")), "rescue-found")
+
+        n = lambda out: F.ceil(F.count("*") / block).cast("int").alias(out)
+        still = found.where("open")
+        shape = still.groupBy("batch").agg(n("np")).join(heads.groupBy("batch").agg(n("nq")), "batch")
+
+        def cells(df: DataFrame, side: int, own: str, n: str, other: str, m: str) -> DataFrame:
+            placed = df.join(shape, "batch").withColumn(own, F.pmod(F.xxhash64("low"), F.col(n)).cast("int"))
+            return placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(m) - 1))).select("batch", "p", "q", F.lit(side).alias("side"), "name", "o", "least")
+
+        asking = still.select("batch", "low", F.col("low").alias("name"), F.lit(None).cast(o).alias("o"), "least")
+        known = heads.select("batch", "low", "at.name", "at.o", F.lit(None).cast("double").alias("least"))
+        each = cells(asking, 0, "p", "np", "q", "nq").unionByName(cells(known, 1, "q", "nq", "p", "np"))
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1].sort_values(["o", "name"], na_position="first")
+            known, orders = b["name"].to_list(), b["o"].to_list()
+            found = [(r, *kr) for r, kr in enumerate(best_names(a["name"].to_list(), known, a["least"].to_list())) if kr[0] >= 0]
+            rows = [(a["batch"].iloc[r]["b"], a["name"].iloc[r], known[k], None if pd.isna(orders[k]) else orders[k], ratio) for r, k, ratio in found]
+            return pd.DataFrame(rows, columns=["b", "low", "match", "o", "ratio"], dtype=object)
+
+        def reasons(names: pd.Series, matches: pd.Series, ratios: pd.Series) -> pd.Series:
+            return pd.Series([rescue_reason(n, m, r) for n, m, r in zip(names, matches, ratios, strict=True)], dtype=object)
+
+        near = each.groupBy("batch", "p", "q").applyInPandas(run, f"b {kind}, low string, match string, o {o}, ratio double")
+        near = near.select(F.struct("b").alias("batch"), "low", F.col("ratio").alias("score"), F.struct("o", F.col("match").alias("name")).alias("at"))
+        best = found.where("at is not null").select("batch", "low", "score", "at").unionByName(near)
+        best = best.groupBy("batch", "low").agg(F.min(F.struct((-F.col("score")).alias("r"), "at")).alias("best"))
+        best = best.select("batch", "low", F.col("best.at.name").alias("match"), (-F.col("best.r")).alias("ratio"))
+        judged = materialize(best.withColumn("why", F.pandas_udf(reasons, "string")("low", "match", "ratio")), "rescue-best", path)
+    return rows.join(judged, ["batch", "low"], "left").select(
         F.col("batch.b").alias("batch"), "name", F.when(F.col("why").isNotNull(), F.col("match")).alias("match"), F.round("ratio", 6).alias("ratio"),
         F.coalesce("why", F.lit("Tier 3: Class Fallback Required (No Structure)")).alias("reason"),
     )

@@ -212,6 +212,64 @@ def test_rescue_by_batch_equals_all_pairs(spark):
     assert len(empty) == len(want) and all(r.match is None and r.ratio is None for r in empty)
 
 
+def test_rescue_looks_names_up(spark, monkeypatch):
+    """Names settled by a part, an equal or one letter meet no block of known names."""
+
+    def met(names, known, *least):
+        assert not names, "names were compared block against block"
+        return []
+
+    monkeypatch.setattr(tables, "best_names", met)
+    asked = spark.createDataFrame([(f"Customer {i}" + (" isomer" if i % 2 == 0 else "s"),) for i in (*range(200), *range(1000, 4000))], "name string")
+    known = spark.createDataFrame([(f"Customer {i}",) for i in range(200)], "name string")
+    got = {r["name"]: r for r in tables.fuzzy_rescue(asked, known, "name").collect()}
+    assert len(got) == 3200 and all(r.ratio is not None for r in got.values())
+    assert got["Customer 124 isomer"].ratio == 0.95 and got["Customer 12 isomer"].match is None
+    assert (got["Customer 123s"].match, got["Customer 123s"].ratio) == ("Customer 123", round(24 / 25, 6))
+
+
+@pytest.mark.parametrize("lookups", [4096, 30])
+def test_rescue_of_random_names_equals_all_pairs(spark, monkeypatch, lookups):
+    """Names a few letters apart, with parts, copies, other cases, long texts and ties, some of them settled by look-ups."""
+    import difflib
+
+    monkeypatch.setattr(tables, "LOOKUPS", lookups)
+    rng = np.random.default_rng(5)
+    stems = ["hexanol", "2-hexanol", "aminobenzene", "octane", "İsomer of Σας", "abababababab", "x" * 230, "ab" * 110]
+
+    def made():
+        text = list(stems[rng.integers(len(stems))])
+        for _ in range(rng.integers(5)):
+            at = rng.integers(len(text) + 1)
+            text[at : at + rng.integers(2)] = rng.choice(list("abAB12- "), rng.integers(2)).tolist()
+        return "".join(text) + rng.choice(["", "", " isomer", " related compound", " (n=3)"])
+
+    known = [(made(), None if k % 9 == 0 else int(rng.integers(6))) for k in range(60)]
+    asked = [(made(),) for _ in range(120)]
+    got = tables.fuzzy_rescue(spark.createDataFrame(asked, "name string"), spark.createDataFrame(known, "name string, at int"), "name", order="at", block=16).collect()
+    first = {}
+    for k, o in known:
+        k = k.strip(" ")
+        first.setdefault(k, []).append(o)
+    first = sorted((min((o for o in os if o is not None), default=-1), k) for k, os in first.items() if k)
+
+    def plain(name):
+        best, top = None, 0.0
+        for _, k in first:
+            r = difflib.SequenceMatcher(None, name.lower(), k.lower()).ratio()
+            if r < 0.85 and len(k) >= 6 and k.lower() in name.lower():
+                r = 0.95
+            if r >= 0.85 and r > top:
+                best, top = k, r
+        why = best and tables.rescue_reason(name, best, top)
+        return (name, best if why else None, round(top, 6) if best else None, why or "Tier 3: Class Fallback Required (No Structure)")
+
+    key = lambda r: tuple(map(str, r))
+    want = sorted((plain(n.strip(" ")) for (n,) in asked if n.strip(" ")), key=key)
+    assert sorted(((r["name"], r.match, r.ratio, r.reason) for r in got), key=key) == want
+    assert len({r[2] for r in want}) > 5 and any(r[2] is None for r in want)
+
+
 def test_contract_and_gate(spark):
     df = spark.createDataFrame([("a", 1, "PASS", "Unresolved")], "Old string, Extra int, decision string, who string")
     out = tables.apply_contract(df, ["New", "Blank"], ["decision"], {"Old": "New"})
