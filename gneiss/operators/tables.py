@@ -193,8 +193,9 @@ def fuzzy_rescue(unresolved: DataFrame, resolved: DataFrame, name: str, batch: s
     with scratch(spark, [path]):
         heads = materialize(cased.groupBy("batch", "low", "long").agg(F.min(F.struct("o", "name")).alias("at")), "rescue-known")
         lengths = heads.groupBy("batch").agg(F.collect_set(F.length("low")).alias("sizes"), F.collect_set(F.when(F.col("long"), F.length("low"))).alias("inner"))
+        # Without a batch there is one row of lengths, and the join has no key left.
         lookups = 1 + F.length("low") + F.aggregate("inner", F.lit(0).cast("long"), lambda n, k: n + F.greatest(F.length("low") - k + 1, F.lit(0)))
-        asked = materialize(rows.select("batch", "low").distinct().join(lengths, "batch").withColumn("wide", lookups > LOOKUPS), "rescue-asked")
+        asked = materialize(rows.select("batch", "low").distinct().join(lengths if batch else F.broadcast(lengths), "batch").withColumn("wide", lookups > LOOKUPS), "rescue-asked")
         found = asked.join(_looked_up(asked, heads), ["batch", "low"], "left").withColumn("least", F.coalesce("score", F.lit(RESCUE_RATIO)))
         found = materialize(found.select("batch", "low", "score", "at", "least", (F.col("wide") | _can_be_better()).alias("open")), "rescue-found")
 
